@@ -20,7 +20,7 @@ def with_prefix_sums(rows: DataFrame, group: str, weight: str, key: str, tie: st
     binned = rows.withColumn("__bin", F.shiftright(key, 64 - bits))  # bins are ranges of the key: bin order is key order
     totals = binned.groupBy(group, "__bin").agg(F.sum(weight).alias("__t"))
     earlier = Window.partitionBy(group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(F.col(group).alias("__g"), F.col("__bin").alias("__b"), F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__base"))
-    joined = binned.join(before, (F.col(group).eqNullSafe(F.col("__g"))) & (F.col("__bin") == F.col("__b")))
+    before = totals.select(F.col(group).alias("__of"), F.col("__bin").alias("__b"), F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__base"))
+    joined = binned.join(before, (F.col(group).eqNullSafe(F.col("__of"))) & (F.col("__bin") == F.col("__b")))
     within = Window.partitionBy(group, "__bin").orderBy(key, tie).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn(out, F.col("__base") + F.coalesce(F.sum(weight).over(within), F.lit(0))).drop("__g", "__b", "__base", "__bin")
+    return joined.withColumn(out, F.col("__base") + F.coalesce(F.sum(weight).over(within), F.lit(0))).drop("__of", "__b", "__base", "__bin")

@@ -4,45 +4,590 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verseloom.functions import text as X
+from verseloom.lexicon import dictionary as L
+from verseloom.matrix import cells as M
+from verseloom.ml import models as ML
+from verseloom.operators import aggregate as A
+from verseloom.operators import joins as J
+from verseloom.operators import setops as S
 from verseloom.operators.hierarchy import Hierarchy, first_parents
+from verseloom.operators.keyed import POSITION, Keyed, sql_over
 from verseloom.runtime import tune
+from verseloom.stats import estimation as E
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _r(c, digits: int = 4):
+    return F.round(c, digits)
+
+
+#: White space as the JVM's Unicode class has it, for patterns of the SQL side.
+_W = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_W}+', ''), '{_W}+$', '')"
+
+
+_LINES = f"""p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i FROM documents),
+s AS (SELECT doc_id, i, {_strip("l")} t FROM p), lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 line_id, t FROM s WHERE t <> '')"""
+_WORDS = f"len(list_filter(regexp_split_to_array(t, '{_W}+'), lambda x: x <> ''))"
+
+
+def _documents(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("text", "lang", "source", "n_chars", "record_type")) -> Keyed:
+    return Keyed.of(_table(spark, sf_dir, "documents"), ["doc_id"], [c for c in columns if c == "text"], [c for c in columns if c != "text"], name="documents")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> Keyed:
+    return X.decompose(_documents(spark, sf_dir), "text", "\n", "line_id")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items under a real key: ``l_orderkey`` and a rank over all columns."""
+    li = _table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy(*[c for c in li.columns if c != "l_orderkey"])
+    return li.withColumn("item", (F.row_number().over(w) - 1).cast("bigint"))
+
+
+_ITEMS = """li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 item FROM lineitem)"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("features"), "label")
+
+
+_CELLS = "c AS (SELECT vec_id, label, unnest(embedding)::DOUBLE v, generate_subscripts(embedding, 1) - 1 f FROM embeddings)"
+_BOW = r"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_\p{Pc}\x{200C}\x{200D}]+')) term FROM documents),
+tf AS (SELECT doc_id, term, count(*)::DOUBLE value FROM w WHERE length(term) >= 2 GROUP BY 1, 2),
+voc AS (SELECT term FROM tf GROUP BY 1 HAVING count(*) >= 5), c AS (SELECT tf.* FROM tf JOIN voc USING (term))"""
+
+
+def _bag(spark: SparkSession, sf_dir: str, **options) -> M.Cells:
+    return M.count_vectorize(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", min_df=5, **options)
+
+
+def _named(m: M.Cells) -> DataFrame:
+    return m.cells.join(J.sized(m.features), "feature_id")
+
+
+# -- flagship ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_LINES}, g AS (SELECT doc_id, count(*) n_rows, sum(length(t))::DOUBLE chars_sum, max({_WORDS})::BIGINT words_max, arg_min(t, line_id) first_line, count(DISTINCT t) distinct_lines FROM lines GROUP BY 1)
+SELECT g.*, l.quality, l.toxic FROM g LEFT JOIN labels l USING (doc_id)"""
+)
+def line_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents split into lines, measured, rolled up to the document and joined with its labels."""
+    lines = _lines(spark, sf_dir)
+    measured = lines.derive(lines.df.withColumns({"chars": X.text_length(F.col("text")), "words": X.text_length(F.col("text"), "words")}), "preserved_key", data=["text", "chars", "words"])
+    rolled = A.aggregate(measured, ["doc_id"], data={"chars_sum": A.Agg("chars", "sum"), "words_max": A.Agg("words", "max"), "first_line": A.Agg("text", "first"), "distinct_lines": A.Agg("text", "nunique")})
+    labels = Keyed.of(_table(spark, sf_dir, "labels"), ["doc_id"], name="labels", position=False)
+    return rolled.query(["n_rows", "chars_sum", "words_max", "first_line", "distinct_lines", "quality", "toxic"], with_tables=[(labels, ["quality", "toxic"])], ordered=False)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_found(spark, sf_dir)
+    return line_rollup(spark, sf_dir)
+
+
+# -- reading ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE record_type = 'post' AND n_chars > 500")
+def filter_project(spark, sf_dir):
+    """A filter on a column that isn't projected."""
+    return _documents(spark, sf_dir).query(["lang", "n_chars"], where="record_type = 'post' AND n_chars > 500", ordered=False)
+
+
+@query("SELECT doc_id, n_chars, lang FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 25")
+def sort_top_k(spark, sf_dir):
+    return _documents(spark, sf_dir).query(["n_chars", "lang"], order_by=["n_chars desc", "doc_id"], limit=25)
+
+
+@query("WITH p AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 n FROM documents) SELECT doc_id, source FROM p WHERE n IN (7, 3, 90) UNION ALL SELECT doc_id, source FROM p WHERE n = 3")
+def read_positions(spark, sf_dir):
+    return _documents(spark, sf_dir).query(["source"], positions=[7, 3, 90, 3])
+
+
+@query("WITH p AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 n FROM documents), m AS (SELECT n FROM p ORDER BY n LIMIT 1 OFFSET 40) SELECT doc_id, lang FROM p, m WHERE p.n BETWEEN m.n - 3 AND m.n + 2")
+def read_context(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    key = docs.at(40).select("doc_id").first().doc_id
+    return docs.context({"doc_id": key}, before=3, after=2, columns=["lang"])
+
+
+@query("WITH p AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 n FROM documents) SELECT doc_id, lang FROM p WHERE n >= 10 AND n < 20")
+def read_slice(spark, sf_dir):
+    return _documents(spark, sf_dir).at(slice(10, 20), ["lang"])
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id = (SELECT min(doc_id) FROM labels)")
+def point_lookup(spark, sf_dir):
+    t = Keyed.of(_table(spark, sf_dir, "labels"), ["doc_id"])
+    return t.get(t.df.agg(F.min("doc_id")).first()[0], ["quality"])
+
+
+@query("SELECT count(*) n_rows FROM documents WHERE n_chars > 200")
+def sampled_rows(spark, sf_dir):
+    """A seeded sample as large as what is filtered has all of it."""
+    docs = _documents(spark, sf_dir)
+    return docs.query(["lang"], where="n_chars > 200", sample_frac=1.0, seed=5).agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT l.quality, d.record_type, count(*) n FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL")
+def project_sql(spark, sf_dir):
+    tables = {"documents_": _documents(spark, sf_dir), "labels_": Keyed.of(_table(spark, sf_dir, "labels"), ["doc_id"])}
+    return sql_over(spark, tables, "SELECT l.quality, d.record_type, count(*) n FROM documents_ d JOIN labels_ l USING (doc_id) GROUP BY ALL")
+
+
+# -- joins ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def join_left(spark, sf_dir):
+    joined = J.join(_documents(spark, sf_dir), Keyed.of(_table(spark, sf_dir, "labels"), ["doc_id"]))
+    return joined.query(["lang", "quality", "toxic"], ordered=False)
+
+
+@query("SELECT l_orderkey, count(*) n, max(o_orderpriority) priority FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+def attach_coarser(spark, sf_dir):
+    items = Keyed.of(_items(spark, sf_dir), ["l_orderkey", "item"], ["l_quantity"], position=False)
+    orders = Keyed.of(_table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"], position=False, name="orders")
+    out = J.attach(items.df, items.pk, orders, ["o_orderpriority"])
+    return out.where("o_orderpriority IS NOT NULL").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("priority"))
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def attach_chain(spark, sf_dir):
+    c, n, r = (_table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    out = c.join(J.sized(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(J.sized(r), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return out.select("c_custkey", "n_name", "r_name")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_id FROM lines WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def restrict_rows(spark, sf_dir):
+    domain = S.subset(Keyed.of(_table(spark, sf_dir, "labels"), ["doc_id"]), "toxic = 1")
+    return J.restrict(_lines(spark, sf_dir), domain).df.select("doc_id", "line_id")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 5)")
+def select_by_keys(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    keys = [r.doc_id for r in docs.query([], limit=5).collect()]
+    return J.select_keys(docs, keys[::-1]).query(["source"])
+
+
+@query("SELECT doc_id, quality FROM labels WHERE quality >= 4")
+def keyed_frame(spark, sf_dir):
+    frame = _table(spark, sf_dir, "labels").where("quality >= 4")
+    return J.from_keyed_frame(_documents(spark, sf_dir), frame, ["quality"]).query(["quality"], ordered=False)
+
+
+# -- set operations, samples, keys -----------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY n_chars IS NULL OR n_chars < 700, doc_id) - 1 AS position, lang FROM documents")
+def merge_disjoint(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    merged = S.merge([S.subset(docs, "n_chars >= 700"), S.subset(docs, "n_chars IS NULL OR n_chars < 700")])
+    return merged.view(["lang"]).select("doc_id", F.col(POSITION).alias("position"), "lang")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE n_chars % 2 = 0")
+def subset_function(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return S.subset(docs, lambda f: (f["n_chars"] % 2 == 0).fillna(False).astype(bool), ["n_chars"]).query(["n_chars"], ordered=False)
+
+
+@query("WITH s AS (SELECT record_type, count(*) n FROM documents GROUP BY 1) SELECT record_type, n FROM s")
+def split_counts(spark, sf_dir):
+    """Parts of a stratified split cover every stratum exactly."""
+    docs = _documents(spark, sf_dir)
+    parts = S.split(docs, ["train", "test"], [0.8, 0.2], seed=3, stratify=["record_type"])
+    both = parts["train"].view(["record_type"]).unionByName(parts["test"].view(["record_type"]))
+    return both.groupBy("record_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(floor(count(*) * 0.1 + 0.5) AS BIGINT) n, round(floor(count(*) * 0.1 + 0.5) / count(*), 6) pi FROM documents")
+def probability_design(spark, sf_dir):
+    _, _, pi = S.probability_sample(_documents(spark, sf_dir), fraction=0.1, seed=2)
+    return pi.df.groupBy(_r("pi", 6).alias("pi")).agg(F.count("*").alias("n")).select("n", "pi")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(record_type, '-') t, coalesce(lang, '-') g FROM documents), a AS (SELECT *, dense_rank() OVER (ORDER BY t) - 1 type_id FROM d),
+b AS (SELECT *, dense_rank() OVER (PARTITION BY t ORDER BY g) - 1 lang_id FROM a) SELECT type_id, lang_id, row_number() OVER (PARTITION BY t, g ORDER BY doc_id) - 1 AS leaf_id, doc_id FROM b"""
+)
+def rekey(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("record_type", F.lit("-")).alias("t"), F.coalesce("lang", F.lit("-")).alias("g"))
+    keyed = S.set_primary_keys(Keyed.of(docs, ["doc_id"]), {"type_id": "t", "lang_id": "g"}, "leaf_id")
+    return keyed.bridge.select("type_id", "lang_id", "leaf_id", "doc_id")
+
+
+@query("SELECT doc_id, text IS NOT NULL AS has_text, lang FROM documents")
+def rekey_inherits(spark, sf_dir):
+    """Columns cross a change of keys."""
+    docs = Keyed.of(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce("record_type", F.lit("-")).alias("t"), F.col("doc_id").alias("old")), ["doc_id"])
+    keyed = S.set_primary_keys(docs, {"type_id": "t"}, "leaf_id")
+    return keyed.view(["old", "text", "lang"]).select(F.col("old").alias("doc_id"), F.col("text").isNotNull().alias("has_text"), "lang")
+
+
+# -- aggregation -----------------------------------------------------------------------------------------------------
+
+_PRE = f"WITH {_ITEMS}"
+
+
+@query(
+    f"""{_PRE} SELECT l_orderkey, count(*) n_rows, arg_min(l_returnflag, item) flag_first, arg_max(l_returnflag, item) flag_last, min(l_shipdate) ship_min, max(l_shipdate) ship_max,
+round(avg(l_quantity), 4) qty_mean, round(median(l_quantity), 4) qty_median, round(sum(l_quantity), 4) qty_sum, count(l_tax) tax_count, count(DISTINCT l_partkey) part_nunique, count(DISTINCT l_linestatus) <= 1 status_equal FROM li GROUP BY 1"""
+)
+def reducers_basic(spark, sf_dir):
+    items = Keyed.of(_items(spark, sf_dir), ["l_orderkey", "item"], position=False)
+    rules = {"flag_first": ("l_returnflag", "first"), "flag_last": ("l_returnflag", "last"), "ship_min": ("l_shipdate", "min"), "ship_max": ("l_shipdate", "max"), "qty_mean": ("l_quantity", "mean"), "qty_median": ("l_quantity", "median"), "qty_sum": ("l_quantity", "sum"), "tax_count": ("l_tax", "count"), "part_nunique": ("l_partkey", "nunique"), "status_equal": ("l_linestatus", "all_equal")}
+    out = A.grouped(items.df, ["l_orderkey"], {o: A.Agg(*r) for o, r in rules.items()}, F.col("item"))
+    return out.withColumns({c: _r(c) for c in ("qty_mean", "qty_median", "qty_sum")})
+
+
+@query(
+    f"""{_PRE}, k AS (SELECT l_orderkey, l_returnflag v, count(*) n, min(item) f FROM li GROUP BY 1, 2), m AS (SELECT l_orderkey, arg_min(v, (-n, f)) flag_mode FROM k GROUP BY 1),
+u AS (SELECT l_orderkey, string_agg(v, '|' ORDER BY f) flag_unique FROM k GROUP BY 1)
+SELECT li.l_orderkey, count(*) n_rows, string_agg(l_returnflag, '|' ORDER BY item) flag_concat, any_value(flag_mode) flag_mode, any_value(flag_unique) flag_unique, bool_or(l_quantity > 49) big_any, bool_and(l_quantity > 5) big_all FROM li JOIN m USING (l_orderkey) JOIN u USING (l_orderkey) GROUP BY 1"""
+)
+def reducers_ordered(spark, sf_dir):
+    df = _items(spark, sf_dir).withColumns({"b1": F.col("l_quantity") > 49, "b2": F.col("l_quantity") > 5})
+    rules = {"flag_concat": A.Agg("l_returnflag", "concat", "|"), "flag_mode": A.Agg("l_returnflag", "mode"), "flag_unique": A.Agg("l_returnflag", "unique"), "big_any": A.Agg("b1", "any"), "big_all": A.Agg("b2", "all")}
+    return A.grouped(df, ["l_orderkey"], rules, F.col("item")).withColumn("flag_unique", F.array_join("flag_unique", "|"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 seq FROM events),
+n AS (SELECT *, CASE WHEN seq = 0 OR event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY seq) THEN 1 ELSE 0 END x FROM e),
+r AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY seq) run FROM n)
+SELECT user_id, min(seq) seq_start, max(seq) seq_end, any_value(event_type) event_type, count(*) n_rows, round(sum(value), 4) value_sum FROM r GROUP BY user_id, run"""
+)
+def collapse_event_runs(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _table(spark, sf_dir, "events").withColumn("seq", (F.row_number().over(w) - 1).cast("bigint")).select("user_id", "seq", "event_type", "value")
+    runs = A.collapse_runs(Keyed.of(e, ["user_id", "seq"]), ["event_type"], data={"value_sum": A.Agg("value", "sum")})
+    return runs.df.select("user_id", "seq_start", "seq_end", "event_type", "n_rows", _r("value_sum").alias("value_sum"))
+
+
+@query("SELECT coalesce(lang, '<NA>') lang, record_type, count(*) n FROM documents GROUP BY 1, 2 UNION ALL SELECT 'All', record_type, count(*) FROM documents GROUP BY 2 UNION ALL SELECT coalesce(lang, '<NA>'), 'All', count(*) FROM documents GROUP BY 1 UNION ALL SELECT 'All', 'All', count(*) FROM documents")
+def crosstab(spark, sf_dir):
+    return A.crosstab(_table(spark, sf_dir, "documents"), "lang", "record_type", margins=True, dropna=False)
+
+
+@query("SELECT CASE WHEN n_chars IS NULL THEN -2 WHEN n_chars < 0 THEN -1 WHEN n_chars > 4000 THEN 8 ELSE least(7, n_chars // 500) END::INTEGER AS bin, count(*) n FROM documents GROUP BY 1")
+def histogram(spark, sf_dir):
+    return A.histogram(_table(spark, sf_dir, "documents"), "n_chars", [500 * i for i in range(9)]).where("n > 0").select("bin", "n")
+
+
+@query(
+    f"""WITH g AS (SELECT {_strip("text")} t, count(*) n FROM documents GROUP BY 1) SELECT coalesce(sum(n), 0)::BIGINT AS "rows", coalesce(sum(n) FILTER (t IS NULL), 0)::BIGINT missing, coalesce(sum(n) FILTER (t = ''), 0)::BIGINT "empty",
+coalesce(sum(n) FILTER (t <> ''), 0)::BIGINT nonempty, count(*) FILTER (t <> '') "unique", count(*) FILTER (t <> '' AND n > 1) duplicate_groups, coalesce(sum(n) FILTER (t <> '' AND n > 1), 0)::BIGINT duplicate_rows, coalesce(sum(n - 1) FILTER (t <> '' AND n > 1), 0)::BIGINT duplicate_excess FROM g"""
+)
+def text_diagnostics(spark, sf_dir):
+    return A.text_diagnostics(_table(spark, sf_dir, "documents"), "text")
+
+
+# -- text ------------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '(?i)subject: ([^\n\r]*)', 'S=\1', 'g') AS clean FROM documents""")
+def regex_clean(spark, sf_dir):
+    rules = [X.Rule(r"[0-9]+", "#"), X.Rule(r"subject: ([^\n\r]*)", r"S=\1", flags="I")]
+    return _table(spark, sf_dir, "documents").select("doc_id", X.regex_clean(F.col("text"), rules, strip_result=False).alias("clean"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_full_match(source, '[A-Z][a-z]+ [A-Z][a-z]+') THEN regexp_extract(source, '^([A-Z][a-z]+)', 1) ELSE '?' END AS house, CASE WHEN regexp_full_match(source, '[A-Z][a-z]+ [A-Z][a-z]+') THEN regexp_extract(source, '([A-Z][a-z]+)$', 1) ELSE '?' END AS section FROM documents""")
+def extract_pattern(spark, sf_dir):
+    return X.extract_pattern(_table(spark, sf_dir, "documents"), "source", r"(?P<data_house>[A-Z][a-z]+) (?P<metadata_section>[A-Z][a-z]+)", fill_value="?").select("doc_id", "house", "section")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_id, t AS text FROM lines")
+def decompose_lines(spark, sf_dir):
+    return _lines(spark, sf_dir).df.select("doc_id", "line_id", "text")
+
+
+@query(f"SELECT doc_id, length(t)::BIGINT n_characters, {_WORDS}::BIGINT n_words, round(ln(1 + {_WORDS}), 6) log_words FROM (SELECT doc_id, coalesce(text, '') t FROM documents)")
+def text_lengths(spark, sf_dir):
+    t = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", X.text_length(t).alias("n_characters"), X.text_length(t, "words").alias("n_words"), _r(X.text_length(t, "log_words"), 6).alias("log_words"))
+
+
+@query(r"""SELECT doc_id, count(*) hits FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^\p{L}\p{N}_]+', '  ', 'g') , '(?:^| )(?i:council)(?: |$)')) FROM documents) GROUP BY 1""")
+def kwic_counts(spark, sf_dir):
+    return X.kwic(_table(spark, sf_dir, "documents"), ["doc_id"], "text", "council").groupBy("doc_id").agg(F.count("*").alias("hits"))
+
+
+@query()
+def kwic_contexts(spark, sf_dir):
+    return X.kwic(_table(spark, sf_dir, "documents"), ["doc_id"], "text", "counc*", window=4, valuetype="glob")
+
+
+@query()
+def rule_tokens(spark, sf_dir):
+    return X.linguistic_tokens(_table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+# -- bags of words and matrices ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_BOW} SELECT doc_id, term AS feature, value::BIGINT n FROM c")
+def count_vectors(spark, sf_dir):
+    return _named(_bag(spark, sf_dir)).select("doc_id", "feature", F.col("value").cast("bigint").alias("n"))
+
+
+@query(f"WITH {_BOW} SELECT row_number() OVER (ORDER BY term) - 1 AS feature_id, term AS feature FROM voc")
+def vocabulary(spark, sf_dir):
+    return _bag(spark, sf_dir).features
+
+
+@query(f"WITH {_BOW}, n AS (SELECT count(*) n FROM documents), d AS (SELECT term, count(*) df FROM c GROUP BY 1) SELECT doc_id, term AS feature, round(value * (ln((1.0 + n.n) / (1 + df)) + 1), 4) score FROM c JOIN d USING (term), n")
+def tfidf(spark, sf_dir):
+    return _named(M.tfidf(_bag(spark, sf_dir))).select("doc_id", "feature", _r("value").alias("score"))
+
+
+@query(f"WITH {_BOW}, s AS (SELECT doc_id, sqrt(sum(value * value)) s FROM c GROUP BY 1) SELECT doc_id, term AS feature, round(value / s, 4) score FROM c JOIN s USING (doc_id)")
+def normalize_rows(spark, sf_dir):
+    return _named(M.normalize(_bag(spark, sf_dir))).select("doc_id", "feature", _r("value").alias("score"))
+
+
+@query(f"WITH {_BOW}, k AS (SELECT term FROM c GROUP BY 1 ORDER BY sum(value) DESC, term LIMIT 50) SELECT doc_id, term AS feature, value::BIGINT n FROM c JOIN k USING (term)")
+def trim_features(spark, sf_dir):
+    return _named(M.trim_features(_bag(spark, sf_dir), max_features=50)).select("doc_id", "feature", F.col("value").cast("bigint").alias("n"))
+
+
+@query(f"WITH {_BOW} SELECT doc_id, term AS feature, value::BIGINT n FROM c WHERE term LIKE 're%'")
+def feature_subset(spark, sf_dir):
+    return _named(M.feature_subset(_bag(spark, sf_dir), "feature LIKE 're%'")).select("doc_id", "feature", F.col("value").cast("bigint").alias("n"))
+
+
+@query(f"WITH {_BOW} SELECT doc_id, arg_min(term, (-value, term)) max_feature, max(value) max_value FROM c GROUP BY 1 UNION ALL SELECT doc_id, NULL, 0.0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c)")
+def arg_max(spark, sf_dir):
+    return M.arg_max(_bag(spark, sf_dir))
+
+
+@query(f"WITH {_BOW}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, term) k FROM c) SELECT doc_id, k::INTEGER AS rank, term AS feature, value AS score FROM t WHERE k <= 5")
+def top_features(spark, sf_dir):
+    return M.top_features(_bag(spark, sf_dir), 5).select("doc_id", "rank", "feature", "score")
+
+
+@query(f"WITH {_BOW}, n AS (SELECT count(*) n FROM voc) SELECT d.doc_id, count(term) nonzero, round(coalesce(sum(value), 0), 4) total, round(coalesce(sum(value), 0) / any_value(n.n), 6) mean, round(coalesce(sqrt(sum(value * value)), 0), 4) l2 FROM documents d LEFT JOIN c USING (doc_id), n GROUP BY 1")
+def row_summary(spark, sf_dir):
+    return M.row_summary(_bag(spark, sf_dir)).select("doc_id", "nonzero", _r("sum").alias("total"), _r("mean", 6).alias("mean"), _r("l2").alias("l2"))
+
+
+@query(f"WITH {_CELLS} SELECT f AS feature_id, round(sum(v), 3) total, round(min(v), 4) least, round(max(v), 4) most FROM c GROUP BY 1")
+def feature_summary(spark, sf_dir):
+    m = M.from_dense(_vectors(spark, sf_dir), ["vec_id"])
+    return M.feature_summary(m).select("feature_id", _r("sum", 3).alias("total"), _r("min").alias("least"), _r("max").alias("most"))
+
+
+@query(f"WITH {_BOW}, v AS (SELECT count(*) n FROM voc), d AS (SELECT count(*) n FROM documents) SELECT d.n AS \"rows\", v.n AS features, (SELECT count(*) FROM c) nonzero, d.n - (SELECT count(DISTINCT doc_id) FROM c) zero_rows, round((SELECT sqrt(sum(value * value)) FROM c), 3) frobenius FROM v, d")
+def matrix_summary(spark, sf_dir):
+    return M.matrix_summary(_bag(spark, sf_dir)).select("rows", "features", "nonzero", "zero_rows", _r("frobenius", 3).alias("frobenius"))
+
+
+@query(f"WITH {_CELLS} SELECT label, f AS feature_id, round(avg(v), 4) value FROM c GROUP BY 1, 2")
+def pool_by_label(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    m = M.from_dense(v, ["vec_id"])
+    pooled = M.pool_rows(M.Cells(v.select("vec_id", "label"), m.cells, m.features, m.pk), ["label"], "mean")
+    return pooled.cells.select("label", "feature_id", _r("value").alias("value"))
+
+
+@query(f"WITH {_CELLS}, r AS (SELECT *, dense_rank() OVER (ORDER BY vec_id) - 1 k FROM c) SELECT f AS column_id, k AS feature_id, round(v, 5) value FROM r WHERE v <> 0")
+def transpose(spark, sf_dir):
+    return M.transpose(M.from_dense(_vectors(spark, sf_dir), ["vec_id"])).cells.select("column_id", "feature_id", _r("value", 5).alias("value"))
+
+
+@query(f"WITH {_CELLS}, s AS (SELECT f, sqrt(sum(v * v) / count(DISTINCT vec_id)) s FROM c GROUP BY 1) SELECT vec_id, c.f AS feature_id, round(v / sqrt(s), 4) value FROM c JOIN s USING (f) WHERE v <> 0")
+def scale_features(spark, sf_dir):
+    return M.scale_features(M.from_dense(_vectors(spark, sf_dir), ["vec_id"]), gamma=0.5).cells.select("vec_id", "feature_id", _r("value").alias("value"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), q AS (SELECT v FROM e WHERE vec_id = (SELECT min(vec_id) FROM e))
+SELECT e.vec_id, round(1 - list_cosine_similarity(e.v, q.v), 5) AS distance FROM e, q WHERE e.vec_id <> (SELECT min(vec_id) FROM e) ORDER BY 1 - list_cosine_similarity(e.v, q.v), vec_id LIMIT 10"""
+)
+def nearest(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    first = v.agg(F.min("vec_id")).first()[0]
+    return M.nearest_neighbors(v, ["vec_id"], {"vec_id": first}, 10).select("vec_id", _r("distance", 5).alias("distance"))
+
+
+@query("""WITH s AS (SELECT avg(p_size) m, stddev_pop(p_size) d, min(p_retailprice) a, max(p_retailprice) b FROM part)
+SELECT p_partkey, round((p_size - m) / d, 4) size_z, round((p_retailprice - a) / (b - a), 4) price_01, (p_size >= 10 AND p_size < 20)::INTEGER mid FROM part, s""")
+def feature_matrix(spark, sf_dir):
+    m, _ = M.feature_matrix(_table(spark, sf_dir, "part"), ["p_partkey"], {"p_size": {"encoding": "zscore"}, "p_retailprice": {"encoding": "minmax"}})
+    bins, _ = M.feature_matrix(_table(spark, sf_dir, "part"), ["p_partkey"], {"p_size": {"encoding": "bins", "edges": [0, 10, 20, 100]}})
+    f = F.col("features")
+    return m.select("p_partkey", _r(f[0]).alias("size_z"), _r(f[1]).alias("price_01")).join(bins.select("p_partkey", f[1].cast("int").alias("mid")), "p_partkey")
+
+
+@query("SELECT doc_id, coalesce(n, 0) > 0 AS known FROM documents LEFT JOIN (SELECT n_name, 1 n FROM nation) ON n_name = source")
+def embedding_lookup(spark, sf_dir):
+    table = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("feature"), F.array(F.lit(1.0), F.lit(2.0)).alias("features"))
+    return M.embedding_lookup(_table(spark, sf_dir, "documents"), ["doc_id"], "source", table).select("doc_id", (F.col("features")[0] > 0).alias("known"))
+
+
+# -- dictionaries ------------------------------------------------------------------------------------------------------
+
+_ENTRIES = [("council*", "rule", "positive", 1.0), ("court*", "rule", "negative", -1.0), ("harbor", "place", "positive", 2.0), ("m?yor", "rule", "neutral", 0.0), ("storm", "event", "negative", -2.0)]
+_MEMBERS = r"""mem AS (SELECT term, 'rule' category, 'positive' pole, 1.0::DOUBLE score FROM voc WHERE term LIKE 'council%' UNION ALL SELECT term, 'rule', 'negative', -1.0 FROM voc WHERE term LIKE 'court%'
+UNION ALL SELECT term, 'place', 'positive', 2.0 FROM voc WHERE term = 'harbor' UNION ALL SELECT term, 'rule', 'neutral', 0.0 FROM voc WHERE term LIKE 'm_yor' UNION ALL SELECT term, 'event', 'negative', -2.0 FROM voc WHERE term = 'storm')"""
+
+
+def _members(spark, m: M.Cells) -> DataFrame:
+    return L.match_features(m.features, spark.createDataFrame(_ENTRIES, "entry string, category string, pole string, score double"))
+
+
+@query(f"WITH {_BOW}, {_MEMBERS} SELECT doc_id, category, sum(value) n FROM c JOIN (SELECT DISTINCT term, category FROM mem) USING (term) GROUP BY 1, 2")
+def dictionary_counts(spark, sf_dir):
+    m = _bag(spark, sf_dir)
+    return L.dictionary_counts(m, _members(spark, m))
+
+
+@query(f"WITH {_BOW}, {_MEMBERS} SELECT d.doc_id, coalesce(sum(value) FILTER (term IN (SELECT term FROM mem)), 0.0) matched, coalesce(sum(value), 0.0) total FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1")
+def dictionary_totals(spark, sf_dir):
+    m = _bag(spark, sf_dir)
+    return L.dictionary_totals(m, _members(spark, m)).select("doc_id", "matched", "total")
+
+
+@query(f"""WITH {_BOW}, {_MEMBERS}, p AS (SELECT d.doc_id, coalesce(sum(value) FILTER (pole = 'positive'), 0.0) positive, coalesce(sum(value) FILTER (pole = 'negative'), 0.0) negative FROM documents d LEFT JOIN (SELECT c.*, pole FROM c JOIN (SELECT DISTINCT term, pole FROM mem) USING (term)) x USING (doc_id) GROUP BY 1)
+SELECT doc_id, positive, negative, round(ln((positive + 0.5) / (negative + 0.5)), 5) score FROM p""")
+def polarity(spark, sf_dir):
+    m = _bag(spark, sf_dir)
+    return L.polarity(m, _members(spark, m), "log_ratio").select("doc_id", "positive", "negative", _r("score", 5).alias("score"))
+
+
+@query(f"""WITH {_BOW}, {_MEMBERS}, x AS (SELECT doc_id, score, value, unnest(range(value::BIGINT)) FROM c JOIN (SELECT DISTINCT term, score FROM mem) USING (term))
+SELECT doc_id, sum(score) weighted_sum, round(avg(score), 5) mean_matched, round(stddev_pop(score), 5) std, round(quantile_cont(score, 0.25), 5) q25, round(quantile_cont(score, 0.5), 5) median FROM x GROUP BY 1""")
+def valence(spark, sf_dir):
+    m = _bag(spark, sf_dir)
+    out = L.valence(m, _members(spark, m)).where("matched > 0")
+    return out.select("doc_id", "weighted_sum", _r("mean_matched", 5).alias("mean_matched"), _r("std", 5).alias("std"), _r("q25", 5).alias("q25"), _r("median", 5).alias("median"))
+
+
+# -- estimation --------------------------------------------------------------------------------------------------------
+
+_AUDIT = "g AS (SELECT doc_id, (quality >= 4)::INTEGER y, CASE WHEN doc_id % 2 = 0 THEN 0.25 ELSE 0.5 END pi FROM labels WHERE quality IS NOT NULL), s AS (SELECT doc_id, record_type, (coalesce(n_chars, 0) > 800)::INTEGER q FROM documents)"
+
+
+def _audit(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    gold = _table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", (F.col("quality") >= 4).cast("int").alias("y"), F.when(F.col("doc_id") % 2 == 0, 0.25).otherwise(0.5).alias("pi"))
+    frame = _table(spark, sf_dir, "documents").select("doc_id", "record_type", (F.coalesce("n_chars", F.lit(0)) > 800).cast("int").alias("q"))
+    return gold, frame
+
+
+@query(f"WITH {_AUDIT} SELECT count(*) n, round(sum(y / pi), 4) total FROM g")
+def horvitz_thompson(spark, sf_dir):
+    gold, _ = _audit(spark, sf_dir)
+    return E.horvitz_thompson(gold, "y", "pi", 1000).select("n", _r("total").alias("total"))
+
+
+@query(f"WITH {_AUDIT}, c AS (SELECT sum((y - q) / pi) c, count(*) n FROM g JOIN s USING (doc_id)) SELECT (SELECT count(*) FROM s) population, c.n AS audit, round((SELECT sum(q) FROM s) + c.c, 4) total FROM c")
+def generalized_difference(spark, sf_dir):
+    gold, frame = _audit(spark, sf_dir)
+    return E.generalized_difference(frame, gold, ["doc_id"]).select("population", "audit", _r("total").alias("total"))
+
+
+@query(f"WITH {_AUDIT} SELECT record_type, count(*) n, count(y) audit, round(sum(q) + coalesce(sum((y - q) / pi), 0), 4) total FROM s LEFT JOIN g USING (doc_id) GROUP BY 1")
+def generalized_difference_by(spark, sf_dir):
+    gold, frame = _audit(spark, sf_dir)
+    return E.generalized_difference_by(frame, gold, ["doc_id"], "record_type").select("record_type", "n", "audit", _r("total").alias("total"))
+
+
+@query(f"""WITH {_AUDIT}, b AS (SELECT y, q, pi FROM g JOIN s USING (doc_id)), x AS (SELECT 'raw' weights, y, q, 1.0 w FROM b UNION ALL SELECT 'weighted', y, q, 1 / pi FROM b),
+k AS (SELECT weights, coalesce(sum(w) FILTER (y = 1 AND q = 1), 0.0) tp, coalesce(sum(w) FILTER (y = 0 AND q = 1), 0.0) fp, coalesce(sum(w) FILTER (y = 1 AND q = 0), 0.0) fn, coalesce(sum(w) FILTER (y = 0 AND q = 0), 0.0) tn FROM x GROUP BY 1)
+SELECT weights, tp::DOUBLE tp, fp::DOUBLE fp, fn::DOUBLE fn, tn::DOUBLE tn, round((tp + tn) / (tp + fp + fn + tn), 5)::DOUBLE accuracy, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 5)::DOUBLE f1 FROM k""")
+def classification(spark, sf_dir):
+    gold, frame = _audit(spark, sf_dir)
+    return E.classification(gold, frame, ["doc_id"], pi="pi").select("weights", "tp", "fp", "fn", "tn", _r("accuracy", 5).alias("accuracy"), _r("f1", 5).alias("f1"))
+
+
+@query("SELECT quantile_disc(o_totalprice, 0.9) q90 FROM orders")
+def left_quantile(spark, sf_dir):
+    return spark.createDataFrame([(E.left_weighted_quantile(_table(spark, sf_dir, "orders"), "o_totalprice", 0.9),)], "q90 double")
+
+
+# -- models ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) n_rows FROM embeddings")
+def kmeans(spark, sf_dir):
+    return ML.kmeans(_vectors(spark, sf_dir), ["vec_id"], 8)[0].agg(F.count("cluster").alias("n_rows"))
+
+
+@query("SELECT count(*) n_rows FROM embeddings")
+def spherical_kmeans(spark, sf_dir):
+    return ML.kmeans(_vectors(spark, sf_dir), ["vec_id"], 8, spherical=True)[0].agg(F.count("cluster").alias("n_rows"))
+
+
+@query()
+def svd_spectrum(spark, sf_dir):
+    return ML.svd_spectrum(_vectors(spark, sf_dir), 5)
+
+
+@query()
+def svd_rows(spark, sf_dir):
+    return ML.truncated_svd(_vectors(spark, sf_dir), ["vec_id"], 4)[0]
+
+
+# -- hierarchies -------------------------------------------------------------------------------------------------------
 
 
 def _forest(spark: SparkSession, sf_dir: str) -> Hierarchy:
     return Hierarchy(first_parents(_table(spark, sf_dir, "artifact_basis"), "artifact_id", "basis_artifact_id", "ordinal"))
 
 
+@query(
+    """WITH RECURSIVE b AS (SELECT lower(trim(artifact_id)) a, lower(trim(basis_artifact_id)) p, ordinal o FROM artifact_basis WHERE basis_artifact_id IS NOT NULL),
+e AS (SELECT a, arg_min(p, (o, p)) p FROM b GROUP BY 1),
+w AS (SELECT a, p x, [a, p] path, 1 d, (a = p) cyc FROM e
+UNION ALL SELECT w.a, e.p, list_append(w.path, e.p), d + 1, list_contains(w.path, e.p) FROM w JOIN e ON e.a = w.x WHERE NOT w.cyc),
+t AS (SELECT a, x, path, d, cyc FROM w ANTI JOIN e ON e.a = w.x AND NOT w.cyc)
+SELECT a AS artifact_id, CASE WHEN cyc THEN list_min(path[list_position(path, x):len(path) - 1]) ELSE x END AS root_artifact_id, CAST(CASE WHEN cyc THEN -1 ELSE d END AS BIGINT) AS depth FROM t"""
+)
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_parent = _forest(spark, sf_dir).nodes.where("parent IS NOT NULL")
     return with_parent.select(F.col("id").alias("artifact_id"), F.col("root").alias("root_artifact_id"), "depth")
 
 
+@query()
 def p7_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every artifact's path, depth, root, subtree size and preorder range; cycles are marked."""
     forest = _forest(spark, sf_dir)
     return forest.nodes.join(forest.paths(), "id", "left")
 
 
+@query(
+    """WITH RECURSIVE b AS (SELECT lower(trim(artifact_id)) a, lower(trim(basis_artifact_id)) p, ordinal o FROM artifact_basis WHERE basis_artifact_id IS NOT NULL),
+e AS (SELECT a, arg_min(p, (o, p)) p FROM b GROUP BY 1), w AS (SELECT a, p x, 1 d, [a, p] path, a = p bad FROM e UNION ALL SELECT w.a, e.p, d + 1, list_append(path, e.p), list_contains(path, e.p) FROM w JOIN e ON e.a = w.x WHERE NOT bad),
+lost AS (SELECT DISTINCT a FROM w WHERE bad) SELECT x AS ancestor, a AS id, d::BIGINT AS distance FROM w WHERE a NOT IN (SELECT a FROM lost)"""
+)
 def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forest(spark, sf_dir).descendants()
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_found, p7_nodes, p7_descendants)}
-SQL: dict[str, str] = {
-    "p7_found": """WITH RECURSIVE b AS (SELECT lower(trim(artifact_id)) a, lower(trim(basis_artifact_id)) p, ordinal o FROM artifact_basis WHERE basis_artifact_id IS NOT NULL),
-e AS (SELECT a, arg_min(p, (o, p)) p FROM b GROUP BY 1),
-w AS (SELECT a, p x, [a, p] path, 1 d, (a = p) cyc FROM e
-UNION ALL SELECT w.a, e.p, list_append(w.path, e.p), d + 1, list_contains(w.path, e.p) FROM w JOIN e ON e.a = w.x WHERE NOT w.cyc),
-t AS (SELECT a, x, path, d, cyc FROM w ANTI JOIN e ON e.a = w.x AND NOT w.cyc)
-SELECT a AS artifact_id, CASE WHEN cyc THEN list_min(path[list_position(path, x):len(path) - 1]) ELSE x END AS root_artifact_id, CAST(CASE WHEN cyc THEN -1 ELSE d END AS BIGINT) AS depth FROM t""",
-}

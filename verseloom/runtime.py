@@ -78,7 +78,7 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterable[dict]], schema: str) -
 
 def pretty_size(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes of ``df``; scans of written tables give true sizes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], columns: Sequence[str], latest: str | None = None) -> DataFrame:
