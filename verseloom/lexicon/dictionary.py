@@ -79,17 +79,17 @@ def valence(m: Cells, scores: DataFrame) -> DataFrame:
     if scores.groupBy("feature_id").agg(F.count_distinct("score").alias("k")).where("k > 1").limit(1).count():
         raise ValueError("a feature has two scores")
     hit = m.cells.join(sized(scores.select("feature_id", "score").distinct()), "feature_id")
-    per = hit.groupBy(*m.pk, "score").agg(F.sum("value").alias("c"))
+    per = hit.groupBy(*m.pk, "score").agg(F.sum("value").alias("__c"))
     w = Window.partitionBy(*m.pk).orderBy("score")
-    cum = per.withColumn("hi", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*m.pk)))
+    cum = per.withColumn("__hi", F.sum("__c").over(w)).withColumn("__n", F.sum("__c").over(Window.partitionBy(*m.pk)))
 
     def quantile(q: float) -> Column:
-        h = (F.col("n") - 1) * q
-        at = lambda k: F.min(F.when(F.col("hi") > k, F.col("score")))
-        a, b = at(F.floor(h)), at(F.least(F.floor(h) + 1, F.col("n") - 1))
+        h = (F.col("__n") - 1) * q
+        at = lambda k: F.min(F.when(F.col("__hi") > k, F.col("score")))
+        a, b = at(F.floor(h)), at(F.least(F.floor(h) + 1, F.col("__n") - 1))
         return a + (b - a) * F.max(h - F.floor(h))
 
-    s, c = F.col("score"), F.col("c")
+    s, c = F.col("score"), F.col("__c")
     mean = F.sum(s * c) / F.sum(c)
     out = cum.groupBy(*m.pk).agg(
         F.sum(s * c).alias("weighted_sum"), F.sum(c).alias("matched"), mean.alias("mean_matched"), F.sqrt(F.greatest(F.sum(s * s * c) / F.sum(c) - mean * mean, F.lit(0.0))).alias("std"),

@@ -190,13 +190,13 @@ def arg_max(m: Cells) -> DataFrame:
     n = m.features.count()
     ranked = with_position(m.features, ["feature", "feature_id"], "__name")
     named = m.cells.join(sized(ranked.select("feature_id", "feature", "__name")), "feature_id")
-    best = named.groupBy(*m.pk).agg(F.max("value").alias("v"), F.min_by("feature", F.struct(-F.col("value"), F.col("feature"))).alias("f"), F.count("*").alias("k"), F.collect_set("__name").alias("held"))
+    best = named.groupBy(*m.pk).agg(F.max("value").alias("__v"), F.min_by("feature", F.struct(-F.col("value"), F.col("feature"))).alias("__f"), F.count("*").alias("__k"), F.collect_set("__name").alias("__held"))
     out = m.rows.select(*m.pk).join(best, m.key, "left")
     # where every stored value is negative, the first name that the row doesn't hold wins with 0
-    zero = (F.col("v") < 0) & (F.col("k") < n)
-    free = F.filter(F.sequence(F.lit(0), F.size("held")), lambda r: ~F.array_contains("held", r.cast("bigint")))
-    out = out.withColumn("__name", F.when(zero, F.element_at(free, 1).cast("bigint"))).join(sized(ranked.select("__name", F.col("feature").alias("zf"))), "__name", "left")
-    return out.select(*m.pk, F.when(zero, F.col("zf")).otherwise(F.col("f")).alias("max_feature"), F.when(F.col("v").isNull() | zero, 0.0).otherwise(F.col("v")).alias("max_value"))
+    zero = (F.col("__v") < 0) & (F.col("__k") < n)
+    free = F.filter(F.sequence(F.lit(0), F.size("__held")), lambda r: ~F.array_contains("__held", r.cast("bigint")))
+    out = out.withColumn("__name", F.when(zero, F.element_at(free, 1).cast("bigint"))).join(sized(ranked.select("__name", F.col("feature").alias("__zf"))), "__name", "left")
+    return out.select(*m.pk, F.when(zero, F.col("__zf")).otherwise(F.col("__f")).alias("max_feature"), F.when(F.col("__v").isNull() | zero, 0.0).otherwise(F.col("__v")).alias("max_value"))
 
 
 def _stats(n: Column, cells: str = "__k") -> list[Column]:

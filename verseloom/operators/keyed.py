@@ -162,6 +162,8 @@ class Keyed:
         visible = [c for c, g in groups.items() if g != "key" and (g != "metadata" or metadata_mode == "full" or (metadata_mode == "local" and c in self.metadata))]
         added = [c for _, cs in with_tables for c in cs]
         chosen = [*[c for c in visible], *added] if columns is None else list(columns)
+        if unknown := [c for c in chosen if c not in groups and c not in added]:
+            raise ValueError(f"unknown columns: {unknown}; there are {sorted(groups)}")
         hidden = [c for c in chosen if c in groups and groups[c] == "metadata" and c not in visible]
         if hidden:
             raise ValueError(f"metadata columns {hidden} asked for with metadata_mode={metadata_mode!r}")
