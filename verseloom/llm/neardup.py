@@ -275,6 +275,8 @@ class NearDuplicates:
         signed = signed.withColumnRenamed("id", "rep")
         pairs = materialize(_candidates(signed.select("rep", "sig", "bands").join(reps, "rep", "left_semi"), error_budget(threshold)), "candidates")
         self.links = materialize(self._verified(pairs, signed.select("rep", "key", "size")), "links")
+        drop_materialized(pairs)  # members and links are all that is read from here on
+        drop_materialized(signed)
 
     def _verified(self, pairs: DataFrame, keys: DataFrame) -> DataFrame:
         threshold = self.threshold
