@@ -25,14 +25,14 @@ from verseloom.runtime import map_batches
 #: The lexicon, by kind.
 LEXICON = {
     "insult": "idiot moron imbecile jackass scumbag bastard shithead asshole arsehole cretin halfwit loser wretch dimwit fool pig swine twat wanker prick "
-    "dickhead dumbass retard trash garbage scum filth "
+    "dickhead dumbass retard trash garbage scum filth crap "
     "vollidiot versager arschloch dreckskerl mistkerl wichser schwachkopf trottel fresse "
-    "connard ordure salaud abruti gueule enculé crétin "
-    "imbécil basura idiota cabrón gilipollas pendejo estúpido "
-    "идиот урод мразь тупой свинья дурак ублюдок сволочь дебил заткнись",
-    "sexual": "slut whore bitch cunt fuck fucking fucked cock dick pussy tits porn xxx horny orgasm orgasms blowjob cum hardcore nude naked anal oral escort jerking sex breasts",
-    "hate": "vermin subhuman subhumans parasites cockroaches rats ungeziefer ratas vermine untermenschen rotten filthy disgusting pathetic worthless brainless ugly dreckiger elender грязная",
-    "threat": "kill shoot bullet knife beaten bleed choke smash strangle stab murder slaughter wiped verpiss",
+    "connard ordure salaud abruti gueule enculé crétin ferme espèce "
+    "imbécil basura idiota cabrón gilipollas pendejo estúpido cállate pedazo "
+    "идиот урод мразь тупой свинья дурак ублюдок сволочь дебил заткнись тварь скотина",
+    "sexual": "slut whore bitch cunt fuck fucking fucked cock dick pussy tits porn xxx horny orgasm orgasms blowjob cum hardcore nude naked anal oral escort jerking sex breasts moaned licked stroked suck wet lovers uncensored amateur erotic lust",
+    "hate": "vermin subhuman subhumans parasites cockroaches rats ungeziefer ratas vermine untermenschen rotten filthy disgusting pathetic worthless brainless ugly dreckiger elender грязная breed cages exterminate deported animals disease infest stinking chasse vertrieben echarlos",
+    "threat": "kill shoot bullet knife beaten bleed choke smash strangle stab murder slaughter wiped verpiss beg bleeding throat teeth hang hunt burn drown",
 }
 #: Words that mark a report, a quotation for study, or a clinical, legal, art or technical use.
 CONTEXT = (
@@ -46,7 +46,7 @@ LEET = str.maketrans("013457@$!|", "oieastasil")
 SAMPLE = 10_000
 #: Words in a context window, and the step from one window to the next in a longer sentence.
 WINDOW, STEP = 24, 8
-SEED_WEIGHT, CONTEXT_WEIGHT = 1.5, -1.0
+SEED_WEIGHT, CONTEXT_WEIGHT = 3.0, -2.0
 #: A label of abuse whose best window stays under this log odds after two rounds is taken for an error.
 DOUBT = -0.5
 
@@ -215,7 +215,7 @@ class AbuseModel:
         return float(1 / (1 + np.exp(-best))), hits
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 0.15, steps: int = 200) -> tuple[np.ndarray, float]:
+def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 0.5, steps: int = 200) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse 0/1 features, with weights drawn to ``prior``; plain accelerated gradient steps."""
     n, d = len(y), len(prior)
     w, b = prior.copy(), -2.0
@@ -257,7 +257,7 @@ def fit_abuse_model(labelled: list[tuple[str | None, int]], rounds: int = 4) ->
         start[t] = min(start.get(t, 0.0), CONTEXT_WEIGHT)
     model = AbuseModel(reader, start, -3.0)
     if not any(y for _, y in read) or all(y for _, y in read):
-        return AbuseModel(reader, {**{t: 2.0 for t in seeds}, **{t: -2.0 for t in CONTEXT}}, -3.0)
+        return AbuseModel(reader, {**seeds, **dict.fromkeys(CONTEXT, CONTEXT_WEIGHT)}, -4.0)
     for turn in range(rounds):
         chosen, ys = [], []
         for ws, y in read:
@@ -292,7 +292,7 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, labels: DataFra
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: r[0])]
 
 
-def score_abuse(docs: DataFrame, id_col: str, text_col: str, model: AbuseModel, threshold: float = 0.5) -> DataFrame:
+def score_abuse(docs: DataFrame, id_col: str, text_col: str, model: AbuseModel, threshold: float = 0.4) -> DataFrame:
     """Every document's id, ``score`` (0 to 1), ``hits`` (lexicon terms it holds, disguised ones too) and ``flagged``.
 
     Whole texts, one row for each row of ``docs``, no shuffle. Null and empty texts score as having no windows, near 0; a
