@@ -492,6 +492,52 @@ def valence(spark, sf_dir):
     return out.select("doc_id", "weighted_sum", _r("mean_matched", 5).alias("mean_matched"), _r("std", 5).alias("std"), _r("q25", 5).alias("q25"), _r("median", 5).alias("median"))
 
 
+@query(f"WITH {_BOW}, {_MEMBERS} SELECT doc_id, term AS feature, category, pole, value::BIGINT n FROM c JOIN mem USING (term)")
+def dictionary_matches(spark, sf_dir):
+    m = _bag(spark, sf_dir)
+    return L.dictionary_matches(m, _members(spark, m)).select("doc_id", "feature", "category", "pole", F.col("value").cast("bigint").alias("n"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_type a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) b FROM events),
+g AS (SELECT user_id, a || '>' || b AS feature FROM e WHERE b IS NOT NULL) SELECT user_id, feature, count(*) n FROM g GROUP BY 1, 2"""
+)
+def item_ngrams(spark, sf_dir):
+    """Pairs of consecutive events of a user, counted as features."""
+    m = M.count_items(_table(spark, sf_dir, "events"), "event_type", ["user_id"], order_by=["ts", "event_id"], ngram_range=(2, 2), separator=">")
+    return _named(m).select("user_id", "feature", F.col("value").cast("bigint").alias("n"))
+
+
+@query("SELECT d.doc_id FROM documents d ANTI JOIN labels l USING (doc_id)")
+def keys_without_partner(spark, sf_dir):
+    """Set difference by keys, through SQL over keyed data sets."""
+    tables = {"a_": _documents(spark, sf_dir, ("lang",)), "b_": Keyed.of(_table(spark, sf_dir, "labels"), ["doc_id"], position=False)}
+    return sql_over(spark, tables, "SELECT doc_id FROM a_ LEFT ANTI JOIN b_ USING (doc_id)")
+
+
+@query("SELECT count(*) n_rows FROM embeddings")
+def gaussian_mixture(spark, sf_dir):
+    return ML.gaussian_mixture(_vectors(spark, sf_dir).select("vec_id", F.slice("features", 1, 4).alias("features")), ["vec_id"], 3)[0].agg(F.count("cluster").alias("n_rows"))
+
+
+@query("SELECT count(*) n_rows FROM documents")
+def lda(spark, sf_dir):
+    """Topic shares of every document; documents without a counted word too."""
+    m = M.trim_features(_bag(spark, sf_dir), max_features=100)
+    return ML.lda(m.wide(), ["doc_id"], 4, max_iter=5)[0].agg(F.count("features").alias("n_rows"))
+
+
+@query("SELECT count(*) n_rows FROM embeddings")
+def dbscan(spark, sf_dir):
+    return ML.dbscan(_vectors(spark, sf_dir).select("vec_id", F.slice("features", 1, 2).alias("features")), ["vec_id"], 0.05).agg(F.count("cluster").alias("n_rows"))
+
+
+@query()
+def word2vec(spark, sf_dir):
+    words = _table(spark, sf_dir, "documents").select(X.tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    return ML.word2vec(words, "words", size=16, min_count=20)
+
+
 # -- estimation --------------------------------------------------------------------------------------------------------
 
 _AUDIT = "g AS (SELECT doc_id, (quality >= 4)::INTEGER y, CASE WHEN doc_id % 2 = 0 THEN 0.25 ELSE 0.5 END pi FROM labels WHERE quality IS NOT NULL), s AS (SELECT doc_id, record_type, (coalesce(n_chars, 0) > 800)::INTEGER q FROM documents)"
