@@ -515,9 +515,15 @@ def keys_without_partner(spark, sf_dir):
     return sql_over(spark, tables, "SELECT doc_id FROM a_ LEFT ANTI JOIN b_ USING (doc_id)")
 
 
+@query()
+def gaussian_mixture_clusters(spark, sf_dir):
+    """Cluster and probabilities of every whole vector."""
+    return ML.gaussian_mixture(_vectors(spark, sf_dir), ["vec_id"], 3)[0]
+
+
 @query("SELECT count(*) n_rows FROM embeddings")
 def gaussian_mixture(spark, sf_dir):
-    return ML.gaussian_mixture(_vectors(spark, sf_dir).select("vec_id", F.slice("features", 1, 4).alias("features")), ["vec_id"], 3)[0].agg(F.count("cluster").alias("n_rows"))
+    return gaussian_mixture_clusters(spark, sf_dir).agg(F.count("cluster").alias("n_rows"))
 
 
 @query("SELECT count(*) n_rows FROM documents")
@@ -527,9 +533,15 @@ def lda(spark, sf_dir):
     return ML.lda(m.wide(), ["doc_id"], 4, max_iter=5)[0].agg(F.count("features").alias("n_rows"))
 
 
+@query()
+def dbscan_clusters(spark, sf_dir):
+    """Cluster of every whole vector."""
+    return ML.dbscan(_vectors(spark, sf_dir), ["vec_id"], 0.05)
+
+
 @query("SELECT count(*) n_rows FROM embeddings")
 def dbscan(spark, sf_dir):
-    return ML.dbscan(_vectors(spark, sf_dir).select("vec_id", F.slice("features", 1, 2).alias("features")), ["vec_id"], 0.05).agg(F.count("cluster").alias("n_rows"))
+    return dbscan_clusters(spark, sf_dir).agg(F.count("cluster").alias("n_rows"))
 
 
 @query()
