@@ -10,9 +10,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verseloom.matrix.cells import Cells
 from verseloom.runtime import materialize
 
 MOST_ROWS = 20_000
@@ -89,15 +91,31 @@ def svd_spectrum(df: DataFrame, k: int, array: str = "features") -> DataFrame:
     return df.sparkSession.createDataFrame([(i, float(s), float(min(1.0, s * s / total)) if total else 0.0) for i, s in enumerate(sigma)], "component int, sigma double, energy double")
 
 
-def lda(df: DataFrame, pk: Sequence[str], k: int, seed: int = 0, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Document-topic shares and topic-term weights of whole counts."""
+def lda(m: Cells, k: int, seed: int = 0, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Topic shares of every row of a matrix of whole counts, and ``topic``, ``feature_id``, ``feature``, ``weight`` for
+    every feature of every topic, a topic's weights summing to 1. Rows are sparse vectors over the whole vocabulary, and
+    each of the ``max_iter`` updates sees all of them; a row without a counted feature has equal shares."""
     from pyspark.ml.clustering import LDA
 
-    if df.where(F.exists("features", lambda x: (x < 0) | (x != F.floor(x)))).limit(1).count():
+    if m.cells.where((F.col("value") < 0) | (F.col("value") != F.floor("value"))).limit(1).count():
         raise ValueError("LDA needs whole counts")
-    v = _vectors(df)
-    model = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="__v", topicDistributionCol="__t").fit(v)
-    return model.transform(v).select(*pk, vector_to_array("__t").alias("features")), model.describeTopics(20)
+    ids = m.features.agg(F.min("feature_id").alias("a"), F.max("feature_id").alias("b"), F.count("*").alias("n")).first()
+    if not ids.n or (ids.a, ids.b) != (0, ids.n - 1):
+        raise ValueError("LDA needs features numbered from 0 without gaps")
+    width = ids.n
+    packed = m.cells.groupBy(*m.pk).agg(F.array_sort(F.collect_list(F.struct(F.col("feature_id").cast("int").alias("i"), F.col("value").cast("double").alias("x")))).alias("c"))
+    sparse = F.udf(lambda c: Vectors.sparse(width, [e.i for e in c or ()], [e.x for e in c or ()]), VectorUDT())
+    v = materialize(m.rows.select(*m.pk).join(packed, m.key, "left").select(*m.pk, sparse("c").alias("__v")), "lda")
+    model = LDA(k=k, seed=seed, maxIter=max_iter, subsamplingRate=1.0, featuresCol="__v", topicDistributionCol="__t").fit(v)
+    shares = F.when(F.col("total") > 0, F.transform("t", lambda x: x / F.col("total"))).otherwise(F.array_repeat(F.lit(1.0 / k), k))
+    given = model.transform(v).select(*m.pk, vector_to_array("__t").alias("t")).withColumn("total", F.aggregate("t", F.lit(0.0), lambda a, x: a + x))
+    weights = model.topicsMatrix().toArray()
+    weights = weights / weights.sum(axis=0)
+    spark = m.rows.sparkSession
+    import pandas as pd
+
+    long = spark.createDataFrame(pd.DataFrame({"topic": np.tile(np.arange(k), width), "feature_id": np.repeat(np.arange(width), k), "weight": weights.ravel()}), "topic int, feature_id bigint, weight double")
+    return given.select(*m.pk, shares.alias("features")), long.join(m.features, "feature_id").select("topic", "feature_id", "feature", "weight")
 
 
 def word2vec(df: DataFrame, words: str, size: int = 50, min_count: int = 5, seed: int = 0) -> DataFrame:

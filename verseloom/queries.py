@@ -526,11 +526,26 @@ def gaussian_mixture(spark, sf_dir):
     return gaussian_mixture_clusters(spark, sf_dir).agg(F.count("cluster").alias("n_rows"))
 
 
+def _all_words(spark: SparkSession, sf_dir: str) -> M.Cells:
+    """Counts of every word, those of a single document too."""
+    return M.count_vectorize(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text")
+
+
+@query()
+def lda_topics(spark, sf_dir):
+    """Topic shares of every document; documents without a counted word too."""
+    return ML.lda(_all_words(spark, sf_dir), 4)[0]
+
+
+@query()
+def lda_terms(spark, sf_dir):
+    """Weight of every term in every topic."""
+    return ML.lda(_all_words(spark, sf_dir), 4)[1]
+
+
 @query("SELECT count(*) n_rows FROM documents")
 def lda(spark, sf_dir):
-    """Topic shares of every document; documents without a counted word too."""
-    m = M.trim_features(_bag(spark, sf_dir), max_features=100)
-    return ML.lda(m.wide(), ["doc_id"], 4, max_iter=5)[0].agg(F.count("features").alias("n_rows"))
+    return lda_topics(spark, sf_dir).agg(F.count("features").alias("n_rows"))
 
 
 @query()
