@@ -41,13 +41,56 @@ def kmeans(df: DataFrame, pk: Sequence[str], k: int, seed: int = 0, spherical: b
     return out.withColumn("features", _spread("features", "cluster", k)), model
 
 
-def minibatch_kmeans(df: DataFrame, pk: Sequence[str], k: int, fraction: float = 0.2, seed: int = 0) -> tuple[DataFrame, object]:
-    """k-means fitted to a seeded share of the rows, applied to all."""
+def minibatch_kmeans(df: DataFrame, pk: Sequence[str], k: int, fraction: float = 0.2, seed: int = 0, passes: int = 3) -> tuple[DataFrame, np.ndarray]:
+    """``cluster`` of every row, and the centres. The rows are split by key hash into batches of about ``fraction`` of
+    the table; each batch in turn moves the centres towards the means of its rows, with a weight that falls as a centre's
+    rows grow, and every pass goes over all batches, so over all rows. The first centres are those of k-means|| over all
+    rows, which reaches far small clusters too."""
     from pyspark.ml.clustering import KMeans
 
-    v = _vectors(df)
-    model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(v.sample(fraction, seed=seed))
-    return model.transform(v).select(*pk, "cluster"), model
+    if not 0 < fraction <= 1 or passes < 1:
+        raise ValueError("fraction must be above 0 and at most 1, passes 1 at least")
+    batches = max(1, round(1 / fraction))
+    v = materialize(_vectors(df).withColumn("__batch", F.pmod(F.xxhash64(F.lit(seed), *pk), F.lit(batches))), "minibatch")
+    first = KMeans(k=k, seed=seed, maxIter=1, featuresCol="__v", predictionCol="cluster").fit(v)
+    centres = np.array(first.clusterCenters())
+    seen = np.zeros(len(centres))
+
+    def assign(frames, centres):
+        import pandas as pd
+
+        for f in frames:
+            x = np.array(f["features"].tolist(), float).reshape(len(f), -1)
+            near = ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1) if len(f) else np.zeros(0, int)
+            yield f, x, near, pd
+
+    for _ in range(passes):
+        for b in range(batches):
+
+            def sums(frames, centres=centres):
+                n, total = np.zeros(len(centres)), np.zeros_like(centres)
+                for _, x, near, pd in assign(frames, centres):
+                    np.add.at(n, near, 1)
+                    np.add.at(total, near, x)
+                if n.any():
+                    yield pd.DataFrame({"c": np.flatnonzero(n), "n": n[n > 0], "total": list(total[n > 0])})
+
+            parts = v.where(F.col("__batch") == b).select(F.col("features").cast("array<double>").alias("features")).mapInPandas(sums, "c int, n double, total array<double>").collect()
+            centres = centres.copy()
+            n, total = np.zeros(len(centres)), np.zeros_like(centres)
+            for r in parts:
+                n[r.c] += r.n
+                total[r.c] += r.total
+            seen += n
+            on = n > 0
+            centres[on] += (total[on] - n[on, None] * centres[on]) / seen[on, None]
+
+    def label(frames):
+        for f, _, near, _ in assign(frames, centres):
+            yield f.drop(columns="features").assign(cluster=near)
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in pk)
+    return v.select(*pk, F.col("features").cast("array<double>").alias("features")).mapInPandas(label, f"{kinds}, cluster int"), centres
 
 
 def gaussian_mixture(df: DataFrame, pk: Sequence[str], k: int, seed: int = 0) -> tuple[DataFrame, object]:
