@@ -38,6 +38,12 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(_articles(spark, sf_dir, "text"), "article_id", "text", _table(spark, sf_dir, "split_limits"))
 
 
+def p2_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-likelihood ratio of every term of every article; the rule of ``p2_found`` needs none."""
+    scored = distinctive_terms(_articles(spark, sf_dir, "text"), "article_id", "text")
+    return scored.select("article_id", "term", "tf", "records", "total", "llr", "over")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive_terms(_articles(spark, sf_dir, "text"), "article_id", "text", min_tf=3, min_records=2, max_records=6).select("article_id", "term")
 
@@ -135,7 +141,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_terms, p3_found, p3_sample, p3_report, p4_found, p4_terms, p5_found, p5_sentences, p6_found, p6_classes, p8_found, p8_leaks, p9_found, p9_mix, p9_report, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_pieces, p2_method, p2_found, p2_terms, p3_found, p3_sample, p3_report, p4_found, p4_terms, p5_found, p5_sentences, p6_found, p6_classes, p8_found, p8_leaks, p9_found, p9_mix, p9_report, p10_found, p10_scores, p10_rates)
 }
 
 _CLEAN = "lower(nfc_normalize(replace(replace({}, chr(173), ''), chr(8203), '')))"
