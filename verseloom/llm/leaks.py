@@ -3,8 +3,9 @@
 Every item is split into pieces, one more than the errors it may have, so that a document with that many errors or fewer
 holds at least one piece exactly (pigeonhole). The pieces are runs of five consecutive words; the errors are the runs
 that a document may lack. Documents are scanned once for exact piece hits; every document and item that meet are then
-verified: by Myers' bit-parallel edit distance of the item, in words, to the best passage of the document, and by the
-exact share of the item's runs.
+verified by the exact share of the item's runs; Myers' bit-parallel edit distance of the item, in words, to the best
+passage of the document is reported. In :func:`find_passages` the pieces are disjoint, the errors are word edits, and
+Myers' distance decides.
 """
 
 from __future__ import annotations
@@ -128,6 +129,38 @@ class ItemIndex:
         return out
 
 
+class PieceIndex(ItemIndex):
+    """Items cut into disjoint pieces of five words, one more than the word edits that an item may have: a passage with
+    that many edits or fewer holds at least one piece exactly, as one edit spoils one piece at most."""
+
+    def __init__(self, items: list[tuple]):
+        self.vocabulary, self.items, self.piece_items = {}, [], {}
+        pieces: dict[tuple, int] = {}
+        for key, text in items:
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
+            if len(ids) < RUN:
+                continue
+            for k in range(0, len(ids) - RUN + 1, RUN):
+                self.piece_items.setdefault(pieces.setdefault(tuple(ids[k : k + RUN]), len(pieces)), set()).add(len(self.items))
+            self.items.append((key, ids, len(ids) // RUN - 1))
+        self.tuples = np.array(list(pieces), np.int64).reshape(-1, RUN)
+        self.hash = self._hash([self.tuples[:, k] for k in range(RUN)])
+        self.order = np.argsort(self.hash, kind="stable")
+        self.sorted = self.hash[self.order]
+
+    def leaks(self, text: str | None) -> list[tuple]:
+        """``(item, words, budget, distance)`` of every item within its budget of a passage of the text."""
+        found = words(text)
+        ids = np.fromiter((self.vocabulary.get(w, -1) for w in found), np.int64, len(found))
+        out = []
+        for at in sorted({i for n in self.runs_of(ids).tolist() for i in self.piece_items[n]}):
+            key, own, budget = self.items[at]
+            distance = passage_distance(own, ids.tolist())
+            if distance <= budget:
+                out.append((key, len(own), budget, distance))
+        return out
+
+
 def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, share: float = 0.5) -> DataFrame:
     """Documents that hold ``share`` of an item's distinct runs of five words, or more: document id, item id, ``shared``
     and ``runs``, ``item_words``, and ``distance``, the edit distance in words of the item to the document's best passage
@@ -137,22 +170,33 @@ def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     items of fewer than five words leak nothing; repeated documents each have their rows; items with equal ids are joined
     in the result; other columns are ignored; empty tables give no rows.
     """
+    return _scan(docs, id_col, text_col, items, item_id, item_text, lambda block: ItemIndex(block, share), ("shared", "runs", "item_words", "distance"))
+
+
+def find_passages(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """Documents with a passage that is an item but for a budget of word edits (a fifth of its words, rounded down, less
+    one): document id, item id, ``item_words``, ``budget`` and ``distance``. An exact hit of a piece makes a candidate,
+    Myers' distance decides. Inputs are treated as in :func:`find_leaks`."""
+    return _scan(docs, id_col, text_col, items, item_id, item_text, PieceIndex, ("item_words", "budget", "distance"))
+
+
+def _scan(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, index_of, counts: tuple[str, ...]) -> DataFrame:
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     wanted = items.select(F.col(f"`{item_id}`").alias("k"), F.col(f"`{item_text}`").cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL").distinct()
     picked = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text")).where(F.char_length("__text") > 0)
-    schema = f"id {kind}, item {item_kind}, shared int, runs int, item_words int, distance int"
+    schema = f"id {kind}, item {item_kind}, " + ", ".join(f"{c} int" for c in counts)
     total = wanted.agg(F.sum(F.char_length("t")).alias("n")).first().n or 0
     passes = max(1, -(-total // PASS_CHARS))
     found = None
     for n in range(passes):
         block = [(r.k, r.t) for r in wanted.where(F.pmod(F.xxhash64("k"), F.lit(passes)) == n).orderBy("k", "t").collect()]
-        shared = spark.sparkContext.broadcast(cloudpickle.dumps(ItemIndex(block, share)))
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(index_of(block)))
 
         def run(ids: pa.Array, texts: pa.Array, shared=shared, held={}):  # noqa: B006 - one index for all batches of a task
             if not held:
                 held["index"] = pickle.loads(shared.value)
-            index, out = held["index"], {c: [] for c in ("id", "item", "shared", "runs", "item_words", "distance")}
+            index, out = held["index"], {c: [] for c in ("id", "item", *counts)}
             for i, text in zip(ids.to_pylist(), texts.to_pylist()):
                 for hit in index.leaks(text):
                     for c, v in zip(out, (i, *hit)):

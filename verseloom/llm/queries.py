@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verseloom.llm.abuse import fit_abuse_model, labelled_sample, score_abuse
-from verseloom.llm.leaks import find_leaks
+from verseloom.llm.leaks import find_leaks, find_passages
 from verseloom.llm.mix import byte_tokens, mix_sources, source_key
 from verseloom.llm.neardup import NearDuplicates
 from verseloom.llm.proportions import proportional_samples
@@ -97,6 +97,11 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).classes()
 
 
+def p8_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that a document holds but for a few word edits: pieces found, then verified by Myers' distance."""
+    return find_passages(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
 
@@ -141,7 +146,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_method, p2_found, p2_terms, p3_found, p3_sample, p3_report, p4_found, p4_terms, p5_found, p5_sentences, p6_found, p6_classes, p8_found, p8_leaks, p9_found, p9_mix, p9_report, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_pieces, p2_method, p2_found, p2_terms, p3_found, p3_sample, p3_report, p4_found, p4_terms, p5_found, p5_sentences, p6_found, p6_classes, p8_method, p8_found, p8_leaks, p9_found, p9_mix, p9_report, p10_found, p10_scores, p10_rates)
 }
 
 _CLEAN = "lower(nfc_normalize(replace(replace({}, chr(173), ''), chr(8203), '')))"
