@@ -112,8 +112,11 @@ def kwic(df: DataFrame, keys: Sequence[str], field: str, pattern: str, window: i
         for *ks, text in zip(*(c.to_pylist() for c in columns)):
             for n, m in enumerate(compiled.finditer(text or "")):
                 a, b = m.span()
-                near = max(0, a - 64 * window)
-                left = [t.start() for t in _KWIC_TOKEN.finditer(text, near, a)]
+                back = 64 * window
+                left = [t.start() for t in _KWIC_TOKEN.finditer(text, max(0, a - back), a)]
+                while len(left) <= window and 0 < back < a:  # the first token may be cut: one more than needed, or all the text
+                    back *= 2
+                    left = [t.start() for t in _KWIC_TOKEN.finditer(text, max(0, a - back), a)]
                 right = []
                 for t in _KWIC_TOKEN.finditer(text, b):
                     right.append(t.end())
