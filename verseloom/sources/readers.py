@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from verseloom.operators.keyed import POSITION, Keyed, integer_key, with_position
 from verseloom.runtime import map_batches
 
+#: Folders that one scan of :func:`extract_text_files` reads; more take more scans.
+FOLDERS_PER_READ = 100_000
+
 _RESERVED = {"row_id", "_position", "_batch", "_row_offset"}
 
 
@@ -188,8 +191,11 @@ def extract_text_files(files: Keyed, path_field: str = "path", encoding: str = "
                 out[k].append(v)
         yield out
 
-    roots = sorted({r.d for r in paths.select(F.regexp_replace("path", "/[^/]*$", "").alias("d")).distinct().limit(100_000).collect()})
-    content = spark.read.format("binaryFile").load([r + "/*" for r in roots]).select("path", "content")
+    roots = sorted(r.d for r in paths.select(F.regexp_replace("path", "/[^/]*$", "").alias("d")).distinct().toLocalIterator())
+    content = None
+    for at in range(0, max(1, len(roots)), FOLDERS_PER_READ):
+        part = spark.read.format("binaryFile").load([r + "/*" for r in roots[at : at + FOLDERS_PER_READ]]).select("path", "content")
+        content = part if content is None else content.unionByName(part)
     texts = map_batches(content.join(paths.select("path"), "path", "left_semi"), run, "path string, text string, status string, error string")
     out = paths.join(texts, "path", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
     return files.derive(out.select(*files.pk, POSITION, "text", "status", "error"), "preserved_key", data=["text"], metadata=["status", "error"])
