@@ -442,7 +442,8 @@ def committee(members: Sequence[DataFrame], pk: Sequence[str], weights: Sequence
 
 
 class ClassifierSearch:
-    """Grid search over representations and models with the same folds for all; groups stay in one fold."""
+    """Search over a list of representations and models with the same folds for all. Folds are stratified by the label;
+    groups stay in one fold, stratified by their greatest label."""
 
     def __init__(self, folds: int = 3, seed: int = 0, group: str | None = None):
         self.folds, self.seed, self.group, self.found, self.data = folds, seed, group, [], {}
@@ -451,10 +452,16 @@ class ClassifierSearch:
         """``candidates``: unfitted ``pyspark.ml`` classifiers by name; may be called again with more."""
         from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
+        from verseloom.operators.keyed import with_position
+
         score = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction")
         for r, df in representations.items():
             keys = [self.group] if self.group else [c for c in df.columns if c not in ("features", label)]
-            v = materialize(df.withColumn("__fold", F.pmod(F.xxhash64(F.lit(self.seed), *keys), F.lit(self.folds)).cast("int")), "folds")
+            units = df.groupBy(*keys).agg(F.max(label).alias("__label")).withColumn("__draw", F.xxhash64(F.lit(self.seed), *keys))
+            dealt = with_position(units, ["__label", "__draw", *keys], "__place")  # dealt to the folds in turn, label by label
+            fold = dealt.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.pmod("__place", F.lit(self.folds)).cast("int").alias("__fold"))
+            same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)]
+            v = materialize(df.join(fold, same).drop(*[f"__k{i}" for i in range(len(keys))]), "folds")
             self.data[r] = v
             for name, est in candidates.items():
                 est = est.copy({est.featuresCol: "__v", est.labelCol: label})
