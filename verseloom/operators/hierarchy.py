@@ -1,20 +1,21 @@
 """Parent-child links to full hierarchies, as nested sets.
 
 Subtree sizes are summed upward, siblings get preorder ranges by prefix sums downward, and a node's ancestors and
-descendants are then ranges. Both passes use doubled jumps (to the 1st, 2nd, 4th, 8th ... ancestor), so a forest of depth
-d takes about log2(d) rounds of joins, not d. Nodes whose jumps never end run into a cycle.
+descendants, its depth and its root are then found from the ranges. Both passes use doubled jumps (to the 1st, 2nd, 4th,
+8th ... ancestor) over the nodes that are still open, so a forest of depth d takes about log2(d) rounds of joins, not d.
+Nodes whose jumps never end run into a cycle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verseloom.operators.prefix import with_prefix_sums
-from verseloom.runtime import drop_materialized, materialize
+from verseloom.runtime import Scratch, drop_materialized, materialize
 
-#: Width of the preorder blocks by which ranges meet their nodes.
-BLOCK = 4096
+#: Width of the preorder blocks by which ranges meet their nodes, and of those that one task sweeps.
+BLOCK, SWEEP = 4096, 65_536
 
 
 def tidy_id(name: Column) -> Column:
@@ -43,53 +44,91 @@ class Hierarchy:
     """
 
     def __init__(self, parents: DataFrame):
-        clean = parents.where("id IS NOT NULL AND parent IS NOT NULL").select("id", "parent")
-        known = materialize(clean.unionByName(clean.select(F.col("parent").alias("id"), F.lit(None).cast(clean.schema["parent"].dataType).alias("parent"))).groupBy("id").agg(F.max("parent").alias("parent")), "links")
-        state = known.select("id", "parent", F.col("parent").alias("anc"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), F.lit(1).cast("bigint").alias("size"))
-        self.jumps: list[DataFrame] = []  # of each round: id and its ancestor so many links up
-        left, first = None, True
-        while True:
-            open_ = state.where("anc IS NOT NULL").count()
-            if open_ == 0 or open_ == left:
-                break
-            left = open_
-            self.jumps.append(state.where("anc IS NOT NULL").select("id", "anc"))
-            gained = state.where("anc IS NOT NULL").groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more"))
-            up = state.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("root2"), F.col("steps").alias("steps2"))
-            going = state.join(up, "anc", "left").join(gained, "id", "left")
-            state = materialize(
-                going.select(
-                    "id", "parent", F.col("anc2").alias("anc"), F.coalesce("root", "root2").alias("root"),
-                    F.when(F.col("anc").isNull(), F.col("steps")).otherwise(F.col("steps") + F.col("steps2")).alias("steps"),
-                    (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
-                ),
-                "sizes",
-            )
-            first = False
-        del first
-        placed = self._preorder(state.where("anc IS NULL").select("id", "parent", "root", F.col("steps").alias("depth"), "size"))
-        placed = placed.select("id", "parent", "root", "depth", "size", "pre", (F.col("pre") + F.col("size") - 1).alias("last"), F.lit(False).alias("in_cycle"))
-        if open_:
-            lost = self._cycles(state.where("anc IS NOT NULL").select("id", "parent"))
+        scratch = Scratch()
+        links = scratch(parents.where("id IS NOT NULL AND parent IS NOT NULL").groupBy("id").agg(F.max("parent").alias("parent")), "links")
+        sizes, lost = self._sizes(links, scratch)
+        heads = links.select(F.col("parent").alias("id")).distinct().join(links.select("id"), "id", "left_anti")
+        every = links.unionByName(heads.withColumn("parent", F.lit(None).cast(links.schema["parent"].dataType)))
+        if lost is not None:
+            every = every.join(lost.select("id"), "id", "left_anti")
+        sized = scratch(every.join(sizes, "id", "left").withColumn("size", F.coalesce("size", F.lit(0)) + 1), "sizes")
+        widest = sized.groupBy("parent").count().agg(F.max("count").alias("n")).first().n or 0
+        begun = with_prefix_sums(sized.withColumn("key", F.xxhash64("id")), "parent", "size", "key", "id", widest, out="earlier")
+        offsets = scratch(begun.select("id", "parent", "size", (F.col("earlier") + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("value")), "offsets")
+        ranges = scratch(self._downward(offsets, lambda above, own: above + own, scratch).withColumnRenamed("value", "pre").join(offsets.drop("value"), "id"), "ranges")
+        placed = self._swept(ranges)
+        if lost is not None:
             none = F.lit(None).cast("bigint")
-            placed = placed.unionByName(lost.select("id", "parent", "root", F.lit(-1).cast("bigint").alias("depth"), none.alias("size"), none.alias("pre"), none.alias("last"), "in_cycle"))
+            ringed = self._cycles(links.join(lost.select("id"), "id", "left_semi"), scratch)
+            placed = placed.unionByName(ringed.select("id", "parent", "root", F.lit(-1).cast("bigint").alias("depth"), none.alias("size"), none.alias("pre"), none.alias("last"), "in_cycle"))
         self.nodes = materialize(placed, "nodes")
+        scratch.release()
+
+    @staticmethod
+    def _sizes(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+        """``id`` and ``size``, the number of nodes below it, summed upward; and the nodes that no root was reached from.
 
-    def _preorder(self, nodes: DataFrame) -> DataFrame:
-        """Add ``pre``: sibling ranges by prefix sums of subtree sizes, then offsets summed down the chains of ancestors."""
-        widest = nodes.groupBy("parent").count().agg(F.max("count").alias("n")).first().n or 0
-        keyed = nodes.withColumn("key", F.xxhash64("id"))
-        begun = with_prefix_sums(keyed, "parent", "size", "key", "id", widest, out="earlier")
-        state = materialize(begun.select("id", "parent", "root", "depth", "size", (F.col("earlier") + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("pre")), "offsets")
-        for jump in self.jumps:
-            up = state.select(F.col("id").alias("anc"), F.col("pre").alias("pre2"))
-            summed = state.join(jump.join(up, "anc").select("id", "pre2"), "id", "left")
-            state = materialize(summed.select("id", "parent", "root", "depth", "size", (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre")), "offsets")
-        return state
-
-    def _cycles(self, lost: DataFrame) -> DataFrame:
+        Only nodes whose jump still lands on a node are passed on. A round reaches from 2**k to 2**(k+1) links, so if it
+        closes no node, no open node has a root above it."""
+        gains, left = [], None
+        open_ = links.select("id", F.col("parent").alias("anc"), F.lit(1).cast("bigint").alias("size"))
+        while True:
+            open_ = scratch(open_, "open")
+            n = open_.count()
+            if n in (0, left):
+                break
+            left = n
+            gained = scratch(open_.groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more")), "gains")
+            gains.append(gained)
+            up = open_.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"))
+            open_ = open_.join(up, "anc").join(gained, "id", "left").select("id", F.col("anc2").alias("anc"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        below = links.select("id", F.lit(0).cast("bigint").alias("more")).limit(0)
+        for g in gains:
+            below = below.unionByName(g)
+        return below.groupBy("id").agg(F.sum("more").alias("size")), open_ if n else None
+
+    @staticmethod
+    def _downward(values: DataFrame, combine, scratch: Scratch) -> DataFrame:
+        """``id`` and ``value``: the values of a node's chain, put together by ``combine(above, below)`` from the root down.
+
+        Rows of ``values`` are ``id``, ``parent`` and ``value``. A node whose jump lands on a finished node finishes; only
+        the others go on, with twice the jump."""
+        done = values.where("parent IS NULL").select("id", "value")
+        state = values.where("parent IS NOT NULL").select("id", F.col("parent").alias("anc"), "value")
+        while True:
+            up = state.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("value").alias("value2"))
+            step = scratch(state.join(up, "anc", "left"), "chains")
+            above = done.select(F.col("id").alias("anc"), F.col("value").alias("above"))
+            closing = step.where("anc2 IS NULL").join(above, "anc").select("id", combine(F.col("above"), F.col("value")).alias("value"))
+            done = done.unionByName(scratch(closing, "finished"))
+            rest = step.where("anc2 IS NOT NULL")
+            if not rest.limit(1).count():
+                return done
+            state = rest.select("id", F.col("anc2").alias("anc"), combine(F.col("value2"), F.col("value")).alias("value"))
+
+    @staticmethod
+    def _swept(ranges: DataFrame) -> DataFrame:
+        """Depth and root from the nested-set ranges, in one sweep over preorder: a node's ancestors are the ranges that
+        began before it and haven't ended, its root is the root range that began last. Blocks of preorder numbers are
+        swept each on its own, after the blocks' totals (one row per block) are carried forward."""
+        last = F.col("pre") + F.col("size") - 1
+        begins = ranges.select(F.col("pre").alias("at"), F.lit(1).alias("turn"), "id", "parent", "size", F.when(F.col("parent").isNull(), F.col("id")).alias("head"))
+        none = lambda c: F.lit(None).cast(ranges.schema[c].dataType)
+        ends = ranges.select((last + 1).alias("at"), F.lit(-1).alias("turn"), none("id").alias("id"), none("parent").alias("parent"), none("size").alias("size"), none("id").alias("head"))
+        events = begins.unionByName(ends).withColumn("block", F.floor(F.col("at") / SWEEP))
+        blocks = events.groupBy("block").agg(F.sum("turn").alias("turns"), F.max_by("head", F.when(F.col("head").isNotNull(), F.col("at"))).alias("head"))
+        before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = blocks.select("block", F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("open"), F.last("head", ignorenulls=True).over(before).alias("under"))
+        within = Window.partitionBy("block").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        swept = events.join(F.broadcast(carried), "block").select(
+            "id", "parent", F.coalesce(F.last("head", ignorenulls=True).over(within), "under").alias("root"), (F.col("open") + F.sum("turn").over(within) - 1).alias("depth"), "size", F.col("at").alias("pre"), "turn"
+        )
+        return swept.where("turn = 1").select("id", "parent", "root", "depth", "size", "pre", last.alias("last"), F.lit(False).alias("in_cycle"))
+
+    @staticmethod
+    def _cycles(lost: DataFrame, scratch: Scratch) -> DataFrame:
         """``id``, ``parent``, ``root`` and ``in_cycle`` of the nodes that no root was reached from."""
-        state = materialize(lost.select("id", "parent", F.col("parent").alias("anc"), F.col("id").alias("least")), "cycles")
+        state = scratch(lost.select("id", "parent", F.col("parent").alias("anc"), F.col("id").alias("least")), "cycles")
         before = None
         while True:
             image = state.select("anc").distinct()
@@ -101,7 +140,7 @@ class Hierarchy:
                     break
             before = n
             up = state.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("least").alias("least2"))
-            state = materialize(state.join(up, "anc").select("id", "parent", F.col("anc2").alias("anc"), F.least("least", "least2").alias("least")), "cycles")
+            state = scratch(state.join(up, "anc").select("id", "parent", F.col("anc2").alias("anc"), F.least("least", "least2").alias("least")), "cycles")
         ends = on.select(F.col("id").alias("anc"), F.col("least").alias("root"))
         marked = state.join(ends, "anc").join(on.select("id", F.lit(True).alias("on")), "id", "left")
         return marked.select("id", "parent", "root", F.coalesce("on", F.lit(False)).alias("in_cycle"))
@@ -119,14 +158,12 @@ class Hierarchy:
 
     def paths(self, separator: str = "/") -> DataFrame:
         """``id`` and ``path``, from the root down to the node, joined from the halves that doubled jumps leave."""
-        state = materialize(self.nodes.where("pre IS NOT NULL").select("id", F.array("id").alias("chain")), "paths")
-        for jump in self.jumps:
-            up = state.select(F.col("id").alias("anc"), F.col("chain").alias("above"))
-            longer = state.join(jump.join(up, "anc").select("id", "above"), "id", "left")
-            state = materialize(longer.select("id", F.when(F.col("above").isNull(), F.col("chain")).otherwise(F.concat("above", "chain")).alias("chain")), "paths")
-        return state.select("id", F.array_join("chain", separator).alias("path"))
+        scratch = Scratch()
+        chains = self._downward(self.nodes.where("pre IS NOT NULL").select("id", "parent", F.array("id").alias("value")), F.concat, scratch)
+        paths = materialize(chains.select("id", F.array_join("value", separator).alias("path")), "paths")
+        scratch.release()
+        return paths
 
     def release(self) -> None:
-        """Delete the tables of the passes; ``nodes`` stays."""
-        for jump in self.jumps[1:]:
-            drop_materialized(jump)
+        """Delete ``nodes``."""
+        drop_materialized(self.nodes)

@@ -650,6 +650,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_parent.select(F.col("id").alias("artifact_id"), F.col("root").alias("root_artifact_id"), "depth")
 
 
+_CHAINS = """b AS (SELECT lower(trim(artifact_id)) a, lower(trim(basis_artifact_id)) p, ordinal o FROM artifact_basis WHERE basis_artifact_id IS NOT NULL),
+e AS (SELECT a, arg_min(p, (o, p)) p FROM b GROUP BY 1), w AS (SELECT a, p x, [a, p] path, 1 d, (a = p) bad FROM e
+UNION ALL SELECT w.a, e.p, list_append(w.path, e.p), d + 1, list_contains(w.path, e.p) FROM w JOIN e ON e.a = w.x WHERE NOT w.bad)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CHAINS}, t AS (SELECT a, x, path, d, bad FROM w ANTI JOIN e ON e.a = w.x AND NOT w.bad),
+n AS (SELECT x, count(*) + 1 size FROM w WHERE a NOT IN (SELECT a FROM t WHERE bad) GROUP BY 1), heads AS (SELECT DISTINCT x FROM t WHERE NOT bad)
+SELECT t.a AS id, CASE WHEN bad THEN list_min(path[list_position(path, t.x):len(path) - 1]) ELSE t.x END AS root, CAST(CASE WHEN bad THEN -1 ELSE d END AS BIGINT) AS depth,
+CASE WHEN NOT bad THEN coalesce(size, 1) ELSE 0 END AS size, CASE WHEN NOT bad THEN array_to_string(list_reverse(path), '/') END AS path, bad AND t.a = t.x AS in_cycle, NOT bad AS ranged FROM t LEFT JOIN n ON n.x = t.a
+UNION ALL SELECT heads.x, heads.x, 0, size, heads.x, false, true FROM heads JOIN n USING (x)"""
+)
+def p7_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every artifact's root, depth, subtree size and path; cycles are marked. ``ranged``: its preorder range is as wide as its subtree."""
+    nodes = p7_nodes(spark, sf_dir)
+    ranged = F.coalesce(F.col("last") - F.col("pre") + 1 == F.col("size"), F.lit(False))
+    return nodes.select("id", "root", "depth", F.coalesce("size", F.lit(0)).alias("size"), "path", "in_cycle", ranged.alias("ranged"))
+
+
 @query()
 def p7_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every artifact's path, depth, root, subtree size and preorder range; cycles are marked."""

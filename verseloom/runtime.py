@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -30,23 +32,51 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a folder of our own is made and kept for the life of the session."""
+    (local tests) a folder of our own is made, and deleted when Python ends."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("verseloom.scratch.dir", None)
         if not found:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="verseloom-")
+            own = tempfile.mkdtemp(prefix="verseloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            found = f"file://{own}"
             spark.conf.set("verseloom.scratch.dir", found)
     return found.rstrip("/")
 
 
+#: Folders of this process's applications that are deleted when Python ends.
+_FOLDERS: set[str] = set()
+
+
+def application_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when Python ends, or by :func:`clear_materialized`."""
+    folder = f"{shared_dir(spark)}/verseloom-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
+    return folder
+
+
+def _delete(jvm, conf, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone when Python ends
+        pass
+
+
+def clear_materialized(spark: SparkSession) -> None:
+    """Delete every table that this application has materialized; results that still read them can't be used after it."""
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), application_dir(spark))
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives a lost executor,
     and gives later plans true sizes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/verseloom-{name}-{uuid.uuid4().hex}"
+    path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,11 +84,26 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialize` once no later plan reads it."""
     spark = df.sparkSession
-    jvm = spark._jvm
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/verseloom-" in folder.toString():
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = file.rpartition("/")[0]
+        if "/verseloom-" in folder:
+            _delete(spark._jvm, spark._jsc.hadoopConfiguration(), folder)
+
+
+class Scratch:
+    """Materializes the steps of one operator and deletes them together once its result is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str = "step") -> DataFrame:
+        self.tables.append(materialize(df, name))
+        return self.tables[-1]
+
+    def release(self) -> None:
+        for t in self.tables:
+            drop_materialized(t)
+        self.tables = []
 
 
 def map_batches(df: DataFrame, fn: Callable[..., Iterable[dict]], schema: str) -> DataFrame:
