@@ -42,7 +42,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, source_col: st
 
     Gives ``(mix, report)``. mix: id, ``source`` (as spelled in targets), ``tokens`` and ``copies``, how many times over the
     record is in the mix. report: a row per target with ``available``, ``wanted`` (its target times the budget), ``reached``
-    tokens, ``copies_most``, ``share`` (of the tokens of the mix) and ``short`` (``max_repeats`` times over isn't enough).
+    tokens, ``copies_most``, ``share`` (of the tokens of the mix) and ``short`` (the mix ends under what is wanted, as
+    ``max_repeats`` times over isn't enough).
 
     Records get hash-random keys and are sorted by key within their source; distributed prefix sums of tokens — over bins
     of the key range first, then within a bin — cut each source at its exact budget, so that only one bin of ordered rows
@@ -59,7 +60,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, source_col: st
     per = goals.join(summed, "__source", "left").select("__source", "source", "target_permille", "max_repeats", F.coalesce("t", F.lit(0)).alias("available"), F.floor(F.col("budget_permille") * F.lit(total) / 1000).cast("bigint").alias("budget"))
     # exact in whole numbers: everything is held in thousandths of a token
     goal = F.col("target_permille") * F.col("budget")
-    per = per.withColumn("goal_milli", F.least(goal, F.col("max_repeats") * F.col("available") * 1000)).withColumn("short", F.col("max_repeats") * F.col("available") * 1000 < goal)
+    per = per.withColumn("goal_milli", F.least(goal, F.col("max_repeats") * F.col("available") * 1000))
     per = per.withColumn("epochs", F.when(F.col("available") > 0, F.floor(F.col("goal_milli") / (F.col("available") * 1000))).otherwise(0).cast("bigint"))
     per = per.withColumn("rest_milli", F.col("goal_milli") - F.col("epochs") * F.col("available") * 1000)
     rules = F.broadcast(per)  # one row per target, at most MOST_SOURCES
@@ -72,6 +73,6 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, source_col: st
     whole = mix.agg(F.sum(F.col("tokens") * F.col("copies")).alias("x")).first().x or 0
     report = per.join(reached, "source", "left").select(
         "source", "available", (goal / 1000).alias("wanted"), F.coalesce("reached", F.lit(0)).alias("reached"), F.coalesce("copies_most", F.lit(0)).alias("copies_most"),
-        (F.coalesce("reached", F.lit(0)) / F.lit(float(whole or 1))).alias("share"), "target_permille", "short",
+        (F.coalesce("reached", F.lit(0)) / F.lit(float(whole or 1))).alias("share"), "target_permille", (F.coalesce("reached", F.lit(0)) * 1000 < goal).alias("short"),
     )
     return mix, report

@@ -1,8 +1,9 @@
 """Splitting oversized texts at natural boundaries by lexical cohesion.
 
 Sliding word blocks on both sides of every sentence end give a similarity curve; its valleys mark changes of topic. Each
-piece ends at the deepest valley of its size window, at a paragraph end where there is one, else at a sentence end, else
-at a word end, and only in an unbroken stretch within a word. The next piece starts ``overlap`` code points before it.
+piece ends at the deepest valley of its size window (of equally deep ones at a paragraph end, else the later one), where
+there is none at a word end, and only in an unbroken stretch within a word. The next piece starts ``overlap`` code points
+before it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from verseloom.runtime import map_batches
 
 #: Fixed characters: a stretch without any of these is unbroken.
 BREAKS = " \t\n\r\u00a0\u3000.!?。！？।؟"
-_STRETCH = re.compile(f"[^{BREAKS}]+")
 _BREAK = re.compile(f"[{BREAKS}]")
 _SPACES = re.compile(r"\s*")
 _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)")
@@ -85,23 +85,22 @@ class _Plan:
 
     def __init__(self, text: str):
         self.text = text
-        self.longest_run = max((m.end() - m.start() for m in _STRETCH.finditer(text)), default=0)
         ends = sentence_ends(text)
         self.at = [_SPACES.match(text, e).end() for e in ends]  # a piece keeps the white space after its last sentence
         self.kind = ["paragraph" if _PARAGRAPH.search(text, e, p) else "sentence" for e, p in zip(ends, self.at)]
         self.depth = cohesion_depths(text, self.at)
 
-    def _deepest(self, low: int, high: int, kind: str | None) -> tuple[int, str] | None:
+    def _deepest(self, low: int, high: int) -> tuple[int, str] | None:
         i, j = bisect.bisect_left(self.at, low), bisect.bisect_right(self.at, high)
-        best = max((k for k in range(i, j) if kind is None or self.kind[k] == kind), key=lambda k: (self.depth[k], self.at[k]), default=None)
+        best = max(range(i, j), key=lambda k: (self.depth[k], self.kind[k] == "paragraph", self.at[k]), default=None)
         return None if best is None else (self.at[best], self.kind[best])
 
-    def pieces(self, most: int, overlap: int) -> list[tuple[int, int, str]]:
-        text, out, start = self.text, [], 0
+    def pieces(self, most: int, overlap: int) -> list[tuple[int, int, str, int]]:
+        """Start, end, kind of cut, and length of the unbroken stretch that the cut falls in (0: at a break)."""
+        text, out, start, held = self.text, [], 0, (0, 0)
         while len(text) - start > most:
             high, least = start + most, start + overlap + 1
-            middle = max(least, start + most // 2)
-            cut = self._deepest(middle, high, "paragraph") or self._deepest(middle, high, None) or self._deepest(least, high, "paragraph") or self._deepest(least, high, None)
+            cut = self._deepest(max(least, start + most // 2), high) or self._deepest(least, high)
             if cut is None:
                 for p in range(high, least - 1, -1):
                     if text[p - 1] in BREAKS and (p == len(text) or text[p] not in BREAKS):
@@ -112,17 +111,30 @@ class _Plan:
                     while p > least and p > high - 8 and regex.match(r"[\p{M}\u200d]", text[p]):
                         p -= 1  # a mark stays with its letter
                     cut = (p, "hard")
-            out.append((start, cut[0], cut[1]))
+            if not held[0] < cut[0] < held[1]:
+                held = self._stretch(cut[0])
+            out.append((start, *cut, held[1] - held[0]))
             start = cut[0] - overlap
-        out.append((start, len(text), "end"))
+        out.append((start, len(text), "end", 0))
         return out
 
+    def _stretch(self, cut: int) -> tuple[int, int]:
+        """The unbroken stretch around a cut; an empty one if there is a break on either side."""
+        text = self.text
+        if text[cut - 1] in BREAKS or text[cut] in BREAKS:
+            return cut, cut
+        first, after = cut, _BREAK.search(text, cut)
+        while first and text[first - 1] not in BREAKS:
+            first -= 1
+        return first, after.start() if after else len(text)
+
 
 def split_oversized(df: DataFrame, id_col: str, text_col: str, limits: DataFrame, with_text: bool = True) -> DataFrame:
     """Pieces of every text that is longer than a limit: for each row and ``limit_id`` the ``piece_no`` from 0,
     ``n_pieces``, ``start_char`` and ``end_char`` (code points; a piece has ``max_chars`` at most and starts exactly
     ``overlap_chars`` before the end of the one before), ``cut`` (what its end is: paragraph, sentence, word, hard or
-    end), ``longest_run`` (of the text's unbroken stretches) and, if ``with_text``, ``piece``.
+    end), ``broken`` (the length of the unbroken stretch that its end is cut into, 0 if it is at a break) and, if
+    ``with_text``, ``piece``.
 
     Texts within a limit, null and empty texts give no rows for it. Rows with equal ids are split each on its own; a null
     id stays null; other columns are ignored. A limit with a null in it or ``overlap_chars`` of ``max_chars`` or more is
@@ -136,7 +148,7 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limits: DataFrame
             raise ValueError(f"not a usable limit: {r}")
     todo = sorted({(r.limit_id, r.max_chars, r.overlap_chars) for r in rows})
     kind = df.schema[id_col].dataType.simpleString()
-    columns = ["id", "limit_id", "piece_no", "n_pieces", "start_char", "end_char", "cut", "longest_run"] + ["piece"] * with_text
+    columns = ["id", "limit_id", "piece_no", "n_pieces", "start_char", "end_char", "cut", "broken"] + ["piece"] * with_text
 
     def run(ids: pa.Array, texts: pa.Array):
         out: dict[str, list] = {c: [] for c in columns}
@@ -147,20 +159,24 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limits: DataFrame
             plan = _Plan(text)
             for limit, most, overlap in over:
                 made = plan.pieces(most, overlap)
-                for n, (a, b, cut) in enumerate(made):
-                    for c, v in zip(columns, (i, limit, n, len(made), a, b, cut, plan.longest_run, text[a:b] if with_text else None)):
+                for n, (a, b, cut, broken) in enumerate(made):
+                    for c, v in zip(columns, (i, limit, n, len(made), a, b, cut, broken, text[a:b] if with_text else None)):
                         out[c].append(v)
         yield out
 
     least = min((m for _, m, _ in todo), default=0)
     long = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text")).where(F.char_length("__text") > least if todo else F.lit(False))
-    schema = f"id {kind}, limit_id bigint, piece_no int, n_pieces int, start_char bigint, end_char bigint, cut string, longest_run bigint" + (", piece string" if with_text else "")
+    schema = f"id {kind}, limit_id bigint, piece_no int, n_pieces int, start_char bigint, end_char bigint, cut string, broken bigint" + (", piece string" if with_text else "")
     return map_batches(long, run, schema).withColumnRenamed("id", id_col)
 
 
 def oversize_report(pieces: DataFrame, id_col: str, limits: DataFrame) -> DataFrame:
     """From the pieces of :func:`split_oversized`: one row for each text, limit and ``kind`` — ``over`` (it had to be
-    split) and ``unbroken`` (it has a stretch longer than the limit, so that no natural boundary could be kept)."""
-    first = pieces.where("piece_no = 0").join(F.broadcast(limits.select("limit_id", "max_chars").distinct().limit(MOST_LIMITS)), "limit_id")
-    kinds = F.array(F.when(F.col("n_pieces") > 1, "over"), F.when(F.col("longest_run") > F.col("max_chars"), "unbroken"))
-    return first.select(F.col(f"`{id_col}`"), "limit_id", F.explode(F.array_compact(kinds)).alias("kind")).distinct()
+    split) and ``unbroken`` (a piece's end had to be cut into a stretch longer than the limit; as no piece can hold such a
+    stretch whole, each of them shows in a cut)."""
+    known = limits.select("limit_id", "max_chars").distinct()
+    if known.limit(MOST_LIMITS + 1).count() > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} limits")
+    per = pieces.groupBy(F.col(f"`{id_col}`"), "limit_id").agg(F.max("n_pieces").alias("n_pieces"), F.max("broken").alias("broken"))
+    kinds = F.array(F.when(F.col("n_pieces") > 1, "over"), F.when(F.col("broken") > F.col("max_chars"), "unbroken"))
+    return per.join(F.broadcast(known), "limit_id").select(F.col(f"`{id_col}`"), "limit_id", F.explode(F.array_compact(kinds)).alias("kind"))

@@ -54,7 +54,7 @@ def distinctive_terms(df: DataFrame, id_col: str, text_col: str, min_tf: int = 1
     table gives none; other columns are ignored. Counts are made per record before the first shuffle, and joined on the
     term, where the statistics side has one row per term, so that a very common term can be split by AQE.
     """
-    counted = record_terms(df, id_col, [text_col])
+    counted = materialize(record_terms(df, id_col, [text_col]), "record-terms")  # read twice below: tokenized once
     stats = materialize(counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("records")), "term-statistics")
     size = stats.agg(F.sum("total").alias("n")).first().n or 0
     kept = stats.where(F.col("records") >= min_records)
@@ -65,7 +65,7 @@ def distinctive_terms(df: DataFrame, id_col: str, text_col: str, min_tf: int = 1
     score = log_likelihood(k11, total - k11, here - k11, n - here - (total - k11))
     return joined.select(
         F.col("id").alias(id_col), "term", "tf", "records", "total", score.alias("llr"), (k11.cast("double") * (n - here) > (total - k11).cast("double") * here).alias("over")
-    ).where(F.col("llr") >= 0)
+    )
 
 
 def term_frequencies(df: DataFrame, id_col: str, text_cols: list[str], rare_records: int = 2, common_share: float = 0.5, n_records: int | None = None) -> DataFrame:
@@ -78,7 +78,8 @@ def term_frequencies(df: DataFrame, id_col: str, text_cols: list[str], rare_reco
     the number of records, else counted. Null and empty texts have no terms; an empty table gives no rows.
     """
     n = df.select(id_col).count() if n_records is None else n_records
-    pairs = record_terms(df, id_col, text_cols).select("term", "id", "tf")
+    # written once: the sort samples it for its ranges, then reads it again
+    pairs = materialize(record_terms(df, id_col, text_cols).select("term", "id", "tf"), "record-terms")
     ordered = pairs.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
     def run(batches):
