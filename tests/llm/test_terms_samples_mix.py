@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -70,6 +71,32 @@ def test_min_cost_flow_against_brute_force():
             assert (-sent, sum(f * a[3] for f, a in zip(flow, arcs))) == want
 
 
+def test_flow_at_the_bound_of_cells_keeps_both_margins():
+    rng = random.Random(3)
+    cells = {(f"a{i}", f"b{j}"): rng.randrange(1, 60) for i in range(450) for j in range(440)}  # 198,000 of MOST_CELLS
+    goals = {f"a{i}": 40 + 20 * (i % 7) for i in range(450)} | {"gone": 9}
+    began = time.perf_counter()
+    quotas, lacks = P.cell_quotas(cells, 0, goals, dict.fromkeys(goals, 5))
+    took = time.perf_counter() - began
+    assert all(0 < q <= cells[c] for c, q in quotas.items()) and lacks == dict.fromkeys(goals, 0) | {"gone": 9}
+    drawn, beside, have = Counter(), Counter(), Counter()
+    for (a, b), q in quotas.items():
+        drawn[a] += q
+        beside[b] += q
+    for (_, b), n in cells.items():
+        have[b] += n
+    total, all_ = sum(drawn.values()), sum(have.values())
+    assert drawn == {a: g for a, g in goals.items() if a != "gone"}
+    assert all(beside[b] <= -(-total * n // all_) for b, n in have.items())  # the other field keeps its shares
+    assert took < 60, took
+
+
+def test_the_other_field_is_kept_as_far_as_cells_allow():
+    # x can be drawn from both, y only from p: the flow leaves p to y, which a star per category wouldn't
+    quotas, lacks = P.cell_quotas({("x", "p"): 50, ("x", "q"): 50, ("y", "p"): 50}, 0, {"x": 50, "y": 50}, {"x": 0, "y": 0})
+    assert lacks == {"x": 0, "y": 0} and quotas[("y", "p")] == 50 and quotas[("x", "q")] >= 33
+
+
 def test_samples_reach_targets_and_report(spark):
     data = [(i, "a" if i < 300 else " A " if i < 320 else "b_c" if i < 350 else None, "x/y" if i % 3 else "X / Y") for i in range(400)]
     df = spark.createDataFrame(data, "k long, f string, g string")

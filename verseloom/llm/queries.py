@@ -173,6 +173,12 @@ n AS (SELECT field, {_CATEGORY.format("c")} c, count(*) n FROM l GROUP BY 1, 2),
 s AS (SELECT *, {_CATEGORY.format("category")} c, (sample_permille * (SELECT count(*) FROM a)) // 1000 size FROM sample_targets)
 SELECT s.field, category FROM s LEFT JOIN n ON n.field = s.field AND n.c = s.c
 WHERE coalesce(n.n, 0) < greatest(min_count, (target_permille * size + 999) // 1000)""",
+    "p3_report": f"""WITH a AS (SELECT article_id, any_value(topic_group) t, any_value(region_group) r FROM articles GROUP BY 1),
+l AS (SELECT 'topic_group' field, t c FROM a UNION ALL SELECT 'region_group', r FROM a),
+n AS (SELECT field, {_CATEGORY.format("c")} c, count(*) n FROM l GROUP BY 1, 2),
+s AS (SELECT *, {_CATEGORY.format("category")} c, (sample_permille * (SELECT count(*) FROM a)) // 1000 size FROM sample_targets),
+k AS (SELECT s.field, category, coalesce(n.n, 0) AS available, greatest(min_count, (target_permille * size + 999) // 1000)::BIGINT AS needed FROM s LEFT JOIN n ON n.field = s.field AND n.c = s.c)
+SELECT field, category, available, needed, least(available, needed) AS drawn, greatest(0, needed - available) AS lacking FROM k""",
     "p4_found": f"WITH {_TERM_COUNTS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p4_terms": f"WITH {_TERM_COUNTS} SELECT term, occurrences, records, mark FROM m",
     "p6_found": f"""WITH a AS (SELECT article_id, regexp_replace({_CLEAN.format("coalesce(any_value(title), '') || ' ' || coalesce(any_value(text), '')")}, '[^\\p{{L}}\\p{{N}}]', '', 'g') s FROM articles GROUP BY 1),

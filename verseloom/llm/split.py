@@ -89,15 +89,16 @@ class _Plan:
         self.at = [_SPACES.match(text, e).end() for e in ends]  # a piece keeps the white space after its last sentence
         self.kind = ["paragraph" if _PARAGRAPH.search(text, e, p) else "sentence" for e, p in zip(ends, self.at)]
         self.depth = cohesion_depths(text, self.at)
+        self.held = (0, 0)  # the last stretch that was looked up
 
     def _deepest(self, low: int, high: int) -> tuple[int, str] | None:
         i, j = bisect.bisect_left(self.at, low), bisect.bisect_right(self.at, high)
         best = max(range(i, j), key=lambda k: (self.depth[k], self.kind[k] == "paragraph", self.at[k]), default=None)
         return None if best is None else (self.at[best], self.kind[best])
 
-    def pieces(self, most: int, overlap: int) -> list[tuple[int, int, str, int]]:
-        """Start, end, kind of cut, and length of the unbroken stretch that the cut falls in (0: at a break)."""
-        text, out, start, held = self.text, [], 0, (0, 0)
+    def pieces(self, most: int, overlap: int) -> list[tuple[int, int, str]]:
+        """Start, end and kind of cut."""
+        text, out, start = self.text, [], 0
         while len(text) - start > most:
             high, least = start + most, start + overlap + 1
             cut = self._deepest(max(least, start + most // 2), high) or self._deepest(least, high)
@@ -111,17 +112,21 @@ class _Plan:
                     while p > least and p > high - 8 and regex.match(r"[\p{M}\u200d]", text[p]):
                         p -= 1  # a mark stays with its letter
                     cut = (p, "hard")
-            if not held[0] < cut[0] < held[1]:
-                held = self._stretch(cut[0])
-            out.append((start, *cut, held[1] - held[0]))
+            out.append((start, *cut))
             start = cut[0] - overlap
-        out.append((start, len(text), "end", 0))
+        out.append((start, len(text), "end"))
         return out
 
+    def broken(self, cut: int) -> int:
+        """Length of the unbroken stretch that a cut falls in; 0 if it is at a break or at the end."""
+        if not self.held[0] < cut < self.held[1]:
+            self.held = self._stretch(cut)
+        return self.held[1] - self.held[0]
+
     def _stretch(self, cut: int) -> tuple[int, int]:
         """The unbroken stretch around a cut; an empty one if there is a break on either side."""
         text = self.text
-        if text[cut - 1] in BREAKS or text[cut] in BREAKS:
+        if cut == len(text) or text[cut - 1] in BREAKS or text[cut] in BREAKS:
             return cut, cut
         first, after = cut, _BREAK.search(text, cut)
         while first and text[first - 1] not in BREAKS:
@@ -159,8 +164,8 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limits: DataFrame
             plan = _Plan(text)
             for limit, most, overlap in over:
                 made = plan.pieces(most, overlap)
-                for n, (a, b, cut, broken) in enumerate(made):
-                    for c, v in zip(columns, (i, limit, n, len(made), a, b, cut, broken, text[a:b] if with_text else None)):
+                for n, (a, b, cut) in enumerate(made):
+                    for c, v in zip(columns, (i, limit, n, len(made), a, b, cut, plan.broken(b), text[a:b] if with_text else None)):
                         out[c].append(v)
         yield out
 
