@@ -57,3 +57,19 @@ def test_p8_method_verifies_by_distance(spark, tmp_path):
     assert got == {x: (b, n) for x, (b, n) in every.items() if n <= b}
     assert (3, 0) not in got and (3, 0) in {(r.doc_id, r.item_id) for r in Q.QUERIES["p8_found"](spark, str(tmp_path)).collect()}
     assert any(n for _, n in got.values()) and next(n for n in Q.QUERIES if n.startswith("p8_")) == "p8_method"
+
+
+def test_p8_method_joins_many_items_by_a_shuffle(spark, monkeypatch):
+    from verseloom.llm import leaks as LK
+
+    rng = random.Random(11)
+    item = lambda n: " ".join("".join(rng.choice("abcd") for _ in range(4)) for _ in range(n))
+    items = [(i % 25, "choose the one best answer " + item(rng.randrange(40))) for i in range(30)] + [(70, None), (71, "too short")]
+    docs = [(i, " ".join([item(3), *(t or "").split()[rng.randrange(3) :], item(2)])) for i, (_, t) in enumerate(items * 2)] + [(1, items[0][1]), (99, None), (98, "")]
+    df, ev = spark.createDataFrame(docs, "k long, t string"), spark.createDataFrame(items, "k long, t string")
+    for find in (LK.find_leaks, LK.find_passages):
+        monkeypatch.setattr(LK, "PASS_CHARS", 2_000_000)
+        ev2 = ev.withColumnRenamed("k", "item")
+        want = sorted(map(tuple, find(df, "k", "t", ev2, "item", "t").collect()))
+        monkeypatch.setattr(LK, "PASS_CHARS", 10)
+        assert want and sorted(map(tuple, find(df, "k", "t", ev2, "item", "t").collect())) == want

@@ -14,17 +14,19 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseloom.llm._text import words
-from verseloom.runtime import map_batches
+from verseloom.runtime import map_batches, materialize
 
 #: Words in a run.
 RUN = 5
-#: Code points of items that one pass over the documents looks for; more items take more passes.
-PASS_CHARS = 20_000_000
+#: Code points of items whose index is broadcast (some 100 MB in each Python worker at this bound). The pieces of more
+#: items than that are joined with the runs of the documents by a shuffle.
+PASS_CHARS = 2_000_000
 
 
 def passage_distance(pattern: list, text: list) -> int:
@@ -57,6 +59,20 @@ def passage_distance(pattern: list, text: list) -> int:
     return best
 
 
+def needed_runs(n: int, share: float) -> int:
+    """Least number of an item's ``n`` runs that is ``share`` of them."""
+    return max(1, -int(-n * share // 1))
+
+
+def run_keys(found: list[str], step: int = 1) -> np.ndarray:
+    """Distinct 64-bit keys of the runs of five words that begin at every ``step``-th word."""
+    if len(found) < RUN:
+        return np.zeros(0, np.int64)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in found), np.uint64, len(found))
+    starts = np.arange(0, len(h) - RUN + 1, step)
+    return np.unique(ItemIndex._hash([h[starts + k] for k in range(RUN)])).view(np.int64)
+
+
 class ItemIndex:
     """Words, runs and pieces of a block of items, for one pass over the documents."""
 
@@ -81,7 +97,7 @@ class ItemIndex:
         self.sorted = self.hash[self.order]
         self.need, self.piece_items = [], {}
         for at, (_, _, numbers) in enumerate(self.items):
-            need = max(1, -int(-len(numbers) * share // 1))
+            need = needed_runs(len(numbers), share)
             self.need.append(need)
             # budget + 1 pieces; those that few items share are hit least often by chance
             for n in sorted(numbers, key=lambda n: (holders[n], n))[: len(numbers) - need + 1]:
@@ -166,43 +182,89 @@ def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     and ``runs``, ``item_words``, and ``distance``, the edit distance in words of the item to the document's best passage
     (0: it is there word for word).
 
-    All documents are scanned whole, once for each ``PASS_CHARS`` of items, without a shuffle. Null and empty texts and
+    All documents are scanned whole, once. Up to ``PASS_CHARS`` of items are broadcast, so that nothing is shuffled; the
+    pieces of more are joined with the documents' runs, and the pairs that meet are verified. Null and empty texts and
     items of fewer than five words leak nothing; repeated documents each have their rows; items with equal ids are joined
     in the result; other columns are ignored; empty tables give no rows.
     """
-    return _scan(docs, id_col, text_col, items, item_id, item_text, lambda block: ItemIndex(block, share), ("shared", "runs", "item_words", "distance"))
+    return _scan(docs, id_col, text_col, items, item_id, item_text, lambda block: ItemIndex(block, share), lambda wanted: _rarest(wanted, share), ("shared", "runs", "item_words", "distance"))
 
 
 def find_passages(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """Documents with a passage that is an item but for a budget of word edits (a fifth of its words, rounded down, less
     one): document id, item id, ``item_words``, ``budget`` and ``distance``. An exact hit of a piece makes a candidate,
     Myers' distance decides. Inputs are treated as in :func:`find_leaks`."""
-    return _scan(docs, id_col, text_col, items, item_id, item_text, PieceIndex, ("item_words", "budget", "distance"))
+    return _scan(docs, id_col, text_col, items, item_id, item_text, PieceIndex, _disjoint, ("item_words", "budget", "distance"))
+
+
+def _runs(rows: DataFrame, keys: list[str], step: int = 1) -> DataFrame:
+    """The keys of a table's rows with each distinct run (``run``) of their text, the last column."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(*columns: pa.Array):
+        found = [run_keys(words(t), step) for t in columns[-1].to_pylist()]
+        which = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        yield {k: c.take(which) for k, c in zip(keys, columns)} | {"run": pa.array(np.concatenate(found), pa.int64())}
+
+    return map_batches(rows, run, f"{kinds}, run bigint")
+
 
+def _rarest(wanted: DataFrame, share: float) -> DataFrame:
+    """The pieces of every item (``k``, ``t``): the runs that fewest items hold, one more than it may lack."""
+    spread = materialize(_runs(wanted.select("k", F.xxhash64("t").alias("h"), "t"), ["k", "h"]), "item-runs")
+    held = spread.groupBy("run").agg(F.count("*").alias("held"))
+    per = spread.join(held, "run").groupBy("k", "h").agg(F.array_sort(F.collect_list(F.struct("held", "run"))).alias("runs"))  # one item's runs
+    size = F.size("runs")
+    need = F.greatest(F.lit(1), F.ceil(size * F.lit(share))).cast("int")
+    return per.select("k", "h", F.explode(F.slice("runs", F.lit(1), size - need + 1)["run"]).alias("run"))
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, index_of, counts: tuple[str, ...]) -> DataFrame:
+
+def _disjoint(wanted: DataFrame) -> DataFrame:
+    return _runs(wanted.select("k", F.xxhash64("t").alias("h"), "t"), ["k", "h"], RUN)
+
+
+def _joined(picked: DataFrame, id_col: str, wanted: DataFrame, index_of, pieces: DataFrame, schema: str, counts: tuple[str, ...]) -> DataFrame:
+    """Documents and items that meet in a piece, by a shuffle join of runs, then verified. Equal texts are joined once."""
+    picked = picked.select(F.col(f"`{id_col}`").alias("__id"), "__text", F.md5("__text").alias("fp"))
+    texts = picked.groupBy("fp").agg(F.first("__text").alias("__text"))
+    meet = _runs(texts, ["fp"]).join(pieces, "run").select("fp", "k", "h").distinct()
+    both = meet.join(wanted.withColumn("h", F.xxhash64("t")), ["k", "h"])
+    both = both.join(picked, "fp").select("__id", "__text", "k", "t")
+
+    def run(ids: pa.Array, texts: pa.Array, keys: pa.Array, items: pa.Array, held={}):  # noqa: B006 - the indexes of the batches before
+        out = {c: [] for c in ("id", "item", *counts)}
+        for i, text, k, t in zip(ids.to_pylist(), texts.to_pylist(), keys.to_pylist(), items.to_pylist()):
+            if (k, t) not in held:
+                if len(held) > 1000:
+                    held.clear()
+                held[k, t] = index_of([(k, t)])
+            for hit in held[k, t].leaks(text):
+                for c, v in zip(out, (i, *hit)):
+                    out[c].append(v)
+        yield out
+
+    return map_batches(both, run, schema)
+
+
+def _scan(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, index_of, pieces_of, counts: tuple[str, ...]) -> DataFrame:
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     wanted = items.select(F.col(f"`{item_id}`").alias("k"), F.col(f"`{item_text}`").cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL").distinct()
     picked = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text")).where(F.char_length("__text") > 0)
     schema = f"id {kind}, item {item_kind}, " + ", ".join(f"{c} int" for c in counts)
     total = wanted.agg(F.sum(F.char_length("t")).alias("n")).first().n or 0
-    passes = max(1, -(-total // PASS_CHARS))
-    found = None
-    for n in range(passes):
-        block = [(r.k, r.t) for r in wanted.where(F.pmod(F.xxhash64("k"), F.lit(passes)) == n).orderBy("k", "t").collect()]
-        shared = spark.sparkContext.broadcast(cloudpickle.dumps(index_of(block)))
-
-        def run(ids: pa.Array, texts: pa.Array, shared=shared, held={}):  # noqa: B006 - one index for all batches of a task
-            if not held:
-                held["index"] = pickle.loads(shared.value)
-            index, out = held["index"], {c: [] for c in ("id", "item", *counts)}
-            for i, text in zip(ids.to_pylist(), texts.to_pylist()):
-                for hit in index.leaks(text):
-                    for c, v in zip(out, (i, *hit)):
-                        out[c].append(v)
-            yield out
-
-        part = map_batches(picked, run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found.withColumnRenamed("id", id_col).withColumnRenamed("item", item_id)
+    if total > PASS_CHARS:
+        return _joined(picked, id_col, wanted, index_of, pieces_of(wanted), schema, counts).withColumnRenamed("id", id_col).withColumnRenamed("item", item_id)
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(index_of([(r.k, r.t) for r in wanted.orderBy("k", "t").collect()])))  # PASS_CHARS at most
+
+    def run(ids: pa.Array, texts: pa.Array, held={}):  # noqa: B006 - one index for all batches of a task
+        if not held:
+            held["index"] = pickle.loads(shared.value)
+        index, out = held["index"], {c: [] for c in ("id", "item", *counts)}
+        for i, text in zip(ids.to_pylist(), texts.to_pylist()):
+            for hit in index.leaks(text):
+                for c, v in zip(out, (i, *hit)):
+                    out[c].append(v)
+        yield out
+
+    return map_batches(picked, run, schema).withColumnRenamed("id", id_col).withColumnRenamed("item", item_id)

@@ -4,8 +4,12 @@ A record's key text (letters and digits of its cleaned fields) gives the set of
 MinHash of ``HASHES`` values, and the low bits of those a bit signature: records of similarity s differ in about
 ``BITS * (1 - s) / 2`` bits. Signatures are kept in ``BANDS`` arrangements, each with another band of hash values first,
 as the leading levels of the trie. A trie self-join with no error allowed in the leading band and an error budget over
-the whole signature is then a shuffle by the band and, for each band value, a traversal of pairs of trie nodes that adds
-up differing bits and prunes. What is left is held exactly against the similarity of the sets.
+the signature is then a shuffle by the band and, for each band value, a traversal of pairs of trie nodes that adds up
+differing bits and prunes. The budget grows with the depth, so that most pairs that only share a band are pruned in the
+first levels. What is left is held exactly against the similarity of the sets.
+
+No error at all may fall into a leading band, which is why a pair can be missed by all of them; ``exact=True`` takes the
+rarest runs of each set in place of the bands, enough of them that a similar pair must share one, and no budget.
 """
 
 from __future__ import annotations
@@ -31,21 +35,20 @@ BITS = HASHES * HASH_BITS
 WORDS = -(-BITS // 64)
 #: Records of one band value that one task joins; beyond that the group is cut into cells of pairs of such blocks.
 BLOCK = 4000
-#: Below so many pairs under a pair of trie nodes, the signatures are compared directly.
-LEAF_PAIRS = 64
 #: Pairs of trie nodes held at a time; more are put on a stack.
 FRONTIER = 400_000
 
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-_SEEDS = (np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+_SEEDS = ((np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
 
 
-def error_budget(similarity: float) -> int:
-    """Differing bits allowed: the mean at ``similarity`` and five standard deviations."""
-    miss = 1 - similarity
-    mean = BITS * miss / 2
-    spread = (HASHES * miss * similarity * (HASH_BITS / 2) ** 2 + BITS * miss / 4) ** 0.5
-    return int(min(BITS, mean + 5 * spread))
+def error_budget(similarity: float) -> np.ndarray:
+    """Differing bits allowed in the first d bits, for each depth d of the trie: the mean at ``similarity`` and five
+    standard deviations (a hash value that differs has each of its bits differ or not, so they vary together)."""
+    depth = np.minimum(np.arange(WORDS * 64 + 1), BITS)
+    miss, hashes = 1 - similarity, -(-depth // HASH_BITS)
+    spread = (hashes * miss * similarity * (HASH_BITS / 2) ** 2 + depth * miss / 4) ** 0.5
+    return np.minimum(depth, depth * miss / 2 + 5 * spread).astype(np.int64)
 
 
 def key_text(parts: list[str | None]) -> str:
@@ -73,15 +76,14 @@ def run_hashes(text: str, run: int = RUN) -> np.ndarray:
 
 def min_hashes(runs: np.ndarray) -> np.ndarray:
     """The MinHash of a non-empty set, in blocks so that a very long text needs no more memory."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(runs), 4096):
-        part = runs[a : a + 4096]
-        x = part[None, :] ^ _SEEDS[:, None]
-        x *= _MIX[1]
-        x ^= x >> np.uint64(32)
-        x *= _MIX[0]
+    least = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    high = (runs >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, len(high), 4096):
+        x = high[a : a + 4096][None, :] * _SEEDS[:, None]
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
         np.minimum(least, x.min(axis=1), out=least)
-    return _mix(least)
+    return _mix(least.astype(np.uint64) + np.uint64(1))
 
 
 def signature_bits(hashes: np.ndarray) -> np.ndarray:
@@ -100,17 +102,22 @@ def band_values(hashes: np.ndarray) -> np.ndarray:
     return _mix(out ^ np.arange(1, BANDS + 1, dtype=np.uint64)[None, :])
 
 
-def trie_self_join(words: np.ndarray, groups: list[tuple[int, int]] | np.ndarray, budget: int, cross: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows, within each group, whose signatures differ in ``budget`` bits at most.
+def trie_self_join(words: np.ndarray, groups: list[tuple[int, int]] | np.ndarray, budget: np.ndarray | int, seen: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, within each group, whose first d bits differ in ``budget[d]`` bits at most, for every depth d (or in one
+    budget at every depth).
 
     ``words``: signatures, sorted within each group ``[lo, hi)``, so that a range of rows that agree in the first d bits
     is a node at depth d of the group's binary trie. Pairs of nodes are traversed together, level by level: children on
     equal bits keep the errors, children on unequal bits add one, and a pair over the budget is pruned. All groups go
-    down at once in vectors; a frontier that grows too long is cut and the rest waits on a stack.
+    down at once in vectors; a frontier that grows too long is cut and the rest waits on a stack. Paths are compressed: two
+    nodes of one row each have no branches left and go down a word at a time. ``seen`` counts ``pairs`` of rows, those
+    ``pruned`` above the last level, and the ``levels`` at which they were, summed.
     """
     groups = np.asarray(groups, np.int64).reshape(-1, 2)
     n_bits = words.shape[1] * 64
     ones: dict[int, np.ndarray] = {}
+    seen = {} if seen is None else seen
+    budget = np.full(n_bits + 1, budget) if np.ndim(budget) == 0 else budget
 
     def ones_before(depth: int) -> np.ndarray:
         if depth not in ones:
@@ -120,25 +127,36 @@ def trie_self_join(words: np.ndarray, groups: list[tuple[int, int]] | np.ndarray
             ones[depth] = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
         return ones[depth]
 
-    def leaves(f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for at in range(0, len(f), 50_000):
-            a, b, c, d = f[at : at + 50_000, :4].T
-            wide = d - c
-            total = (b - a) * wide
-            which = np.repeat(np.arange(len(total)), total)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(total) - total, total)
-            i, j = a[which] + k // wide[which], c[which] + k % wide[which]
-            keep = i < j
-            i, j = i[keep], j[keep]
-            differ = np.zeros(len(i), np.int64)
-            for w in range(words.shape[1]):
-                differ += np.bitwise_count(words[i, w] ^ words[j, w])
-                near = differ <= budget
-                if not near.all():
-                    i, j, differ = i[near], j[near], differ[near]
-            yield i, j
-
+    def pruned(pairs: int, depth: int) -> None:
+        seen["pruned"] = seen.get("pruned", 0) + pairs
+        seen["levels"] = seen.get("levels", 0) + pairs * depth
+
+    def leaves(f: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        i, j = f[:, 0], f[:, 2]
+        differ = np.zeros(len(i), np.int64)
+        for w in range(words.shape[1]):
+            differ += np.bitwise_count(words[i, w] ^ words[j, w])
+            near = differ <= budget[64 * (w + 1)]
+            if not near.all():
+                if w + 1 < words.shape[1]:
+                    pruned(int((~near).sum()), max(depth, 64 * (w + 1)))
+                i, j, differ = i[near], j[near], differ[near]
+        return i, j
+
+    def spread(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At the last level, all pairs under a pair of nodes: rows with equal signatures."""
+        a, b, c, d = f[:, :4].T
+        wide = d - c
+        total = (b - a) * wide
+        which = np.repeat(np.arange(len(total)), total)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(total) - total, total)
+        i, j = a[which] + k // wide[which], c[which] + k % wide[which]
+        keep = (a[which] != c[which]) | (i < j)
+        return i[keep], j[keep]
+
+    rows_of = lambda f: np.where(f[:, 0] == f[:, 2], (f[:, 1] - f[:, 0]) * (f[:, 1] - f[:, 0] - 1) // 2, (f[:, 1] - f[:, 0]) * (f[:, 3] - f[:, 2]))
     start = np.column_stack([groups, groups, np.zeros(len(groups), np.int64)])
+    seen["pairs"] = seen.get("pairs", 0) + int(rows_of(start).sum())
     stack = [(0, start)]
     while stack:
         depth, f = stack.pop()
@@ -147,10 +165,14 @@ def trie_self_join(words: np.ndarray, groups: list[tuple[int, int]] | np.ndarray
                 stack.append((depth, f[len(f) // 2 :]))
                 f = f[: len(f) // 2]
                 continue
-            small = ((f[:, 1] - f[:, 0]) * (f[:, 3] - f[:, 2]) <= LEAF_PAIRS) | (depth >= n_bits)
-            if small.any():
-                yield from leaves(f[small])
-                f = f[~small]
+            if depth == n_bits:
+                for at in range(0, len(f), 20_000):
+                    yield spread(f[at : at + 20_000])
+                break
+            single = (f[:, 1] - f[:, 0] == 1) & (f[:, 3] - f[:, 2] == 1)
+            if single.any():
+                yield leaves(f[single & (f[:, 0] != f[:, 2])], depth)
+                f = f[~single]
                 if not len(f):
                     break
             before = ones_before(depth)
@@ -160,8 +182,12 @@ def trie_self_join(words: np.ndarray, groups: list[tuple[int, int]] | np.ndarray
             parts = [np.column_stack(x) for x in ((a, p, c, q, e), (p, b, q, d, e), (a, p, q, d, e + 1), (p, b, c, q, e + 1))]
             parts[3] = parts[3][~same]
             f = np.concatenate(parts)
-            f = f[(f[:, 1] > f[:, 0]) & (f[:, 3] > f[:, 2]) & (f[:, 4] <= budget)]
+            f = f[(f[:, 1] > f[:, 0]) & (f[:, 3] > f[:, 2])]
             depth += 1
+            over = f[:, 4] > budget[depth]
+            if over.any():
+                pruned(int(rows_of(f[over]).sum()), depth)
+                f = f[~over]
 
 
 def _signatures(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
@@ -188,14 +214,17 @@ def _signatures(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame
     return map_batches(picked, run, f"id {kind}, key string, fp binary, size int, sig binary, bands array<bigint>")
 
 
-def _candidates(reps: DataFrame, budget: int) -> DataFrame:
+def _candidates(reps: DataFrame, budget: np.ndarray) -> DataFrame:
     """Pairs of representatives that the trie self-join leaves, each once."""
     kind = reps.schema["rep"].dataType.simpleString()
     rows = reps.select(F.explode("bands").alias("band"), "rep", "sig")
     # groups too large for one task are cut into blocks; each pair of blocks is a cell of its own
     large = rows.groupBy("band").count().where(F.col("count") > BLOCK).select("band", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     large = materialize(large, "hot-bands")
-    if large.limit(1).count():
+    any_large = bool(large.limit(1).count())
+    if not any_large:
+        drop_materialized(large)
+    if any_large:
         hot = F.broadcast(large) if pretty_size(large) < 8 << 20 else large
         rows = rows.join(hot, "band", "left")
         mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -254,6 +283,27 @@ def _candidates(reps: DataFrame, budget: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _rarest_runs(records: DataFrame, threshold: float) -> DataFrame:
+    """``bands`` of the exact join: of n runs the n - ⌈threshold·n⌉ + 1 that fewest records hold (ties by hash). Two sets of
+    at least that similarity share one of them."""
+    kind = records.schema["rep"].dataType.simpleString()
+
+    def run(reps: pa.Array, keys: pa.Array):
+        for r, k in zip(reps, keys.to_pylist()):
+            runs = run_hashes(k).view(np.int64)
+            yield {"rep": pa.array([r.as_py()] * len(runs), reps.type), "run": runs}
+
+    spread = materialize(map_batches(records.select("rep", "key"), run, f"rep {kind}, run bigint"), "runs")
+    held = spread.groupBy("run").agg(F.count("*").alias("held")).where("held > 1")
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "run")))
+    # as many runs as one text has, whatever the size of the table
+    per = spread.join(held, "run", "left").groupBy("rep").agg(ordered.alias("runs"))
+    size = F.size("runs")
+    first = F.slice("runs", 1, (size - F.ceil(size * F.lit(threshold) - 1e-9) + 1).cast("int"))
+    bands = per.select("rep", F.transform(F.filter(first, lambda r: r["held"] > 1), lambda r: r["run"]).alias("bands"))
+    return records.select("rep", "sig").join(bands, "rep")
+
+
 class NearDuplicates:
     """Near-duplicate records of a table.
 
@@ -262,10 +312,11 @@ class NearDuplicates:
 
     ``id_col`` must be unique (see ``one_per_key``); rows with a null id are left out. Null fields count as empty; a key
     text of fewer than nine characters has no runs, so it is like nothing else, not even its own copies. Copies are
-    joined once, by their representative. Other columns are ignored; an empty table gives empty results.
+    joined once, by their representative. Other columns are ignored; an empty table gives empty results. ``exact``: lose no
+    pair, at the price of a shuffle of some ``1 - threshold`` of all runs in place of ``BANDS`` values a record.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.6):
+    def __init__(self, docs: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.6, exact: bool = False):
         self.id_col, self.threshold = id_col, threshold
         self.kind = docs.schema[id_col].dataType.simpleString()
         signed = materialize(_signatures(docs, id_col, text_cols), "signatures").where("size > 0")
@@ -273,7 +324,12 @@ class NearDuplicates:
         self.members = materialize(signed.select("id", "fp").join(least, "fp").select("id", "rep"), "members")
         reps = self.members.where("id = rep").select("rep")
         signed = signed.withColumnRenamed("id", "rep")
-        pairs = materialize(_candidates(signed.select("rep", "sig", "bands").join(reps, "rep", "left_semi"), error_budget(threshold)), "candidates")
+        chosen = signed.join(reps, "rep", "left_semi")
+        if exact:
+            chosen, budget = _rarest_runs(chosen, threshold), np.arange(WORDS * 64 + 1)
+        else:
+            budget = error_budget(threshold)
+        pairs = materialize(_candidates(chosen.select("rep", "sig", "bands"), budget), "candidates")
         self.links = materialize(self._verified(pairs, signed.select("rep", "key", "size")), "links")
         drop_materialized(pairs)  # members and links are all that is read from here on
         drop_materialized(signed)

@@ -159,6 +159,12 @@ w AS (SELECT article_id, unnest({_TERMS.replace("{}", "t", 1)}) term FROM a),
 c AS (SELECT term, count(*) occurrences, count(DISTINCT article_id) records FROM w GROUP BY 1),
 m AS (SELECT c.*, CASE WHEN records <= 2 THEN 'rare' WHEN records > (SELECT count(*) FROM a) / 2.0 THEN 'common' END mark FROM c)"""
 
+_KEYS = f"""a AS (SELECT article_id, regexp_replace({_CLEAN.format("coalesce(any_value(title), '') || ' ' || coalesce(any_value(text), '')")}, '[^\\p{{L}}\\p{{N}}]', '', 'g') s FROM articles GROUP BY 1)"""
+_NEAR = """g AS (SELECT DISTINCT {id}, substr(s, i, 9) g FROM (SELECT {id}, s, unnest(range(1, length(s) - 7)) i FROM {of})),
+n AS (SELECT {id}, count(*) n FROM g GROUP BY 1),
+c AS (SELECT x.{id} p, y.{id} q, count(*) k FROM g x JOIN g y ON x.g = y.g AND x.{id} < y.{id} GROUP BY 1, 2),
+near AS (SELECT p, q FROM c JOIN n a ON a.{id} = p JOIN n b ON b.{id} = q WHERE k >= 0.6 * (a.n + b.n - k))"""
+
 SQL: dict[str, str] = {
     "p1_found": r"""WITH a AS (SELECT article_id, any_value(text) t FROM articles GROUP BY 1)
 SELECT article_id, limit_id, 'over' AS kind FROM a, split_limits WHERE length(t) > max_chars
@@ -181,11 +187,11 @@ k AS (SELECT s.field, category, coalesce(n.n, 0) AS available, greatest(min_coun
 SELECT field, category, available, needed, least(available, needed) AS drawn, greatest(0, needed - available) AS lacking FROM k""",
     "p4_found": f"WITH {_TERM_COUNTS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p4_terms": f"WITH {_TERM_COUNTS} SELECT term, occurrences, records, mark FROM m",
-    "p6_found": f"""WITH a AS (SELECT article_id, regexp_replace({_CLEAN.format("coalesce(any_value(title), '') || ' ' || coalesce(any_value(text), '')")}, '[^\\p{{L}}\\p{{N}}]', '', 'g') s FROM articles GROUP BY 1),
-g AS (SELECT DISTINCT article_id, substr(s, i, 9) g FROM (SELECT article_id, s, unnest(range(1, length(s) - 7)) i FROM a)),
-n AS (SELECT article_id, count(*) n FROM g GROUP BY 1),
-c AS (SELECT x.article_id p, y.article_id q, count(*) k FROM g x JOIN g y ON x.g = y.g AND x.article_id < y.article_id GROUP BY 1, 2)
-SELECT p article_id_a, q article_id_b FROM c JOIN n a ON a.article_id = p JOIN n b ON b.article_id = q WHERE k >= 0.6 * (a.n + b.n - k)""",
+    "p6_found": f"""WITH {_KEYS}, {_NEAR.format(id="article_id", of="a")} SELECT p article_id_a, q article_id_b FROM near""",
+    "p6_classes": f"""WITH RECURSIVE {_KEYS}, r AS (SELECT s, min(article_id) rep, count(*) copies FROM a WHERE length(s) >= 9 GROUP BY 1), {_NEAR.format(id="rep", of="r")},
+b AS (SELECT p, q FROM near UNION ALL SELECT q, p FROM near), w AS (SELECT rep p, rep q FROM r UNION SELECT w.p, b.q FROM w JOIN b ON b.p = w.q),
+l AS (SELECT p rep, min(q) class_id FROM w GROUP BY 1), k AS (SELECT p rep, count(*) n FROM b GROUP BY 1)
+SELECT article_id, class_id, copies, coalesce(k.n, 0) AS links FROM a JOIN r USING (s) JOIN l USING (rep) LEFT JOIN k USING (rep)""",
     "p8_found": f"""WITH w AS (SELECT item_id, {_WORDS.format("text")} w FROM benchmark), d AS (SELECT doc_id, {_WORDS.format("text")} w FROM documents),
 g AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) i FROM w)),
 h AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) i FROM d)),
