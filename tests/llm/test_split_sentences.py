@@ -96,3 +96,30 @@ def test_sentence_rows(spark):
     df = spark.createDataFrame([(1, "A b. C d.", 0), (1, "A b. C d.", 0), (2, None, 0), (None, "Z.", 0)], "k long, t string, sentence int")
     assert sorted(rows(sentences(df, "k", "t")), key=str) == sorted([(1, 0, 0, 4, "A b."), (1, 1, 5, 9, "C d.")] * 2 + [(None, 0, 0, 2, "Z.")], key=str)
     assert sentences(df.limit(0), "k", "t").count() == 0
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["She said no.", "He left."],
+        ["We love modern art.", "The museum is open."],
+        ["It was 5 mm.", "The next was 6."],
+        ["He lives on Main St.", "She does not."],
+        ["It was No. 5 in the list of the day.", "No."],
+        ["See art. 5 of the law.", "St. Poe wrote it."],
+        ["Die Länge ist 5 mm.", "Das ist Nr. 6.", "Er wohnt in der Poestr.", "Sie nicht."],
+        ["Le quai no. 3 est dans la baie.", "Il dit non.", "M. Poe et Mme. Roe sont là."],
+        ["Это было 5 см.", "Потом 6.", "См. рис. 3."],
+        [f"The file is at {'a' * 400}/b.Cde for now.", "It is open."],
+    ],
+)
+def test_abbreviations_go_by_language_and_case(parts):
+    assert cut(" ".join(parts)) == parts
+
+
+def test_a_long_token_is_read_once():
+    import time
+
+    began = time.perf_counter()
+    assert len(sentence_ends("ab.c" * 100_000)) == 1
+    assert time.perf_counter() - began < 20

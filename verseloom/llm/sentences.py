@@ -1,13 +1,14 @@
 """Sentence boundaries across languages and scripts.
 
 The rules are the character-property sentence breaks of Unicode annex 29 (the classes come from the property tables of
-the ``regex`` module, so every script's terminators are covered), with these tailorings: abbreviation suppression,
-quotations kept whole, blank lines as hard breaks, Thai spaces, and full stops whose space was lost.
+the ``regex`` module, so every script's terminators are covered), with these tailorings: abbreviation suppression by the
+text's language, quotations kept whole, blank lines as hard breaks, Thai spaces, and full stops whose space was lost.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 import regex
@@ -16,29 +17,61 @@ from pyspark.sql import functions as F
 
 from verseloom.runtime import map_batches
 
-#: Abbreviations that never end a sentence, without their last full stop, in lower case.
-NEVER_END = frozenset(
-    "mr mrs ms dr prof st no nos fig figs vol vols pp vs approx ca cf al ed eds gen col sgt capt lt rev hon gov sen rep "
-    "e.g i.e eg ie viz "
-    "sr sra srta dra d.ª pág págs núm av "
-    "m mm mme mlle p p.ex ex no art chap "
-    "nr bzw z z.b d.h u.a str hr fr abb bd vgl "
-    "г ул д т т.е т.д т.п им стр рис см гг пр "
-    "د أ م डॉ श्री".split()
-)
+#: Function words by which the language of a text in Latin script is told.
+FUNCTION_WORDS = {
+    "en": "the and of to in was is that for with on by as it at from his are",
+    "de": "der die und das den nicht mit von ist ein im zu des dem auf sich eine in an am er sie wie",
+    "fr": "le la les de et des une un est dans pour que du qui au en ce il sur sauf pas dit",
+    "es": "el la los las de y del que un una por con en se lo su para dice",
+    "it": "il la le di che della per gli non con sono nel un una è si del",
+    "pt": "o a os as de e do da que um uma não com em ao se por",
+    "nl": "de het een en van niet met voor zijn op dat te is in",
+}
+#: Abbreviations that stand before what they belong to, by language, as they are written.
+BEFORE = {
+    "en": "Mr Mrs Ms Dr Prof Sgt Capt Lt Col Gen Rev Hon Gov Sen Rep Messrs St Mt vs approx ca cf al ed eds viz e.g i.e eg ie",
+    "de": "Dr Prof Hr Fr Frl St bzw vgl ca z z.B d.h u.a i.d.R sog evtl inkl bd",
+    "fr": "M MM Mme Mmes Mlle Mlles Dr Pr Me St Ste cf av ca env ex p.ex c.-à-d",
+    "es": "Sr Sra Sres Srta Dr Dra D D.ª Dña Ud Uds Av Avda Gral aprox ca p.ej",
+    "it": "Sig Sig.ra Sigg Dott Dott.ssa Prof Ing Avv S cfr ca es p.es",
+    "pt": "Sr Sra Srs Dr Dra Prof Profa Eng Av aprox ca p.ex",
+    "nl": "Dhr Mevr Mw Dr Prof Mr St ca bijv bv vgl d.w.z o.a",
+    "": "г гг ул д т т.е т.д т.п им см пр тов проф د أ م डॉ श्री",
+}
+#: Abbreviations that stand before a number; elsewhere their full stop ends a sentence.
+NUMBERED = {
+    "en": "no nos fig figs vol vols p pp art ch chap sec eq",
+    "de": "nr abb bd bde str kap art abs tab",
+    "fr": "no nos n fig vol p pp art chap",
+    "es": "núm núms pág págs n.º fig vol art cap",
+    "it": "n nn pag pagg fig vol art cap",
+    "pt": "n núm pág págs fig vol art cap",
+    "nl": "nr blz fig art hfst",
+    "": "стр рис табл гл ст",
+}
 #: Abbreviations that end a sentence only where a capital or another script's sentence follows.
 MAY_END = frozenset("a.m p.m inc ltd co corp etc usw u.s jr bros dept univ".split())
+_MARKS = {lang: {form: kind for kind, table in (("before", BEFORE), ("number", NUMBERED)) for w in table[lang].split() for form in (w, w[:1].upper() + w[1:], w.upper() if len(w) > 1 else w)} for lang in BEFORE}
+_KNOWN = frozenset(w for table in _MARKS.values() for w in table)
+_LANGUAGES: dict[str, list[str]] = {}
+for _lang, _ws in FUNCTION_WORDS.items():
+    for _w in _ws.split():
+        _LANGUAGES.setdefault(_w, []).append(_lang)
+_FUNCTION = re.compile(r"\b(?:" + "|".join(sorted(_LANGUAGES)) + r")\b", re.IGNORECASE)
 #: Month names after a German ordinal.
 GERMAN_MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 #: Opening quotation marks and the marks that close them.
 QUOTES = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "‘": "’", "‹": "›", "《": "》", '"': '"', "（": "）", "(": ")"}
 
-_STERM = r"[\p{SB=STerm}]"
+#: Characters that a token is first read back for; more are read only to see whether it is an address.
+TOKEN = 200
 _MARK = regex.compile(r"(?:[\p{SB=STerm}\p{SB=ATerm}…])+")
 _BLANK = re.compile(r"(?:\r\n|\n|\r|\u2028|\u2029)[^\S\r\n\u2028\u2029]*(?:(?:\r\n|\n|\r|\u2028|\u2029)[^\S\r\n\u2028\u2029]*)+")
 _CLOSE = regex.compile(r"[\p{SB=Close}\p{SB=Extend}\p{SB=Format}]*")
 _SPACE = regex.compile(r"\s*")
-_TOKEN = regex.compile(r"[^\s\p{SB=Close}¿¡,;:]*\Z")
+_PART = regex.compile(r"[\s\p{SB=Close}¿¡,;:]")
+_TOKEN = regex.compile(r"(?r)[^\s\p{SB=Close}¿¡,;:]*")
+_WORD_BEFORE = regex.compile(r"(?r)([\p{L}\p{N}]+)\s+")
 _THAI = regex.compile(r"(?<=\p{Thai})[ \u00a0]+(?=\p{Thai}|\p{Lu}|[0-9])|(?<=[0-9])[ \u00a0]+(?=\p{Thai})")
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
 _SKIP = regex.compile(r"[^\p{L}\p{N}\s\p{STerm}]*")
@@ -75,8 +108,64 @@ def _quotations(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _ends(text: str) -> list[int]:
-    """End offsets of the sentences of one paragraph that holds no blank line."""
+def language(*texts: str) -> str:
+    """The language of a text in Latin script, by its function words: that of the first of the texts given, from near to
+    far, in which one language has two words or more, and more than any other; English where there is none."""
+    for text in texts:
+        votes = Counter(lang for w in _FUNCTION.findall(text) for lang in _LANGUAGES[w.lower()]).most_common(2)
+        if votes and votes[0][1] > 1 and (len(votes) < 2 or votes[0][1] > votes[1][1]):
+            return votes[0][0]
+    return "en"
+
+
+def _is_name_or_unit(text: str, start: int, at: int, token: str) -> bool:
+    """Whether a token that is mostly a title belongs to the word before it: a street's name, or a measure."""
+    before = _WORD_BEFORE.match(text, max(start, at - TOKEN), at)
+    if not before:
+        return False
+    word = before.group(1)
+    if token == "St":
+        return word[:1].isupper() and before.start(1) > start and text[start : before.start(1)].strip() != ""
+    return token in ("см", "м") and word[-1:].isdigit()
+
+
+class _Text:
+    """A text and its tokens before full stops."""
+
+    def __init__(self, text: str):
+        self.text, self.long = text, (0, 0, False)
+
+    def abbreviation(self, token: str, part: str, start: int, at: int) -> str | None:
+        """``before`` or ``number`` if the token is an abbreviation of the language of the sentence at hand, else of its
+        paragraph, else of the text."""
+        if token not in _KNOWN:
+            return None
+        return _MARKS[""].get(token) or _MARKS[language(part[start : at + TOKEN // 2], part, self.text)].get(token)
+
+    def token(self, part: str, at: int) -> tuple[str, bool]:
+        """What stands before ``at`` without a space or bracket, and whether it looks like an address. Of a token of more
+        than ``TOKEN`` characters, which is no abbreviation, only the end is given; marks are sought in all of it, but
+        never twice in the same characters."""
+        found = part[max(0, at - TOKEN) : at]
+        if not found or found[-1].isspace():
+            return "", False
+        found = found.rsplit(None, 1)[-1]
+        if not found.isalnum():
+            found = _TOKEN.match(found).group()
+        if len(found) < TOKEN:
+            return found, "/" in found or "@" in found or "." in found
+        first, seen, marked = self.long
+        if not first < at - TOKEN <= seen or seen > at or _PART.search(part, seen, at):
+            first = seen = _TOKEN.match(part, 0, at).start()
+            marked = False
+        rest = part[seen:at]
+        self.long = (first, at, marked or "/" in rest or "@" in rest or "." in rest)
+        return found, self.long[2]
+
+
+def _ends(text: str, whole: _Text) -> list[int]:
+    """End offsets of the sentences of one paragraph of the text ``whole``, which holds no blank line."""
+    whole.long = (0, 0, False)
     out: list[int] = []
     spans = _quotations(text)
     k = 0  # the first quotation that isn't behind
@@ -123,19 +212,23 @@ def _ends(text: str) -> list[int]:
         if soft:
             if lower:
                 continue
-            token = _TOKEN.search(text, max(0, a - 60), a).group().lstrip("(¿¡-–—'’").lower()
-            plain = token.rstrip(".")
+            token, url = whole.token(text, a)
+            token = token.lstrip("(¿¡-–—'’")
+            bare = token.rstrip(".")
+            plain = bare.lower()
             if gap == end:  # no white space after it
                 head = text[gap : gap + 2]
                 word = regex.search(r"\p{L}*\Z", token).group()
-                url = "/" in token or "@" in token or "." in token
                 if _UNSPACED.match(rest):
                     pass
                 elif url or len(word) < 3 or not (head[:1].isupper() and head[1:2].islower()) or len(mark) > 1:
                     if len(mark) == 1 or not head[:1].isupper():
                         continue
             elif len(mark) == 1 and mark in ".．":
-                if plain in NEVER_END:
+                kind = whole.abbreviation(bare, text, start, gap)
+                if kind == "number" and regex.match(r"[\p{N}IVXLC#(]", text, pos=gap):
+                    continue
+                if kind == "before" and not _is_name_or_unit(text, start, a - len(token), bare):
                     continue
                 if plain in MAY_END and not letter[:1].isupper() and not regex.match(r"\p{Lo}", letter[:1] or " "):
                     continue
@@ -163,11 +256,11 @@ def sentence_ends(text: str | None) -> list[int]:
         back = [i for i, c in enumerate(text) if c not in "\u00ad\u200b"]
         text = "".join([text[i] for i in back])
     out: list[int] = []
-    at = 0
+    at, whole = 0, _Text(text)
     for m in _BLANK.finditer(text):
-        out += [at + e for e in _ends(text[at : m.start()])]
+        out += [at + e for e in _ends(text[at : m.start()], whole)]
         at = m.end()
-    out += [at + e for e in _ends(text[at:])]
+    out += [at + e for e in _ends(text[at:], whole)]
     return [back[e - 1] + 1 for e in out] if back is not None else out
 
 
