@@ -180,3 +180,39 @@ def test_without_labels_the_lexicon_decides(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     assert AB.labelled_sample(docs, "doc_id", "text", labels, "toxic") == []
+
+
+def test_short_terms_and_scripts_without_spaces_are_read():
+    r = AB.Reader(AB.LexiconTrie(dict.fromkeys(["cunt", "kill", "笨蛋", "moron"], 1.0)), frozenset({"hill", "will"}))
+    assert r.windows("cumt kiil")[0] == ["cunt", "kill"]  # one letter of four, the first one right
+    assert r.windows("bill hill unt kil")[0] == ["bill", "hill", "unt", "kil"]
+    assert r.windows("你是笨蛋吗")[0] == ["你", "是", "笨蛋", "吗"]
+
+
+def test_batch_scores_equal_single_scores_and_count_features_once():
+    model = AB.fit_abuse_model(_labelled(300, 4))
+    texts = [t for t, _ in _labelled(60, 5)] + [None, "", "moron " * 100, "The mayor. " * 500 + "You filthy moron, get out."]
+    scores, hits = model.scores(texts)
+    assert [model.score(t) for t in texts] == [(float(s), int(h)) for s, h in zip(scores, hits)]
+    assert hits[-2] == 100 and hits[-1] == 2 and scores[-4] == scores[-3] < 0.01
+
+    def logit(window):  # plain: distinct words and pairs
+        known = lambda w: model.vocabulary.get(w, -1)
+        pairs = {known(a) << 32 | known(b) for a, b in zip(window, window[1:]) if known(a) >= 0 and known(b) >= 0}
+        weight = dict(zip(model.pair_keys.tolist(), model.pair_weights.tolist()))
+        return model.bias + sum(model.word_weights[known(w)] for w in set(window)) + sum(weight.get(p, 0.0) for p in pairs)
+
+    for t, s in zip(texts, scores):
+        want = max([logit(w) for w in model.reader.windows(t)], default=-30.0)
+        assert s == pytest.approx(1 / (1 + np.exp(-want)), abs=1e-9)
+
+
+def test_model_is_saved_and_columns_kept(spark, tmp_path):
+    model = AB.fit_abuse_model(_labelled(200, 6))
+    AB.save_abuse_model(spark, model, f"{tmp_path}/model")
+    df = spark.createDataFrame([(1, "You filthy moron, get out.", "a"), (1, "The mayor.", "b")], "k long, t string, source string")
+    got = AB.score_abuse(df, "k", "t", AB.load_abuse_model(spark, f"{tmp_path}/model"), keep=["source"])
+    assert sorted((r.k, r.source, r.flagged) for r in got.collect()) == [(1, "a", True), (1, "b", False)]
+    assert [r.score for r in got.orderBy("source").collect()] == model.scores(["You filthy moron, get out.", "The mayor."])[0].tolist()
+    with pytest.raises(ValueError):
+        AB.score_abuse(df.withColumnRenamed("source", "score"), "k", "t", model, keep=["score"])

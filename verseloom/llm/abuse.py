@@ -12,32 +12,61 @@ import pickle
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verseloom.runtime import map_batches
 
-#: The lexicon, by kind.
+#: The lexicon, common knowledge of each language, by kind; a line for each of English, German, French,
+#: Spanish, Italian, Portuguese, Russian, and scripts without capitals.
 LEXICON = {
-    "insult": "idiot moron imbecile jackass scumbag bastard shithead asshole arsehole cretin halfwit loser wretch dimwit fool pig swine twat wanker prick "
-    "dickhead dumbass retard trash garbage scum filth crap "
-    "vollidiot versager arschloch dreckskerl mistkerl wichser schwachkopf trottel fresse "
-    "connard ordure salaud abruti gueule enculé crétin ferme espèce "
-    "imbécil basura idiota cabrón gilipollas pendejo estúpido cállate pedazo "
-    "идиот урод мразь тупой свинья дурак ублюдок сволочь дебил заткнись тварь скотина",
-    "sexual": "slut whore bitch cunt fuck fucking fucked cock dick pussy tits porn xxx horny orgasm orgasms blowjob cum hardcore nude naked anal oral escort jerking sex breasts moaned licked stroked suck wet lovers uncensored amateur erotic lust",
-    "hate": "vermin subhuman subhumans parasites cockroaches rats ungeziefer ratas vermine untermenschen rotten filthy disgusting pathetic worthless brainless ugly dreckiger elender грязная breed cages exterminate deported animals disease infest stinking chasse vertrieben echarlos",
-    "threat": "kill shoot bullet knife beaten bleed choke smash strangle stab murder slaughter wiped verpiss beg bleeding throat teeth hang hunt burn drown",
+    "insult": "idiot moron imbecile bastard scumbag asshole arsehole jackass dickhead dumbass shithead motherfucker twat wanker prick retard retarded scum stupid pathetic worthless loser coward liar filthy disgusting "
+    "idiot vollidiot arschloch wichser schwachkopf trottel dreckskerl mistkerl schlampe versager hurensohn "
+    "connard connasse salaud salope enculé crétin imbécile abruti ordure débile "
+    "imbécil idiota cabrón gilipollas pendejo estúpido mierda hijoputa "
+    "stronzo coglione bastardo cretino deficiente vaffanculo "
+    "babaca otário canalha burro merda "
+    "идиот дурак дебил урод мразь сволочь ублюдок тварь скотина гнида "
+    "白痴 笨蛋 混蛋 傻逼 废物 人渣 馬鹿 バカ アホ クズ 死ね ゴミ غبي أحمق حقير كلب कुत्ता कमीना बेवकूफ गधा โง่ เหี้ย สัตว์",
+    "sexual": "slut whore bitch cunt fuck fucking fucked cock dick pussy tits porn porno xxx horny orgasm blowjob handjob cum cumshot nude naked anal hardcore masturbate erection "
+    "ficken fotze schwanz titten nackt geil "
+    "baise baiser bite chatte pute nichons "
+    "puta follar coño polla tetas "
+    "cazzo figa troia scopare "
+    "caralho buceta foda "
+    "шлюха сука блядь хуй пизда ебать трахать голая "
+    "色情 裸体 做爱 エロ セックス سكس شرموطة सेक्स เย็ด",
+    "hate": "vermin subhuman subhumans parasites parasite cockroaches inferior savages infest deport exterminate "
+    "ungeziefer untermensch untermenschen abschaum parasiten pack "
+    "vermine racaille parasites sous-hommes "
+    "alimañas escoria parásitos "
+    "parassiti feccia vermes escória "
+    "паразиты нелюди недочеловеки "
+    "害虫 寄生虫 حشرات कीड़े",
+    "threat": "kill murder shoot stab strangle slaughter hang burn smash throat "
+    "umbringen töten erschießen abstechen "
+    "tuer égorger buter "
+    "matar degollar "
+    "ammazzare uccidere matar "
+    "убью убить зарежу прибью "
+    "杀死 殺す اقتل",
 }
-#: Words that mark a report, a quotation for study, or a clinical, legal, art or technical use.
+#: Common words of reports, quotations for study, and clinical, legal and art writing, in the same languages.
 CONTEXT = (
-    "court tribunal fined heard described leaflet banned coders coded codebook marked insults pupils hostile reads calling museum portraits school surgeon "
-    "explained tissue examined ward engineers process farm survivor told threatened comet visible eye file cuts unit gender"
+    "court judge tribunal lawsuit convicted sentenced police reported report according quote quoted quotes word term definition dictionary study studied research researchers survey paper corpus annotators codebook "
+    "labelled moderation moderators banned policy patient patients diagnosis clinical medical surgeon anatomy examined novel painting sculpture museum gallery exhibition historian historians metaphor lecture archive "
+    "gericht richter urteil laut bericht zitat wort begriff studie forschung patient klinisch museum roman "
+    "tribunal juge jugement rapport selon citation mot terme étude recherche patient clinique musée roman "
+    "juez sentencia informe según cita palabra término estudio paciente clínico museo novela "
+    "tribunale giudice rapporto secondo citazione parola termine studio paziente clinico museo romanzo "
+    "juiz relatório segundo citação palavra termo estudo paciente clínico museu romance "
+    "суд судья согласно цитата слово термин исследование пациент клинический музей роман"
 ).split()
 #: Look-alikes of Latin letters, and digits and signs written for letters.
 LOOKALIKES = str.maketrans("авеікмнорсстухѕјԁԛԝαβεικνορτυχ", "abeikmhopcctyxsjdqwabeikvoptux")
@@ -50,26 +79,31 @@ SEED_WEIGHT, CONTEXT_WEIGHT = 3.0, -2.0
 #: A label of abuse whose best window stays under this log odds after two rounds is taken for an error.
 DOUBT = -0.5
 
-_HIDDEN = dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff"))
+_HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _SPELLED = regex.compile(r"(?<![\p{L}\p{M}])\p{L}(?:([ .\-_*])\p{L}\p{M}*)(?:\1\p{L}\p{M}*)+(?![\p{L}\p{M}])")
 _SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?…])[\"”»’)]*\s+|(?<=[。！？।])")
 _WORD = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}\p{N}@$*!|]*[\p{L}\p{M}\p{N}*$@]|[\p{L}]|\p{N}+[\p{L}@$*!|][\p{L}\p{N}@$*!|]*|\p{N}+")
 _RUN = re.compile(r"(.)\1{2,}")
 _MIXED = (regex.compile(r"[a-z]"), regex.compile(r"[\p{Cyrillic}\p{Greek}]"))
-_UNCASED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Arabic}\p{Devanagari}]")
+_UNCASED = regex.compile(r"[\p{Arabic}\p{Devanagari}]")
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
+_SIGN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]\p{M}*ー?|[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+")
 
 
 class LexiconTrie:
-    """A trie of terms, searched with the Levenshtein automaton of a word."""
+    """A trie of terms, searched with the Levenshtein automaton of a word; and a trie for each length of terms, as a word
+    is only near terms of about its length."""
 
     def __init__(self, terms: dict[str, float]):
         self.terms = terms
         self.root: dict = {}
+        self.of_length: dict[int, dict] = {}
         for t in terms:
-            node = self.root
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
+            for root in (self.root, self.of_length.setdefault(len(t), {})):
+                node = root
+                for c in t:
+                    node = node.setdefault(c, {})
+                node[""] = t
 
     def near(self, word: str, errors: int) -> str | None:
         """The term within ``errors`` edits of ``word``, nearest first, then by weight. ``*`` stands for any one letter.
@@ -84,9 +118,12 @@ class LexiconTrie:
                 anything |= 1 << (i + 1)
             else:
                 masks[c] = masks.get(c, 0) | 1 << (i + 1)
+        if anything:
+            masks = {c: m | anything for c, m in masks.items()}
         accept, best = 1 << n, None
         full = (1 << (n + 1)) - 1
-        stack = [(self.root, [(1 << (k + 1)) - 1 & full for k in range(errors + 1)])]
+        first = [(1 << (k + 1)) - 1 & full for k in range(errors + 1)]
+        stack = [(self.of_length[size], first) for size in range(max(1, n - errors), n + errors + 1) if size in self.of_length]
         while stack:
             node, states = stack.pop()
             for c, below in node.items():
@@ -97,16 +134,17 @@ class LexiconTrie:
                             best = found if best is None or found < best else best
                             break
                     continue
-                m = masks.get(c, 0) | anything
-                after, before = [], 0
-                for k, s in enumerate(states):
-                    new = (s << 1) & m
-                    if k:
-                        new |= states[k - 1] | states[k - 1] << 1 | before << 1
-                    new &= full
+                m = masks.get(c, anything)
+                s = states[0]
+                new = (s << 1) & m
+                after = [new]
+                for k in range(1, errors + 1):
+                    # a letter read, and one error more: replaced, inserted, or left out
+                    t = states[k]
+                    new = ((t << 1) & m | s | s << 1 | new << 1) & full
                     after.append(new)
-                    before = new
-                if after[-1]:
+                    s = t
+                if new:
                     stack.append((below, after))
         return best[2] if best else None
 
@@ -127,7 +165,11 @@ class LexiconTrie:
 
 def unmasked(text: str) -> str:
     """The text in lower case without hidden characters, and with letters that were spelled out put together."""
-    text = unicodedata.normalize("NFKC", text.translate(_HIDDEN)).lower()
+    if not text.isascii():
+        for c in _HIDDEN:
+            text = text.replace(c, "")
+        text = unicodedata.normalize("NFKC", text)
+    text = text.lower()
     return _SPELLED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), text)
 
 
@@ -142,6 +184,8 @@ class Reader:
             return ("0",)
         if word in self.trie.terms or word in self.ordinary:
             return (word,)
+        if _UNSPACED.search(word):
+            return tuple(self._signs(word))
         w = word
         if _MIXED[0].search(w) and _MIXED[1].search(w):
             w = w.translate(LOOKALIKES)
@@ -156,10 +200,27 @@ class Reader:
             return tuple(parts)
         if "*" in w:
             return (self.trie.near(w, 0) or w,) if sum(c != "*" for c in w) > 1 else (w,)
-        if len(w) >= 5:
-            return (self.trie.near(w, 2 if len(w) >= 9 else 1) or w,)
+        if len(w) >= 4:
+            found = self.trie.near(w, 2 if len(w) >= 9 else 1)
+            # one letter of four is much: the first must be right, and no letter may be lost
+            if found and (len(w) > 4 or (len(found) == 4 and found[0] == w[0])):
+                return (found,)
         return (w,)
 
+    def _signs(self, word: str) -> list[str]:
+        """Scripts without spaces: the longest terms of the lexicon, else sign by sign."""
+        out, at, signs = [], 0, _SIGN.findall(word)
+        while at < len(signs):
+            for n in range(min(6, len(signs) - at), 1, -1):
+                if (term := "".join(signs[at : at + n])) in self.trie.terms:
+                    out.append(term)
+                    at += n
+                    break
+            else:
+                out.append(signs[at])
+                at += 1
+        return out
+
     def words(self, text: str) -> list[str]:
         out: list[str] = []
         for w in _WORD.findall(text):
@@ -171,48 +232,109 @@ class Reader:
             out += r
         return out
 
+    def sentences(self, text: str | None) -> list[list[str]]:
+        """The words of each sentence that has any."""
+        return [ws for x in _SENTENCE.split(unmasked(text or "")) if (ws := self.words(x))]
+
     def windows(self, text: str | None) -> list[list[str]]:
         """The text's sentences as words; a longer one as overlapping windows."""
         out = []
-        for s in _SENTENCE.split(unmasked(text or "")):
-            ws = self.words(s)
-            if len(ws) <= WINDOW:
-                if ws:
-                    out.append(ws)
-            else:
-                out += [ws[i : i + WINDOW] for i in range(0, len(ws) - WINDOW + STEP, STEP)]
+        for ws in self.sentences(text):
+            out += [ws] if len(ws) <= WINDOW else [ws[i : i + WINDOW] for i in range(0, len(ws) - WINDOW + STEP, STEP)]
         return out
 
 
-def _features(window: list[str]) -> list[str]:
-    return list(dict.fromkeys([*window, *(a + " " + b for a, b in zip(window, window[1:]))]))
+class Windows:
+    """The windows of a batch of texts in arrays. Features of a window are its distinct words and pairs of neighbours."""
+
+    def __init__(self, reader: Reader, texts: list[str | None], vocabulary: dict[str, int], grow: bool):
+        words: list[str] = []
+        sizes, docs = [], []
+        for d, text in enumerate(texts):
+            for ws in reader.sentences(text):
+                words += ws
+                sizes.append(len(ws))
+                docs.append(d)
+        if grow:
+            for w in words:
+                vocabulary.setdefault(w, len(vocabulary))
+        get = vocabulary.get
+        self.ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        size, doc = np.array(sizes, np.int64), np.array(docs, np.int64)
+        self.sentence = np.repeat(np.arange(len(size)), size)
+        self.doc_of = doc[self.sentence]
+        follows = self.sentence[1:] == self.sentence[:-1]
+        self.pairs = np.full(len(words), -1, np.int64)
+        known = follows & (self.ids[1:] >= 0) & (self.ids[:-1] >= 0)
+        self.pairs[:-1][known] = self.ids[:-1][known] << 32 | self.ids[1:][known]
+        per = np.where(size <= WINDOW, 1, -(-(size - WINDOW + STEP) // STEP))
+        which = np.repeat(np.arange(len(size)), per)
+        turn = np.arange(len(which)) - np.repeat(np.cumsum(per) - per, per)
+        self.start = (np.cumsum(size) - size)[which] + turn * STEP
+        self.length = np.minimum(WINDOW, size[which] - turn * STEP)
+        self.doc = doc[which]
+        self.word_before, self.pair_before = self._before(self.ids), self._before(self.pairs)
+
+    def _before(self, keys: np.ndarray) -> np.ndarray:
+        """The last position before in the same sentence with the same key, or -1."""
+        order = np.lexsort((keys, self.sentence))  # stable: positions stay in order
+        same = (keys[order][1:] == keys[order][:-1]) & (self.sentence[order][1:] == self.sentence[order][:-1])
+        out = np.full(len(keys), -1, np.int64)
+        out[order[1:][same]] = order[:-1][same]
+        return out
+
+    def _cells(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of the words of some windows, and whether a window's word, and the pair that begins there, is its first."""
+        start = self.start[some][:, None]
+        at = start + np.arange(WINDOW)
+        inside = np.arange(WINDOW) < self.length[some][:, None]
+        at[~inside] = 0
+        pair = inside & (np.arange(WINDOW) < self.length[some][:, None] - 1)
+        return at, inside & (self.word_before[at] < start), pair & (self.pair_before[at] < start)
+
+    def logits(self, word_weights: np.ndarray, pair_weights: np.ndarray, bias: float) -> np.ndarray:
+        """Of every window, from the weights at every position."""
+        out = np.full(len(self.start), bias)
+        for k in range(0, len(out), 50_000):
+            at, word, pair = self._cells(np.arange(k, min(k + 50_000, len(out))))
+            out[k : k + 50_000] += np.where(word, word_weights[at], 0.0).sum(axis=1) + np.where(pair, pair_weights[at], 0.0).sum(axis=1)
+        return out
+
+    def features(self, some: np.ndarray, pair_features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (of ``some``) and features of the chosen windows."""
+        at, word, pair = self._cells(some)
+        rows = np.broadcast_to(np.arange(len(some))[:, None], at.shape)
+        pair &= pair_features[at] >= 0
+        return np.concatenate([rows[word], rows[pair]]), np.concatenate([self.ids[at[word]], pair_features[at[pair]]])
 
 
 class AbuseModel:
     """The fitted weights. ``score`` of a text is the greatest score of its windows, between 0 and 1."""
 
-    def __init__(self, reader: Reader, weights: dict[str, float], bias: float):
-        self.reader, self.weights, self.bias = reader, weights, bias
-
-    def window_logit(self, window: list[str]) -> float:
-        get, total, last, used = self.weights.get, self.bias, None, set()
-        for w in window:
-            if w not in used:
-                used.add(w)
-                total += get(w, 0.0)
-            if last is not None and (x := last + " " + w) not in used:
-                used.add(x)
-                total += get(x, 0.0)
-            last = w
-        return total
+    def __init__(self, reader: Reader, weights: dict[str, float], pairs: dict[tuple[str, str], float], bias: float):
+        self.reader, self.bias = reader, bias
+        known = dict.fromkeys([*weights, *reader.trie.terms, *(w for p in pairs for w in p)])
+        self.vocabulary = {w: i for i, w in enumerate(known)}
+        self.word_weights = np.array([*(weights.get(w, 0.0) for w in known), 0.0])  # the last is for unknown words
+        self.is_term = np.array([*(w in reader.trie.terms for w in known), False])
+        keys = np.array([self.vocabulary[a] << 32 | self.vocabulary[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys = np.append(keys[order], np.int64(-2))
+        self.pair_weights = np.append(np.array(list(pairs.values()), float)[order], 0.0)
+
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The scores, and how many lexicon terms each text holds, disguised ones too."""
+        w = Windows(self.reader, texts, self.vocabulary, grow=False)
+        place = np.searchsorted(self.pair_keys[:-1], w.pairs)
+        pair = np.where(self.pair_keys[place] == w.pairs, self.pair_weights[place], 0.0)
+        best = np.full(len(texts), -30.0)
+        np.maximum.at(best, w.doc, w.logits(self.word_weights[w.ids], pair, self.bias))
+        hits = np.bincount(w.doc_of[self.is_term[w.ids]], minlength=len(texts))
+        return 1 / (1 + np.exp(-best)), hits
 
     def score(self, text: str | None) -> tuple[float, int]:
-        """The score, and how many lexicon terms the text holds, disguised ones too."""
-        best, hits = -30.0, 0
-        for w in self.reader.windows(text):
-            best = max(best, self.window_logit(w))
-            hits += sum(x in self.reader.trie.terms for x in w)
-        return float(1 / (1 + np.exp(-best))), hits
+        scores, hits = self.scores([text])
+        return float(scores[0]), int(hits[0])
 
 
 def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 0.5, steps: int = 200) -> tuple[np.ndarray, float]:
@@ -240,48 +362,69 @@ def fit_abuse_model(labelled: list[tuple[str | None, int]], rounds: int = 4) ->
     for text, y in labelled:
         if not y:
             plain.update(set(_WORD.findall(unmasked(text or ""))))
-    ordinary = frozenset(w for w, n in plain.items() if n >= 3 and w.isalpha())
+    ordinary = frozenset(w for w, n in plain.items() if n >= 3 and w.isalpha() and not _UNSPACED.search(w))
     reader = Reader(LexiconTrie(seeds), ordinary)
-    read = [(reader.windows(t), int(y)) for t, y in labelled]
-    read = [(ws, y) for ws, y in read if ws]
-    bad, good = Counter(), Counter()
-    n_bad = max(1, sum(y for _, y in read))
-    n_good = max(1, len(read) - n_bad)
-    for ws, y in read:
-        (bad if y else good).update({f for w in ws for f in _features(w)})
+    vocabulary: dict[str, int] = {}
+    w = Windows(reader, [t for t, _ in labelled], vocabulary, grow=True)
+    y = np.array([bool(v) for _, v in labelled], bool)
+    held = np.bincount(w.doc, minlength=len(y)) > 0
+    n_bad, n_good = int((y & held).sum()), int((~y & held).sum())
+    if not n_bad or not n_good:
+        return AbuseModel(Reader(reader.trie, ordinary), {**seeds, **dict.fromkeys(CONTEXT, CONTEXT_WEIGHT)}, {}, -4.0)
+    pair_keys = np.unique(w.pairs[w.pairs >= 0])
+    n_words = len(vocabulary)
+    pair_features = np.where(w.pairs >= 0, np.searchsorted(pair_keys, w.pairs) + n_words, -1)
+    total = n_words + len(pair_keys)
     # log odds of the documents that hold it: a first guess at every feature's weight
-    start = {f: max(-1.0, min(3.0, np.log((n + 0.3) / (n_bad + 1)) - np.log((good[f] + 0.3) / (n_good + 1)) - 1)) for f, n in bad.items() if n >= 2}
-    for t in seeds:
-        start[t] = max(start.get(t, 0.0), SEED_WEIGHT)
+    present = np.unique(np.concatenate([w.doc_of * total + w.ids, (w.doc_of * total + pair_features)[pair_features >= 0]]))
+    in_bad = np.bincount(present % total, weights=y[present // total], minlength=total)
+    in_good = np.bincount(present % total, minlength=total) - in_bad
+    odds = np.log((in_bad + 0.3) / (n_bad + 1)) - np.log((in_good + 0.3) / (n_good + 1)) - 1
+    weights = np.where(in_bad >= 2, np.clip(odds, -1.0, 3.0), 0.0)
+    prior = np.zeros(total)
+    is_seed = np.zeros(total, bool)
     for t in CONTEXT:
-        start[t] = min(start.get(t, 0.0), CONTEXT_WEIGHT)
-    model = AbuseModel(reader, start, -3.0)
-    if not any(y for _, y in read) or all(y for _, y in read):
-        return AbuseModel(reader, {**seeds, **dict.fromkeys(CONTEXT, CONTEXT_WEIGHT)}, -4.0)
+        if t in vocabulary:
+            prior[vocabulary[t]] = CONTEXT_WEIGHT
+            weights[vocabulary[t]] = min(weights[vocabulary[t]], CONTEXT_WEIGHT)
+    for t in seeds:
+        if t in vocabulary:
+            prior[vocabulary[t]] = SEED_WEIGHT
+            is_seed[vocabulary[t]] = True
+            weights[vocabulary[t]] = max(weights[vocabulary[t]], SEED_WEIGHT)
+    bias = -3.0
     for turn in range(rounds):
-        chosen, ys = [], []
-        for ws, y in read:
-            if y and turn > 1 and max(map(model.window_logit, ws)) < DOUBT:
-                continue  # most likely a wrong label
-            ranked = sorted(ws, key=model.window_logit, reverse=True)[: 1 if y else 3]
-            chosen += [_features(w) for w in ranked]
-            ys += [y] * len(ranked)
-        seen = Counter(f for fs in chosen for f in fs)
-        index: dict[str, int] = {}
-        rows, cols = [], []
-        for k, fs in enumerate(chosen):
-            for f in fs:
-                if seen[f] >= 2 or f in seeds:
-                    rows.append(k)
-                    cols.append(index.setdefault(f, len(index)))
-        names = list(index)
-        prior = np.array([SEED_WEIGHT if f in seeds else CONTEXT_WEIGHT if f in CONTEXT else 0.0 for f in names])
-        w, b = _fit(np.array(rows, np.int64), np.array(cols, np.int64), np.array(ys, float), prior)
-        weights = dict(zip(names, w.tolist()))
-        for t in seeds:
-            weights.setdefault(t, SEED_WEIGHT)
-        model = AbuseModel(reader, weights, b)
-    return AbuseModel(Reader(reader.trie, ordinary), {f: v for f, v in model.weights.items() if abs(v) > 0.01}, model.bias)
+        logit = w.logits(weights[w.ids], np.where(pair_features >= 0, weights[pair_features], 0.0), bias)
+        order = np.lexsort((-logit, w.doc))
+        first = np.concatenate([[True], w.doc[order][1:] != w.doc[order][:-1]])
+        rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        abusive = y[w.doc[order]]
+        keep = np.where(abusive, rank < 1, rank < 3)
+        if turn > 1:  # an abusive text without an abusive window: most likely a wrong label
+            keep &= ~abusive | (logit[order] >= DOUBT)
+        chosen = order[keep]
+        rows, features = w.features(chosen, pair_features)
+        often = (np.bincount(features, minlength=total) >= 2) | is_seed
+        rows, features = rows[often[features]], features[often[features]]
+        names, cols = np.unique(features, return_inverse=True)
+        fitted, bias = _fit(rows, cols, y[w.doc[chosen]].astype(float), prior[names])
+        weights = np.where(is_seed, SEED_WEIGHT, 0.0)
+        weights[names] = fitted
+    word_of = list(vocabulary)
+    kept = np.flatnonzero(np.abs(weights) > 0.01)
+    words = {**seeds, **{word_of[k]: float(weights[k]) for k in kept if k < n_words}}
+    ends = [(int(pair_keys[k - n_words]), float(weights[k])) for k in kept if k >= n_words]
+    return AbuseModel(Reader(reader.trie, ordinary), words, {(word_of[k >> 32], word_of[k & 0xFFFFFFFF]): v for k, v in ends}, bias)
+
+
+def save_abuse_model(spark: SparkSession, model: AbuseModel, path: str) -> None:
+    """Write a fitted model to a folder, to score any number of tables by it."""
+    spark.createDataFrame([(bytearray(cloudpickle.dumps(model)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_abuse_model(spark: SparkSession, path: str) -> AbuseModel:
+    """A model of :func:`save_abuse_model`. It is unpickled: only load what you trust."""
+    return pickle.loads(spark.read.parquet(path).first().model)
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_col: str, most: int = SAMPLE) -> list[tuple[str | None, int]]:
@@ -292,19 +435,22 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, labels: DataFra
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: r[0])]
 
 
-def score_abuse(docs: DataFrame, id_col: str, text_col: str, model: AbuseModel, threshold: float = 0.4) -> DataFrame:
-    """Every document's id, ``score`` (0 to 1), ``hits`` (lexicon terms it holds, disguised ones too) and ``flagged``.
+def score_abuse(docs: DataFrame, id_col: str, text_col: str, model: AbuseModel, threshold: float = 0.4, keep: Sequence[str] = ()) -> DataFrame:
+    """Every document's id, ``score`` (0 to 1), ``hits`` (lexicon terms it holds, disguised ones too) and ``flagged``, and
+    the columns named in ``keep``.
 
     Whole texts, one row for each row of ``docs``, no shuffle. Null and empty texts score as having no windows, near 0; a
     null id stays null; repeated rows are each scored; other columns are ignored."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    if set(keep) & {"score", "hits", "flagged", id_col}:
+        raise ValueError("a column to keep has the name of a result")
+    kinds = ", ".join(f"__k{n} {docs.schema[c].dataType.simpleString()}" for n, c in enumerate([id_col, *keep]))
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
-    def run(ids: pa.Array, texts: pa.Array, held={}):  # noqa: B006 - one model for all batches of a task
+    def run(*columns: pa.Array, held={}):  # noqa: B006 - one model for all batches of a task
         if not held:
             held["model"] = pickle.loads(shared.value)
-        scored = [held["model"].score(t) for t in texts.to_pylist()]
-        yield {"id": ids, "score": [s for s, _ in scored], "hits": [h for _, h in scored], "flagged": [s >= threshold for s, _ in scored]}
+        scores, hits = held["model"].scores(columns[-1].to_pylist())
+        yield {f"__k{n}": c for n, c in enumerate(columns[:-1])} | {"score": scores, "hits": hits, "flagged": scores >= threshold}
 
-    picked = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    return map_batches(picked, run, f"id {kind}, score double, hits int, flagged boolean").withColumnRenamed("id", id_col)
+    picked = docs.select(*[F.col(f"`{c}`").alias(f"__k{n}") for n, c in enumerate([id_col, *keep])], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    return map_batches(picked, run, f"{kinds}, score double, hits int, flagged boolean").withColumnsRenamed({f"__k{n}": c for n, c in enumerate([id_col, *keep])})

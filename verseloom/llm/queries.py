@@ -126,10 +126,13 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
-def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+def _scored(spark: SparkSession, sf_dir: str, docs: DataFrame, *keep: str) -> DataFrame:
     model = fit_abuse_model(labelled_sample(docs, "doc_id", "text", _table(spark, sf_dir, "labels"), "toxic"))
-    return score_abuse(docs, "doc_id", "text", model)
+    return score_abuse(docs, "doc_id", "text", model, keep=keep)
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, _table(spark, sf_dir, "documents"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,9 +141,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, flagged documents and their rate for every source; a null source is one of them."""
-    scored = p10_scores(spark, sf_dir).select("doc_id", F.col("flagged").cast("int").alias("bad"))
-    sources = _table(spark, sf_dir, "documents").select("doc_id", source_key(F.col("source")).alias("source"))
-    per = sources.join(scored, "doc_id").groupBy("source").agg(F.count("*").alias("documents"), F.sum("bad").alias("flagged"))
+    docs = _table(spark, sf_dir, "documents")
+    scored = _scored(spark, sf_dir, docs.withColumn("source", source_key(F.col("source"))), "source")
+    per = scored.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("flagged").cast("int")).alias("flagged"))
     return per.withColumn("rate", F.col("flagged") / F.col("documents"))
 
 
