@@ -79,12 +79,12 @@ def decompose(source: Keyed, field: str, delimiter: str, new_key: str, drop_empt
         parts = F.transform(parts, strip)
     if drop_empty:
         parts = F.filter(parts, lambda x: x != "")
-    out = source.view([field]).select(*source.pk, F.col(POSITION).alias("__p"), F.posexplode(parts).alias(new_key, "__text"))
+    own = POSITION in source.df.columns
+    out = source.view([field]).select(*source.pk, *([source.order_array().alias("__p")] if own else []), F.posexplode(parts).alias(new_key, "__text"))
     pk = [*source.pk, new_key]
-    from verseloom.operators.keyed import with_position
-
     keyed = out.withColumn(new_key, F.col(new_key).cast("bigint"))
-    return source.derive(with_position(keyed, ["__p", new_key]).select(*pk, F.col("__text").alias(field), POSITION), "extended_key", pk=pk, data=[field])
+    order = [F.concat("__p", F.array(new_key)).alias(POSITION)] if own else []
+    return source.derive(keyed.select(*pk, F.col("__text").alias(field), *order), "extended_key", pk=pk, data=[field])
 
 
 def text_length(c: Column, unit: str = "characters") -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from verseloom.functions.text import char_ngrams, ngrams, stemmed, tokens
 from verseloom.operators.joins import sized
 from verseloom.operators.keyed import with_position
+from verseloom.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -86,6 +87,7 @@ def count_vectorize(
     long = df.select(*pk, F.explode(grams).alias("term")).groupBy(*pk, "term").agg(F.count("*").cast("double").alias("value"))
     if binary:
         long = long.withColumn("value", F.lit(1.0))
+    long = materialize(long, "counts")  # the matrix itself: read for the vocabulary and for the cells, tokenized once
     counts = long.groupBy("term").agg(F.count("*").alias("df"), F.sum("value").alias("tf"))
     vocabulary = _vocabulary(counts, df.count(), min_df, max_df, max_features, "term")
     cells = long.join(sized(vocabulary.withColumnRenamed("feature", "term")), "term").select(*pk, "feature_id", "value")
@@ -114,7 +116,7 @@ def count_items(
         parts = [F.lead(F.col(field).cast("string"), k).over(w) if k else F.col(field).cast("string") for k in range(n)]
         one = kept.select(*group_by, F.when(parts[-1].isNotNull(), F.concat_ws(separator, *parts)).alias("term")).where("term IS NOT NULL")
         made = one if made is None else made.unionByName(one)
-    long = made.groupBy(*group_by, "term").agg(F.count("*").cast("double").alias("value"))
+    long = materialize(made.groupBy(*group_by, "term").agg(F.count("*").cast("double").alias("value")), "counts")
     rows = df.select(*group_by).distinct()
     counts = long.groupBy("term").agg(F.count("*").alias("df"), F.sum("value").alias("tf"))
     vocabulary = _vocabulary(counts, rows.count(), min_df, max_df, max_features, "term")

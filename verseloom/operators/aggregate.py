@@ -7,10 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verseloom.operators.joins import span_members
 from verseloom.operators.keyed import POSITION, Keyed
 
+#: Rows that one task numbers runs in, where no parent key parts them.
+RUN_BLOCK = 65_536
 REDUCERS = (
     "first last first_non_null last_non_null min max mean median sum count nunique any all all_equal mode concat unique "
     "concat_unique list unique_list"
@@ -110,11 +113,10 @@ def aggregate(source: Keyed, to_key: Sequence[str], data: dict | None = None, me
     cols = [c for c in dict.fromkeys(r.source for r in rules.values() if r.reducer) if c not in source.pk]
     source.require(cols)
     view = source.view(cols)
-    out = grouped(view, to_key, rules | {"__first": Agg(POSITION, "min")}, F.struct(*source.pk))
-    from verseloom.operators.keyed import with_position
-
-    placed = with_position(out, ["__first"]).drop("__first")
-    return source.derive(placed, "reduced_key", pk=to_key, data=list(data), metadata=["n_rows", *metadata])
+    if POSITION in source.df.columns:  # else the key's order is that of the groups, too
+        rules = rules | {POSITION: Agg(POSITION, "min")}
+    out = grouped(view, to_key, rules, F.struct(*source.pk))
+    return source.derive(out, "reduced_key", pk=to_key, data=list(data), metadata=["n_rows", *metadata])
 
 
 def aggregate_cells(cells: DataFrame, rows: DataFrame, to_key: Sequence[str], how: str) -> DataFrame:
@@ -135,24 +137,24 @@ def collapse_runs(source: Keyed, by: Sequence[str], data: dict | None = None, me
     *parent, leaf = source.pk
     rules = data | metadata
     cols = [c for c in dict.fromkeys([*by, *(r.source for r in rules.values() if r.reducer)]) if c not in source.pk]
-    view = source.view(cols)
-    runs = run_ids(view, parent, POSITION, by)
+    view = source.view(cols).withColumn("__at", source.order_value())
+    runs = run_ids(view, parent, "__at", by) if parent else run_ids_by_range(source.positioned(cols).withColumn("__at", F.col(POSITION)), by)
     start, end = f"{leaf}_start", f"{leaf}_end"
-    spans = runs.groupBy(*parent, "__run").agg(F.min(leaf).alias(start), F.max(leaf).alias(end), F.min(POSITION).alias("__first"), *[F.min_by(b, POSITION).alias(f"__by_{b}") for b in by])
-    members = span_members(spans, view, parent, leaf)
+    spans = runs.groupBy(*parent, "__run").agg(F.min(leaf).alias(start), F.max(leaf).alias(end), F.min("__at").alias("__first"), *[F.min_by(b, "__at").alias(f"__by_{b}") for b in by])
+    members = span_members(spans, view.select(*source.pk, "__at", *[c for c in cols if c not in source.pk]), parent, leaf)
     keys = [*parent, start, end, "__first", *[f"__by_{b}" for b in by]]
-    out = grouped(members, keys, rules, F.col(POSITION))
+    out = grouped(members, keys, rules, F.col("__at"))
     for b in by:
         out = out.withColumnRenamed(f"__by_{b}", b)
-    from verseloom.operators.keyed import with_position
-
-    placed = with_position(out, [*parent, "__first"]).drop("__first")
-    return source.derive(placed, "span_key", pk=[*parent, start, end], data=list(data), metadata=["n_rows", *by, *[m for m in metadata if m not in by]])
+    if POSITION in source.df.columns:  # else the order is that of the spans' keys
+        first = F.col("__first") if isinstance(source.df.schema[POSITION].dataType, T.ArrayType) else F.array(F.col("__first").cast("bigint"))
+        out = out.withColumn(POSITION, F.concat(F.array(*[F.col(k).cast("bigint") for k in parent]), first) if parent else first)
+    return source.derive(out.drop("__first"), "span_key", pk=[*parent, start, end], data=list(data), metadata=["n_rows", *by, *[m for m in metadata if m not in by]])
 
 
 def run_ids(df: DataFrame, parent: Sequence[str], order: str, by: Sequence[str]) -> DataFrame:
     """Number the runs of equal ``by`` values within each parent (gaps and islands), as ``__run``."""
-    w = Window.partitionBy(*parent).orderBy(order) if parent else Window.partitionBy(F.lit(0)).orderBy(order)
+    w = Window.partitionBy(*parent).orderBy(order)
     changed = F.lit(False)
     for b in by:
         changed = changed | ~F.col(f"`{b}`").eqNullSafe(F.lag(f"`{b}`").over(w))
@@ -161,6 +163,22 @@ def run_ids(df: DataFrame, parent: Sequence[str], order: str, by: Sequence[str])
     return flagged.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def run_ids_by_range(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same without a parent, for a table with dense ``_position``: blocks of positions are numbered each on its own,
+    and put together by the last row and the number of runs of each block (one row per block)."""
+    blocked = df.withColumn("__block", F.floor(F.col(POSITION) / RUN_BLOCK))
+    values = F.struct(*[F.col(f"`{b}`") for b in by])
+    lasts = blocked.groupBy("__block").agg(F.max_by(values, POSITION).alias("__last")).withColumn("__block", F.col("__block") + 1)
+    w = Window.partitionBy("__block").orderBy(POSITION)
+    joined = blocked.join(F.broadcast(lasts), "__block", "left")
+    before = F.when(F.row_number().over(w) == 1, F.col("__last")).otherwise(F.lag(values).over(w))
+    flagged = joined.withColumn("__before", before).withColumn("__new", F.when(F.col("__before").isNull() | ~values.eqNullSafe(F.col("__before")), 1).otherwise(0))
+    per = flagged.groupBy("__block").agg(F.sum("__new").alias("__n"))
+    bases = per.select("__block", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    numbered = flagged.join(F.broadcast(bases), "__block").withColumn("__run", F.col("__base") + F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.drop("__block", "__last", "__before", "__new", "__base")
+
+
 def crosstab(df: DataFrame, rows: str, columns: str, margins: bool = False, dropna: bool = True) -> DataFrame:
     """Counts of value pairs in long form: row, column, ``n``. With ``dropna=False`` a null is ``<NA>``; with margins the
     totals are under ``All``."""

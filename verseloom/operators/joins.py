@@ -105,5 +105,5 @@ def one_to_one(left: DataFrame, right: DataFrame, pk: Sequence[str], what: str)
 def position_map(left: Keyed, right: Keyed) -> DataFrame:
     """Positions of left rows and of the right rows that share their key prefix."""
     on = [k for k in left.pk if k in right.pk]
-    r = right.df.select(*on, F.col(POSITION).alias("right_position"))
-    return left.df.select(*on, F.col(POSITION).alias("left_position")).join(r, on, "left").select("left_position", "right_position")
+    r = right.positions().select(*on, F.col(POSITION).alias("right_position"))
+    return left.positions().select(*on, F.col(POSITION).alias("left_position")).join(r, on, "left").select("left_position", "right_position")

@@ -1,4 +1,7 @@
-"""Keyed data sets: a DataFrame with an integer primary key, a total row order and named column groups."""
+"""Keyed data sets: a DataFrame with an integer primary key, a total row order and named column groups.
+
+The order is a rule, not a stored number: rows stand in the order of their key, unless the data set has a column
+``_position`` of values to order by. Ranks are made, of the keys only, when a query asks for positions."""
 
 from __future__ import annotations
 
@@ -68,18 +71,22 @@ class Keyed:
     bridge: DataFrame | None = None
     kind: str = "table"
     features: DataFrame | None = None
+    ranks: DataFrame | None = field(default=None, repr=False, compare=False)
 
     # -- making ---------------------------------------------------------------------------------------------------
     @classmethod
-    def of(cls, df: DataFrame, pk: Sequence[str], data: Sequence[str] | None = None, metadata: Sequence[str] = (), order_by: Sequence[str | Column] | None = None, check: bool = False, name: str = "", position: bool = True) -> "Keyed":
+    def of(cls, df: DataFrame, pk: Sequence[str], data: Sequence[str] | None = None, metadata: Sequence[str] = (), order_by: Sequence[str | Column] | None = None, check: bool = False, name: str = "") -> "Keyed":
+        """``order_by``: an order other than that of the key; its ranks are made at once. A column ``_position`` that is
+        there already is taken for the order."""
         pk = list(pk)
         df = integer_key(df, pk)
         if check:
             assert_unique(df, pk)
         data = [c for c in df.columns if c not in {*pk, *metadata, POSITION}] if data is None else list(data)
+        if order_by and POSITION not in df.columns and [c if isinstance(c, str) else None for c in order_by] != pk:
+            ranks = with_position(df.select(*pk, *[(F.col(c) if isinstance(c, str) else c).alias(f"__o{i}") for i, c in enumerate(order_by)]), [f"__o{i}" for i in range(len(order_by))])
+            df = df.join(ranks.select(*pk, POSITION), pk)
         df = df.select(*[c for c in (*pk, *data, *metadata, *([POSITION] if POSITION in df.columns else []))])
-        if POSITION not in df.columns and position:
-            df = with_position(df, order_by or pk)
         return cls(df, pk, data, list(metadata), name=name)
 
     def derive(self, df: DataFrame, mode: str, pk: Sequence[str] | None = None, data: Sequence[str] = (), metadata: Sequence[str] = (), bases: Sequence["Keyed"] | None = None, bridge: DataFrame | None = None) -> "Keyed":
@@ -89,8 +96,36 @@ class Keyed:
         return Keyed(df, pk, list(data), list(metadata), bases, mode, bridge=bridge)
 
     # -- lineage --------------------------------------------------------------------------------------------------
+    @property
+    def key_columns(self) -> list[str]:
+        """The key, and the order's column if there is one."""
+        return [*self.pk, POSITION] if POSITION in self.df.columns else list(self.pk)
+
     def keys(self) -> DataFrame:
-        return self.df.select(*self.pk, POSITION)
+        return self.df.select(*self.key_columns)
+
+    def order(self) -> list[Column]:
+        return [F.col(POSITION)] if POSITION in self.df.columns else [F.col(k) for k in self.pk]
+
+    def order_value(self) -> Column:
+        """One value to order rows by."""
+        return F.col(POSITION) if POSITION in self.df.columns else F.struct(*self.pk)
+
+    def order_array(self) -> Column:
+        """The same as an array of longs, so that more may be put before or after it."""
+        if POSITION not in self.df.columns:
+            return F.array(*[F.col(k).cast("bigint") for k in self.pk])
+        return F.col(POSITION) if isinstance(self.df.schema[POSITION].dataType, T.ArrayType) else F.array(F.col(POSITION).cast("bigint"))
+
+    def positions(self) -> DataFrame:
+        """The key and ``_position``, the 0-based rank of each row: made once, of the keys only."""
+        if self.ranks is None:
+            self.ranks = with_position(self.keys(), self.order(), "__rank").select(*self.pk, F.col("__rank").alias(POSITION))
+        return self.ranks
+
+    def positioned(self, columns: Sequence[str]) -> DataFrame:
+        """:meth:`view` with ``_position`` as the rank of each row."""
+        return self.view(columns).drop(POSITION).join(self.positions(), self.pk)
 
     def inherited(self) -> dict[str, tuple["Keyed", str]]:
         """Names of columns that lineage adds, with the data set that owns each and its group."""
@@ -167,20 +202,24 @@ class Keyed:
         hidden = [c for c in chosen if c in groups and groups[c] == "metadata" and c not in visible]
         if hidden:
             raise ValueError(f"metadata columns {hidden} asked for with metadata_mode={metadata_mode!r}")
-        mentioned = [c for c in visible if where and c in where]
+        mentioned = attributes(self.df.sparkSession, where) if where else set()
         sorts = [c.split()[0] for c in (order_by or []) if isinstance(c, str)]
-        need = list(dict.fromkeys([c for c in (*chosen, *mentioned, *sorts) if c in groups and groups[c] != "key"]))
-        df = self.view(need)
+        need = list(dict.fromkeys([c for c in (*chosen, *[v for v in visible if v in mentioned], *sorts) if c in groups and groups[c] != "key"]))
+        order: list[Column] = self.order()
+        if positions is not None:
+            asked = self.df.sparkSession.createDataFrame([(int(p), i) for i, p in enumerate(positions)], f"{POSITION} bigint, __ord bigint")
+            picked = self.positions().join(F.broadcast(asked), POSITION)
+            df, order = self.view(need).drop(POSITION).join(F.broadcast(picked), self.pk), [F.col("__ord").asc()]  # one row per position in the call
+        elif POSITION in mentioned or POSITION in sorts:
+            df, order = self.positioned(need), [F.col(POSITION)]
+        else:
+            df = self.view(need)
         for table, cs in with_tables:
             df = attach(df, self.pk, table, cs)
         if where:
             df = df.where(where)
-        order: list[Column] = [F.col(POSITION).asc()]
-        if positions is not None:
-            asked = df.sparkSession.createDataFrame([(int(p), i) for i, p in enumerate(positions)], f"{POSITION} bigint, __ord bigint")
-            df, order = df.join(F.broadcast(asked), POSITION), [F.col("__ord").asc()]  # one row per position in the call
         if sample_n is not None or sample_frac is not None:
-            df = hash_sample(df, sample_n, sample_frac, seed)
+            df = hash_sample(df, sample_n, sample_frac, seed, self.pk)
         if order_by:
             order = [_nulls_last(c) for c in order_by]
         if ordered or limit is not None:
@@ -217,7 +256,7 @@ class Keyed:
         match = parts[0]
         for p in parts[1:]:
             match = match & p
-        span = self.df.where(match).agg(F.min(POSITION).alias("lo"), F.max(POSITION).alias("hi")).first()
+        span = self.positions().where(match).agg(F.min(POSITION).alias("lo"), F.max(POSITION).alias("hi")).first()
         if span.lo is None:
             raise KeyError_(f"no row matches {request}")
         where = f"{POSITION} BETWEEN {span.lo - before} AND {span.hi + after}"
@@ -250,11 +289,37 @@ def _nulls_last(c: str | Column) -> Column:
     return F.col(name).desc_nulls_last() if way.strip().lower().startswith("desc") else F.col(name).asc_nulls_last()
 
 
-def hash_sample(df: DataFrame, n: int | None, frac: float | None, seed: int) -> DataFrame:
-    """``n`` rows, or the rounded share ``frac``, by the hash of position and seed: the same rows on any cluster."""
-    if n is None:
-        n = int(df.count() * frac + 0.5)
-    return df.orderBy(F.xxhash64(F.lit(seed), POSITION), POSITION).limit(n)
+def attributes(spark, expression: str) -> set[str]:
+    """Names of the columns in a SQL expression."""
+    names, todo = set(), [spark._jsparkSession.sessionState().sqlParser().parseExpression(expression)]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "UnresolvedAttribute":
+            names.add(node.nameParts().mkString("."))
+        inner = node.children().iterator()
+        while inner.hasNext():
+            todo.append(inner.next())
+    return names
+
+
+def hash_sample(df: DataFrame, n: int | None, frac: float | None, seed: int, key: Sequence[str]) -> DataFrame:
+    """``n`` rows, or the rounded share ``frac``, by the hash of key and seed (ties by key): the same rows on any cluster.
+
+    The hash range is cut into bins. Rows of bins below the one in which the n-th row falls are taken as they are, without
+    a shuffle; only that one bin's rows are ordered."""
+    total = df.count()
+    n = int(total * frac + 0.5) if n is None else n
+    if n >= total:
+        return df
+    bits = min(20, max(4, (total // 20_000).bit_length()))
+    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), *key)).withColumn("__bin", F.shiftright("__h", 64 - bits))
+    counts = hashed.groupBy("__bin").agg(F.count("*").alias("n"))
+    # at most 2**20 rows, one per bin
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    edge = upto.where(F.col("upto") >= n).orderBy("__bin").first()
+    below = hashed.where(F.col("__bin") < edge["__bin"])
+    rest = hashed.where(F.col("__bin") == edge["__bin"]).orderBy("__h", *key).limit(n - (edge.upto - edge.n))
+    return below.unionByName(rest).drop("__h", "__bin")
 
 
 def check_mode(mode: str, pk: Sequence[str], bases: Sequence[Sequence[str]]) -> None:
@@ -273,10 +338,10 @@ def check_mode(mode: str, pk: Sequence[str], bases: Sequence[Sequence[str]]) ->
 
 
 def sql_over(spark, tables: dict[str, Keyed], query: str, metadata_mode: str = "full") -> DataFrame:
-    """Any Spark SQL over keyed data sets, each a view under its name with all its columns and ``_position``."""
+    """Any Spark SQL over keyed data sets, each a view under its name with all its columns, and ``_position`` where the query names it."""
     for name, t in tables.items():
         cols = [c for c, g in t.all_columns().items() if g != "key" and (g != "metadata" or metadata_mode != "none")]
-        t.view(cols).createOrReplaceTempView(name)
+        (t.positioned(cols) if POSITION in query else t.view(cols)).createOrReplaceTempView(name)
     return spark.sql(query)
 
 
@@ -286,8 +351,8 @@ def map_rows(t: Keyed, function: Callable, schema: str, columns: Sequence[str] |
 
     cols = list(columns or [*t.data, *t.metadata])
     new = T._parse_datatype_string(schema)
-    keys = [*t.pk, POSITION]
-    full = T.StructType([T.StructField(k, T.LongType()) for k in keys] + new.fields)
+    keys = t.key_columns
+    full = T.StructType([t.df.schema[k] for k in keys] + new.fields)
 
     def run(frames):
         for f in frames:

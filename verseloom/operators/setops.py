@@ -21,13 +21,12 @@ def merge(sources: Sequence[Keyed]) -> Keyed:
     shape = lambda s: {c: g for c, g in s.all_columns().items()}
     if any(s.pk != flat[0].pk or shape(s) != shape(flat[0]) for s in flat):
         raise ValueError("sources differ in key or columns")
-    parts = [s.keys().withColumn("__src", F.lit(i)) for i, s in enumerate(flat)]
+    parts = [s.keys().select(*s.pk, F.concat(F.array(F.lit(i).cast("bigint")), s.order_array()).alias(POSITION)) for i, s in enumerate(flat)]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
     assert_unique(union, flat[0].pk)
-    ordered = with_position(union.withColumnRenamed(POSITION, "__pos"), ["__src", "__pos"]).select(*flat[0].pk, POSITION)
-    return flat[0].derive(ordered, "merged_key", bases=flat)
+    return flat[0].derive(union, "merged_key", bases=flat)
 
 
 def subset(source: Keyed, predicate: Column | str | Callable, columns: Sequence[str] | None = None) -> Keyed:
@@ -36,7 +35,9 @@ def subset(source: Keyed, predicate: Column | str | Callable, columns: Sequence[
     cols = list(columns or [c for c, g in source.all_columns().items() if g != "key"])
     view = source.view(cols)
     if callable(predicate) and not isinstance(predicate, Column):
-        keys = [*source.pk, POSITION]
+        keys = source.key_columns
+
+        source_pk = list(source.pk)
 
         def run(frames):
             for f in frames:
@@ -48,10 +49,10 @@ def subset(source: Keyed, predicate: Column | str | Callable, columns: Sequence[
                     raise ValueError("the predicate must give booleans without nulls")
                 yield f.loc[mask.astype(bool), keys]
 
-        source_pk = list(source.pk)
-        kept = view.mapInPandas(run, ", ".join(f"{k} bigint" for k in keys))
+        list(run([view.limit(2).toPandas()]))  # a function of the wrong shape shows at once
+        kept = view.mapInPandas(run, view.select(*keys).schema)
     else:
-        kept = view.where(predicate).select(*source.pk, POSITION)
+        kept = view.where(predicate).select(*source.key_columns)
     return source.derive(kept, "preserved_key")
 
 
@@ -59,7 +60,7 @@ def sample(source: Keyed, n: int, seed: int = 0) -> Keyed:
     """``n`` rows without replacement, in source order."""
     if not 0 < n <= source.df.count():
         raise ValueError("n must be between 1 and the number of rows")
-    return source.derive(hash_sample(source.keys(), n, None, seed), "preserved_key")
+    return source.derive(hash_sample(source.keys(), n, None, seed, source.pk), "preserved_key")
 
 
 def largest_remainder(shares: Sequence[float], n: int) -> list[int]:
@@ -94,8 +95,8 @@ def split(source: Keyed, labels: Sequence[str], proportions: Sequence[float], se
     cuts = [(s, i, sum(c[:i]), sum(c[: i + 1])) for s, n in sizes.items() for c in [largest_remainder(proportions, n)] for i in range(len(c))]
     table = source.df.sparkSession.createDataFrame(cuts, "__s string, __part int, __lo bigint, __hi bigint")
     placed = ranked.join(F.broadcast(table), "__s").where("__rank >= __lo AND __rank < __hi").select(*unit, "__part")  # strata times labels
-    keys = source.view([c for c in by if c not in source.pk]).join(placed, unit).select(*source.pk, POSITION, "__part")
-    return {label: source.derive(keys.where(F.col("__part") == i).select(*source.pk, POSITION), "preserved_key") for i, label in enumerate(labels)}
+    keys = source.view([c for c in by if c not in source.pk]).join(placed, unit).select(*source.key_columns, "__part")
+    return {label: source.derive(keys.where(F.col("__part") == i).select(*source.key_columns), "preserved_key") for i, label in enumerate(labels)}
 
 
 def probability_sample(source: Keyed, n: int | None = None, fraction: float | None = None, probability: float | None = None, strata: Sequence[str] = (), n_by_stratum: dict | None = None, seed: int = 0) -> tuple[Keyed, Keyed, Keyed]:
@@ -123,8 +124,8 @@ def probability_sample(source: Keyed, n: int | None = None, fraction: float | No
             raise ValueError(f"no sample of these sizes: {quota} of {sizes}")
         table = source.df.sparkSession.createDataFrame([(s, q, q / sizes[s]) for s, q in quota.items()], "__s string, __q bigint, pi double")
         drawn = ranked.join(F.broadcast(table), "__s").withColumn("__in", F.col("__rank") < F.col("__q"))  # one row per stratum
-    part = lambda cond: source.derive(drawn.where(cond).select(*source.pk, POSITION), "preserved_key")
-    pi = source.derive(drawn.where("__in").select(*source.pk, POSITION, "pi"), "preserved_key", data=["pi"])
+    part = lambda cond: source.derive(drawn.where(cond).select(*source.key_columns), "preserved_key")
+    pi = source.derive(drawn.where("__in").select(*source.key_columns, "pi"), "preserved_key", data=["pi"])
     return part("__in"), part("NOT __in"), pi
 
 
@@ -134,7 +135,7 @@ def set_primary_keys(source: Keyed, levels: dict[str, str], leaf: str) -> Keyed:
     cols = list(levels.values())
     if {*levels, leaf} & {*source.pk, *cols}:
         raise ValueError("new key names must differ from the old keys and the level columns")
-    view = source.view([c for c in cols if c not in source.pk])
+    view = source.positioned([c for c in cols if c not in source.pk])
     bad = view.where(" OR ".join(f"`{c}` IS NULL" for c in cols)).limit(1).count()
     if bad:
         raise ValueError("a level is null")
@@ -149,7 +150,7 @@ def set_primary_keys(source: Keyed, levels: dict[str, str], leaf: str) -> Keyed:
         out = out.join(ranked, [*above, col])
     per = out.groupBy(*levels).count().agg(F.max("count").alias("n")).first().n or 0
     grouped = out.withColumn("__g", F.concat_ws(",", *levels)).withColumn("__one", F.lit(1).cast("bigint"))
-    total = source.df.agg(F.max(POSITION).alias("n")).first().n or 0
+    total = source.positions().agg(F.max(POSITION).alias("n")).first().n or 0
     scaled = grouped.withColumn("__k", ((F.col(POSITION) / F.lit(max(1, total + 1)) - 0.5) * F.lit(float(1 << 63))).cast("bigint"))
     leafed = with_prefix_sums(scaled, "__g", "__one", "__k", POSITION, per, leaf)
     pk = [*levels, leaf]

@@ -104,7 +104,7 @@ def line_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
     measured = lines.derive(lines.df.withColumns({"chars": X.text_length(F.col("text")), "words": X.text_length(F.col("text"), "words")}), "preserved_key", data=["text", "chars", "words"])
     rolled = A.aggregate(measured, ["doc_id"], data={"chars_sum": A.Agg("chars", "sum"), "words_max": A.Agg("words", "max"), "first_line": A.Agg("text", "first"), "distinct_lines": A.Agg("text", "nunique")})
-    labels = Keyed.of(_table(spark, sf_dir, "labels"), ["doc_id"], name="labels", position=False)
+    labels = Keyed.of(_table(spark, sf_dir, "labels"), ["doc_id"], name="labels")
     return rolled.query(["n_rows", "chars_sum", "words_max", "first_line", "distinct_lines", "quality", "toxic"], with_tables=[(labels, ["quality", "toxic"])], ordered=False)
 
 
@@ -173,8 +173,8 @@ def join_left(spark, sf_dir):
 
 @query("SELECT l_orderkey, count(*) n, max(o_orderpriority) priority FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def attach_coarser(spark, sf_dir):
-    items = Keyed.of(_items(spark, sf_dir), ["l_orderkey", "item"], ["l_quantity"], position=False)
-    orders = Keyed.of(_table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"], position=False, name="orders")
+    items = Keyed.of(_items(spark, sf_dir), ["l_orderkey", "item"], ["l_quantity"])
+    orders = Keyed.of(_table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"], name="orders")
     out = J.attach(items.df, items.pk, orders, ["o_orderpriority"])
     return out.where("o_orderpriority IS NOT NULL").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("priority"))
 
@@ -212,7 +212,7 @@ def keyed_frame(spark, sf_dir):
 def merge_disjoint(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     merged = S.merge([S.subset(docs, "n_chars >= 700"), S.subset(docs, "n_chars IS NULL OR n_chars < 700")])
-    return merged.view(["lang"]).select("doc_id", F.col(POSITION).alias("position"), "lang")
+    return merged.positioned(["lang"]).select("doc_id", F.col(POSITION).alias("position"), "lang")
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars % 2 = 0")
@@ -264,7 +264,7 @@ _PRE = f"WITH {_ITEMS}"
 round(avg(l_quantity), 4) qty_mean, round(median(l_quantity), 4) qty_median, round(sum(l_quantity), 4) qty_sum, count(l_tax) tax_count, count(DISTINCT l_partkey) part_nunique, count(DISTINCT l_linestatus) <= 1 status_equal FROM li GROUP BY 1"""
 )
 def reducers_basic(spark, sf_dir):
-    items = Keyed.of(_items(spark, sf_dir), ["l_orderkey", "item"], position=False)
+    items = Keyed.of(_items(spark, sf_dir), ["l_orderkey", "item"])
     rules = {"flag_first": ("l_returnflag", "first"), "flag_last": ("l_returnflag", "last"), "ship_min": ("l_shipdate", "min"), "ship_max": ("l_shipdate", "max"), "qty_mean": ("l_quantity", "mean"), "qty_median": ("l_quantity", "median"), "qty_sum": ("l_quantity", "sum"), "tax_count": ("l_tax", "count"), "part_nunique": ("l_partkey", "nunique"), "status_equal": ("l_linestatus", "all_equal")}
     out = A.grouped(items.df, ["l_orderkey"], {o: A.Agg(*r) for o, r in rules.items()}, F.col("item"))
     return out.withColumns({c: _r(c) for c in ("qty_mean", "qty_median", "qty_sum")})
@@ -511,7 +511,7 @@ def item_ngrams(spark, sf_dir):
 @query("SELECT d.doc_id FROM documents d ANTI JOIN labels l USING (doc_id)")
 def keys_without_partner(spark, sf_dir):
     """Set difference by keys, through SQL over keyed data sets."""
-    tables = {"a_": _documents(spark, sf_dir, ("lang",)), "b_": Keyed.of(_table(spark, sf_dir, "labels"), ["doc_id"], position=False)}
+    tables = {"a_": _documents(spark, sf_dir, ("lang",)), "b_": Keyed.of(_table(spark, sf_dir, "labels"), ["doc_id"])}
     return sql_over(spark, tables, "SELECT doc_id FROM a_ LEFT ANTI JOIN b_ USING (doc_id)")
 
 

@@ -38,7 +38,7 @@ def _numbered(df: DataFrame, text_fields: Sequence[str] | None, metadata_fields:
     for c, t in (dtype or {}).items():
         df = df.withColumn(c, F.col(c).cast(t))
     placed = with_position(df, order)
-    return Keyed.of(placed.withColumn("row_id", F.col(POSITION)), ["row_id"], text_fields, [*metadata_fields, *extra])
+    return Keyed.of(placed.withColumnRenamed(POSITION, "row_id"), ["row_id"], text_fields, [*metadata_fields, *extra])
 
 
 def _file_order(df: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def folder_inventory(spark: SparkSession, root: str, patterns: Sequence[str] = (
     if not out.limit(1).count():
         raise ValueError(f"no file of {list(patterns)} in {root}")
     placed = with_position(out, ["relative_path"])
-    return Keyed.of(placed.withColumn("file_id", F.col(POSITION)), ["file_id"])
+    return Keyed.of(placed.withColumnRenamed(POSITION, "file_id"), ["file_id"])
 
 
 def register_external(df: DataFrame, primary_key: Sequence[str], data_fields: Sequence[str] | None = None, metadata_fields: Sequence[str] = (), lineage_mode: str = "new_key", bases: Sequence[Keyed] = (), name: str = "") -> Keyed:
@@ -178,7 +178,7 @@ def register_external(df: DataFrame, primary_key: Sequence[str], data_fields: Se
 def extract_text_files(files: Keyed, path_field: str = "path", encoding: str = "utf-8", errors: str = "strict") -> Keyed:
     """Text of each file, line ends as \\n; a file that can't be read or decoded is a row with ``status`` and ``error``."""
     spark = files.df.sparkSession
-    paths = files.view([path_field]).select(*files.pk, POSITION, F.col(path_field).alias("path"))
+    paths = files.view([path_field]).select(*files.key_columns, F.col(path_field).alias("path"))
 
     def run(path: pa.Array, content: pa.Array):
         out: dict[str, list] = {"path": [], "text": [], "status": [], "error": []}
@@ -198,7 +198,7 @@ def extract_text_files(files: Keyed, path_field: str = "path", encoding: str = "
         content = part if content is None else content.unionByName(part)
     texts = map_batches(content.join(paths.select("path"), "path", "left_semi"), run, "path string, text string, status string, error string")
     out = paths.join(texts, "path", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
-    return files.derive(out.select(*files.pk, POSITION, "text", "status", "error"), "preserved_key", data=["text"], metadata=["status", "error"])
+    return files.derive(out.select(*files.key_columns, "text", "status", "error"), "preserved_key", data=["text"], metadata=["status", "error"])
 
 
 def extract_pdf_texts(files: DataFrame, reader: Callable[[bytes], list[str]] | None = None, page_separator: str = "\f", start_page: int = 1, end_page: int | None = None) -> DataFrame:
