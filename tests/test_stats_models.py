@@ -77,8 +77,6 @@ def test_svd_matches_numpy(blobs):
     assert np.allclose(sigma, np.linalg.svd(x, compute_uv=False))
     got = np.array([r.features for r in out.orderBy("k").collect()])
     assert np.allclose(got @ got.T, x @ x.T)
-    with pytest.raises(NotImplementedError):
-        ML.umap()
 
 
 def test_search_and_committee(spark, blobs):

@@ -100,7 +100,9 @@ _KWIC_TOKEN = re.compile(r"[\w\-']+|[^\w\s]")
 
 def kwic(df: DataFrame, keys: Sequence[str], field: str, pattern: str, window: int = 5, valuetype: str = "literal", case_sensitive: bool = False, word_boundary: bool = True) -> DataFrame:
     """Every match in its context: keys, ``match_no``, ``start``, ``end``, ``pre``, ``keyword``, ``post``. Contexts are
-    ``window`` tokens (a run of word characters, or one mark) as slices of the text."""
+    ``window`` tokens (a run of word characters, or one mark) as slices of the text. A matrix has no texts: an error."""
+    if not isinstance(df, DataFrame):
+        raise TypeError("keywords in context need a table with texts; take the rows of a matrix by their key from its base")
     body = re.escape(pattern) if valuetype == "literal" else re.escape(pattern).replace(r"\*", r"\w*").replace(r"\?", r"\w") if valuetype == "glob" else pattern
     if word_boundary:
         body = rf"(?<!\w)(?:{body})(?!\w)"
@@ -131,6 +133,20 @@ def kwic(df: DataFrame, keys: Sequence[str], field: str, pattern: str, window: i
     return map_batches(df.select(*keys, F.col(f"`{field}`")), run, schema)
 
 
+def kwic_lines(hits: DataFrame, keys: Sequence[str], width: int = 40, rows: int | None = 20, sample_seed: int | None = None) -> list[str]:
+    """Lines to print: a header with the number of matches, then key, context, match and context in columns, the first
+    ``rows`` matches in key order, or a seeded sample of them. Only the lines shown come to the driver."""
+    total = hits.count()
+    order = [F.xxhash64(F.lit(sample_seed), *keys, "match_no")] if sample_seed is not None else []
+    few = hits.orderBy(*order, *keys, "match_no")
+    shown = (few if rows is None else few.limit(rows)).collect()
+    flat = lambda t: re.sub(r"\s+", " ", t)
+    out = [f"{total} match{'' if total == 1 else 'es'}" + (f", {len(shown)} shown" if len(shown) < total else "")]
+    for r in sorted(shown, key=lambda r: [r[k] for k in (*keys, "match_no")]):
+        out.append(f"{', '.join(str(r[k]) for k in keys)}  {flat(r.pre)[-width:]:>{width}} [{flat(r.keyword)}] {flat(r.post)[:width]}")
+    return out
+
+
 def tokens(c: Column, lowercase: bool = True) -> Column:
     """Words of two or more word characters, in order."""
     return F.regexp_extract_all(F.lower(c) if lowercase else c, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))

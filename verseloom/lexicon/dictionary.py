@@ -5,11 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verseloom.matrix.cells import Cells
 from verseloom.operators.joins import sized
+from verseloom.runtime import map_batches
+
+#: Patterns in one dictionary.
+MOST_PATTERNS = 100_000
 
 
 def entry_pattern(entry: str, valuetype: str) -> str:
@@ -31,12 +37,34 @@ def match_features(features: DataFrame, entries: DataFrame, valuetype: str = "gl
     if valuetype == "fixed":
         e = entries.withColumn("__k", fold(F.col("entry")))
         return features.withColumn("__k", fold(F.col("feature"))).join(sized(e), "__k").select("feature_id", "feature", "entry", *rest).distinct()
-    rows = entries.select("entry", *rest).limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100,000 patterns")
-    flags = "(?U)" if case_sensitive else "(?iuU)"
-    hits = F.filter(F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("entry", *rest)], F.col("feature").rlike(flags + entry_pattern(r.entry, valuetype)).alias("__hit")) for r in rows]), lambda x: x["__hit"])
-    return features.select("feature_id", "feature", F.explode(hits).alias("x")).select("feature_id", "feature", "x.entry", *[f"x.{c}" for c in rest]).distinct()
+    # patterns are a setting of at most 100,000; each batch of the vocabulary tries those whose literal beginning it has
+    rows = entries.select("entry").distinct().limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    flags = regex.V0 | (0 if case_sensitive else regex.IGNORECASE)
+    starts: dict[str, list[tuple[str, str]]] = {}
+    for r in rows:
+        literal = "" if valuetype == "regex" else re.match(r"[^*?]*", r.entry).group()
+        literal = literal if case_sensitive else literal.lower()
+        starts.setdefault(literal[:3] if len(literal) >= 3 else "", []).append((r.entry, entry_pattern(r.entry, valuetype)))
+
+    def run(ids: pa.Array, names: pa.Array, compiled={}):  # noqa: B006 - compiled once in a task
+        out: dict[str, list] = {"feature_id": [], "feature": [], "entry": []}
+        for i, name in zip(ids.to_pylist(), names.to_pylist()):
+            if name is None:
+                continue
+            key = (name if case_sensitive else name.lower())[:3]
+            for entry, pattern in (*starts.get("", ()), *(starts.get(key, ()) if key else ())):
+                test = compiled.get(pattern)
+                if test is None:
+                    test = compiled[pattern] = regex.compile(pattern, flags)
+                if test.search(name):
+                    for c, v in zip(out, (i, name, entry)):
+                        out[c].append(v)
+        yield out
+
+    hits = map_batches(features.select("feature_id", "feature"), run, "feature_id bigint, feature string, entry string")
+    return hits.join(F.broadcast(entries.distinct()), "entry").select("feature_id", "feature", "entry", *rest).distinct()
 
 
 def dictionary_counts(m: Cells, members: DataFrame) -> DataFrame:
@@ -104,3 +132,35 @@ def load_entries(spark, path: str, entry: str = "entry", columns: Sequence[str]
     """Dictionary entries from a CSV or Parquet file of the user's own."""
     df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True)
     return df.select(F.col(entry).alias("entry"), *columns)
+
+
+def _fields(spark, path: str, least: int) -> DataFrame:
+    lines = spark.read.text(path).select(F.split("value", "\t").alias("f"))
+    return lines.where((F.size("f") >= least) & ~F.col("f")[0].startswith("#"))
+
+
+def load_afinn(spark, path: str) -> DataFrame:
+    """``entry`` and ``score`` of a file of AFINN's format: term, tab, whole number."""
+    return _fields(spark, path, 2).select(F.col("f")[0].alias("entry"), F.col("f")[1].cast("double").alias("score"))
+
+
+def load_vader(spark, path: str) -> DataFrame:
+    """``entry`` and ``score`` (the mean rating) of a file of VADER's format: term, mean, deviation and ratings by tabs.
+    The ratings of words only, without the rules for negation and emphasis."""
+    return _fields(spark, path, 2).select(F.col("f")[0].alias("entry"), F.col("f")[1].cast("double").alias("score"))
+
+
+def load_opinion_words(spark, positive: str, negative: str) -> DataFrame:
+    """``entry`` and ``pole`` of two word lists, a word a line, with comment lines that begin with a semicolon."""
+    part = lambda path, pole: spark.read.option("encoding", "ISO-8859-1").csv(path, sep="\u0001", schema="entry string").select(F.trim("entry").alias("entry"), F.lit(pole).alias("pole")).where("entry <> '' AND NOT startswith(entry, ';')")
+    return part(positive, "positive").unionByName(part(negative, "negative"))
+
+
+def load_sense_scores(spark, path: str) -> DataFrame:
+    """Scores of word senses in SentiWordNet's format (part of speech, number, positive, negative, terms with sense
+    numbers, gloss, by tabs): ``entry`` is the sense's name such as ``happy.a.01``, with ``positive``, ``negative`` and
+    ``objective``."""
+    f = F.col("f")
+    first = F.split(F.split(f[4], " ")[0], "#")
+    rows = _fields(spark, path, 5).select(F.concat_ws(".", F.lower(first[0]), f[0], F.lpad(first[1], 2, "0")).alias("entry"), f[2].cast("double").alias("positive"), f[3].cast("double").alias("negative"))
+    return rows.where("positive IS NOT NULL AND negative IS NOT NULL").withColumn("objective", 1 - F.col("positive") - F.col("negative"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from verseloom.functions.text import char_ngrams, ngrams, stemmed, tokens
 from verseloom.operators.joins import sized
-from verseloom.operators.keyed import with_position
+from verseloom.operators.keyed import Keyed, with_position
 from verseloom.runtime import materialize
 
 
@@ -253,25 +253,45 @@ def scale_features(m: Cells, gamma: float = 1.0, norm: str = "rms") -> Cells:
     return m.with_cells(m.cells.join(sized(scale), "feature_id").withColumn("value", F.col("value") / F.pow(F.when(F.col("__s") <= 1e-12, 1.0).otherwise(F.col("__s")), F.lit(gamma))))
 
 
-METRICS = ("cosine", "euclidean", "manhattan")
+METRICS = ("cosine", "euclidean", "sqeuclidean", "manhattan", "cityblock", "chebyshev", "minkowski", "canberra", "braycurtis", "correlation", "hamming", "jaccard", "dice")
 
 
-def pair_distance(x: Column, y: Column, metric: str = "cosine") -> Column:
-    """Distance of two arrays: 1 - cosine (1 with a zero vector), euclidean or manhattan."""
+def pair_distance(x: Column, y: Column, metric: str = "cosine", p: float = 3.0) -> Column:
+    """Distance of two arrays of numbers by one of ``METRICS``: 1 - cosine and 1 - correlation are 1 with a zero (or
+    constant) vector; ``p`` is Minkowski's; jaccard and dice go by which values aren't zero; hamming is the share of
+    unequal values."""
+    x, y = (F.transform(c, lambda v: v.cast("double")) for c in (x, y))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    d = lambda f: total(F.zip_with(x, y, f))
-    if metric == "cosine":
-        size = F.sqrt(total(F.transform(x, lambda a: a.cast("double") * a))) * F.sqrt(total(F.transform(y, lambda a: a.cast("double") * a)))
-        return F.when(size > 0, 1 - d(lambda a, b: a.cast("double") * b) / size).otherwise(1.0)
-    if metric == "euclidean":
-        return F.sqrt(d(lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)))
-    if metric == "manhattan":
-        return d(lambda a, b: F.abs(a.cast("double") - b))
-    raise ValueError(f"no metric {metric!r}; there are {METRICS}")
-
-
-def nearest_neighbors(df: DataFrame, pk: Sequence[str], focus: dict, k: int = 10, metric: str = "cosine", include_self: bool = False, array: str = "features") -> DataFrame:
-    """The ``k`` rows nearest to one row, by an exact scan; ties by key. The focus row is a literal of the plan."""
+    each = lambda f: F.zip_with(x, y, f)
+    d = lambda f: total(each(f))
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    over = lambda a, b, none: F.when(b > 0, a / b).otherwise(none)
+    if metric in ("cosine", "correlation"):
+        if metric == "correlation":
+            centred = lambda c: F.transform(c, lambda v: v - total(c) / F.size(c))
+            a, b = centred(x), centred(y)
+        else:
+            a, b = x, y
+        size = F.sqrt(total(F.transform(a, lambda v: v * v))) * F.sqrt(total(F.transform(b, lambda v: v * v)))
+        return F.when(size > 0, 1 - total(F.zip_with(a, b, lambda v, w: v * w)) / size).otherwise(1.0)
+    if metric in ("jaccard", "dice"):
+        both, unequal = d(lambda a, b: one((a != 0) & (b != 0))), d(lambda a, b: one((a != 0) != (b != 0)))
+        return over(unequal, both + unequal if metric == "jaccard" else 2 * both + unequal, 0.0)
+    found = {
+        "euclidean": lambda: F.sqrt(d(lambda a, b: (a - b) * (a - b))), "sqeuclidean": lambda: d(lambda a, b: (a - b) * (a - b)),
+        "manhattan": lambda: d(lambda a, b: F.abs(a - b)), "cityblock": lambda: d(lambda a, b: F.abs(a - b)),
+        "chebyshev": lambda: F.coalesce(F.array_max(each(lambda a, b: F.abs(a - b))), F.lit(0.0)), "minkowski": lambda: F.pow(d(lambda a, b: F.pow(F.abs(a - b), F.lit(p))), F.lit(1 / p)),
+        "canberra": lambda: d(lambda a, b: over(F.abs(a - b), F.abs(a) + F.abs(b), 0.0)), "braycurtis": lambda: over(d(lambda a, b: F.abs(a - b)), d(lambda a, b: F.abs(a + b)), 0.0),
+        "hamming": lambda: d(lambda a, b: one(a != b)) / F.size(x),
+    }.get(metric)
+    if found is None:
+        raise ValueError(f"no metric {metric!r}; there are {METRICS}")
+    return found()
+
+
+def nearest_neighbors(df: DataFrame, pk: Sequence[str], focus: dict, k: int = 10, metric: str = "cosine", include_self: bool = False, array: str = "features", context: Keyed | None = None, context_columns: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` rows nearest to one row, by an exact scan; ties by key. The focus row is a literal of the plan.
+    ``context``: a table of the same or a coarser key that the named columns are taken from."""
     cond = F.lit(True)
     for name, v in focus.items():
         cond = cond & (F.col(name) == v)
@@ -280,7 +300,37 @@ def nearest_neighbors(df: DataFrame, pk: Sequence[str], focus: dict, k: int = 10
         raise ValueError(f"no row {focus}")
     target = F.array(*[F.lit(float(v)) for v in row[0]])
     rest = df if include_self else df.where(~cond)
-    return rest.select(*pk, pair_distance(F.col(array), target, metric).alias("distance")).orderBy("distance", *pk).limit(k)
+    found = rest.select(*pk, pair_distance(F.col(array), target, metric).alias("distance")).orderBy("distance", *pk).limit(k)
+    if context is None:
+        return found
+    if clash := {"distance", *pk} & set(context_columns):
+        raise ValueError(f"context columns of the names of results: {sorted(clash)}")
+    # k rows against the table: the few are broadcast, the table isn't moved
+    few = found.select(*context.pk).distinct()
+    held = context.view(context_columns).join(F.broadcast(few), context.pk, "left_semi").select(*context.pk, *context_columns)
+    return found.join(held, context.pk, "left").orderBy("distance", *pk).select(*pk, "distance", *context_columns)
+
+
+def row_names(m: Cells, name: str) -> DataFrame:
+    """The key and the name of every row, from a column of the row table; a name that is null or given twice is an error."""
+    named = m.rows.select(*m.pk, F.col(f"`{name}`").cast("string").alias("row_name"))
+    if named.groupBy("row_name").count().where("row_name IS NULL OR count > 1").limit(1).count():
+        raise ValueError("a row name that is null or isn't unique")
+    return named
+
+
+def rows_by_name(m: Cells, name: str, wanted: Sequence[str]) -> DataFrame:
+    """``request`` (the place in ``wanted``), ``row_name`` and the key of the rows asked for; an unknown name is an error."""
+    asked = m.rows.sparkSession.createDataFrame([(i, str(w)) for i, w in enumerate(wanted)], "request int, row_name string")
+    found = asked.join(row_names(m, name).join(F.broadcast(asked.select("row_name").distinct()), "row_name", "left_semi"), "row_name", "left")  # names of the call
+    if unknown := [r.row_name for r in found.where(F.col(m.pk[0]).isNull()).limit(5).collect()]:
+        raise ValueError(f"unknown row names: {unknown}")
+    return found.select("request", "row_name", *m.pk).orderBy("request")
+
+
+def cells_by_row_name(m: Cells, name: str, wanted: Sequence[str]) -> DataFrame:
+    """The cells of the named rows, with ``request`` and ``row_name``; a row of zeros has none."""
+    return rows_by_name(m, name, wanted).join(m.cells, m.key).select("request", "row_name", *m.pk, "feature_id", "value").orderBy("request", "feature_id")
 
 
 def top_features(m: Cells, n: int = 10, method: str = "value", reference: Cells | None = None, frex_weight: float = 0.7) -> DataFrame:

@@ -6,6 +6,8 @@ HDBSCAN) are NumPy kernels for at most ``MOST_ROWS`` rows, as their memory is th
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -15,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseloom.matrix.cells import Cells
-from verseloom.runtime import materialize
+from verseloom.runtime import Scratch, materialize
 
-MOST_ROWS = 20_000
+#: Rows of a method that holds all distances: 800 MB of them on the driver.
+MOST_ROWS = 10_000
 
 
 def _vectors(df: DataFrame, array: str = "features") -> DataFrame:
@@ -134,6 +137,66 @@ def svd_spectrum(df: DataFrame, k: int, array: str = "features") -> DataFrame:
     return df.sparkSession.createDataFrame([(i, float(s), float(min(1.0, s * s / total)) if total else 0.0) for i, s in enumerate(sigma)], "component int, sigma double, energy double")
 
 
+def cells_svd(m: Cells, k: int, oversample: int = 8, iterations: int = 3, seed: int = 0) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """Uncentered SVD of a sparse matrix of any width: ``(rows, sigma, components)``; rows are ``pk..., features`` = U·S,
+    components ``feature_id, features``, a value for each of the ``k``.
+
+    Randomized subspace iteration: the matrix is multiplied by ``k + oversample`` random columns, then ``iterations`` times
+    by its transpose and itself, with the columns made orthonormal in between by their Gram matrix, the only thing the
+    driver sees (as wide as the columns). A product is a join on the row or feature and a sum by the other."""
+    width = k + oversample
+    key = list(m.pk)
+    sums = lambda c: F.array(*[F.sum(F.col("value") * F.col(c)[j]) for j in range(width)]).alias("b")
+    gauss = lambda j: F.sqrt(-2 * F.ln(unit(2 * j))) * F.cos(2 * math.pi * unit(2 * j + 1))
+    unit = lambda j: (F.pmod(F.xxhash64(F.lit(seed * 1000 + j), "feature_id"), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    scratch = Scratch()
+    cells = m.cells
+
+    def gram(rows: DataFrame) -> np.ndarray:
+        def run(frames):
+            import pandas as pd
+
+            total = np.zeros((width, width))
+            for f in frames:
+                x = np.array(f["b"].tolist(), float).reshape(len(f), width)
+                total += x.T @ x
+            yield pd.DataFrame({"g": [total.ravel()]})
+
+        return sum((np.array(r.g).reshape(width, width) for r in rows.select("b").mapInPandas(run, "g array<double>").collect()), np.zeros((width, width)))
+
+    def times(rows: DataFrame, by: list[str], matrix: np.ndarray) -> DataFrame:
+        out = matrix.shape[1]
+        cols = [sum((F.col("b")[i] * float(matrix[i, j]) for i in range(width)), F.lit(0.0)) for j in range(out)]
+        return rows.select(*by, F.array(*cols).alias("b"))
+
+    def whiten(g: np.ndarray) -> np.ndarray:
+        values, vectors = np.linalg.eigh(g)
+        good = values > values.max(initial=0) * 1e-13
+        return vectors * np.where(good, 1 / np.sqrt(np.where(good, values, 1.0)), 0.0)
+
+    omega = m.features.select("feature_id", F.array(*[gauss(j) for j in range(width)]).alias("b"))
+    y = scratch(cells.join(omega, "feature_id").groupBy(*key).agg(sums("b")), "svd-rows")
+    for _ in range(iterations):
+        q = times(y, key, whiten(gram(y)))
+        z = scratch(cells.join(q, key).groupBy("feature_id").agg(sums("b")), "svd-features")
+        w = times(z, ["feature_id"], whiten(gram(z)))
+        y = scratch(cells.join(w, "feature_id").groupBy(*key).agg(sums("b")), "svd-rows")
+    q = times(y, key, whiten(gram(y)))
+    z = scratch(cells.join(q, key).groupBy("feature_id").agg(sums("b")), "svd-features")  # transposed: the matrix's projection
+    values, vectors = np.linalg.eigh(gram(z))
+    order = np.argsort(values)[::-1][:k]
+    sigma = np.sqrt(np.maximum(values[order], 0))
+    turn = vectors[:, order]
+    comps = materialize(times(z, ["feature_id"], turn / np.where(sigma > 0, sigma, 1.0)).withColumnRenamed("b", "features"), "svd-components")
+    widest = comps.agg(*[F.max_by(F.col("features")[j], F.abs(F.col("features")[j])).alias(f"s{j}") for j in range(len(order))]).first()
+    sign = np.array([-1.0 if (widest[j] or 0) < 0 else 1.0 for j in range(len(order))])  # the largest part of each is positive
+    flip = lambda c: F.array(*[F.col(c)[j] * float(sign[j]) for j in range(len(order))])
+    rows = materialize(times(q, key, turn * sigma * sign).withColumnRenamed("b", "features"), "svd-result")
+    scratch.release()
+    full = m.rows.select(*key).join(rows, key, "left").select(*key, F.coalesce("features", F.array_repeat(F.lit(0.0), len(order))).alias("features"))
+    return full, sigma, comps.select("feature_id", flip("features").alias("features"))
+
+
 def lda(m: Cells, k: int, seed: int = 0, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
     """Topic shares of every row of a matrix of whole counts, and ``topic``, ``feature_id``, ``feature``, ``weight`` for
     every feature of every topic, a topic's weights summing to 1. Rows are sparse vectors over the whole vocabulary, and
@@ -171,17 +234,13 @@ def word2vec(df: DataFrame, words: str, size: int = 50, min_count: int = 5, seed
 
 
 def random_projection(df: DataFrame, pk: Sequence[str], dims: int = 2, seed: int = 0, array: str = "features") -> DataFrame:
-    """A seeded Gaussian projection. It is not UMAP, which isn't built here; see :func:`umap`."""
+    """A seeded Gaussian projection."""
     width = df.select(F.size(array).alias("n")).limit(1).collect()[0].n
     p = np.random.default_rng(seed).normal(size=(dims, width)) / np.sqrt(dims)
     out = [F.aggregate(F.zip_with(F.col(array), F.array(*[F.lit(float(c)) for c in row]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for row in p]
     return df.select(*pk, F.array(*out).alias("features"))
 
 
-def umap(*_args, **_options):
-    raise NotImplementedError("UMAP needs a library that isn't here; random_projection and truncated_svd are other methods")
-
-
 def encode_texts(df: DataFrame, pk: Sequence[str], field: str, encoder: Callable | None) -> DataFrame:
     """Vectors that an injected model gives: ``encoder(list of texts) -> array of rows``, a batch at a time."""
     if encoder is None:
@@ -202,7 +261,7 @@ def _local(df: DataFrame, pk: Sequence[str], what: str, array: str = "features")
     rows = df.select(*pk, array).orderBy(*pk).limit(MOST_ROWS + 1).collect()
     if len(rows) > MOST_ROWS:
         raise ValueError(f"{what} holds all distances: {MOST_ROWS} rows at most")
-    return [tuple(r)[:-1] for r in rows], np.array([r[-1] for r in rows], float).reshape(len(rows), -1)
+    return [tuple(r)[:-1] for r in rows], np.array([r[-1] for r in rows], float).reshape(len(rows), -1 if rows else 0)
 
 
 def _labels(df: DataFrame, pk: Sequence[str], keys: list[tuple], labels: Sequence[int]) -> DataFrame:
@@ -247,6 +306,63 @@ def kmedoids(df: DataFrame, pk: Sequence[str], k: int, seed: int = 0, max_iter:
     return _labels(df, pk, keys, d[:, medoids].argmin(1))
 
 
+def umap(df: DataFrame, pk: Sequence[str], dims: int = 2, neighbors: int = 15, min_dist: float = 0.1, epochs: int = 300, seed: int = 0) -> DataFrame:
+    """``features``: uniform manifold approximation. Exact nearest neighbours, memberships that sum to log2(neighbors) for
+    each row, their fuzzy union, and a layout by attraction along its edges and repulsion from random rows, all seeded."""
+    keys, x = _local(df, pk, "UMAP")
+    n = len(x)
+    rng = np.random.default_rng(seed)
+    k = min(neighbors, n - 1)
+    if k < 2:
+        points = np.zeros((n, dims))
+    else:
+        d = distances(x)
+        np.fill_diagonal(d, np.inf)
+        near = np.argsort(d, axis=1)[:, :k]
+        dist = np.take_along_axis(d, near, axis=1)
+        del d
+        rho = dist[:, :1]
+        low, high = np.zeros((n, 1)), np.full((n, 1), np.inf)
+        scale = np.maximum(dist.mean(1, keepdims=True), 1e-12)
+        for _ in range(64):
+            total = np.exp(-np.maximum(dist - rho, 0) / scale).sum(1, keepdims=True)
+            over = total > np.log2(k)
+            high, low = np.where(over, scale, high), np.where(over, low, scale)
+            scale = np.where(np.isinf(high), scale * 2, (low + high) / 2)
+        one = dict(zip(zip(np.repeat(np.arange(n), k).tolist(), near.ravel().tolist()), np.exp(-np.maximum(dist - rho, 0) / scale).ravel().tolist()))
+        edges = {(min(i, j), max(i, j)) for i, j in one}
+        tail, head = np.array(sorted(edges)).T
+        weight = np.array([(a := one.get((i, j), 0.0)) + (b := one.get((j, i), 0.0)) - a * b for i, j in zip(tail.tolist(), head.tolist())])
+        # the curve 1 / (1 + a d^2b) nearest to 1 up to min_dist and an exponential fall beyond
+        grid = np.linspace(0, 3, 300)[1:]
+        want = np.where(grid <= min_dist, 1.0, np.exp(-(grid - min_dist)))
+        a, b = min(((a, b) for a in np.linspace(0.2, 3, 57) for b in np.linspace(0.5, 1.5, 41)), key=lambda ab: ((1 / (1 + ab[0] * grid ** (2 * ab[1])) - want) ** 2).sum())
+        centred = x - x.mean(0)
+        _, _, axes = np.linalg.svd(centred if n <= 2000 else centred[rng.choice(n, 2000, replace=False)], full_matrices=False)
+        points = centred @ axes[:dims].T
+        points = np.pad(points, ((0, 0), (0, dims - points.shape[1])))
+        points = 10 * points / max(np.abs(points).max(), 1e-12) + rng.normal(scale=1e-4, size=points.shape)
+        for epoch in range(epochs):
+            rate = 1 - epoch / epochs
+            on = rng.random(len(weight)) < weight / weight.max()
+            i, j = tail[on], head[on]
+            gap = points[i] - points[j]
+            sq = (gap * gap).sum(1, keepdims=True)
+            pull = np.clip(-2 * a * b * np.maximum(sq, 1e-12) ** (b - 1) / (1 + a * sq**b) * gap, -4, 4) * rate
+            move = np.zeros_like(points)
+            np.add.at(move, i, pull)
+            np.add.at(move, j, -pull)
+            for _ in range(5):
+                other = rng.integers(0, n, len(i))
+                gap = points[i] - points[other]
+                sq = (gap * gap).sum(1, keepdims=True)
+                np.add.at(move, i, np.where(other[:, None] == i[:, None], 0.0, np.clip(2 * b / ((0.001 + sq) * (1 + a * sq**b)) * gap, -4, 4) * rate))
+            degree = np.maximum(np.bincount(i, minlength=n) + np.bincount(j, minlength=n), 1)[:, None]
+            points = points + move / np.sqrt(degree)
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in pk) + ", features array<double>"
+    return df.sparkSession.createDataFrame([(*key, p) for key, p in zip(keys, points.tolist())], schema)
+
+
 def agglomerative(df: DataFrame, pk: Sequence[str], k: int, linkage: str = "average") -> DataFrame:
     """Merge the two nearest clusters until ``k`` are left (single, complete, average or ward distances)."""
     keys, x = _local(df, pk, "agglomerative clustering")
@@ -382,15 +498,37 @@ def hdbscan(df: DataFrame, pk: Sequence[str], min_cluster_size: int = 5, min_sam
     return _labels(df, pk, keys, label)
 
 
+def _axes(df: DataFrame, array: str, width: int, most: int = 2) -> np.ndarray:
+    """Orthonormal directions in which the rows spread most: of their covariance, summed by Spark."""
+    if width > 4096:
+        return np.linalg.qr(np.random.default_rng(0).normal(size=(width, most)))[0].T
+
+    def run(frames):
+        import pandas as pd
+
+        total, n, squares = np.zeros(width), 0, np.zeros((width, width))
+        for f in frames:
+            x = np.array(f[array].tolist(), float).reshape(len(f), width)
+            total, n, squares = total + x.sum(0), n + len(f), squares + x.T @ x
+        yield pd.DataFrame({"n": [n], "total": [total], "squares": [squares.ravel()]})
+
+    n, total, squares = 0, np.zeros(width), np.zeros(width * width)
+    for r in df.select(array).mapInPandas(run, "n bigint, total array<double>, squares array<double>").toLocalIterator():
+        n, total, squares = n + r.n, total + np.array(r.total), squares + np.array(r.squares)
+    mean = total / max(n, 1)
+    return np.linalg.eigh(squares.reshape(width, width) / max(n, 1) - np.outer(mean, mean))[1][:, ::-1][:, :most].T
+
+
 def dbscan(df: DataFrame, pk: Sequence[str], eps: float, min_samples: int = 5, array: str = "features") -> DataFrame:
-    """DBSCAN by grid cells of width ``eps`` over the first two coordinates: rows meet those of neighbouring cells, core
-    rows are joined into components, border rows go to the least one; noise is -1. Components are found by joins."""
-    cell = lambda i: F.floor(F.col(array)[i] / eps)
+    """DBSCAN by grid cells of width ``eps`` over the two directions in which the rows spread most (a projection makes no
+    distance longer, so no neighbour is missed): rows meet those of neighbouring cells, core rows are joined into
+    components, border rows go to the least one; noise is -1. Components are found by joins."""
     width = df.select(F.size(array).alias("n")).limit(1).collect()
     if not width:
         return df.select(*pk, F.lit(-1).alias("cluster"))
-    flat = width[0].n
-    base = df.select(F.xxhash64(*pk).alias("id"), *pk, F.col(array).alias("v"), cell(0).alias("cx"), (cell(1) if flat > 1 else F.lit(0)).alias("cy"))
+    axes = _axes(df, array, width[0].n)
+    cell = lambda i: F.floor(F.aggregate(F.zip_with(F.col(array), F.array(*[F.lit(float(c)) for c in axes[i]]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) / (eps * (1 + 1e-9)))
+    base = materialize(df.select(F.xxhash64(*pk).alias("id"), *pk, F.col(array).alias("v"), cell(0).alias("cx"), (cell(1) if len(axes) > 1 else F.lit(0).cast("bigint")).alias("cy")), "dbscan-cells")
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     left = base.select("id", "v", F.explode(around).alias("o"), "cx", "cy").select("id", "v", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
     right = base.select(F.col("id").alias("id2"), F.col("v").alias("v2"), "cx", "cy")
@@ -431,6 +569,31 @@ class FittedPredictor:
         return out.select(*pk, F.when(p >= self.threshold, 1).otherwise(0).alias("prediction"), p.alias("probability"))
 
 
+class Stack:
+    """A logistic model over the probabilities of other models. ``fit`` takes each member's probabilities for rows that it
+    was not fitted to (see :meth:`ClassifierSearch.out_of_fold`)."""
+
+    def __init__(self, model, threshold: float = 0.5):
+        self.model, self.threshold = model, threshold
+
+    @staticmethod
+    def _joined(members: Sequence[DataFrame], pk: Sequence[str]) -> DataFrame:
+        out = members[0].select(*pk, F.col("probability").alias("p0"))
+        for i, m in enumerate(members[1:], 1):
+            out = out.join(m.select(*pk, F.col("probability").alias(f"p{i}")), list(pk))
+        return out.select(*pk, F.array(*[f"p{i}" for i in range(len(members))]).alias("features"))
+
+    @classmethod
+    def fit(cls, members: Sequence[DataFrame], labels: DataFrame, pk: Sequence[str], label: str, regularization: float = 1e-4, threshold: float = 0.5) -> "Stack":
+        from pyspark.ml.classification import LogisticRegression
+
+        rows = _vectors(cls._joined(members, pk).join(labels.select(*pk, label), list(pk)))
+        return cls(LogisticRegression(featuresCol="__v", labelCol=label, regParam=regularization).fit(rows), threshold)
+
+    def transform(self, members: Sequence[DataFrame], pk: Sequence[str]) -> DataFrame:
+        return FittedPredictor(self.model, self.threshold).transform(self._joined(members, pk), pk)
+
+
 def committee(members: Sequence[DataFrame], pk: Sequence[str], weights: Sequence[float] | None = None, threshold: float = 0.5) -> DataFrame:
     """Weighted mean of member probabilities, joined by key; 1 from the threshold on."""
     weights = list(weights or [1.0] * len(members))
@@ -442,36 +605,82 @@ def committee(members: Sequence[DataFrame], pk: Sequence[str], weights: Sequence
 
 
 class ClassifierSearch:
-    """Search over a list of representations and models with the same folds for all. Folds are stratified by the label;
-    groups stay in one fold, stratified by their greatest label."""
+    """Search over representations and models with the same folds for all: a list of candidates, a grid or random draws of
+    its settings, or successive halving. Folds are stratified by the label; groups stay in one fold, stratified by their
+    greatest label."""
 
     def __init__(self, folds: int = 3, seed: int = 0, group: str | None = None):
         self.folds, self.seed, self.group, self.found, self.data = folds, seed, group, [], {}
 
-    def fit(self, representations: dict[str, DataFrame], label: str, candidates: dict[str, object]) -> "ClassifierSearch":
-        """``candidates``: unfitted ``pyspark.ml`` classifiers by name; may be called again with more."""
-        from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    @staticmethod
+    def grid(name: str, estimator, settings: dict[str, Sequence]) -> dict[str, object]:
+        """Every combination of settings of an estimator, by name."""
+        keys = sorted(settings)
+        return {f"{name}({', '.join(f'{k}={v}' for k, v in zip(keys, vs))})": estimator.copy({estimator.getParam(k): v for k, v in zip(keys, vs)}) for vs in itertools.product(*(settings[k] for k in keys))}
 
-        from verseloom.operators.keyed import with_position
+    def random(self, name: str, estimator, settings: dict[str, Sequence], n: int) -> dict[str, object]:
+        """``n`` different combinations, drawn by the seed."""
+        every = self.grid(name, estimator, settings)
+        picked = np.random.default_rng(self.seed).permutation(len(every))[:n]
+        return {k: every[k] for i, k in enumerate(every) if i in set(picked.tolist())}
+
+    def _folded(self, r: str, df: DataFrame, label: str) -> DataFrame:
+        if r not in self.data:
+            from verseloom.operators.keyed import with_position
 
-        score = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction")
-        for r, df in representations.items():
             keys = [self.group] if self.group else [c for c in df.columns if c not in ("features", label)]
             units = df.groupBy(*keys).agg(F.max(label).alias("__label")).withColumn("__draw", F.xxhash64(F.lit(self.seed), *keys))
             dealt = with_position(units, ["__label", "__draw", *keys], "__place")  # dealt to the folds in turn, label by label
-            fold = dealt.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.pmod("__place", F.lit(self.folds)).cast("int").alias("__fold"))
+            fold = dealt.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.pmod("__place", F.lit(self.folds)).cast("int").alias("__fold"), "__draw")
             same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)]
-            v = materialize(df.join(fold, same).drop(*[f"__k{i}" for i in range(len(keys))]), "folds")
-            self.data[r] = v
+            self.data[r] = materialize(df.join(fold, same).drop(*[f"__k{i}" for i in range(len(keys))]), "folds")
+        return self.data[r]
+
+    def _scores(self, r: str, est, label: str, share: float = 1.0) -> list[float]:
+        from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+        score = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction")
+        v = self.data[r]
+        # a share of the units, by their draw; the same for every candidate
+        some = v if share >= 1 else v.where(F.pmod(F.xxhash64("__draw"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        return [score.evaluate(est.fit(_vectors(some.where(F.col("__fold") != k))).transform(_vectors(v.where(F.col("__fold") == k)))) for k in range(self.folds)]
+
+    def fit(self, representations: dict[str, DataFrame], label: str, candidates: dict[str, object]) -> "ClassifierSearch":
+        """``candidates``: unfitted ``pyspark.ml`` classifiers by name; may be called again with more."""
+        for r, df in representations.items():
+            self._folded(r, df, label)
             for name, est in candidates.items():
                 est = est.copy({est.featuresCol: "__v", est.labelCol: label})
-                parts = []
-                for k in range(self.folds):
-                    train, test = _vectors(v.where(F.col("__fold") != k)), _vectors(v.where(F.col("__fold") == k))
-                    parts.append(score.evaluate(est.fit(train).transform(test)))
+                parts = self._scores(r, est, label)
                 self.found.append((r, name, est, float(np.mean(parts)), float(np.std(parts))))
         return self
 
+    def halve(self, representations: dict[str, DataFrame], label: str, candidates: dict[str, object], factor: int = 3, least: float = 0.1) -> "ClassifierSearch":
+        """Successive halving: all candidates are fitted to a small share of the training rows, the best 1 / ``factor`` of
+        them to ``factor`` times as much, until those left see all rows. Only these last are among the results."""
+        left = []
+        for r, df in representations.items():
+            self._folded(r, df, label)
+            left += [(r, name, est.copy({est.featuresCol: "__v", est.labelCol: label})) for name, est in candidates.items()]
+        share = max(least, 1 / factor ** max(0, math.ceil(math.log(max(len(left), 1), factor))))
+        while share < 1 and len(left) > 1:
+            scored = sorted(((float(np.mean(self._scores(r, est, label, share))), i) for i, (r, _, est) in enumerate(left)), reverse=True)
+            left = [left[i] for _, i in sorted(scored[: max(1, math.ceil(len(left) / factor))], key=lambda x: x[1])]
+            share *= factor
+        for r, name, est in left:
+            parts = self._scores(r, est, label)
+            self.found.append((r, name, est, float(np.mean(parts)), float(np.std(parts))))
+        return self
+
+    def out_of_fold(self, r: str, name: str, pk: Sequence[str]) -> DataFrame:
+        """A candidate's ``probability`` for every row, each from the model fitted to the other folds."""
+        est = next(e for a, b, e, _, _ in self.found if (a, b) == (r, name))
+        out = None
+        for k in range(self.folds):
+            part = FittedPredictor(est.fit(_vectors(self.data[r].where(F.col("__fold") != k)))).transform(self.data[r].where(F.col("__fold") == k), pk)
+            out = part if out is None else out.unionByName(part)
+        return out
+
     fit_more = fit
 
     def results(self, spark) -> DataFrame:

@@ -179,9 +179,10 @@ def run_ids_by_range(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return numbered.drop("__block", "__last", "__before", "__new", "__base")
 
 
-def crosstab(df: DataFrame, rows: str, columns: str, margins: bool = False, dropna: bool = True) -> DataFrame:
-    """Counts of value pairs in long form: row, column, ``n``. With ``dropna=False`` a null is ``<NA>``; with margins the
+def crosstab(df: DataFrame, rows: str, columns: str, margins: bool = False, dropna: bool = True, where: Column | str | None = None) -> DataFrame:
+    """Counts of value pairs, of the rows for which ``where`` holds, in long form: row, column, ``n``. With ``dropna=False`` a null is ``<NA>``; with margins the
     totals are under ``All``."""
+    df = df if where is None else df.where(where)
     r, c = F.col(f"`{rows}`").cast("string"), F.col(f"`{columns}`").cast("string")
     base = df.select(F.coalesce(r, F.lit("<NA>")).alias(rows), F.coalesce(c, F.lit("<NA>")).alias(columns)) if not dropna else df.select(r.alias(rows), c.alias(columns)).where(f"`{rows}` IS NOT NULL AND `{columns}` IS NOT NULL")
     if not margins:
@@ -190,24 +191,37 @@ def crosstab(df: DataFrame, rows: str, columns: str, margins: bool = False, drop
     return cube.select(F.when(F.col("gr") == 1, "All").otherwise(F.col(rows)).alias(rows), F.when(F.col("gc") == 1, "All").otherwise(F.col(columns)).alias(columns), "n")
 
 
-def histogram(df: DataFrame, field: str, edges: Sequence[float] | int, low: float | None = None, high: float | None = None) -> DataFrame:
+def histogram(df: DataFrame, field: str, edges: Sequence[float] | int, low: float | None = None, high: float | None = None, by: str | None = None, dropna: bool = True, where: Column | str | None = None) -> DataFrame:
     """Counts in right-open bins, the last one closed: ``bin``, ``lower``, ``upper``, ``n``; under- and overflow and nulls
-    have bins -1, n and -2."""
+    have bins -1, n and -2. ``by``: one histogram for each value of a column, with the same edges; its nulls are left out
+    or, with ``dropna=False``, are the group ``<NA>``."""
+    df = df if where is None else df.where(where)
+    if by:
+        group = F.col(f"`{by}`").cast("string")
+        df = df.where(group.isNotNull()) if dropna else df
+        df = df.select(F.col(f"`{field}`"), F.coalesce(group, F.lit("<NA>")).alias("__by"))
     c = F.col(f"`{field}`").try_cast("double")
     if isinstance(edges, int):
         if low is None or high is None:
             span = df.agg(F.min(c).alias("a"), F.max(c).alias("b")).first()
-            low, high = span.a, span.b
+            low, high = (0.0, 1.0) if span.a is None else (span.a, span.b)
         if low == high:
             low, high = low - 0.5, high + 0.5
         edges = [low + (high - low) * i / edges for i in range(edges + 1)]
     edges, k = [float(e) for e in edges], len(edges) - 1
+    if k < 1 or any(a >= b for a, b in zip(edges, edges[1:])):
+        raise ValueError("edges must rise")
     which = F.when(c.isNull() | F.isnan(c), -2).when(c < edges[0], -1).when(c > edges[-1], k)
     for i in range(k):
         which = which.when(c < edges[i + 1], i)
-    counts = df.groupBy(which.otherwise(k - 1).alias("bin")).agg(F.count("*").alias("n"))
+    keys = ["__by"] if by else []
+    counts = df.groupBy(*keys, which.otherwise(k - 1).alias("bin")).agg(F.count("*").alias("n"))
     bins = df.sparkSession.createDataFrame([(i, edges[i], edges[i + 1]) for i in range(k)] + [(-2, None, None), (-1, None, edges[0]), (k, edges[-1], None)], "bin int, lower double, upper double")
-    return bins.join(F.broadcast(counts), "bin", "left").select("bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n"))  # one row per bin
+    if not by:
+        return bins.join(F.broadcast(counts), "bin", "left").select("bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n"))  # one row per bin
+    groups = counts.select("__by").distinct().withColumn("bin", F.explode(F.array(*[F.lit(i) for i in (-2, *range(-1, k + 1))])))
+    full = groups.join(counts, ["__by", "bin"], "left").join(F.broadcast(bins), "bin")
+    return full.select(F.col("__by").alias(by), "bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def text_diagnostics(df: DataFrame, field: str, strip: bool = True) -> DataFrame:

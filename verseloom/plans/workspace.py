@@ -65,6 +65,26 @@ class Workspace:
         self._put(name, {"id": id_, "kind": t.kind, "pk": t.pk, "data": t.data, "metadata": t.metadata, "mode": t.mode, "bases": [b.name for b in t.bases], "bridge": t.bridge is not None, "operation": operation, "deleted": False, "at": time.time(), "aliases": []})
         return self.load(name)
 
+    def save_parts(self, name: str, source: Keyed, compute: Callable[[Keyed], Keyed], parts: int = 16, operation: str | None = None) -> Keyed:
+        """``compute`` over a source in ``parts`` disjoint parts by the hash of its key, each written when it is done: after
+        a crash, the same call does only the parts that are missing. ``compute`` must work row by row or by whole keys."""
+        entries = self.entries()
+        if name in entries and not entries[name]["deleted"]:
+            return self.load(name)
+        if not source.name or source.name not in entries:
+            raise ValueError("save the source first")
+        stage = f"{self.path}/operators/{name}-parts"
+        made = None
+        for i in range(parts):
+            part = Keyed(source.df.where(F.pmod(F.xxhash64(*source.pk), F.lit(parts)) == i), source.pk, source.data, source.metadata, source.bases, source.mode, source.name, source.bridge, source.kind)
+            made = compute(part)
+            if not self._fs.exists(self._fs_path(f"{stage}/part={i}/_SUCCESS")):
+                made.df.write.mode("overwrite").parquet(f"{stage}/part={i}")
+        whole = self.spark.read.schema(made.df.schema).parquet(*[f"{stage}/part={i}" for i in range(parts)])
+        out = self.save(Keyed(whole, made.pk, made.data, made.metadata, [source], made.mode, kind=made.kind), name, operation)
+        self._fs.delete(self._fs_path(stage), True)
+        return out
+
     def load(self, name: str) -> Keyed:
         entries = self.entries()
         for n, e in entries.items():
@@ -173,3 +193,58 @@ def save_state(spark: SparkSession, path: str, params: dict, tables: dict[str, D
 def load_state(spark: SparkSession, path: str, tables: Sequence[str] = ()) -> tuple[dict, dict[str, DataFrame]]:
     params = json.loads(spark.read.json(f"{path}/_params").first().params)
     return params, {n: spark.read.parquet(f"{path}/{n}") for n in tables}
+
+
+class BinaryCoding:
+    """Hand coding of rows as 0 or 1, kept in a workspace: each decision is stored at once, a new session goes on at the
+    first row without one, and :meth:`finish` gives the labels as a data set once every row has one."""
+
+    def __init__(self, workspace: Workspace, name: str, source: Keyed, text_field: str, instructions: str):
+        if not instructions.strip():
+            raise ValueError("coders need instructions")
+        source.require([text_field])
+        self.workspace, self.name, self.source, self.text_field, self.instructions = workspace, name, source, text_field, instructions
+        self._folder = f"{workspace.path}/operators/coding-{name}"
+        workspace._fs.mkdirs(workspace._fs_path(self._folder))
+
+    def decisions(self) -> DataFrame:
+        schema = ", ".join(f"{k} bigint" for k in self.source.pk) + ", code int"
+        return self.workspace.spark.read.schema(schema).json(self._folder)
+
+    def pending(self, n: int = 1, before: int = 2, after: int = 2) -> list[dict]:
+        """The next rows to code in the table's order: key, text, and the texts around it."""
+        rows = self.source.query([self.text_field], ordered=False).join(self.decisions().select(*self.source.pk), self.source.pk, "left_anti")
+        out = []
+        for r in rows.orderBy(*self.source.pk).limit(n).collect():
+            key = {k: r[k] for k in self.source.pk}
+            around = self.source.context(key, before, after, [self.text_field]).collect()
+            out.append({"key": key, "text": r[self.text_field], "context": [x[self.text_field] for x in around]})
+        return out
+
+    def code(self, key: dict, value: int) -> None:
+        if value not in (0, 1) or set(key) != set(self.source.pk):
+            raise ValueError("a code is 0 or 1 for a whole key")
+        name = "-".join(str(int(key[k])) for k in self.source.pk)
+        out = self.workspace._fs.create(self.workspace._fs_path(f"{self._folder}/{name}.json"), True)
+        out.write(bytearray(json.dumps({**{k: int(key[k]) for k in self.source.pk}, "code": value}).encode()))
+        out.close()
+
+    def finish(self) -> Keyed:
+        from verseloom.operators.joins import from_keyed_frame
+
+        return from_keyed_frame(self.source, self.decisions(), ["code"], require_complete=True)
+
+
+def translate_values(spark: SparkSession, values: Sequence[str | dict], operator: Callable[[Keyed], Keyed | DataFrame], field_name: str = "text") -> list[dict]:
+    """Run an operator on values in memory, without a workspace: strings (as ``field_name``) or records become rows with the
+    key ``row_id``, in order; the result comes back as records in key order."""
+    from verseloom.sources.readers import payload_table
+
+    records = [{"row_id": i, **(v if isinstance(v, dict) else {field_name: v})} for i, v in enumerate(values)]
+    if not records:
+        return []
+    made = operator(payload_table(spark, records, ["row_id"]))
+    if isinstance(made, Keyed):
+        return [r.asDict(recursive=True) for r in made.query(sorted(made.data)).collect()]
+    keys = [k for k in ("row_id",) if k in made.columns]
+    return [r.asDict(recursive=True) for r in (made.orderBy(*keys) if keys else made).collect()]

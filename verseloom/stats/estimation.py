@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verseloom.operators.joins import one_to_one
+from verseloom.runtime import drop_materialized, materialize
 
 
 #: Distinct values that one ordered window may hold.
@@ -64,23 +65,70 @@ def left_weighted_quantile(df: DataFrame, value: str, p: float, weight: str | No
     return run.where(F.col("c") >= need).agg(F.min("y").alias("y")).first().y
 
 
-def quantile_rank_interval(population: int, n: int, p: float, confidence: float = 0.95) -> tuple[int, int] | None:
-    """Order statistics of a simple random sample that cover the population quantile, by hypergeometric tails; None where
-    there is none."""
+def hypergeometric_tail(k: int, population: int, marked: int, n: int) -> float:
+    """Probability of ``k`` marked units or fewer among ``n`` drawn without replacement."""
+    low, high = max(0, n - (population - marked)), min(n, marked)
+    if k < low:
+        return 0.0
+    if k >= high:
+        return 1.0
+    ln = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    log_p = lambda i: ln(marked, i) + ln(population - marked, n - i) - ln(population, n)
+    mode = (n + 1) * (marked + 1) // (population + 2)
+    upper = k >= mode  # the shorter side is summed, from its largest term outward, by the ratio of neighbours
+    i, part, total = (k + 1, math.exp(log_p(k + 1)), 0.0) if upper else (k, math.exp(log_p(k)), 0.0)
+    while low <= i <= high and part > total * 1e-17:
+        total += part
+        if upper:
+            part *= (marked - i) * (n - i) / ((i + 1) * (population - marked - n + i + 1)) if i < high else 0.0
+            i += 1
+        else:
+            part *= i * (population - marked - n + i) / ((marked - i + 1) * (n - i + 1)) if i > low else 0.0
+            i -= 1
+    return min(1.0, 1 - total if upper else total)
+
+
+def quantile_ranks(population: int, n: int, p: float, confidence: float = 0.95) -> tuple[int | None, int | None]:
+    """Ranks in a simple random sample of the ends of an interval that covers the population quantile, by hypergeometric
+    tails; an end that no rank supports is None, and the other one stays. Both tails fall as the rank moves out, so each
+    rank is found by bisection."""
+    if not 1 <= n <= population or not 0 < p < 1 or not 0 < confidence < 1:
+        raise ValueError("n must be between 1 and the population, p and confidence between 0 and 1")
     rank = max(1, math.ceil(p * population - 1e-12))
+    if n == population:
+        return rank, rank
     alpha = (1 - confidence) / 2
 
-    def at_most(k: int, marked: int) -> float:
-        if k < 0:
-            return 0.0
-        total = math.comb(population, n)
-        return sum(math.comb(marked, i) * math.comb(population - marked, n - i) for i in range(0, min(k, n, marked) + 1)) / total
+    def first(good) -> int | None:
+        """The least rank from which on ``good`` holds."""
+        a, b = 1, n + 1
+        while a < b:
+            middle = (a + b) // 2
+            a, b = (a, middle) if good(middle) else (middle + 1, b)
+        return a if a <= n else None
 
-    low = max((r for r in range(1, n + 1) if at_most(r - 1, rank) <= alpha), default=None)
-    high = min((r for r in range(1, n + 1) if 1 - at_most(r - 1, rank - 1) <= alpha), default=None)
+    too_high = first(lambda r: hypergeometric_tail(r - 1, population, rank, n) > alpha)
+    low = n if too_high is None else too_high - 1
+    high = first(lambda r: 1 - hypergeometric_tail(r - 1, population, rank - 1, n) <= alpha)
+    return low or None, high
+
+
+def quantile_rank_interval(population: int, n: int, p: float, confidence: float = 0.95) -> tuple[int, int] | None:
+    """Both of :func:`quantile_ranks`; None where one is missing."""
+    low, high = quantile_ranks(population, n, p, confidence)
     return None if low is None or high is None or low > high else (low, high)
 
 
+def quantile_interval(sample: DataFrame, value: str, population: int, p: float, confidence: float = 0.95) -> tuple[float, float]:
+    """The interval itself: an end without a rank is infinite. The two order statistics are found by counts of distinct
+    values, see :func:`left_weighted_quantile`."""
+    _check_finite(sample, value)
+    n = sample.count()
+    low, high = quantile_ranks(population, n, p, confidence)
+    at = lambda r: left_weighted_quantile(sample, value, (r - 0.5) / n)
+    return (-math.inf if low is None else float(at(low)), math.inf if high is None else float(at(high)))
+
+
 def srs_variance(population: int, n: int, s2: float | None) -> float | None:
     """N²(1-n/N)s²/n; 0 for a census, None for one unit."""
     if n == population:
@@ -164,20 +212,50 @@ def isotonic(values: Sequence[float], weights: Sequence[float] | None = None) ->
     return [b[0] for b in blocks for _ in range(b[2])]
 
 
-def gd_quantile(surrogate: DataFrame, gold: DataFrame, pk: Sequence[str], p: float, q: str = "q", y: str = "y", pi: str = "pi", most_knots: int = 1_000_000) -> float:
+def gd_quantile(surrogate: DataFrame, gold: DataFrame, pk: Sequence[str], p: float, q: str = "q", y: str = "y", pi: str = "pi") -> float:
     """Quantile of the corrected distribution function: counts of predictions up to each knot, corrected by the audit, made
-    monotone, ended at 1 and inverted. Knots are the distinct values; over ``most_knots`` it is an error."""
+    monotone (see :func:`isotonic`), ended at 1 and inverted. Knots are the distinct values, any number of them.
+
+    The least non-decreasing fit reaches ``p`` right after the knot at which the running sum of F - p is least, so that
+    the knots are only sorted by ranges and summed; the driver sees three numbers for each range."""
     _check_pi(gold, pi)
     n = surrogate.count()
     audit = gold.select(*pk, y, pi).join(surrogate.select(*pk, q), list(pk))
     steps = surrogate.select(F.col(q).cast("double").alias("t"), F.lit(1.0).alias("d")).unionByName(audit.select(F.col(y).cast("double").alias("t"), (1 / F.col(pi)).alias("d"))).unionByName(audit.select(F.col(q).cast("double").alias("t"), (-1 / F.col(pi)).alias("d")))
-    knots = steps.groupBy("t").agg(F.sum("d").alias("d")).limit(most_knots + 1).collect()
-    if len(knots) > most_knots:
-        raise ValueError("too many knots")
-    knots.sort(key=lambda r: r.t)
-    cdf = isotonic(list(np.cumsum([r.d for r in knots]) / n))
-    cdf[-1] = 1.0
-    return next(r.t for r, f in zip(knots, cdf) if f >= p - 1e-12)
+    knots = materialize(steps.groupBy("t").agg(F.sum("d").alias("d")), "knots")
+    ranged = materialize(knots.repartitionByRange("t").withColumn("part", F.spark_partition_id()), "knot-ranges")
+
+    def scan(start: dict):
+        """Per range: its knots, the sum of its steps and of their running sums, and where the sum of F - p is least."""
+
+        def run(key, f):
+            import pandas as pd
+
+            f = f.sort_values("t")
+            s0, c0 = start.get(int(key[0]), (0.0, 0.0))
+            running = s0 + f["d"].cumsum().to_numpy()
+            sums = c0 + np.cumsum(running / n - (p - 1e-12))
+            at = int(sums.argmin())
+            follows = f["t"].iloc[at + 1] if at + 1 < len(f) else None
+            return pd.DataFrame({"part": [int(key[0])], "d": [float(f["d"].sum())], "least": [float(sums[at])], "total": [float(sums[-1])], "first": [float(f["t"].iloc[0])], "follows": [follows], "last": [float(f["t"].iloc[-1])]})
+
+        rows = ranged.groupBy("part").applyInPandas(run, "part int, d double, least double, total double, first double, follows double, last double").collect()
+        return sorted(rows, key=lambda r: r.part), {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}
+
+    plain, sizes = scan({})
+    start, s, c = {}, 0.0, 0.0
+    for r in plain:
+        start[r.part] = (s, c)
+        c += r.total + sizes[r.part] * s / n
+        s += r.d
+    best, answer, found = 0.0, plain[0].first, scan(start)[0]  # before the first knot the sum is 0
+    for i, r in enumerate(found):
+        if r.least < best:
+            best = r.least
+            answer = r.follows if r.follows is not None and not math.isnan(r.follows) else found[i + 1].first if i + 1 < len(found) else r.last
+    drop_materialized(knots)
+    drop_materialized(ranged)
+    return answer
 
 
 def classification(gold: DataFrame, prediction: DataFrame, pk: Sequence[str], y: str = "y", q: str = "q", pi: str | None = None) -> DataFrame:
@@ -201,3 +279,17 @@ def classification(gold: DataFrame, prediction: DataFrame, pk: Sequence[str], y:
         )
         made = one if made is None else made.unionByName(one)
     return made
+
+
+def estimate(sample: DataFrame, value: str, statistic: str = "mean", population: int | None = None, pi: str | None = None, p: float = 0.5) -> float | None:
+    """One number: ``mean``, ``total`` or ``quantile`` of a complete population, or of a sample with inclusion
+    probabilities ``pi`` (Horvitz-Thompson; quantiles by weights 1/pi)."""
+    if statistic == "quantile":
+        return left_weighted_quantile(sample if pi is None else sample.withColumn("__w", 1 / F.col(pi)), value, p, None if pi is None else "__w")
+    if statistic not in ("mean", "total"):
+        raise ValueError(f"no statistic {statistic!r}")
+    if pi is None:
+        return census(sample, value).first()[statistic]
+    if population is None and statistic == "mean":
+        raise ValueError("the mean of a sample needs the size of the population")
+    return horvitz_thompson(sample, value, pi, population or 1).first()[statistic]
