@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,6 +26,7 @@ _BREAK = re.compile(f"[{BREAKS}]")
 _SPACES = re.compile(r"\s*")
 _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)")
 _TOKENS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{N}\p{M}]+")
+_JOINED = regex.compile(r"[\p{M}\u200d]")
 #: Words in each of the two blocks that are compared at a boundary.
 BLOCK_WORDS = 40
 #: Most limits in a table of limits; it is a setting, collected to the driver.
@@ -35,39 +36,22 @@ MOST_LIMITS = 1000
 def cohesion_depths(text: str, boundaries: list[int], block: int = BLOCK_WORDS) -> list[float]:
     """For each boundary, how deep a valley of block similarity it is: the rise to the nearest peak on either side.
 
-    Two blocks of ``block`` words slide along the text; counts, dot product and norms are kept up to date word by word."""
-    found = [(m.end(), m.group().lower()) for m in _TOKENS.finditer(text)]
-    ends, tokens = [e for e, _ in found], [w for _, w in found]
-    left: Counter = Counter()
-    right: Counter = Counter(tokens[:block])
-    dot, l2, r2 = 0, 0, sum(v * v for v in right.values())
-    at, sims = 0, []
-    for b in boundaries:
-        to = bisect.bisect_right(ends, b)
-        if to - at > 2 * block:  # nothing of the old blocks is left
-            at = to
-            left, right = Counter(tokens[max(0, at - block) : at]), Counter(tokens[at : at + block])
-            dot, l2, r2 = sum(v * right[w] for w, v in left.items()), sum(v * v for v in left.values()), sum(v * v for v in right.values())
-        while at < to:
-            w = tokens[at]  # goes from the right block to the left
-            r2 += 1 - 2 * right[w]
-            dot -= left[w]
-            right[w] -= 1
-            l2 += 1 + 2 * left[w]
-            dot += right[w]
-            left[w] += 1
-            if at + block < len(tokens):
-                w = tokens[at + block]
-                r2 += 1 + 2 * right[w]
-                dot += left[w]
-                right[w] += 1
-            if at >= block:
-                w = tokens[at - block]
-                l2 += 1 - 2 * left[w]
-                dot -= right[w]
-                left[w] -= 1
-            at += 1
-        sims.append(dot / (l2 * r2) ** 0.5 if l2 > 0 and r2 > 0 else 0.0)
+    The two blocks are the ``block`` words before and after a boundary; their similarity is the cosine of word counts,
+    found as the numbers of pairs of equal words across the blocks and within each."""
+    known: dict[str, int] = {}
+    ends, ids = [], []
+    for m in _TOKENS.finditer(text):
+        ends.append(m.end())
+        ids.append(known.setdefault(m.group().lower(), len(known)))
+    at = np.searchsorted(np.array(ends, np.int64), np.array(boundaries, np.int64), side="right")
+    padded = np.concatenate([np.full(block, -1, np.int32), np.array(ids, np.int32), np.full(block, -2, np.int32)])
+    blocks = np.lib.stride_tricks.sliding_window_view(padded, block)
+    sims: list[float] = []
+    equal = lambda x, y: (x[:, :, None] == y[:, None, :]).sum((1, 2))
+    for k in range(0, len(at), 1000):
+        left, right = blocks[at[k : k + 1000]], blocks[at[k : k + 1000] + block]
+        dot, l2, r2 = equal(left, right), equal(left, left) - (left < 0).sum(1) ** 2, equal(right, right) - (right < 0).sum(1) ** 2
+        sims += np.where((l2 > 0) & (r2 > 0), dot / np.sqrt(np.maximum(l2 * r2, 1)), 0.0).tolist()
     n = len(sims)
     rise = [0.0] * n
     for order in (range(n), range(n - 1, -1, -1)):
@@ -109,7 +93,7 @@ class _Plan:
                         break
                 else:
                     p = high
-                    while p > least and p > high - 8 and regex.match(r"[\p{M}\u200d]", text[p]):
+                    while p > least and p > high - 8 and _JOINED.match(text[p]):
                         p -= 1  # a mark stays with its letter
                     cut = (p, "hard")
             out.append((start, *cut))
