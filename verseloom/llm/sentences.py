@@ -74,6 +74,8 @@ _TOKEN = regex.compile(r"(?r)[^\s\p{SB=Close}¿¡,;:]*")
 _WORD_BEFORE = regex.compile(r"(?r)([\p{L}\p{N}]+)\s+")
 _THAI = regex.compile(r"(?<=\p{Thai})[ \u00a0]+(?=\p{Thai}|\p{Lu}|[0-9])|(?<=[0-9])[ \u00a0]+(?=\p{Thai})")
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
+_LETTERS, _LAST_LETTERS, _CAPITAL, _UNCASED, _HIRAGANA = (regex.compile(x) for x in (r"\p{L}*", r"(?r)\p{L}*\Z", r"\p{Lu}", r"\p{Lo}", r"\p{Hiragana}"))
+_CONTINUES, _NUMBER, _INITIALS, _SHORT_NUMBER = (regex.compile(x) for x in (r"[\p{SB=SContinue}/]", r"[\p{N}IVXLC#(]", r"(?:\p{L}\.)+\p{L}", r"\d{1,2}"))
 _SKIP = regex.compile(r"[^\p{L}\p{N}\s\p{STerm}]*")
 _UNSPACED = regex.compile(r"\p{Han}|\p{Hiragana}|\p{Katakana}|\p{Thai}")
 _ORDINAL_BEFORE = frozenset("am vom der den dem zum des die das im bis".split())
@@ -198,13 +200,13 @@ def _ends(text: str, whole: _Text) -> list[int]:
             break
         mark = text[a:b]
         soft = all(c in ".…․﹒．" for c in mark) or mark == "…"
-        if regex.match(r"[\p{SB=SContinue}/]", rest) and rest not in "-–—":
+        if _CONTINUES.match(rest) and rest not in "-–—":
             continue
         letter = text[gap + len(_SKIP.match(text, gap).group()) :][:2] if not rest.isalnum() else text[gap : gap + 2]
         lower = letter[:1].islower() and not letter[1:2].isupper()
         if quoted:
             introduced = _LETTER.search(text, start, opened)
-            if lower or (gap == end and (regex.match(r"\p{Hiragana}", rest) or (not introduced and not text[opened] in "(（"))):
+            if lower or (gap == end and (_HIRAGANA.match(rest) or (not introduced and not text[opened] in "(（"))):
                 continue
             out.append(end)
             start = end
@@ -218,7 +220,7 @@ def _ends(text: str, whole: _Text) -> list[int]:
             plain = bare.lower()
             if gap == end:  # no white space after it
                 head = text[gap : gap + 2]
-                word = regex.search(r"\p{L}*\Z", token).group()
+                word = _LAST_LETTERS.search(token).group()
                 if _UNSPACED.match(rest):
                     pass
                 elif url or len(word) < 3 or not (head[:1].isupper() and head[1:2].islower()) or len(mark) > 1:
@@ -226,16 +228,16 @@ def _ends(text: str, whole: _Text) -> list[int]:
                         continue
             elif len(mark) == 1 and mark in ".．":
                 kind = whole.abbreviation(bare, text, start, gap)
-                if kind == "number" and regex.match(r"[\p{N}IVXLC#(]", text, pos=gap):
+                if kind == "number" and _NUMBER.match(text, gap):
                     continue
                 if kind == "before" and not _is_name_or_unit(text, start, a - len(token), bare):
                     continue
-                if plain in MAY_END and not letter[:1].isupper() and not regex.match(r"\p{Lo}", letter[:1] or " "):
+                if plain in MAY_END and not letter[:1].isupper() and not _UNCASED.match(letter[:1] or " "):
                     continue
-                if regex.fullmatch(r"\p{Lu}", text[a - 1 : a]) and (len(plain) == 1 or regex.fullmatch(r"(?:\p{L}\.)+\p{L}", plain)) and not (len(plain) > 1 and plain in MAY_END):
+                if _CAPITAL.fullmatch(text[a - 1 : a]) and (len(plain) == 1 or _INITIALS.fullmatch(plain)) and not (len(plain) > 1 and plain in MAY_END):
                     continue  # initials
-                if regex.fullmatch(r"\d{1,2}", plain):
-                    following = regex.match(r"\p{L}*", text, pos=gap).group().lower()
+                if _SHORT_NUMBER.fullmatch(plain):
+                    following = _LETTERS.match(text, gap).group().lower()
                     before = regex.search(r"(\p{L}+)\s+\Z", text[max(0, a - len(token) - 16) : a - len(token)])
                     if following in GERMAN_MONTHS or (before and before.group(1).lower() in _ORDINAL_BEFORE):
                         continue
