@@ -168,10 +168,16 @@ class PieceIndex(ItemIndex):
         """``(item, words, budget, distance)`` of every item within its budget of a passage of the text."""
         found = words(text)
         ids = np.fromiter((self.vocabulary.get(w, -1) for w in found), np.int64, len(found))
-        out = []
+        out, present, listed = [], None, None
         for at in sorted({i for n in self.runs_of(ids).tolist() for i in self.piece_items[n]}):
             key, own, budget = self.items[at]
-            distance = passage_distance(own, ids.tolist())
+            if listed is None:
+                listed, present = ids.tolist(), np.zeros(len(self.vocabulary) + 1, bool)
+                present[ids] = True  # words of no item fall on the last place
+                present[-1] = False
+            if np.count_nonzero(~present[own]) > budget:
+                continue  # every word of the item that the text hasn't at all costs an edit
+            distance = passage_distance(own, listed)
             if distance <= budget:
                 out.append((key, len(own), budget, distance))
         return out
