@@ -52,6 +52,11 @@ def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive_terms(_articles(spark, sf_dir, "text"), "article_id", "text")
 
 
+def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`p2_method` with ratios rounded, as two engines' logarithms differ in the last digits."""
+    return p2_method(spark, sf_dir).withColumn("llr", F.round("llr", 2))
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return proportional_samples(_articles(spark, sf_dir, *FIELDS), "article_id", FIELDS, _table(spark, sf_dir, "sample_targets"))
 
@@ -149,7 +154,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_method, p2_found, p2_terms, p3_found, p3_sample, p3_report, p4_found, p4_terms, p5_found, p5_sentences, p6_found, p6_classes, p8_method, p8_found, p8_leaks, p9_found, p9_mix, p9_report, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_pieces, p2_method, p2_found, p2_terms, p2_scores, p3_found, p3_sample, p3_report, p4_found, p4_terms, p5_found, p5_sentences, p6_found, p6_classes, p8_method, p8_found, p8_leaks, p9_found, p9_mix, p9_report, p10_found, p10_scores, p10_rates)
 }
 
 _CLEAN = "lower(nfc_normalize(replace(replace({}, chr(173), ''), chr(8203), '')))"
@@ -176,6 +181,10 @@ WHERE list_max(list_transform(regexp_split_to_array(t, '[ \t\n\r\x{A0}\x{3000}.!
     "p2_found": f"""WITH a AS (SELECT article_id, any_value(text) t FROM articles GROUP BY 1),
 w AS (SELECT article_id, unnest({_TERMS.replace("{}", "t", 1)}) term FROM a), c AS (SELECT article_id, term, count(*) tf FROM w GROUP BY 1, 2),
 d AS (SELECT term FROM c GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6) SELECT article_id, term FROM c JOIN d USING (term) WHERE tf >= 3""",
+    "p2_scores": f"""WITH a AS (SELECT article_id, any_value(text) t FROM articles GROUP BY 1), w AS (SELECT article_id, unnest({_TERMS.replace("{}", "t", 1)}) term FROM a),
+c AS (SELECT article_id, term, count(*) tf FROM w GROUP BY 1, 2), s AS (SELECT term, sum(tf)::BIGINT total, count(*) records FROM c GROUP BY 1), h AS (SELECT article_id, sum(tf)::BIGINT here FROM c GROUP BY 1), z AS (SELECT sum(tf)::BIGINT n FROM c),
+k AS (SELECT c.article_id, c.term, c.tf, s.records, s.total, here, n, c.tf k11, total - c.tf k12, here - c.tf k21, n - here - total + c.tf k22 FROM c JOIN s USING (term) JOIN h USING (article_id), z)
+SELECT article_id, term, tf, records, total, round(greatest(0, 2 * ({" + ".join(f"CASE WHEN {x} > 0 THEN {x} * ln({x}) ELSE 0 END" for x in ("k11", "k12", "k21", "k22"))} + n * ln(n) - {" - ".join(f"CASE WHEN {x} > 0 THEN {x} * ln({x}) ELSE 0 END" for x in ("total", "(n - total)", "here", "(n - here)"))})), 2) AS llr, k11 * (n - here) > k12 * here AS over FROM k""",
     "p3_found": f"""WITH a AS (SELECT article_id, any_value(topic_group) t, any_value(region_group) r FROM articles GROUP BY 1),
 l AS (SELECT 'topic_group' field, t c FROM a UNION ALL SELECT 'region_group', r FROM a),
 n AS (SELECT field, {_CATEGORY.format("c")} c, count(*) n FROM l GROUP BY 1, 2),
