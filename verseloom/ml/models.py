@@ -44,6 +44,55 @@ def kmeans(df: DataFrame, pk: Sequence[str], k: int, seed: int = 0, spherical: b
     return out.withColumn("features", _spread("features", "cluster", k)), model
 
 
+def kmeans_from(df: DataFrame, pk: Sequence[str], centres: np.ndarray, iterations: int = 10, spherical: bool = False) -> tuple[DataFrame, np.ndarray]:
+    """``cluster`` of every row by k-means from given centres: so many rounds of moving each centre to the mean of its rows
+    (spherical: rows and centres of length 1, zero rows are -1 and move nothing); ties go to the first centre, a centre
+    without rows stays. A round is one pass that sums per partition; the driver sees the sums only."""
+    centres = np.array(centres, float)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if not spherical:
+            return ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
+        return np.where(np.abs(x).sum(1) > 0, (x @ c.T).argmax(1), -1)
+
+    def rows_of(f) -> np.ndarray:
+        x = np.array(f["features"].tolist(), float).reshape(len(f), -1)
+        return unit(x) if spherical else x
+
+    centres = unit(centres) if spherical else centres
+    v = df.select(*pk, F.col("features").cast("array<double>").alias("features"))
+    for _ in range(iterations):
+
+        def sums(frames, centres=centres):
+            import pandas as pd
+
+            n, total = np.zeros(len(centres)), np.zeros_like(centres)
+            for f in frames:
+                x = rows_of(f)
+                c = near(x, centres)
+                np.add.at(n, c[c >= 0], 1)
+                np.add.at(total, c[c >= 0], x[c >= 0])
+            yield pd.DataFrame({"c": np.flatnonzero(n), "n": n[n > 0], "total": list(total[n > 0])})
+
+        n, total = np.zeros(len(centres)), np.zeros_like(centres)
+        for r in v.select("features").mapInPandas(sums, "c int, n double, total array<double>").collect():
+            n[r.c] += r.n
+            total[r.c] += r.total
+        new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
+        centres = unit(new) if spherical else new
+
+    def label(frames):
+        for f in frames:
+            yield f.drop(columns="features").assign(cluster=near(rows_of(f), centres).astype("int32"))
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in pk)
+    return v.mapInPandas(label, f"{kinds}, cluster int"), centres
+
+
 def minibatch_kmeans(df: DataFrame, pk: Sequence[str], k: int, fraction: float = 0.2, seed: int = 0, passes: int = 3) -> tuple[DataFrame, np.ndarray]:
     """``cluster`` of every row, and the centres. The rows are split by key hash into batches of about ``fraction`` of
     the table; each batch in turn moves the centres towards the means of its rows, with a weight that falls as a centre's

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,12 @@ from verseloom.operators import aggregate as A
 from verseloom.operators import joins as J
 from verseloom.operators import setops as S
 from verseloom.operators.hierarchy import Hierarchy, first_parents
-from verseloom.operators.keyed import POSITION, Keyed, sql_over
-from verseloom.runtime import tune
+from verseloom.operators.keyed import POSITION, Keyed, map_rows, sql_over
+from verseloom.operators.scope import Scope, scatter_rows
+from verseloom.runtime import application_dir, tune
+from verseloom.sources import readers as R
 from verseloom.stats import estimation as E
+from verseloom.streaming.incremental import follow, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,11 +154,11 @@ def point_lookup(spark, sf_dir):
     return t.get(t.df.agg(F.min("doc_id")).first()[0], ["quality"])
 
 
-@query("SELECT count(*) n_rows FROM documents WHERE n_chars > 200")
+@query("SELECT CAST(floor(count(*) * 0.25 + 0.5) AS BIGINT) n_rows, CAST(floor(count(*) * 0.25 + 0.5) AS BIGINT) n_keys, 0 AS n_short FROM documents WHERE n_chars > 200")
 def sampled_rows(spark, sf_dir):
-    """A seeded sample as large as what is filtered has all of it."""
-    docs = _documents(spark, sf_dir)
-    return docs.query(["lang"], where="n_chars > 200", sample_frac=1.0, seed=5).agg(F.count("*").alias("n_rows"))
+    """A seeded quarter of what is filtered: its size, its different keys, and rows that the filter should have left out."""
+    got = _documents(spark, sf_dir).query(["n_chars"], where="n_chars > 200", sample_frac=0.25, seed=5)
+    return got.agg(F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_keys"), F.count_if(F.col("n_chars") <= 200).cast("int").alias("n_short"))
 
 
 @query("SELECT l.quality, d.record_type, count(*) n FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL")
@@ -181,9 +186,12 @@ def attach_coarser(spark, sf_dir):
 
 @query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def attach_chain(spark, sf_dir):
+    """Coarser tables attached one after the other: nations to customers, regions to both."""
     c, n, r = (_table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    out = c.join(J.sized(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(J.sized(r), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return out.select("c_custkey", "n_name", "r_name")
+    customers = Keyed.of(c.withColumnRenamed("c_nationkey", "n_nationkey"), ["n_nationkey", "c_custkey"], [])
+    nations, regions = Keyed.of(n, ["n_nationkey"], name="nation"), Keyed.of(r.withColumnRenamed("r_regionkey", "n_regionkey"), ["n_regionkey"], name="region")
+    placed = J.attach(customers.df, customers.pk, nations, ["n_name", "n_regionkey"])
+    return J.attach(placed, ["n_regionkey", *customers.pk], regions, ["r_name"]).select("c_custkey", "n_name", "r_name")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, line_id FROM lines WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -221,13 +229,16 @@ def subset_function(spark, sf_dir):
     return S.subset(docs, lambda f: (f["n_chars"] % 2 == 0).fillna(False).astype(bool), ["n_chars"]).query(["n_chars"], ordered=False)
 
 
-@query("WITH s AS (SELECT record_type, count(*) n FROM documents GROUP BY 1) SELECT record_type, n FROM s")
+@query(
+    """WITH s AS (SELECT record_type, count(*) n FROM documents GROUP BY 1), c AS (SELECT *, (8 * n) // 10 a, (2 * n) // 10 b, n - (8 * n) // 10 - (2 * n) // 10 rest, (8 * n) % 10 >= (2 * n) % 10 first FROM s)
+SELECT record_type, 'train' AS part, a + CASE WHEN first THEN rest ELSE 0 END AS n FROM c UNION ALL SELECT record_type, 'test', b + CASE WHEN first THEN 0 ELSE rest END FROM c"""
+)
 def split_counts(spark, sf_dir):
-    """Parts of a stratified split cover every stratum exactly."""
+    """Sizes of the parts of a stratified split, by largest remainder in every stratum."""
     docs = _documents(spark, sf_dir)
     parts = S.split(docs, ["train", "test"], [0.8, 0.2], seed=3, stratify=["record_type"])
-    both = parts["train"].view(["record_type"]).unionByName(parts["test"].view(["record_type"]))
-    return both.groupBy("record_type").agg(F.count("*").alias("n"))
+    sized = [p.view(["record_type"]).groupBy("record_type").agg(F.count("*").alias("n")).withColumn("part", F.lit(name)) for name, p in parts.items()]
+    return sized[0].unionByName(sized[1]).where("n > 0").select("record_type", "part", "n")
 
 
 @query("SELECT CAST(floor(count(*) * 0.1 + 0.5) AS BIGINT) n, round(floor(count(*) * 0.1 + 0.5) / count(*), 6) pi FROM documents")
@@ -448,10 +459,11 @@ def feature_matrix(spark, sf_dir):
     return m.select("p_partkey", _r(f[0]).alias("size_z"), _r(f[1]).alias("price_01")).join(bins.select("p_partkey", f[1].cast("int").alias("mid")), "p_partkey")
 
 
-@query("SELECT doc_id, coalesce(n, 0) > 0 AS known FROM documents LEFT JOIN (SELECT n_name, 1 n FROM nation) ON n_name = source")
+@query("SELECT doc_id, coalesce(m.target_permille, 0.0)::DOUBLE AS v0, coalesce(m.max_repeats, 0.0)::DOUBLE AS v1 FROM documents d LEFT JOIN mix_targets m ON m.source = d.source")
 def embedding_lookup(spark, sf_dir):
-    table = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("feature"), F.array(F.lit(1.0), F.lit(2.0)).alias("features"))
-    return M.embedding_lookup(_table(spark, sf_dir, "documents"), ["doc_id"], "source", table).select("doc_id", (F.col("features")[0] > 0).alias("known"))
+    """The vector of each document's source; sources of another spelling, and null ones, have zeros."""
+    table = _table(spark, sf_dir, "mix_targets").select(F.col("source").alias("feature"), F.array(F.col("target_permille").cast("double"), F.col("max_repeats").cast("double")).alias("features"))
+    return M.embedding_lookup(_table(spark, sf_dir, "documents"), ["doc_id"], "source", table).select("doc_id", F.col("features")[0].alias("v0"), F.col("features")[1].alias("v1"))
 
 
 # -- dictionaries ------------------------------------------------------------------------------------------------------
@@ -521,9 +533,11 @@ def gaussian_mixture_clusters(spark, sf_dir):
     return ML.gaussian_mixture(_vectors(spark, sf_dir), ["vec_id"], 3)[0]
 
 
-@query("SELECT count(*) n_rows FROM embeddings")
+@query("SELECT vec_id, 1.0::DOUBLE AS total, true AS likeliest FROM embeddings")
 def gaussian_mixture(spark, sf_dir):
-    return gaussian_mixture_clusters(spark, sf_dir).agg(F.count("cluster").alias("n_rows"))
+    """Every row's probabilities sum to 1, and its cluster has the greatest."""
+    p = F.col("features")
+    return gaussian_mixture_clusters(spark, sf_dir).select("vec_id", _r(F.aggregate(p, F.lit(0.0), lambda a, b: a + b), 6).alias("total"), (F.get(p, F.col("cluster")) == F.array_max(p)).alias("likeliest"))
 
 
 def _all_words(spark: SparkSession, sf_dir: str) -> M.Cells:
@@ -543,9 +557,15 @@ def lda_terms(spark, sf_dir):
     return ML.lda(_all_words(spark, sf_dir), 4)[1]
 
 
-@query("SELECT count(*) n_rows FROM documents")
+@query(
+    r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_\p{Pc}\x{200C}\x{200D}]+')) term FROM documents), v AS (SELECT count(DISTINCT term) n FROM w WHERE length(term) >= 2)
+SELECT t::INTEGER AS topic, v.n AS n_features, 1.0::DOUBLE AS total, (SELECT count(*) FROM documents) AS n_rows FROM range(4) r(t), v"""
+)
 def lda(spark, sf_dir):
-    return lda_topics(spark, sf_dir).agg(F.count("features").alias("n_rows"))
+    """Every topic weighs every word of the vocabulary, with weights that sum to 1; and so do the shares of every row."""
+    shares, terms = ML.lda(_all_words(spark, sf_dir), 4)
+    whole = shares.where(F.abs(F.aggregate("features", F.lit(0.0), lambda a, b: a + b) - 1) < 1e-6).count()
+    return terms.groupBy("topic").agg(F.count_distinct("feature").alias("n_features"), _r(F.sum("weight"), 6).alias("total"), F.lit(whole).cast("bigint").alias("n_rows"))
 
 
 @query()
@@ -554,15 +574,27 @@ def dbscan_clusters(spark, sf_dir):
     return ML.dbscan(_vectors(spark, sf_dir), ["vec_id"], 0.05)
 
 
-@query("SELECT count(*) n_rows FROM embeddings")
+@query(
+    """WITH RECURSIVE d AS (SELECT a.vec_id x, b.vec_id y FROM embeddings a, embeddings b WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.15),
+core AS (SELECT x FROM d GROUP BY 1 HAVING count(*) >= 3), e AS (SELECT x, y FROM d WHERE x IN (FROM core) AND y IN (FROM core)),
+w AS (SELECT x, x y FROM core UNION SELECT w.x, e.y FROM w JOIN e ON e.x = w.y), g AS (SELECT x, min(y) g FROM w GROUP BY 1)
+SELECT vec_id, vec_id NOT IN (SELECT y FROM d WHERE x IN (FROM core)) AS noise, (SELECT count(DISTINCT g) FROM g) AS n_clusters FROM embeddings"""
+)
 def dbscan(spark, sf_dir):
-    return dbscan_clusters(spark, sf_dir).agg(F.count("cluster").alias("n_rows"))
+    """Which whole vectors are noise at a radius at which there are clusters, and how many of these there are."""
+    out = ML.dbscan(_vectors(spark, sf_dir), ["vec_id"], 1.15, min_samples=3)
+    n = out.where("cluster >= 0").agg(F.count_distinct("cluster").alias("n_clusters"))
+    return out.select("vec_id", (F.col("cluster") < 0).alias("noise")).join(F.broadcast(n))  # one row
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_\p{Pc}\x{200C}\x{200D}]+')) feature FROM documents)
+SELECT feature, count(*) AS count, 16 AS width FROM w WHERE length(feature) >= 2 GROUP BY 1 HAVING count(*) >= 20"""
+)
 def word2vec(spark, sf_dir):
+    """The words that get a vector, how often they occur, and the width of their vectors."""
     words = _table(spark, sf_dir, "documents").select(X.tokens(F.coalesce("text", F.lit(""))).alias("words"))
-    return ML.word2vec(words, "words", size=16, min_count=20)
+    return ML.word2vec(words, "words", size=16, min_count=20).select("feature", "count", F.size("features").alias("width"))
 
 
 # -- estimation --------------------------------------------------------------------------------------------------------
@@ -607,27 +639,255 @@ def left_quantile(spark, sf_dir):
     return spark.createDataFrame([(E.left_weighted_quantile(_table(spark, sf_dir, "orders"), "o_totalprice", 0.9),)], "q90 double")
 
 
+@query(f"WITH {_AUDIT}, b AS (SELECT (y - q)::DOUBLE d FROM g JOIN s USING (doc_id)), n AS (SELECT count(*) n, var_samp(d) s2, (SELECT count(*) FROM s) big FROM b), p AS (SELECT sum((1 - pi) * ((y - q) / pi) ** 2) v FROM g JOIN s USING (doc_id)) SELECT round(big * big * (1 - n::DOUBLE / big) * s2 / n, 2) AS srs, round(p.v, 2) AS bernoulli, round(s2 / big, 8) AS superpopulation FROM n, p")
+def design_variances(spark, sf_dir):
+    """Variances of the estimated total of an audit: simple random, Bernoulli, and what the population's own sampling adds."""
+    gold, frame = _audit(spark, sf_dir)
+    audit = gold.join(frame, "doc_id").withColumn("d", (F.col("y") - F.col("q")).cast("double"))
+    n, big = audit.count(), frame.count()
+    srs = E.design_variance(audit.withColumn("pi", F.lit(n / big)), "d", "srs", big)
+    rows = [(round(srs, 2), round(E.design_variance(audit, "d", "bernoulli", big), 2), round(E.superpopulation_variance(audit, "d", "srs", big), 8))]
+    return spark.createDataFrame(rows, "srs double, bernoulli double, superpopulation double")
+
+
+@query(
+    """WITH g AS (SELECT doc_id, quality::DOUBLE y, 0.25 pi FROM labels WHERE quality IS NOT NULL), s AS (SELECT doc_id, (coalesce(n_chars, 0) // 400)::DOUBLE q FROM documents), n AS (SELECT count(*) n FROM s),
+k AS (SELECT q t, 1.0 d FROM s UNION ALL SELECT y, 1 / pi FROM g JOIN s USING (doc_id) UNION ALL SELECT q, -1 / pi FROM g JOIN s USING (doc_id)), j AS (SELECT t, sum(d) d FROM k GROUP BY 1),
+f AS (SELECT t, sum(d) OVER (ORDER BY t) / n f FROM j, n), c AS (SELECT t, sum(f - 0.5) OVER (ORDER BY t) c FROM f), b AS (SELECT least(0, min(c)) c FROM c), l AS (SELECT min(c.t) t FROM c, b WHERE c.c <= b.c AND b.c < 0)
+SELECT coalesce((SELECT min(f.t) FROM f, l WHERE f.t > coalesce(l.t, -1e300)), (SELECT max(t) FROM f)) AS q50"""
+)
+def corrected_median(spark, sf_dir):
+    """The median of predictions, corrected by an audit."""
+    gold = _table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("y"), F.lit(0.25).alias("pi"))
+    frame = _table(spark, sf_dir, "documents").select("doc_id", F.floor(F.coalesce("n_chars", F.lit(0)) / 400).cast("double").alias("q"))
+    return spark.createDataFrame([(E.gd_quantile(frame, gold, ["doc_id"], 0.5),)], "q50 double")
+
+
 # -- models ------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) n_rows FROM embeddings")
+def _centres(spark: SparkSession, sf_dir: str):
+    """Means of the vectors of each label, by label."""
+    v = _vectors(spark, sf_dir)
+    pooled = M.pool_rows(M.Cells(v.select("vec_id", "label"), M.from_dense(v, ["vec_id"]).cells, M.from_dense(v, ["vec_id"]).features, ("vec_id",)), ["label"], "mean")
+    rows = sorted(pooled.cells.collect(), key=lambda r: (r.label, r.feature_id))  # labels times 64
+    labels = sorted({r.label for r in rows})
+    out = np.zeros((len(labels), 64))
+    for r in rows:
+        out[labels.index(r.label), r.feature_id] = r.value
+    return out
+
+
+_LLOYD = """c AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings), x AS (SELECT vec_id, label, unnest(v) / {size} u, generate_subscripts(v, 1) f FROM c),
+l0 AS (SELECT dense_rank() OVER (ORDER BY label) - 1 k, f, m FROM (SELECT label, f, avg(u0) m FROM (SELECT label, unnest(v) u0, generate_subscripts(v, 1) f FROM c) GROUP BY 1, 2)),
+{rounds} SELECT vec_id, k::INTEGER AS cluster FROM a{last}"""
+_ROUND = """n{i} AS (SELECT k, f, m / {norm} m FROM l{i}), a{i} AS (SELECT vec_id, arg_min(k, (d, k)) k FROM (SELECT vec_id, k, sum({by}) d FROM x JOIN n{i} USING (f) GROUP BY 1, 2) GROUP BY 1),
+l{j} AS (SELECT k, f, avg(u) m FROM x JOIN a{i} USING (vec_id) GROUP BY 1, 2)"""
+
+
+def _lloyd(spherical: bool, rounds: int) -> str:
+    norm, by = ("sqrt(sum(m * m) OVER (PARTITION BY k))", "-u * m") if spherical else ("1.0", "(u - m) * (u - m)")
+    size = "sqrt(list_sum(list_transform(v, lambda y: y * y)))" if spherical else "1.0"
+    return "WITH " + _LLOYD.format(size=size, rounds=", ".join(_ROUND.format(i=i, j=i + 1, norm=norm, by=by) for i in range(rounds + 1)), last=rounds)
+
+
+@query(_lloyd(False, 2))
 def kmeans(spark, sf_dir):
-    return ML.kmeans(_vectors(spark, sf_dir), ["vec_id"], 8)[0].agg(F.count("cluster").alias("n_rows"))
+    """Two rounds of k-means from the means of the labels: the cluster of every row."""
+    return ML.kmeans_from(_vectors(spark, sf_dir), ["vec_id"], _centres(spark, sf_dir), 2)[0]
 
 
-@query("SELECT count(*) n_rows FROM embeddings")
+@query(_lloyd(True, 2))
 def spherical_kmeans(spark, sf_dir):
-    return ML.kmeans(_vectors(spark, sf_dir), ["vec_id"], 8, spherical=True)[0].agg(F.count("cluster").alias("n_rows"))
+    return ML.kmeans_from(_vectors(spark, sf_dir), ["vec_id"], _centres(spark, sf_dir), 2, spherical=True)[0]
 
 
-@query()
+@query("SELECT vec_id, true AS nearest FROM embeddings")
+def kmeans_fitted(spark, sf_dir):
+    """k-means|| centres: no other centre is nearer to a row than its own."""
+    v = _vectors(spark, sf_dir)
+    out, model = ML.kmeans(v, ["vec_id"], 8)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    far = F.transform(centres, lambda c: M.pair_distance(F.col("v"), c, "sqeuclidean"))
+    return out.select("vec_id", "cluster").join(v.select("vec_id", F.col("features").alias("v")), "vec_id").withColumn("far", far).select("vec_id", (F.get("far", F.col("cluster")) <= F.array_min("far") * (1 + 1e-9)).alias("nearest"))
+
+
+@query(f"WITH {_CELLS}, g AS (SELECT x.f i, y.f j, sum(x.v * y.v) g FROM c x JOIN c y USING (vec_id) GROUP BY 1, 2) SELECT 64 AS components, round((SELECT sum(v * v) FROM c), 3) AS energy, round((SELECT sum(g * g) FROM g) / 1000, 3) AS fourth, round(1.0, 6)::DOUBLE AS share")
 def svd_spectrum(spark, sf_dir):
-    return ML.svd_spectrum(_vectors(spark, sf_dir), 5)
+    """All singular values: their squares sum to the squares of the cells, their fourth powers to those of the Gram matrix."""
+    sq = F.col("sigma") * F.col("sigma")
+    return ML.svd_spectrum(_vectors(spark, sf_dir), 64).agg(F.count("*").cast("int").alias("components"), _r(F.sum(sq), 3).alias("energy"), _r(F.sum(sq * sq) / 1000, 3).alias("fourth"), _r(F.sum("energy"), 6).alias("share"))
 
 
-@query()
+@query(f"WITH {_CELLS} SELECT vec_id, round(sum(v * v), 4) AS length FROM c GROUP BY 1")
 def svd_rows(spark, sf_dir):
-    return ML.truncated_svd(_vectors(spark, sf_dir), ["vec_id"], 4)[0]
+    """With all components, U·S is a rotation: every row keeps its length."""
+    return ML.truncated_svd(_vectors(spark, sf_dir), ["vec_id"], 64)[0].select("vec_id", _r(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)).alias("length"))
+
+
+# -- more reducers, rankings, distances and estimates -------------------------------------------------------------------
+
+
+@query(
+    f"""{_PRE}, n AS (SELECT *, nullif(l_returnflag, 'N') v FROM li), u AS (SELECT l_orderkey, v, min(item) f FROM n WHERE v IS NOT NULL GROUP BY 1, 2)
+SELECT n.l_orderkey, count(*) n_rows, arg_min(v, item) FILTER (v IS NOT NULL) v_first, arg_max(v, item) FILTER (v IS NOT NULL) v_last, coalesce(string_agg(v, ',' ORDER BY item), '') v_list, coalesce(any_value(s), '') v_unique, min(l_quantity) l_quantity_min, max(l_quantity) l_quantity_max, round(sum(l_tax), 4) tax
+FROM n LEFT JOIN (SELECT l_orderkey, string_agg(v, ',' ORDER BY f) s FROM u GROUP BY 1) USING (l_orderkey) GROUP BY 1"""
+)
+def reducers_sparse(spark, sf_dir):
+    """Reducers that skip nulls, the metadata reducers, and the short forms of rules."""
+    df = _items(spark, sf_dir).withColumn("v", F.expr("nullif(l_returnflag, 'N')"))
+    short = A.normalize_rules({"l_quantity": ["min", "max"], "l_tax": {"tax": "sum"}})
+    rules = {"v_first": A.Agg("v", "first_non_null"), "v_last": A.Agg("v", "last_non_null"), "v_list": A.Agg("v", "list"), "v_unique": A.Agg("v", "unique_list"), **short}
+    out = A.grouped(df, ["l_orderkey"], rules, F.col("item"))
+    return out.withColumns({"v_list": F.array_join("v_list", ","), "v_unique": F.array_join("v_unique", ","), "tax": _r("tax")})
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 seq FROM events), n AS (SELECT *, CASE WHEN seq > 0 AND (event_type = 'purchase') = (lag(event_type) OVER (PARTITION BY user_id ORDER BY seq) = 'purchase') THEN 0 ELSE 1 END x FROM e),
+r AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY seq) run FROM n), u AS (SELECT user_id, run, event_type, min(seq) f FROM r GROUP BY 1, 2, 3)
+SELECT user_id, min(seq) seq_start, max(seq) seq_end, any_value(kinds) kinds FROM r JOIN (SELECT user_id, run, string_agg(event_type, '' ORDER BY f) kinds FROM u GROUP BY 1, 2) USING (user_id, run) GROUP BY user_id, run"""
+)
+def span_metadata(spark, sf_dir):
+    """Metadata reduced by spans of consecutive rows."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _table(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).cast("bigint").alias("seq"), "event_type", (F.col("event_type") == "purchase").alias("buys"))
+    runs = A.collapse_runs(Keyed.of(e, ["user_id", "seq"]), ["buys"], metadata={"kinds": A.Agg("event_type", "concat_unique", "")})
+    return runs.df.select("user_id", "seq_start", "seq_end", "kinds")
+
+
+@query(f"WITH {_BOW}, r AS (SELECT term, sum(value) / (SELECT sum(value) FROM c) b FROM c GROUP BY 1), s AS (SELECT doc_id, term, value / sum(value) OVER (PARTITION BY doc_id) / b score FROM c JOIN r USING (term)), v AS (SELECT term, row_number() OVER (ORDER BY term) i FROM voc), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) k FROM s JOIN v USING (term)) SELECT doc_id, k::INTEGER AS rank, round(score, 4) AS score FROM t WHERE k <= 3")
+def top_by_lift(spark, sf_dir):
+    m = _bag(spark, sf_dir)
+    return M.top_features(m, 3, "lift", reference=m).select("doc_id", "rank", _r("score").alias("score"))
+
+
+@query(f"""WITH {_BOW}, wide AS (SELECT count(*) w FROM voc), p AS (SELECT doc_id, term, value / sum(value) OVER (PARTITION BY doc_id) p, count(*) OVER (PARTITION BY doc_id) h FROM c), e AS (SELECT *, p / sum(p) OVER (PARTITION BY term) e FROM p),
+q AS (SELECT doc_id, term, (count(*) OVER (PARTITION BY doc_id ORDER BY round(e, 12)) + w - h) / w fe, (count(*) OVER (PARTITION BY doc_id ORDER BY round(p, 12)) + w - h) / w fp FROM e, wide), s AS (SELECT doc_id, 1 / (0.7 / fe + 0.3 / fp) score FROM q)
+SELECT doc_id, round(max(score), 6) AS score FROM s GROUP BY 1""")
+def top_by_frex(spark, sf_dir):
+    """The best score of each row by frequency and exclusivity."""
+    return M.top_features(_bag(spark, sf_dir), 1, "frex").select("doc_id", _r("score", 6).alias("score"))
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] q FROM embeddings ORDER BY vec_id LIMIT 1), e AS (SELECT vec_id, embedding::DOUBLE[] v, q FROM embeddings, q)
+SELECT vec_id, round(list_distance(v, q), 5) AS euclidean, round(list_cosine_distance(v, q), 5) AS cosine, round(list_sum(list_transform(list_zip(v, q), lambda z: abs(z[1] - z[2]))), 5) AS manhattan, round(list_max(list_transform(list_zip(v, q), lambda z: abs(z[1] - z[2]))), 5) AS chebyshev,
+round(list_sum(list_transform(list_zip(v, q), lambda z: abs(z[1] - z[2]))) / list_sum(list_transform(list_zip(v, q), lambda z: abs(z[1] + z[2]))), 5) AS braycurtis FROM e""")
+def distance_metrics(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    first = F.array(*[F.lit(float(x)) for x in v.orderBy("vec_id").first().features])
+    return v.select("vec_id", *[_r(M.pair_distance(F.col("features"), first, m), 5).alias(m) for m in ("euclidean", "cosine", "manhattan", "chebyshev", "braycurtis")])
+
+
+@query("WITH e AS (SELECT vec_id, label, list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)) d FROM embeddings) SELECT vec_id, label FROM e WHERE vec_id > (SELECT min(vec_id) FROM e) ORDER BY d, vec_id LIMIT 5")
+def nearest_with_context(spark, sf_dir):
+    """Neighbours with columns of another table of their key."""
+    v = _vectors(spark, sf_dir)
+    context = Keyed.of(_table(spark, sf_dir, "embeddings").select("vec_id", "label"), ["vec_id"])
+    return M.nearest_neighbors(v, ["vec_id"], {"vec_id": v.agg(F.min("vec_id")).first()[0]}, 5, "euclidean", context=context, context_columns=["label"]).select("vec_id", "label")
+
+
+@query("SELECT record_type, CASE WHEN n_chars IS NULL THEN -2 WHEN n_chars < 0 THEN -1 WHEN n_chars > 4000 THEN 4 ELSE least(3, n_chars // 1000) END::INTEGER AS bin, count(*) n FROM documents WHERE record_type IS NOT NULL GROUP BY 1, 2")
+def histogram_by(spark, sf_dir):
+    return A.histogram(_table(spark, sf_dir, "documents"), "n_chars", [1000 * i for i in range(5)], by="record_type").where("n > 0").select("record_type", "bin", "n")
+
+
+@query("SELECT lang, record_type, count(*) n FROM documents WHERE n_chars > 500 AND lang IS NOT NULL AND record_type IS NOT NULL GROUP BY 1, 2")
+def crosstab_where(spark, sf_dir):
+    return A.crosstab(_table(spark, sf_dir, "documents"), "lang", "record_type", where="n_chars > 500")
+
+
+@query("SELECT d.doc_id, d.source, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.toxic = 1")
+def scope_query(spark, sf_dir):
+    """A scope: one set of names over a table and what is attached to it."""
+    scope = Scope(_documents(spark, sf_dir), ((Keyed.of(_table(spark, sf_dir, "labels"), ["doc_id"], name="labels"), ["quality", "toxic"]),))
+    return scope.query([scope.resolve("source"), scope.resolve("quality", "attached")], where="toxic = 1", ordered=False)
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE, 5) AS x, round(embedding[2]::DOUBLE, 5) AS y, coalesce(label::VARCHAR, 'Other') AS label FROM embeddings WHERE label <> 3")
+def scatter_points(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    points = Keyed.of(e.select("vec_id", F.slice("embedding", 1, 2).alias("xy")), ["vec_id"])
+    got = scatter_rows(Keyed.of(e.select("vec_id", "label"), ["vec_id"]), points, color="label", color_na_label="Other", where="label <> 3", ordered=False)
+    return got.select("vec_id", _r(F.col("x").cast("double"), 5).alias("x"), _r(F.col("y").cast("double"), 5).alias("y"), "label")
+
+
+@query(r"""SELECT doc_id, i - 1 AS match_no, k[i] AS keyword FROM (SELECT doc_id, k, unnest(range(1, len(k) + 1))::INTEGER i FROM (SELECT doc_id, regexp_extract_all(text, '(?i)(?:^|[^\p{L}\p{N}_])(counc[\p{L}\p{N}_]*)', 1) k FROM documents))""")
+def kwic_keywords(spark, sf_dir):
+    return kwic_contexts(spark, sf_dir).select("doc_id", "match_no", "keyword")
+
+
+@query("SELECT doc_id, length(coalesce(text, ''))::BIGINT n FROM documents")
+def mapped_rows(spark, sf_dir):
+    """A function over batches of rows that keeps the key."""
+    return map_rows(_documents(spark, sf_dir), lambda f: f[["text"]].fillna("").assign(n=lambda g: g["text"].map(len))[["n"]], "n bigint", ["text"]).df.select("doc_id", "n")
+
+
+@query("WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 p FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 p FROM labels) SELECT a.p left_position, b.p right_position FROM a LEFT JOIN b USING (doc_id)")
+def position_pairs(spark, sf_dir):
+    return J.position_map(_documents(spark, sf_dir), Keyed.of(_table(spark, sf_dir, "labels"), ["doc_id"]))
+
+
+@query("SELECT record_type, CAST(greatest(1, floor(count(*) * 0.1)) AS BIGINT) n, round(greatest(1, floor(count(*) * 0.1)) / count(*), 6) pi FROM documents GROUP BY 1")
+def stratified_design(spark, sf_dir):
+    """Sizes and inclusion probabilities of a stratified sample with given numbers in each stratum."""
+    docs = _documents(spark, sf_dir)
+    sizes = {r.record_type: max(1, r["count"] // 10) for r in docs.view(["record_type"]).groupBy("record_type").count().collect()}  # one row per stratum
+    _, _, pi = S.probability_sample(docs, strata=["record_type"], n_by_stratum={k: v for k, v in sizes.items()}, seed=9)
+    return pi.view(["pi", "record_type"]).groupBy("record_type", _r("pi", 6).alias("pi")).agg(F.count("*").alias("n"))
+
+
+# -- sources -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, source FROM documents")
+def parquet_rows(spark, sf_dir):
+    return R.read_parquet(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang"], ["source"], order_by=["doc_id"]).df.select("doc_id", "lang", "source")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, text, source FROM documents WHERE text IS NOT NULL AND text <> ''")
+def csv_rows(spark, sf_dir):
+    """Texts with line breaks, quotes and commas, written as CSV files and read back with one key over all files."""
+    at = _folder(spark, "csv")
+    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("coded"), "source", F.lit('a "quoted", one\nof two lines').alias("note"))
+    docs.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(at)
+    read = R.read_csv_folder(spark, at.removeprefix("file://"), text_fields=["coded", "note"], metadata_fields=["doc_id", "source"], schema="doc_id bigint, coded string, source string, note string")
+    return read.df.where(F.col("note") == 'a "quoted", one\nof two lines').select("doc_id", F.decode(F.unbase64("coded"), "UTF-8").alias("text"), "source")
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def jsonl_rows(spark, sf_dir):
+    at = _folder(spark, "jsonl")
+    _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").write.json(at)
+    return R.read_jsonl(spark, at, ["text"], ["doc_id", "lang"], schema="doc_id bigint, text string, lang string").df.select("doc_id", "text", "lang")
+
+
+@query("SELECT item_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, 'ok' AS status FROM benchmark WHERE text <> ''")
+def text_files(spark, sf_dir):
+    """A file for each item, listed and read back."""
+    at = _folder(spark, "texts")
+    items = _table(spark, sf_dir, "benchmark").where("text <> ''").select(F.col("item_id").cast("string").alias("item"), "text")
+    items.repartition("item").write.partitionBy("item").option("lineSep", "\n").text(at)
+    files = R.folder_inventory(spark, at, ["*.txt"])
+    read = R.extract_text_files(files)
+    out = read.view(["text", "status", "relative_path"])
+    return out.select(F.regexp_extract("relative_path", "item=([^/]*)/", 1).cast("bigint").alias("item_id"), F.regexp_replace("text", "\n$", "").alias("text"), "status")
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) n FROM events GROUP BY 1, 2")
+def streamed_windows(spark, sf_dir):
+    """Hourly counts of a stream of event files, until it has read all that is there."""
+    events = _table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    at = _folder(spark, "stream")
+    events.write.parquet(at)
+    counted = windowed_counts(follow(spark, at, events.schema), "ts", "1 hour", ["event_type"], late="3650 days")
+    name = f"windows_{uuid.uuid4().hex}"
+    run = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _folder(spark, "stream-state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 # -- hierarchies -------------------------------------------------------------------------------------------------------
