@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import regex
@@ -29,6 +31,82 @@ def entry_pattern(entry: str, valuetype: str) -> str:
     return "^" + "".join(f"{any_}*" if c == "*" else any_ if c == "?" else re.escape(c) for c in entry) + "$"
 
 
+@dataclass(frozen=True)
+class Dictionary:
+    """Categories of entries. ``frame`` is one row for each ``entry`` and ``category``; ``provenance`` is free text fields
+    such as resource, citation and licence."""
+
+    categories: dict[str, tuple[str, ...]]
+    valuetype: str = "glob"
+    case_sensitive: bool = False
+    name: str = ""
+    provenance: dict[str, str] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if self.valuetype not in ("fixed", "glob", "non_whitespace_glob", "regex"):
+            raise ValueError(f"no value type {self.valuetype!r}")
+        if not self.categories or any(not c or isinstance(es, str) or not es or not all(isinstance(e, str) and e for e in es) for c, es in self.categories.items()):
+            raise ValueError("every category needs a name and entries that aren't empty")
+
+    def frame(self, spark) -> DataFrame:
+        return spark.createDataFrame([(e, c) for c, es in self.categories.items() for e in dict.fromkeys(es)], "entry string, category string")
+
+    @classmethod
+    def from_frame(cls, df: DataFrame, **options) -> "Dictionary":
+        rows = df.select("entry", "category").limit(MOST_PATTERNS + 1).collect()
+        if len(rows) > MOST_PATTERNS:
+            raise ValueError(f"more than {MOST_PATTERNS} entries")
+        out: dict[str, list[str]] = {}
+        for r in rows:
+            out.setdefault(r.category, []).append(r.entry)
+        return cls({c: tuple(sorted(es)) for c, es in sorted(out.items())}, **options)
+
+    def match(self, features: DataFrame) -> DataFrame:
+        """Members of every category among the features of a matrix."""
+        return match_features(features, self.frame(features.sparkSession), self.valuetype, self.case_sensitive)
+
+
+@dataclass(frozen=True)
+class PolarityDictionary:
+    """A dictionary of which categories are positive, negative and, if there is one, neutral. ``match`` adds ``pole``."""
+
+    base: Dictionary
+    positive: str = "positive"
+    negative: str = "negative"
+    neutral: str | None = None
+
+    def __post_init__(self) -> None:
+        named = [c for c in (self.positive, self.negative, self.neutral) if c is not None]
+        if len(set(named)) < len(named) or not set(named) <= set(self.base.categories):
+            raise ValueError(f"poles must be different categories of {sorted(self.base.categories)}")
+
+    def match(self, features: DataFrame) -> DataFrame:
+        c = F.col("category")
+        pole = F.when(c == self.positive, "positive").when(c == self.negative, "negative").when(c == F.lit(self.neutral), "neutral")
+        return self.base.match(features).withColumn("pole", pole).where("pole IS NOT NULL")
+
+
+@dataclass(frozen=True)
+class ValenceDictionary:
+    """A finite score for each entry. ``match`` adds ``score``."""
+
+    scores: dict[str, float]
+    valuetype: str = "fixed"
+    case_sensitive: bool = False
+    name: str = ""
+    provenance: dict[str, str] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if not self.scores or any(not e or not math.isfinite(float(v)) for e, v in self.scores.items()):
+            raise ValueError("every entry needs a finite score")
+
+    def frame(self, spark) -> DataFrame:
+        return spark.createDataFrame([(e, float(v)) for e, v in self.scores.items()], "entry string, score double")
+
+    def match(self, features: DataFrame) -> DataFrame:
+        return match_features(features, self.frame(features.sparkSession), self.valuetype, self.case_sensitive)
+
+
 def match_features(features: DataFrame, entries: DataFrame, valuetype: str = "glob", case_sensitive: bool = False) -> DataFrame:
     """``feature_id`` with every column of the entries (``entry`` and more) that match it. Fixed entries are an equi-join;
     patterns are tried on the vocabulary only, a block of entries against all features, never on the texts."""

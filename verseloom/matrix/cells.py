@@ -35,13 +35,24 @@ class Cells:
         return replace(self, cells=cells.where("value <> 0").select(*self.pk, "feature_id", "value"))
 
     def wide(self, feature_ids: Sequence[int] | None = None) -> DataFrame:
-        """Dense rows of the chosen features: implicit zeros filled in."""
-        ids = [r[0] for r in self.features.orderBy("feature_id").select("feature_id").collect()] if feature_ids is None else list(feature_ids)
-        some = self.cells if feature_ids is None else self.cells.where(F.col("feature_id").isin(ids))
-        maps = some.groupBy(*self.pk).agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("m"))
+        """Dense rows of the chosen features, or of all in the order of their ids: implicit zeros filled in. A row is an
+        array as wide as its features; for wide matrices use the cells."""
+        some, wanted = self.cells, self.features.select("feature_id")
+        if feature_ids is not None:
+            wanted = self.rows.sparkSession.createDataFrame([(int(i), n) for n, i in enumerate(feature_ids)], "feature_id bigint, place int")
+            some = some.join(F.broadcast(wanted), "feature_id")  # features of the call
+            n = F.lit(len(feature_ids))
+        else:
+            span = self.features.agg(F.min("feature_id").alias("a"), F.max("feature_id").alias("b"), F.count("*").alias("n")).first()
+            n = F.lit(span.n)
+            if span.n and (span.a, span.b) != (0, span.n - 1):
+                some = some.join(sized(with_position(wanted, ["feature_id"], "place")), "feature_id")
+            else:
+                some = some.withColumn("place", F.col("feature_id"))
+        maps = some.groupBy(*self.pk).agg(F.map_from_entries(F.collect_list(F.struct(F.col("place").cast("bigint"), "value"))).alias("m"))
         out = self.rows.select(*self.pk).join(maps, self.key, "left")
         value = lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0.0))
-        return out.select(*self.pk, F.transform(F.array(*[F.lit(i) for i in ids]), value).alias("features"))
+        return out.select(*self.pk, F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), value)).otherwise(F.array().cast("array<double>")).alias("features"))
 
 
 def from_dense(df: DataFrame, pk: Sequence[str], array: str = "features") -> Cells:

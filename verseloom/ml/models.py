@@ -607,16 +607,35 @@ def dbscan(df: DataFrame, pk: Sequence[str], eps: float, min_samples: int = 5, a
 
 
 class FittedPredictor:
-    """A frozen model's ``prediction`` and, of two classes, ``probability``."""
+    """A frozen model's ``prediction`` and ``probability``: of two classes that of class 1, of more one for each class."""
 
     def __init__(self, model, threshold: float = 0.5):
         self.model, self.threshold = model, threshold
 
     def transform(self, df: DataFrame, pk: Sequence[str]) -> DataFrame:
         out = self.model.transform(_vectors(df))
+        if getattr(self.model, "numClasses", 2) > 2:
+            return out.select(*pk, F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability").alias("probability"))
         p = vector_to_array("probability")[1]
         return out.select(*pk, F.when(p >= self.threshold, 1).otherwise(0).alias("prediction"), p.alias("probability"))
 
+    def save(self, path: str) -> None:
+        """A portable folder: the model in pyspark.ml's format, and the threshold."""
+        from pyspark.sql import SparkSession
+
+        self.model.write().overwrite().save(f"{path}/model")
+        kind = type(self.model)
+        SparkSession.active().createDataFrame([(kind.__module__, kind.__name__, self.threshold)], "module string, name string, threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/predictor")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "FittedPredictor":
+        import importlib
+
+        r = spark.read.json(f"{path}/predictor").first()
+        if not r.module.startswith("pyspark.ml."):
+            raise ValueError(f"not a model of pyspark.ml: {r.module}")
+        return cls(getattr(importlib.import_module(r.module), r.name).load(f"{path}/model"), r.threshold)
+
 
 class Stack:
     """A logistic model over the probabilities of other models. ``fit`` takes each member's probabilities for rows that it

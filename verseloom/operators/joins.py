@@ -83,6 +83,19 @@ def from_keyed_frame(source: Keyed, frame: DataFrame, columns: Sequence[str], re
     return source.derive(joined, "preserved_key", data=[] if as_metadata else columns, metadata=columns if as_metadata else [])
 
 
+def attach_metadata(source: Keyed, frame: DataFrame, metadata_fields: Sequence[str], require_complete: bool = True) -> Keyed:
+    """Metadata columns for the keys of a source. Every row stays; keys of the frame must be unique and known and, unless
+    ``require_complete`` is off, all there; what is missing is null."""
+    assert_unique(frame, source.pk)
+    if frame.join(source.df.select(*source.pk), source.pk, "left_anti").limit(1).count():
+        raise KeyError_("the frame has keys that the source hasn't")
+    if require_complete and source.df.join(frame.select(*source.pk), source.pk, "left_anti").limit(1).count():
+        raise KeyError_("the frame lacks keys of the source")
+    if taken := set(metadata_fields) & set(source.all_columns()):
+        raise ValueError(f"columns of the same name: {sorted(taken)}")
+    return source.derive(source.keys().join(frame.select(*source.pk, *metadata_fields), source.pk, "left"), "preserved_key", metadata=metadata_fields)
+
+
 def span_members(spans: DataFrame, rows: DataFrame, parent: Sequence[str], leaf: str) -> DataFrame:
     """Rows of each span: equal parents and the leaf between start and end, both included. Spans may overlap."""
     start, end = f"{leaf}_start", f"{leaf}_end"

@@ -231,6 +231,14 @@ class Keyed:
     def preview(self, n: int = 20) -> DataFrame:
         return self.query(limit=n)
 
+    def records(self, columns: Sequence[str] | None = None, limit: int | None = None, **request) -> list[dict]:
+        """Rows as dicts at the driver."""
+        return [r.asDict(recursive=True) for r in self.query(columns, limit=limit, **request).collect()]
+
+    def table(self, columns: Sequence[str] | None = None, limit: int | None = None, **request):
+        """Rows as a pandas frame at the driver."""
+        return self.query(columns, limit=limit, **request).toPandas()
+
     def batches(self, columns: Sequence[str] | None = None) -> Iterator:
         """Rows in order, one partition at a time at the driver."""
         return self.query(columns).toLocalIterator(prefetchPartitions=True)

@@ -129,6 +129,28 @@ def probability_sample(source: Keyed, n: int | None = None, fraction: float | No
     return part("__in"), part("NOT __in"), pi
 
 
+def probability_split(source: Keyed, n: int, strata: Sequence[str] = (), allocation: str | dict = "proportional", seed: int = 0) -> dict[str, Keyed]:
+    """``sample``, ``remainder`` and ``pi`` of a simple random sample of ``n`` rows or a stratified one: ``proportional``
+    (largest remainder), ``equal`` (ties to the first strata by name) or given numbers that sum to ``n``. A stratum without
+    a row in the sample, or with more than it has, is an error."""
+    if not strata or allocation == "proportional":
+        parts = probability_sample(source, n=n, strata=strata, seed=seed)
+    else:
+        view = source.view([s for s in strata if s not in source.pk])
+        name = F.concat_ws("\u001f", *[F.coalesce(F.col(s).cast("string"), F.lit("\u0000")) for s in strata])
+        names = sorted(r.s for r in view.select(name.alias("s")).distinct().limit(100_001).collect())  # one row per stratum
+        if allocation == "equal":
+            given = {s: n // len(names) + (i < n % len(names)) for i, s in enumerate(names)}
+        elif isinstance(allocation, dict):
+            given = {"\u001f".join(map(str, k if isinstance(k, tuple) else (k,))): v for k, v in allocation.items()}
+            if sum(given.values()) != n or set(given) != set(names):
+                raise ValueError("the numbers must be for all strata and sum to n")
+        else:
+            raise ValueError(f"no allocation {allocation!r}")
+        parts = probability_sample(source, strata=strata, n_by_stratum=given, seed=seed)
+    return dict(zip(("sample", "remainder", "pi"), parts))
+
+
 def set_primary_keys(source: Keyed, levels: dict[str, str], leaf: str) -> Keyed:
     """New keys from columns: each level is the dense rank of its column's values within the levels before, the leaf the
     rank by position within all of them. Ranks are made over distinct values, so no task sees a whole level."""

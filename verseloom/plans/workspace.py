@@ -104,6 +104,26 @@ class Workspace:
         e["aliases"] = [a for a in e.get("aliases", []) if a != alias] + ([] if remove else [alias])
         self._put(name, e)
 
+    def prefer(self, name: str, alias: str) -> None:
+        """Put one of a data set's aliases first, the one that the catalog shows."""
+        e = self.entries()[name]
+        if alias not in e.get("aliases", []):
+            raise ValueError(f"{alias} is no alias of {name}")
+        e["aliases"] = [alias, *[a for a in e["aliases"] if a != alias]]
+        self._put(name, e)
+
+    def export(self, name: str, path: str, format: str = "parquet") -> None:
+        """All columns of a data set, inherited ones too, as ``parquet``, ``jsonl`` or ``csv`` files."""
+        df = self.load(name).query(ordered=False)
+        if format == "csv":
+            df.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+        elif format == "jsonl":
+            df.write.option("ignoreNullFields", False).json(path)
+        elif format == "parquet":
+            df.write.parquet(path)
+        else:
+            raise ValueError(f"no format {format!r}")
+
     def delete(self, name: str, recursive: bool = False) -> list[str]:
         """Mark as deleted; with dependents only if recursive."""
         entries = self.entries()
@@ -183,6 +203,52 @@ class Pipeline:
         return {n: values[n] for n in (outputs or [s.name for s in self.steps])}
 
 
+    def extract(self, outputs: Sequence[str]) -> "Pipeline":
+        """Only the steps that some outputs need, with their state."""
+        by_name, wanted, todo = {s.name: s for s in self.steps}, set(), list(outputs)
+        if unknown := [o for o in outputs if o not in by_name]:
+            raise ValueError(f"no steps {unknown}")
+        while todo:
+            step = by_name.get(todo.pop())
+            if step and step.name not in wanted:
+                wanted.add(step.name)
+                todo += step.inputs
+        return Pipeline([s for s in self.steps if s.name in wanted])
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """A portable folder: functions and plain states pickled, states that are tables as Parquet, models of pyspark.ml
+        in their own format."""
+        from pyspark import cloudpickle
+
+        plain = []
+        for i, s in enumerate(self.steps):
+            kind, state = "plain", s.state
+            if isinstance(state, DataFrame):
+                kind = "table"
+                state.write.mode("overwrite").parquet(f"{path}/state-{i}")
+            elif hasattr(state, "write") and type(state).__module__.startswith("pyspark.ml"):
+                kind = f"{type(state).__module__}:{type(state).__name__}"
+                state.write().overwrite().save(f"{path}/state-{i}")
+            plain.append((s.name, s.inputs, s.transform, s.fit, state if kind == "plain" else None, s.frozen, kind))
+        spark.createDataFrame([(bytearray(cloudpickle.dumps(plain)),)], "steps binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/steps")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Pipeline":
+        """A pipeline of :meth:`save`. It is unpickled: only load what you trust."""
+        import importlib
+        import pickle
+
+        steps = []
+        for i, (name, inputs, transform, fit, state, frozen, kind) in enumerate(pickle.loads(spark.read.parquet(f"{path}/steps").first().steps)):
+            if kind == "table":
+                state = spark.read.parquet(f"{path}/state-{i}")
+            elif kind != "plain":
+                module, _, cls_name = kind.partition(":")
+                state = getattr(importlib.import_module(module), cls_name).load(f"{path}/state-{i}")
+            steps.append(Step(name, inputs, transform, fit, state, frozen))
+        return cls(steps)
+
+
 def save_state(spark: SparkSession, path: str, params: dict, tables: dict[str, DataFrame] | None = None) -> None:
     """A fitted operator's parameters and tables."""
     for n, t in (tables or {}).items():

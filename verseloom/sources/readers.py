@@ -80,8 +80,9 @@ _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def workbook_rows(content: bytes, sheet: str | int = 0, header_row: int = 0) -> tuple[list[str], list[list[str | None]]]:
-    """Header and rows of a sheet of an .xlsx file, by name or index; blank rows are skipped."""
+def workbook_rows(content: bytes, sheet: str | int = 0, header_row: int = 0, kinds: list[list[str]] | None = None) -> tuple[list[str], list[list[str | None]]]:
+    """Header and rows of a sheet of an .xlsx file, by name or index; blank rows are skipped. ``kinds`` is filled with what
+    each cell is: ``n`` (number), ``b`` (boolean), ``s`` (text) or empty."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
@@ -93,8 +94,10 @@ def workbook_rows(content: bytes, sheet: str | int = 0, header_row: int = 0) ->
         target = sheets[sheet][1] if isinstance(sheet, int) else dict(sheets)[sheet]
         root = ElementTree.fromstring(z.read("xl/" + target.removeprefix("/xl/")))
     table: list[list[str | None]] = []
+    sorts: list[list[str]] = []
     for row in root.iter(f"{_NS}row"):
         cells: dict[int, str | None] = {}
+        sort: dict[int, str] = {}
         for c in row.iter(f"{_NS}c"):
             letters = re.match(r"[A-Z]+", c.get("r", "A")).group()
             at = 0
@@ -106,17 +109,22 @@ def workbook_rows(content: bytes, sheet: str | int = 0, header_row: int = 0) ->
             else:
                 value = None if v is None else shared[int(v.text)] if kind == "s" else v.text
             cells[at - 1] = value
+            sort[at - 1] = "" if value in (None, "") else kind if kind == "b" else "n" if kind in (None, "n") else "s"
         values = [cells.get(i) for i in range(max(cells, default=-1) + 1)]
         if any(v not in (None, "") for v in values):
             table.append(values)
+            sorts.append([sort.get(i, "") for i in range(len(values))])
     if len(table) <= header_row:
         return [], []
     header = [str(h) for h in table[header_row] if h is not None]
+    if kinds is not None:
+        kinds += [(r + [""] * len(header))[: len(header)] for r in sorts[header_row + 1 :]]
     return header, [(r + [None] * len(header))[: len(header)] for r in table[header_row + 1 :]]
 
 
-def read_excel(spark: SparkSession, path: str, sheets: Sequence[str | int] = (0,), header_row: int = 0, text_fields: Sequence[str] | None = None, metadata_fields: Sequence[str] = (), missing_fields: str = "error", pattern: str = "*.xlsx") -> Keyed:
-    """One workbook or a folder of them, as strings, with ``source_file``, ``source_sheet`` and ``source_row``. Each
+def read_excel(spark: SparkSession, path: str, sheets: Sequence[str | int] = (0,), header_row: int = 0, text_fields: Sequence[str] | None = None, metadata_fields: Sequence[str] = (), missing_fields: str = "error", pattern: str = "*.xlsx", infer: bool = False) -> Keyed:
+    """One workbook or a folder of them, as strings or, with ``infer``, columns of which every cell is a number or boolean
+    as whole numbers, doubles or booleans (dates are the day numbers that workbooks hold), with ``source_file``, ``source_sheet`` and ``source_row``. Each
     workbook is read by one task. A field that a sheet lacks is an error, or null with ``missing_fields="fill"``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern if not path.endswith(".xlsx") else "*").option("recursiveFileLookup", True).load(path)
     fields = [*(text_fields or []), *metadata_fields]
@@ -127,20 +135,31 @@ def read_excel(spark: SparkSession, path: str, sheets: Sequence[str | int] = (0,
         fields = workbook_rows(bytes(first.content), sheets[0], header_row)[0]
 
     def run(paths: pa.Array, contents: pa.Array):
-        out: dict[str, list] = {c: [] for c in ("source_file", "source_sheet", "source_row", *fields)}
+        out: dict[str, list] = {c: [] for c in ("source_file", "source_sheet", "source_row", "__kinds", *fields)}
         for p, content in zip(paths.to_pylist(), contents.to_pylist()):
             for s in sheets:
-                header, rows = workbook_rows(content, s, header_row)
+                kinds: list[list[str]] = []
+                header, rows = workbook_rows(content, s, header_row, kinds)
                 lacking = [f for f in fields if f not in header]
                 if lacking and missing_fields == "error":
                     raise ValueError(f"{p}, sheet {s}: no fields {lacking}")
                 for n, r in enumerate(rows):
-                    row = dict(zip(header, r))
-                    for c, v in zip(out, (p.rsplit("/", 1)[-1], str(s), n, *(row.get(f) for f in fields))):
+                    row, kind = dict(zip(header, r)), dict(zip(header, kinds[n]))
+                    for c, v in zip(out, (p.rsplit("/", 1)[-1], str(s), n, [kind.get(f, "") for f in fields], *(row.get(f) for f in fields))):
                         out[c].append(v)
         yield out
 
-    df = map_batches(files.select("path", "content"), run, "source_file string, source_sheet string, source_row bigint, " + ", ".join(f"`{f}` string" for f in fields))
+    df = map_batches(files.select("path", "content"), run, "source_file string, source_sheet string, source_row bigint, __kinds array<string>, " + ", ".join(f"`{f}` string" for f in fields))
+    if infer:
+        held = lambda i, k: F.count_if(F.col("__kinds")[i] == k)
+        whole = lambda f: F.count_if(F.col(f"`{f}`").try_cast("double") != F.floor(F.col(f"`{f}`").try_cast("double")))
+        seen = df.agg(*[F.struct(held(i, "s").alias("s"), held(i, "n").alias("n"), held(i, "b").alias("b"), whole(f).alias("part")).alias(f"k{i}") for i, f in enumerate(fields)]).first()
+        for i, f in enumerate(fields):
+            k = seen[i]
+            if not k.s and bool(k.n) != bool(k.b):
+                c = F.col(f"`{f}`")
+                df = df.withColumn(f, c.try_cast("int").cast("boolean") if k.b else c.try_cast("double") if k.part else c.try_cast("double").cast("bigint"))
+    df = df.drop("__kinds")
     extra = ["source_file", "source_sheet", "source_row"]
     return _numbered(df, text_fields or [f for f in fields if f not in metadata_fields], metadata_fields, extra, None, extra=extra)
 
