@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from verseloom.ml import models as ML
 from verseloom.queries import QUERIES
 
 
@@ -67,3 +68,25 @@ def test_gaussian_mixture_is_of_whole_vectors(spark, tmp_path):
     assert [r.vec_id for r in found] == list(range(900)) and [r.cluster for r in found] == p.argmax(1).tolist()
     assert p.sum(0).min() > 0.5 and len({r.cluster for r in found}) > 1
     assert np.allclose(p.sum(1), 1) and np.abs(_em_step(x, p) - p).mean() < 0.001
+
+
+def test_dbscan_equals_plain_rules_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ML, "NEAR_BLOCK", 7)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.6, (30, 5)) for c in (0, 2.5, 9)] + [rng.uniform(-5, 12, (15, 5)), np.zeros((4, 5))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, features array<double>")
+    for eps, least in ((0.9, 4), (1.5, 3), (0.5, 2)):
+        near = np.linalg.norm(x[:, None] - x[None], axis=2) <= eps
+        core = near.sum(1) >= least
+        label = np.where(core, np.arange(len(x)), -1)
+        for _ in range(len(x)):
+            for i in np.flatnonzero(core):
+                label[i] = label[near[i] & core].min()
+        got = {r.k: r.cluster for r in ML.dbscan(df, ["k"], eps, least).collect()}
+        assert len(got) == len(x)
+        groups = {}
+        for i in np.flatnonzero(core):
+            groups.setdefault(got[i], set()).add(label[i])
+        assert -1 not in groups and all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(label[core]))
+        for i in np.flatnonzero(~core):
+            assert (got[i] == -1) == (not (near[i] & core).any()) and (got[i] == -1 or got[i] in {got[j] for j in np.flatnonzero(near[i] & core)})

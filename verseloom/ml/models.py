@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseloom.matrix.cells import Cells
+from verseloom.operators.graph import connected
 from verseloom.runtime import Scratch, materialize
 
+#: Rows of a cell that meet as many visitors at a time in DBSCAN.
+NEAR_BLOCK = 2000
 #: Rows of a method that holds all distances: 800 MB of them on the driver.
 MOST_ROWS = 10_000
 
@@ -570,37 +573,91 @@ def _axes(df: DataFrame, array: str, width: int, most: int = 2) -> np.ndarray:
 
 def dbscan(df: DataFrame, pk: Sequence[str], eps: float, min_samples: int = 5, array: str = "features") -> DataFrame:
     """DBSCAN by grid cells of width ``eps`` over the two directions in which the rows spread most (a projection makes no
-    distance longer, so no neighbour is missed): rows meet those of neighbouring cells, core rows are joined into
-    components, border rows go to the least one; noise is -1. Components are found by joins."""
+    distance longer, so no neighbour is missed). Border rows go to the least of their clusters; noise is -1.
+
+    A row visits its own cell and the eight around it; hosts and visitors of a cell are cut into blocks of ``NEAR_BLOCK``
+    rows, and every pair of blocks is a group of its own. Groups first give the number of neighbours of each visitor, then,
+    of core rows, links to the first of each component within the group: as many as it has rows, not as it has pairs."""
     width = df.select(F.size(array).alias("n")).limit(1).collect()
     if not width:
         return df.select(*pk, F.lit(-1).alias("cluster"))
+    scratch = Scratch()
     axes = _axes(df, array, width[0].n)
     cell = lambda i: F.floor(F.aggregate(F.zip_with(F.col(array), F.array(*[F.lit(float(c)) for c in axes[i]]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) / (eps * (1 + 1e-9)))
-    base = materialize(df.select(F.xxhash64(*pk).alias("id"), *pk, F.col(array).alias("v"), cell(0).alias("cx"), (cell(1) if len(axes) > 1 else F.lit(0).cast("bigint")).alias("cy")), "dbscan-cells")
+    base = scratch(df.select(F.xxhash64(*pk).alias("id"), *pk, F.col(array).cast("array<double>").alias("v"), cell(0).alias("cx"), (cell(1) if len(axes) > 1 else F.lit(0).cast("bigint")).alias("cy")), "dbscan-cells")
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    left = base.select("id", "v", F.explode(around).alias("o"), "cx", "cy").select("id", "v", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
-    right = base.select(F.col("id").alias("id2"), F.col("v").alias("v2"), "cx", "cy")
-    from verseloom.matrix.cells import pair_distance
-
-    near = materialize(left.join(right, ["cx", "cy"]).where(pair_distance(F.col("v"), F.col("v2"), "euclidean") <= eps).select("id", "id2"), "dbscan")
-    core = materialize(near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id"), "dbscan-core")
-    edges = near.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "id2"), "id2", "left_semi")
-    label = core.withColumn("label", F.col("id"))
-    while True:  # least label of the neighbourhood, then of the label's own label
-        low = edges.join(label.withColumnRenamed("id", "id2"), "id2").groupBy("id").agg(F.min("label").alias("new"))
-        jump = label.select(F.col("id").alias("new"), F.col("label").alias("far"))
-        new = materialize(low.join(jump, "new", "left").select("id", F.least("new", F.coalesce("far", "new")).alias("label")), "dbscan-label")
-        if new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count() == 0:
-            break
-        label = new
-    border = near.join(label.withColumnRenamed("id", "id2"), "id2").join(core, "id", "left_anti").groupBy("id").agg(F.min("label").alias("label"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / NEAR_BLOCK)).cast("int")
+    hosts = base.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    spread = hosts.select(F.explode(around).alias("o"), "cx", "cy", "n").select((F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"), "n")
+    sizes = scratch(hosts.select("cx", "cy", blocks(F.col("n")).alias("hb")).join(spread.groupBy("cx", "cy").agg(blocks(F.sum("n")).alias("vb")), ["cx", "cy"]), "dbscan-blocks")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        host = rows.join(sizes, ["cx", "cy"]).withColumn("h", F.pmod(F.xxhash64("id"), F.col("hb")).cast("int")).withColumn("w", F.explode(F.sequence(F.lit(0), F.col("vb") - 1))).withColumn("role", F.lit(True))
+        moved = rows.withColumn("o", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("o.a"), "cy": F.col("cy") + F.col("o.b")}).drop("o")
+        visitor = moved.join(sizes, ["cx", "cy"]).withColumn("w", F.pmod(F.xxhash64("id"), F.col("vb")).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("hb") - 1))).withColumn("role", F.lit(False))
+        return host.unionByName(visitor, allowMissingColumns=True).groupBy("cx", "cy", "h", "w")
+
+    def near(f) -> tuple:
+        x = np.array(f["v"].tolist(), float).reshape(len(f), -1)
+        host = f["role"].to_numpy()
+        a, b = x[~host], x[host]
+        sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+        close = sq <= eps * eps
+        # the expansion is only good to some digits: pairs at the edge are measured again
+        i, j = np.nonzero(np.abs(sq - eps * eps) <= 1e-9 * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] + eps * eps))
+        close[i, j] = np.sqrt(((a[i] - b[j]) ** 2).sum(1)) <= eps
+        return close, f["id"].to_numpy()[~host], f["id"].to_numpy()[host], host
+
+    def count(f):
+        import pandas as pd
+
+        close, ids, _, _ = near(f)
+        return pd.DataFrame({"id": ids, "n": close.sum(1)})
+
+    counts = grouped(base.select("id", "v", "cx", "cy")).applyInPandas(count, "id bigint, n bigint")
+    core = scratch(counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id"), "dbscan-core")
+
+    def link(f):
+        """Links of core rows, and of other rows to core rows: each to the least host of a component of the group."""
+        import pandas as pd
+
+        close, ids, host_ids, host = near(f)
+        is_core = f["core"].to_numpy()
+        mine, theirs = is_core[~host], is_core[host]
+        close = close[:, theirs]
+        host_ids = host_ids[theirs]
+        label = np.arange(close.shape[1])
+        inner = close[mine]
+        while True:  # least label among the hosts that share a visitor
+            at = np.where(inner, label[None, :], close.shape[1]).min(1, initial=close.shape[1])
+            new = np.minimum(label, np.where(inner, at[:, None], close.shape[1]).min(0, initial=close.shape[1]))
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                break
+            label = new
+        rep = host_ids[label] if len(host_ids) else host_ids
+        parts = [pd.DataFrame({"a": host_ids, "b": rep, "core": True})]
+        if len(host_ids) and len(ids):
+            hit = close.any(1)
+            first = close[hit].argmax(1)
+            joined = pd.DataFrame({"a": ids[hit], "b": rep[first], "core": mine[hit]})
+            # a row that isn't core may touch several components of the group
+            i, j = np.nonzero(close & ~mine[:, None])
+            parts += [joined[joined["core"]], pd.DataFrame({"a": ids[i], "b": rep[j], "core": False}).drop_duplicates()]
+        return pd.concat(parts).astype({"a": "int64", "b": "int64", "core": "bool"})
+
+    marked = base.select("id", "v", "cx", "cy").join(core.withColumn("core", F.lit(True)), "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    links = scratch(grouped(marked).applyInPandas(link, "a bigint, b bigint, core boolean"), "dbscan-links")
+    linked = connected(links.where("core AND a <> b").select("a", "b"))
+    label = scratch(core.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "dbscan-label")
+    border = links.where("NOT core").join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label"))
     every = base.join(label.unionByName(border), "id", "left")
-    numbers = label.select("label").distinct()
     from verseloom.operators.keyed import with_position
 
-    numbered = with_position(numbers, ["label"], "cluster")
-    return every.join(numbered, "label", "left").select(*pk, F.coalesce(F.col("cluster").cast("int"), F.lit(-1)).alias("cluster"))
+    numbered = with_position(label.select("label").distinct(), ["label"], "cluster")
+    out = materialize(every.join(numbered, "label", "left").select(*pk, F.coalesce(F.col("cluster").cast("int"), F.lit(-1)).alias("cluster")), "dbscan-result")
+    scratch.release()
+    return out
 
 
 # -- predictors ------------------------------------------------------------------------------------------------------
