@@ -69,10 +69,13 @@ def run_hashes(text: str, run: int = RUN) -> np.ndarray:
         return np.zeros(0, np.uint64)
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     n = len(points) - run + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(run):
-        h = h * np.uint64(0x100000001B3) + points[k : k + n]
-    return np.unique(_mix(h))
+    h = points[:n].copy()
+    for k in range(1, run):
+        h *= np.uint64(0x100000001B3)
+        h += points[k : k + n]
+    h = _mix(h)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def min_hashes(runs: np.ndarray) -> np.ndarray:
@@ -215,10 +218,10 @@ def _signatures(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame
     return map_batches(picked, run, f"id {kind}, key string, fp binary, size int, sig binary, bands array<bigint>")
 
 
-def _candidates(reps: DataFrame, budget: np.ndarray) -> DataFrame:
-    """Pairs of representatives that the trie self-join leaves, each once."""
+def _candidates(reps: DataFrame, budget: np.ndarray, threshold: float) -> DataFrame:
+    """Pairs of representatives that the trie self-join leaves, each once; sets of too unequal size can't be similar enough."""
     kind = reps.schema["rep"].dataType.simpleString()
-    rows = reps.select(F.explode("bands").alias("band"), "rep", "sig")
+    rows = reps.select(F.explode("bands").alias("band"), "rep", "sig", "size")
     # groups too large for one task are cut into blocks; each pair of blocks is a cell of its own
     large = rows.groupBy("band").count().where(F.col("count") > BLOCK).select("band", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     large = materialize(large, "hot-bands")
@@ -230,11 +233,11 @@ def _candidates(reps: DataFrame, budget: np.ndarray) -> DataFrame:
         rows = rows.join(hot, "band", "left")
         mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
         others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-        rows = rows.select("band", "rep", "sig", "blocks", F.coalesce(mine, F.lit(0)).alias("side"), F.explode(others).alias("other"))
+        rows = rows.select("band", "rep", "sig", "size", "blocks", F.coalesce(mine, F.lit(0)).alias("side"), F.explode(others).alias("other"))
         cell = F.coalesce(F.least("side", "other").cast("bigint") * F.col("blocks") + F.greatest("side", "other"), F.lit(0).cast("bigint"))
-        rows = rows.select("band", cell.alias("cell"), "rep", "sig", "side", (F.col("side") == F.col("other")).alias("whole"))
+        rows = rows.select("band", cell.alias("cell"), "rep", "sig", "size", "side", (F.col("side") == F.col("other")).alias("whole"))
     else:
-        rows = rows.select("band", F.lit(0).cast("bigint").alias("cell"), "rep", "sig", F.lit(0).alias("side"), F.lit(True).alias("whole"))
+        rows = rows.select("band", F.lit(0).cast("bigint").alias("cell"), "rep", "sig", "size", F.lit(0).alias("side"), F.lit(True).alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def join(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -253,10 +256,10 @@ def _candidates(reps: DataFrame, budget: np.ndarray) -> DataFrame:
             group = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort([*(sig[:, w] for w in range(WORDS - 1, -1, -1)), group])
             sig, reps_ = sig[order], t["rep"].take(pa.array(order))
-            sides, whole = t["side"].to_numpy()[order], t["whole"].to_numpy()[order]
+            sides, whole, sizes_ = t["side"].to_numpy()[order], t["whole"].to_numpy()[order], t["size"].to_numpy()[order]
             for i, j in trie_self_join(sig, np.column_stack([ends - sizes, ends]), budget):
                 # in a cell of two blocks, pairs within a block belong to the block's own cell
-                due = whole[i] | (sides[i] != sides[j])
+                due = (whole[i] | (sides[i] != sides[j])) & (np.minimum(sizes_[i], sizes_[j]) >= np.maximum(sizes_[i], sizes_[j]) * threshold)
                 i, j = i[due], j[due]
                 if len(i):
                     x, y = reps_.take(pa.array(i)), reps_.take(pa.array(j))
@@ -302,7 +305,7 @@ def _rarest_runs(records: DataFrame, threshold: float) -> DataFrame:
     size = F.size("runs")
     first = F.slice("runs", 1, (size - F.ceil(size * F.lit(threshold) - 1e-9) + 1).cast("int"))
     bands = per.select("rep", F.transform(F.filter(first, lambda r: r["held"] > 1), lambda r: r["run"]).alias("bands"))
-    return records.select("rep", "sig").join(bands, "rep")
+    return records.select("rep", "sig", "size").join(bands, "rep")
 
 
 class NearDuplicates:
@@ -330,19 +333,14 @@ class NearDuplicates:
             chosen, budget = _rarest_runs(chosen, threshold), np.arange(WORDS * 64 + 1)
         else:
             budget = error_budget(threshold)
-        pairs = materialize(_candidates(chosen.select("rep", "sig", "bands"), budget), "candidates")
-        self.links = materialize(self._verified(pairs, signed.select("rep", "key", "size")), "links")
+        pairs = materialize(_candidates(chosen.select("rep", "sig", "bands", "size"), budget, threshold), "candidates")
+        self.links = materialize(self._verified(pairs, signed.select("rep", "key")), "links")
         drop_materialized(pairs)  # members and links are all that is read from here on
         drop_materialized(signed)
 
     def _verified(self, pairs: DataFrame, keys: DataFrame) -> DataFrame:
         threshold = self.threshold
-        x = keys.select(F.col("rep").alias("a"), F.col("key").alias("ka"), F.col("size").alias("sa"))
-        y = keys.select(F.col("rep").alias("b"), F.col("key").alias("kb"), F.col("size").alias("sb"))
-        # sets of too unequal size can't be similar enough
-        sized = pairs.join(keys.select(F.col("rep").alias("a"), F.col("size").alias("n")), "a").join(keys.select(F.col("rep").alias("b"), F.col("size").alias("m")), "b")
-        sized = sized.where(F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold)).select("a", "b")
-        both = sized.join(x, "a").join(y, "b").select("a", "b", "ka", "kb")
+        both = pairs.join(keys.withColumnsRenamed({"rep": "a", "key": "ka"}), "a").join(keys.withColumnsRenamed({"rep": "b", "key": "kb"}), "b").select("a", "b", "ka", "kb")
 
         def run(a: pa.Array, b: pa.Array, ka: pa.Array, kb: pa.Array):
             sims = []
