@@ -75,6 +75,8 @@ LEET = str.maketrans("013457@$!|", "oieastasil")
 SAMPLE = 10_000
 #: Words in a context window, and the step from one window to the next in a longer sentence.
 WINDOW, STEP = 24, 8
+#: Words whose reading is kept in a task.
+CACHE = 200_000
 SEED_WEIGHT, CONTEXT_WEIGHT = 3.0, -2.0
 #: A label of abuse whose best window stays under this log odds after two rounds is taken for an error.
 DOUBT = -0.5
@@ -83,6 +85,9 @@ _HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _SPELLED = regex.compile(r"(?<![\p{L}\p{M}])\p{L}(?:([ .\-_*])\p{L}\p{M}*)(?:\1\p{L}\p{M}*)+(?![\p{L}\p{M}])")
 _SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?…])[\"”»’)]*\s+|(?<=[。！？।])")
 _WORD = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}\p{N}@$*!|]*[\p{L}\p{M}\p{N}*$@]|[\p{L}]|\p{N}+[\p{L}@$*!|][\p{L}\p{N}@$*!|]*|\p{N}+")
+# the same two for texts of ASCII characters only, in the faster module
+_ASCII_SPELLED = re.compile(r"(?<![a-z])[a-z](?:([ .\-_*])[a-z])(?:\1[a-z])+(?![a-z])")
+_ASCII_WORD = re.compile(r"[a-z][a-z0-9@$*!|]*[a-z0-9*$@]|[a-z]|[0-9]+[a-z@$*!|][a-z0-9@$*!|]*|[0-9]+")
 _RUN = re.compile(r"(.)\1{2,}")
 _MIXED = (regex.compile(r"[a-z]"), regex.compile(r"[\p{Cyrillic}\p{Greek}]"))
 _UNCASED = regex.compile(r"[\p{Arabic}\p{Devanagari}]")
@@ -170,7 +175,11 @@ def unmasked(text: str) -> str:
             text = text.replace(c, "")
         text = unicodedata.normalize("NFKC", text)
     text = text.lower()
-    return _SPELLED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), text)
+    return (_ASCII_SPELLED if text.isascii() else _SPELLED).sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), text)
+
+
+def raw_words(text: str) -> list[str]:
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
 
 
 class Reader:
@@ -221,16 +230,16 @@ class Reader:
                 at += 1
         return out
 
+    def read(self, word: str) -> tuple[str, ...]:
+        r = self.seen.get(word)
+        if r is None:
+            if len(self.seen) > CACHE:
+                self.seen.clear()
+            r = self.seen[word] = self._read(word)
+        return r
+
     def words(self, text: str) -> list[str]:
-        out: list[str] = []
-        for w in _WORD.findall(text):
-            r = self.seen.get(w)
-            if r is None:
-                if len(self.seen) > 200_000:
-                    self.seen.clear()
-                r = self.seen[w] = self._read(w)
-            out += r
-        return out
+        return [x for w in raw_words(text) for x in self.read(w)]
 
     def sentences(self, text: str | None) -> list[list[str]]:
         """The words of each sentence that has any."""
@@ -247,24 +256,30 @@ class Reader:
 class Windows:
     """The windows of a batch of texts in arrays. Features of a window are its distinct words and pairs of neighbours."""
 
-    def __init__(self, reader: Reader, texts: list[str | None], vocabulary: dict[str, int], grow: bool):
-        words: list[str] = []
+    def __init__(self, reader: Reader, texts: list[str | None], vocabulary: dict[str, int], grow: bool, cache: dict[str, tuple[int, ...]] | None = None):
+        ids: list[int] = []
         sizes, docs = [], []
+        cache = {} if cache is None else cache
+        if len(cache) > CACHE:
+            cache.clear()
         for d, text in enumerate(texts):
-            for ws in reader.sentences(text):
-                words += ws
-                sizes.append(len(ws))
-                docs.append(d)
-        if grow:
-            for w in words:
-                vocabulary.setdefault(w, len(vocabulary))
-        get = vocabulary.get
-        self.ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            for sentence in _SENTENCE.split(unmasked(text or "")):
+                before = len(ids)
+                for w in raw_words(sentence):
+                    known = cache.get(w)
+                    if known is None:
+                        parts = reader.read(w)
+                        known = cache[w] = tuple([vocabulary.setdefault(x, len(vocabulary)) for x in parts] if grow else [vocabulary.get(x, -1) for x in parts])
+                    ids += known
+                if len(ids) > before:
+                    sizes.append(len(ids) - before)
+                    docs.append(d)
+        self.ids = np.array(ids, np.int64)
         size, doc = np.array(sizes, np.int64), np.array(docs, np.int64)
         self.sentence = np.repeat(np.arange(len(size)), size)
         self.doc_of = doc[self.sentence]
         follows = self.sentence[1:] == self.sentence[:-1]
-        self.pairs = np.full(len(words), -1, np.int64)
+        self.pairs = np.full(len(ids), -1, np.int64)
         known = follows & (self.ids[1:] >= 0) & (self.ids[:-1] >= 0)
         self.pairs[:-1][known] = self.ids[:-1][known] << 32 | self.ids[1:][known]
         per = np.where(size <= WINDOW, 1, -(-(size - WINDOW + STEP) // STEP))
@@ -312,7 +327,7 @@ class AbuseModel:
     """The fitted weights. ``score`` of a text is the greatest score of its windows, between 0 and 1."""
 
     def __init__(self, reader: Reader, weights: dict[str, float], pairs: dict[tuple[str, str], float], bias: float):
-        self.reader, self.bias = reader, bias
+        self.reader, self.bias, self.cache = reader, bias, {}
         known = dict.fromkeys([*weights, *reader.trie.terms, *(w for p in pairs for w in p)])
         self.vocabulary = {w: i for i, w in enumerate(known)}
         self.word_weights = np.array([*(weights.get(w, 0.0) for w in known), 0.0])  # the last is for unknown words
@@ -324,7 +339,7 @@ class AbuseModel:
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The scores, and how many lexicon terms each text holds, disguised ones too."""
-        w = Windows(self.reader, texts, self.vocabulary, grow=False)
+        w = Windows(self.reader, texts, self.vocabulary, False, self.cache)
         place = np.searchsorted(self.pair_keys[:-1], w.pairs)
         pair = np.where(self.pair_keys[place] == w.pairs, self.pair_weights[place], 0.0)
         best = np.full(len(texts), -30.0)
@@ -361,7 +376,7 @@ def fit_abuse_model(labelled: list[tuple[str | None, int]], rounds: int = 4) ->
     plain = Counter()
     for text, y in labelled:
         if not y:
-            plain.update(set(_WORD.findall(unmasked(text or ""))))
+            plain.update(set(raw_words(unmasked(text or ""))))
     ordinary = frozenset(w for w, n in plain.items() if n >= 3 and w.isalpha() and not _UNSPACED.search(w))
     reader = Reader(LexiconTrie(seeds), ordinary)
     vocabulary: dict[str, int] = {}
@@ -376,7 +391,8 @@ def fit_abuse_model(labelled: list[tuple[str | None, int]], rounds: int = 4) ->
     pair_features = np.where(w.pairs >= 0, np.searchsorted(pair_keys, w.pairs) + n_words, -1)
     total = n_words + len(pair_keys)
     # log odds of the documents that hold it: a first guess at every feature's weight
-    present = np.unique(np.concatenate([w.doc_of * total + w.ids, (w.doc_of * total + pair_features)[pair_features >= 0]]))
+    present = np.sort(np.concatenate([w.doc_of * total + w.ids, (w.doc_of * total + pair_features)[pair_features >= 0]]))
+    present = present[np.append(True, present[1:] != present[:-1])]
     in_bad = np.bincount(present % total, weights=y[present // total], minlength=total)
     in_good = np.bincount(present % total, minlength=total) - in_bad
     odds = np.log((in_bad + 0.3) / (n_bad + 1)) - np.log((in_good + 0.3) / (n_good + 1)) - 1
