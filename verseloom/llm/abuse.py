@@ -430,7 +430,8 @@ def fit_abuse_model(labelled: list[tuple[str | None, int]], rounds: int = 4) ->
     kept = np.flatnonzero(np.abs(weights) > 0.01)
     words = {**seeds, **{word_of[k]: float(weights[k]) for k in kept if k < n_words}}
     ends = [(int(pair_keys[k - n_words]), float(weights[k])) for k in kept if k >= n_words]
-    return AbuseModel(Reader(reader.trie, ordinary), words, {(word_of[k >> 32], word_of[k & 0xFFFFFFFF]): v for k, v in ends}, bias)
+    # the reader goes with what it has read, so that no task needs to look these words up again
+    return AbuseModel(reader, words, {(word_of[k >> 32], word_of[k & 0xFFFFFFFF]): v for k, v in ends}, bias)
 
 
 def save_abuse_model(spark: SparkSession, model: AbuseModel, path: str) -> None:
