@@ -78,7 +78,7 @@ class Hierarchy:
             if n in (0, left):
                 break
             left = n
-            gained = scratch(open_.groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more")), "gains")
+            gained = open_.groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more"))  # small and read again below: not written
             gains.append(gained)
             up = open_.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"))
             open_ = open_.join(up, "anc").join(gained, "id", "left").select("id", F.col("anc2").alias("anc"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
