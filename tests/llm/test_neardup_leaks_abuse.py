@@ -216,3 +216,8 @@ def test_model_is_saved_and_columns_kept(spark, tmp_path):
     assert [r.score for r in got.orderBy("source").collect()] == model.scores(["You filthy moron, get out.", "The mayor."])[0].tolist()
     with pytest.raises(ValueError):
         AB.score_abuse(df.withColumnRenamed("source", "score"), "k", "t", model, keep=["score"])
+
+
+def test_lexicon_is_a_parameter():
+    model = AB.fit_abuse_model([], lexicon={"insult": "blorp"}, context=["court"])
+    assert model.score("You blorp, you b1orp.")[0] > 0.5 > model.score("You idiot.")[0] and model.score("The court: blorp.")[0] < model.score("A blorp.")[0]

@@ -369,10 +369,12 @@ def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, prior: np.ndarray, r
     return w, float(b)
 
 
-def fit_abuse_model(labelled: list[tuple[str | None, int]], rounds: int = 4) -> AbuseModel:
+def fit_abuse_model(labelled: list[tuple[str | None, int]], rounds: int = 4, lexicon: dict[str, str] | None = None, context: Sequence[str] | None = None) -> AbuseModel:
     """Fit to ``(text, 0 or 1)``. Which window of an abusive text is the abusive one isn't labelled: each round takes the
-    window that the model so far scores highest, and the three highest of other texts, and fits again."""
-    seeds = {t: SEED_WEIGHT for terms in LEXICON.values() for t in terms.split()}
+    window that the model so far scores highest, and the three highest of other texts, and fits again. ``lexicon`` (terms by
+    kind, parted by spaces) and ``context`` words take the place of the built-in ones."""
+    seeds = {t: SEED_WEIGHT for terms in (LEXICON if lexicon is None else lexicon).values() for t in terms.split()}
+    context = CONTEXT if context is None else context
     plain = Counter()
     for text, y in labelled:
         if not y:
@@ -385,7 +387,7 @@ def fit_abuse_model(labelled: list[tuple[str | None, int]], rounds: int = 4) ->
     held = np.bincount(w.doc, minlength=len(y)) > 0
     n_bad, n_good = int((y & held).sum()), int((~y & held).sum())
     if not n_bad or not n_good:
-        return AbuseModel(Reader(reader.trie, ordinary), {**seeds, **dict.fromkeys(CONTEXT, CONTEXT_WEIGHT)}, {}, -4.0)
+        return AbuseModel(Reader(reader.trie, ordinary), {**seeds, **dict.fromkeys(context, CONTEXT_WEIGHT)}, {}, -4.0)
     pair_keys = np.unique(w.pairs[w.pairs >= 0])
     n_words = len(vocabulary)
     pair_features = np.where(w.pairs >= 0, np.searchsorted(pair_keys, w.pairs) + n_words, -1)
@@ -399,7 +401,7 @@ def fit_abuse_model(labelled: list[tuple[str | None, int]], rounds: int = 4) ->
     weights = np.where(in_bad >= 2, np.clip(odds, -1.0, 3.0), 0.0)
     prior = np.zeros(total)
     is_seed = np.zeros(total, bool)
-    for t in CONTEXT:
+    for t in context:
         if t in vocabulary:
             prior[vocabulary[t]] = CONTEXT_WEIGHT
             weights[vocabulary[t]] = min(weights[vocabulary[t]], CONTEXT_WEIGHT)
