@@ -219,5 +219,5 @@ def test_model_is_saved_and_columns_kept(spark, tmp_path):
 
 
 def test_lexicon_is_a_parameter():
-    model = AB.fit_abuse_model([], lexicon={"insult": "blorp"}, context=["court"])
-    assert model.score("You blorp, you b1orp.")[0] > 0.5 > model.score("You idiot.")[0] and model.score("The court: blorp.")[0] < model.score("A blorp.")[0]
+    model = AB.fit_abuse_model([], lexicon={"insult": "blorp zonker"}, context=["court"])
+    assert model.score("You blorp, you z0nker.")[0] > 0.5 > model.score("You idiot.")[0] and model.score("The court: blorp.")[0] < model.score("A blorp.")[0]
