@@ -19,6 +19,7 @@ from verseloom.operators import setops as S
 from verseloom.operators.hierarchy import Hierarchy, first_parents
 from verseloom.operators.keyed import POSITION, Keyed, map_rows, sql_over
 from verseloom.operators.scope import Scope, scatter_rows
+from verseloom.plans.workspace import Workspace
 from verseloom.runtime import application_dir, tune
 from verseloom.sources import readers as R
 from verseloom.stats import estimation as E
@@ -836,6 +837,80 @@ def stratified_design(spark, sf_dir):
     return pi.view(["pi", "record_type"]).groupBy("record_type", _r("pi", 6).alias("pi")).agg(F.count("*").alias("n"))
 
 
+@query("WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 p FROM documents) SELECT doc_id, CASE WHEN p < 40 THEN 'before' ELSE 'after' END AS side FROM d WHERE p BETWEEN 37 AND 42 AND p <> 40")
+def read_neighbours(spark, sf_dir):
+    """The rows before and after one row."""
+    docs = _documents(spark, sf_dir)
+    key = {"doc_id": docs.at(40, []).first().doc_id}
+    return docs.previous(key, 3, []).withColumn("side", F.lit("before")).unionByName(docs.next(key, 2, []).withColumn("side", F.lit("after")))
+
+
+@query("SELECT 'documents' AS name, 'doc_id' AS primary_key, 'doc_id,text,lang,source,n_chars,record_type' AS columns, count(*) AS rows FROM documents")
+def data_set_summary(spark, sf_dir):
+    return _documents(spark, sf_dir).summary().select("name", "primary_key", "columns", "rows")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_id, source, record_type FROM lines JOIN documents USING (doc_id) WHERE lang = 'de'")
+def lineage_metadata(spark, sf_dir):
+    """Metadata of documents, asked for and filtered by at their lines."""
+    return _lines(spark, sf_dir).query(["source", "record_type"], where="lang = 'de'", ordered=False)
+
+
+@query(f"WITH {_BOW} SELECT d.doc_id, CASE WHEN d.doc_id IN (SELECT doc_id FROM c) THEN coalesce(max(value) FILTER (term = 'the'), 0.0) END AS n_the, CASE WHEN d.doc_id IN (SELECT doc_id FROM c) THEN coalesce(max(value) FILTER (term = 'and'), 0.0) END AS n_and FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1")
+def attached_features(spark, sf_dir):
+    """Features of a matrix attached to a table: zero where a row hasn't one, null where it has no cells at all."""
+    m = _bag(spark, sf_dir)
+    ids = {r.feature_id: f"n_{r.feature}" for r in m.features.where("feature IN ('the', 'and')").collect()}
+    return J.attach_cells(_table(spark, sf_dir, "documents").select("doc_id"), m.cells, ["doc_id"], ids).select("doc_id", "n_the", "n_and")
+
+
+@query(f"WITH {_BOW} SELECT d.doc_id, coalesce(max(value) FILTER (term = 'the'), 0.0) AS f0, coalesce(max(value) FILTER (term = 'and'), 0.0) AS f1 FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1")
+def dense_rows(spark, sf_dir):
+    m = _bag(spark, sf_dir)
+    ids = {r.feature: r.feature_id for r in m.features.where("feature IN ('the', 'and')").collect()}
+    return m.wide([ids["the"], ids["and"]]).select("doc_id", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
+
+
+#: Examples of the published algorithm.
+_STEMS = "caresses:caress ponies:poni ties:ti cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop falling:fall hissing:hiss filing:file happy:happi sky:sky relational:relat conditional:condit vietnamization:vietnam hopefulness:hope formaliti:formal triplicate:triplic electrical:electr goodness:good revival:reviv allowance:allow adjustable:adjust replacement:replac adoption:adopt activate:activ effective:effect probate:probat rate:rate controll:control"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*x.split(":")) for x in _STEMS.split()) + ") t(word, stem)")
+def porter_stems(spark, sf_dir):
+    words = spark.createDataFrame([(x.split(":")[0],) for x in _STEMS.split()], "word string")
+    return words.select("word", X.stemmed(F.array("word"))[0].alias("stem"))
+
+
+@query(
+    f"""WITH {_ITEMS}, k AS (SELECT l_orderkey, item, l_linenumber AS rank, l_returnflag AS sense, CASE WHEN l_linestatus = 'O' THEN 'x' ELSE 'y' END lemma FROM li), c AS (SELECT * FROM k WHERE sense <> 'A' AND (lemma <> 'x' OR sense = 'N')),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY rank, sense, item) n FROM c) SELECT l_orderkey, rank, sense AS sense_id FROM r WHERE n = 1"""
+)
+def chosen_senses(spark, sf_dir):
+    """One candidate for each token: of those that are neither excluded nor beside a forced one, the first by rank."""
+    items = _items(spark, sf_dir).select("l_orderkey", F.col("item").alias("candidate_id"), F.col("l_linenumber").alias("rank"), F.col("l_returnflag").alias("sense_id"), F.when(F.col("l_linestatus") == "O", "x").otherwise("y").alias("lemma"))
+    return X.select_senses(items, ["l_orderkey"], force={"x": "N"}, exclude=["A"]).select("l_orderkey", "rank", "sense_id")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_id, length(t)::BIGINT AS n, source FROM lines JOIN documents USING (doc_id)")
+def workspace_reload(spark, sf_dir):
+    """Data sets stored in a workspace, one of them in parts, and read by another session of it with what they inherit."""
+    at = _folder(spark, "workspace")
+    work = Workspace(spark, at)
+    base = work.save(_documents(spark, sf_dir), "documents")
+    lines = work.save(X.decompose(base, "text", "\n", "line_id"), "lines")
+    work.save_parts("sizes", lines, lambda part: part.derive(part.view(["text"]).select(*part.key_columns, F.char_length("text").cast("bigint").alias("n")), "preserved_key", data=["n"]), parts=2, operation="sizes")
+    return Workspace(spark, at).load("sizes").query(["n", "source"], ordered=False)
+
+
+@query("SELECT 50 AS n_rows, 50 AS n_known, 50 AS n_keys")
+def sampled_subset(spark, sf_dir):
+    """A sample of fifty rows: as many different keys, all of the source."""
+    docs = _documents(spark, sf_dir)
+    got = S.sample(docs, 50, seed=8).df.select("doc_id")
+    known = got.join(docs.df.select("doc_id"), "doc_id", "left_semi").count()
+    return got.agg(F.count("*").cast("int").alias("n_rows"), F.lit(known).alias("n_known"), F.count_distinct("doc_id").cast("int").alias("n_keys"))
+
+
 # -- sources -----------------------------------------------------------------------------------------------------------
 
 
