@@ -121,3 +121,29 @@ def test_dictionaries(spark, bag):
     assert L.entry_pattern("a.b", "fixed") == r"^a\.b$"
     with pytest.raises(ValueError):
         L.polarity(bag, mem.unionByName(mem.withColumn("pole", F.lit("neutral"))))
+
+
+def test_heads_of_spans_as_a_table(spark):
+    import random
+
+    rng = random.Random(2)
+    tokens, spans, want = [], [], set()
+    for s in range(12):
+        n = rng.randrange(1, 9)
+        own = [{"token_id": i, "head": rng.randrange(n), "is_punct": rng.random() < 0.3} for i in range(n)]
+        tokens += [(s, t["token_id"], t["head"], t["is_punct"]) for t in own]
+        for role in ("a", None):
+            a = rng.randrange(n)
+            b = rng.randrange(a, n)
+            spans.append((s, a, b, role))
+            want.add((s, a, b, role, X.head_of_span(own, a, b)))
+    t, sp = spark.createDataFrame(tokens, "sid long, token_id long, head long, is_punct boolean"), spark.createDataFrame([*spans, spans[0], (99, 4, 5, "x")], "sid long, start long, end long, role string")
+    assert set(rows(X.span_heads(t, sp, ["sid"]))) == want | {(99, 4, 5, "x", 4)} and X.span_heads(t, sp, ["sid"]).count() == len(want) + 1
+
+
+def test_backend_columns_of_tokens(spark):
+    def parse(text):
+        return [[{"text": w, "lemma": w, "is_alpha": True, "is_punct": False, "start": 0, "pos": "X", "head": i} for i, w in enumerate(text.split())]]
+
+    got = X.linguistic_tokens(spark.createDataFrame([(1, "a b")], "k long, t string"), ["k"], "t", parse, "pos string, head bigint, dep string")
+    assert rows(got.select("text", "pos", "head", "dep"), "head") == [("a", "X", 0, None), ("b", "X", 1, None)]

@@ -173,11 +173,13 @@ _RULE_SENTENCE = regex.compile(r"[^.!?。！？।؟]+(?:[.!?。！？।؟]+[\"
 _RULE_TOKEN = regex.compile(r"\w+(?:['’\-]\w+)*|[^\w\s]")
 
 
-def linguistic_tokens(df: DataFrame, pk: Sequence[str], field: str, backend: Callable | None = None) -> DataFrame:
-    """Sentences and tokens: key, ``sentence_id``, ``token_id``, ``text``, ``lemma``, ``is_alpha``, ``is_punct``, ``start``.
+def linguistic_tokens(df: DataFrame, pk: Sequence[str], field: str, backend: Callable | None = None, extra: str = "") -> DataFrame:
+    """Sentences and tokens: key, ``sentence_id``, ``token_id``, ``text``, ``lemma``, ``is_alpha``, ``is_punct``, ``start``,
+    and the columns of the schema ``extra`` (such as ``pos string, head bigint``), null where the backend gives none.
 
     ``backend(text)`` gives sentences as lists of dicts with those names; without one, plain rules are used (they give no
     parse and take the lower-case form as the lemma)."""
+    from pyspark.sql import types as T
 
     def rules(text: str) -> list[list[dict]]:
         out = []
@@ -188,17 +190,18 @@ def linguistic_tokens(df: DataFrame, pk: Sequence[str], field: str, backend: Cal
 
     analyse = backend or rules
     names = ("text", "lemma", "is_alpha", "is_punct", "start")
+    more = [f.name for f in T._parse_datatype_string(extra)] if extra else []
 
     def run(*columns: pa.Array):
-        out: dict[str, list] = {k: [] for k in (*pk, "sentence_id", "token_id", *names)}
+        out: dict[str, list] = {k: [] for k in (*pk, "sentence_id", "token_id", *names, *more)}
         for *ks, text in zip(*(c.to_pylist() for c in columns)):
             for i, sentence in enumerate(analyse(text or "")):
                 for j, tok in enumerate(sentence):
-                    for k, v in zip(out, (*ks, i, j, *(tok[n] for n in names))):
+                    for k, v in zip(out, (*ks, i, j, *(tok[n] for n in names), *(tok.get(n) for n in more))):
                         out[k].append(v)
         yield out
 
-    schema = ", ".join(f"{k} bigint" for k in pk) + ", sentence_id bigint, token_id bigint, text string, lemma string, is_alpha boolean, is_punct boolean, start int"
+    schema = ", ".join(f"{k} bigint" for k in pk) + ", sentence_id bigint, token_id bigint, text string, lemma string, is_alpha boolean, is_punct boolean, start int" + (f", {extra}" if extra else "")
     return map_batches(df.select(*pk, F.col(f"`{field}`")), run, schema)
 
 
@@ -235,6 +238,20 @@ def head_of_span(tokens_: Sequence[dict], start: int, end: int) -> int:
     return words[0]["token_id"] if words else start
 
 
+def span_heads(tokens_: DataFrame, spans: DataFrame, sentence_key: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+    """Every span (its sentence's key, first and last token, other columns) with ``head_token``, by the rule of
+    :func:`head_of_span`, from a table of tokens with ``token_id``, ``head`` and ``is_punct``. Equal spans count once; a
+    span without a token has its start."""
+    key = list(sentence_key)
+    t = tokens_.select(*key, F.col("token_id").alias("__t"), F.col("head").alias("__h"), F.coalesce(F.col("is_punct"), F.lit(False)).alias("__p"))
+    wide = spans.distinct().withColumn("__a", F.col(f"`{start}`")).withColumn("__b", F.col(f"`{end}`"))
+    inside = wide.join(t, key).where(F.col("__t").between(F.col("__a"), F.col("__b")))
+    root = (F.col("__h") == F.col("__t")) | ~F.col("__h").between(F.col("__a"), F.col("__b"))
+    found = inside.where(root).groupBy(*[F.col(f"`{c}`") for c in spans.columns]).agg(F.min_by("__t", F.struct("__p", "__t")).alias("head_token"))
+    same = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in spans.columns]
+    return spans.distinct().alias("l").join(found.alias("r"), same, "left").select("l.*", F.coalesce("r.head_token", F.col(f"l.`{start}`")).alias("head_token"))
+
+
 def select_senses(candidates: DataFrame, token_key: Sequence[str], force: dict[str, str] | None = None, exclude: Sequence[str] = (), lemma_allow: dict[str, Sequence[str]] | None = None, token_allow: Column | None = None) -> DataFrame:
     """One sense for each token: a forced one, else of what is neither excluded nor disallowed the lowest rank, then sense
     and candidate id. Tokens without a candidate left have no row."""

@@ -44,7 +44,9 @@ def integer_key(df: DataFrame, pk: Sequence[str]) -> DataFrame:
             raise KeyError_(f"key names may not start with an underscore: {k}")
         c = F.col(f"`{k}`")
         n = c.try_cast("bigint")
-        bad = n.isNull() | (c.try_cast("double") != n.cast("double"))
+        bad = n.isNull()
+        if not isinstance(df.schema[k].dataType, T.IntegralType):
+            bad = bad | (c.try_cast("double") != n.cast("double"))
         checks[k] = F.when(bad, F.raise_error(F.concat(F.lit(f"not an integer key in {k}: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("bigint")).otherwise(n)
     return df.withColumns(checks)
 
