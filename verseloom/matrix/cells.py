@@ -392,11 +392,15 @@ def embedding_lookup(df: DataFrame, pk: Sequence[str], field: str, table: DataFr
     return out.select(*pk, F.coalesce(F.col(array).cast("array<double>"), none).alias(array))
 
 
+#: Categories of a column that may become one feature each.
+MOST_CATEGORIES = 50_000
+
+
 def feature_matrix(df: DataFrame, pk: Sequence[str], recipe: dict[str, dict]) -> tuple[DataFrame, list[str]]:
     """Encode columns into one array: ``{column: {"encoding": raw | zscore | minmax | onehot | mapping | bins, ...}}``. Fit
     statistics are one aggregation; missing values are zeros but for raw and mapping, where they are NaN. A binned value
     outside finite edges is all zeros."""
-    aggs = []
+    aggs, fitted = [], {}
     for c, r in recipe.items():
         x = F.col(f"`{c}`").try_cast("double")
         kind = r.get("encoding", "raw")
@@ -405,11 +409,14 @@ def feature_matrix(df: DataFrame, pk: Sequence[str], recipe: dict[str, dict]) ->
         elif kind == "minmax" or (kind == "bins" and r.get("method") in ("fixed_width", "equal_width")):
             aggs += [F.min(x).alias(f"{c}.a"), F.max(x).alias(f"{c}.b")]
         elif kind == "onehot":
-            aggs.append(F.array_sort(F.collect_set(F.col(f"`{c}`").cast("string"))).alias(f"{c}.a"))
+            found = df.select(F.col(f"`{c}`").cast("string").alias("v")).where("v IS NOT NULL").distinct().limit(MOST_CATEGORIES + 1).collect()
+            if len(found) > MOST_CATEGORIES:
+                raise ValueError(f"{c} has more than {MOST_CATEGORIES} categories")
+            fitted[f"{c}.a"] = sorted(r.v for r in found)
         elif kind == "bins" and r.get("method") == "quantile":
             k = r["n"]
             aggs.append(F.percentile_approx(x, [i / k for i in range(1, k)], 10_000).alias(f"{c}.a"))
-    fit = df.agg(*aggs).first().asDict() if aggs else {}
+    fit = fitted | (df.agg(*aggs).first().asDict() if aggs else {})
     parts: list[Column] = []
     names: list[str] = []
     for c, r in recipe.items():
@@ -432,10 +439,7 @@ def feature_matrix(df: DataFrame, pk: Sequence[str], recipe: dict[str, dict]) ->
             parts.append(value)
             names.append(c)
         elif kind == "onehot":
-            cats = fit[f"{c}.a"]
-            if len(cats) > 50_000:
-                raise ValueError(f"{c} has more than 50,000 categories")
-            for v in cats:
+            for v in fit[f"{c}.a"]:
                 parts.append(F.when(F.col(f"`{c}`").cast("string") == v, 1.0).otherwise(0.0))
                 names.append(f"{c}_{v}")
         elif kind == "bins":

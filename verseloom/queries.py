@@ -460,6 +460,29 @@ def feature_matrix(spark, sf_dir):
     return m.select("p_partkey", _r(f[0]).alias("size_z"), _r(f[1]).alias("price_01")).join(bins.select("p_partkey", f[1].cast("int").alias("mid")), "p_partkey")
 
 
+@query("""WITH k AS (SELECT DISTINCT c_mktsegment s, dense_rank() OVER (ORDER BY c_mktsegment) - 1 i FROM customer WHERE c_mktsegment IS NOT NULL), m AS (SELECT min(c_acctbal) a, (max(c_acctbal) - min(c_acctbal)) / 4 w FROM customer)
+SELECT c_custkey, c_acctbal AS balance, CASE c_mktsegment WHEN 'BUILDING' THEN 1.0 WHEN 'MACHINERY' THEN 2.5 ELSE -1.0 END::DOUBLE AS mapped, i::INTEGER AS segment, CASE WHEN c_acctbal < a + w THEN 0 WHEN c_acctbal < a + 2 * w THEN 1 WHEN c_acctbal < a + 3 * w THEN 2 ELSE 3 END::INTEGER AS quarter FROM customer LEFT JOIN k ON s = c_mktsegment, m""")
+def feature_encodings(spark, sf_dir):
+    """Raw, mapped, one-hot and equal-width columns; the last two by which of their features is 1."""
+    c = _table(spark, sf_dir, "customer")
+    one = M.feature_matrix(c, ["c_custkey"], {"c_acctbal": {"encoding": "raw"}, "c_mktsegment": {"encoding": "mapping", "values": {"BUILDING": 1.0, "MACHINERY": 2.5}}})[0]
+    two, names = M.feature_matrix(c, ["c_custkey"], {"c_mktsegment": {"encoding": "onehot"}, "c_acctbal": {"encoding": "bins", "method": "equal_width", "n": 4}})
+    n = len(names) - 4
+    f, mapped = F.col("features"), F.col("features")[1]
+    place = lambda part: F.when(F.array_contains(part, 1.0), F.array_position(part, 1.0).cast("int") - 1)
+    left = one.select("c_custkey", f[0].alias("balance"), F.when(F.isnan(mapped), -1.0).otherwise(mapped).alias("mapped"))
+    return left.join(two.select("c_custkey", place(F.slice(f, 1, n)).alias("segment"), place(F.slice(f, n + 1, 4)).alias("quarter")), "c_custkey")
+
+
+@query(f"""WITH {_BOW}, v AS (SELECT term, row_number() OVER (ORDER BY term) i FROM voc), s AS (SELECT *, value / sum(value) OVER (PARTITION BY doc_id) p, sum(value) OVER (PARTITION BY term) tf, count(*) OVER (PARTITION BY term) df FROM c JOIN v USING (term)),
+x AS (SELECT doc_id, i, 'absolute' m, value score FROM s UNION ALL SELECT doc_id, i, 'probability', p FROM s UNION ALL SELECT doc_id, i, 'term_frequency', tf FROM s UNION ALL SELECT doc_id, i, 'document_frequency', df FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY m, doc_id ORDER BY score DESC, i) k FROM x) SELECT doc_id, m AS method, k::INTEGER AS rank, (i - 1)::BIGINT AS feature_id, round(score, 5) AS score FROM t WHERE k <= 2""")
+def top_by_methods(spark, sf_dir):
+    m = _bag(spark, sf_dir)
+    parts = [M.top_features(m, 2, how).select("doc_id", F.lit(how).alias("method"), "rank", "feature_id", _r("score", 5).alias("score")) for how in ("absolute", "probability", "term_frequency", "document_frequency")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query("SELECT doc_id, coalesce(m.target_permille, 0.0)::DOUBLE AS v0, coalesce(m.max_repeats, 0.0)::DOUBLE AS v1 FROM documents d LEFT JOIN mix_targets m ON m.source = d.source")
 def embedding_lookup(spark, sf_dir):
     """The vector of each document's source; sources of another spelling, and null ones, have zeros."""
@@ -497,6 +520,15 @@ def polarity(spark, sf_dir):
     return L.polarity(m, _members(spark, m), "log_ratio").select("doc_id", "positive", "negative", _r("score", 5).alias("score"))
 
 
+@query(f"""WITH {_BOW}, {_MEMBERS}, p AS (SELECT d.doc_id, coalesce(sum(value) FILTER (pole = 'positive'), 0.0) p, coalesce(sum(value) FILTER (pole = 'negative'), 0.0) n, coalesce(sum(value) FILTER (pole = 'neutral'), 0.0) z, coalesce(sum(value), 0.0) t FROM documents d LEFT JOIN (SELECT c.*, pole FROM c LEFT JOIN (SELECT DISTINCT term, pole FROM mem) USING (term)) x USING (doc_id) GROUP BY 1)
+SELECT doc_id, 'difference' AS formula, (p - n)::DOUBLE AS score FROM p UNION ALL SELECT doc_id, 'proportional', round(CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END, 5) FROM p UNION ALL SELECT doc_id, 'matched', round(CASE WHEN p + n + z > 0 THEN (p - n) / (p + n + z) ELSE 0 END, 5) FROM p UNION ALL SELECT doc_id, 'total', round(CASE WHEN t > 0 THEN (p - n) / t ELSE 0 END, 5) FROM p""")
+def polarity_formulas(spark, sf_dir):
+    m = _bag(spark, sf_dir)
+    members = _members(spark, m)
+    parts = [L.polarity(m, members, f).select("doc_id", F.lit(f).alias("formula"), _r("score", 5).alias("score")) for f in ("difference", "proportional", "matched", "total")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query(f"""WITH {_BOW}, {_MEMBERS}, x AS (SELECT doc_id, score, value, unnest(range(value::BIGINT)) FROM c JOIN (SELECT DISTINCT term, score FROM mem) USING (term))
 SELECT doc_id, sum(score) weighted_sum, round(avg(score), 5) mean_matched, round(stddev_pop(score), 5) std, round(quantile_cont(score, 0.25), 5) q25, round(quantile_cont(score, 0.5), 5) median FROM x GROUP BY 1""")
 def valence(spark, sf_dir):
