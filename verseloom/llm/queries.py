@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verseloom.llm.abuse import fit_abuse_model, labelled_sample, score_abuse
@@ -38,6 +38,17 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(_articles(spark, sf_dir, "text"), "article_id", "text", _table(spark, sf_dir, "split_limits"))
 
 
+def p1_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every split text: whether its pieces are within the limit, overlap as asked, and end where the text ends."""
+    limits = _table(spark, sf_dir, "split_limits")
+    texts = _articles(spark, sf_dir, "text")
+    pieces = split_oversized(texts, "article_id", "text", limits, with_text=False).join(F.broadcast(limits), "limit_id")  # a setting of three rows
+    after = F.lag("end_char").over(Window.partitionBy("article_id", "limit_id").orderBy("piece_no"))
+    marked = pieces.withColumn("gap", after - F.col("start_char")).withColumn("fits", F.col("end_char") - F.col("start_char") <= F.col("max_chars"))
+    linked = F.when(F.col("piece_no") == 0, F.col("start_char") == 0).otherwise(F.col("gap") == F.col("overlap_chars"))
+    return marked.groupBy("article_id", "limit_id").agg(F.bool_and("fits").alias("fits"), F.bool_and(linked).alias("linked"), F.max("end_char").alias("chars"))
+
+
 def p2_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log-likelihood ratio of every term of every article; the rule of ``p2_found`` needs none."""
     scored = distinctive_terms(_articles(spark, sf_dir, "text"), "article_id", "text")
@@ -69,6 +80,11 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir)[0]
 
 
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different articles drawn for each category."""
+    return p3_sample(spark, sf_dir).groupBy("field", "category").agg(F.count_distinct("article_id").alias("drawn"))
+
+
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir)[1]
 
@@ -111,6 +127,11 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of an item's runs a document holds."""
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id", "shared", "runs", "item_words")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
@@ -131,6 +152,17 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p9_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every source: what it has and what is wanted, and whether the mix reaches that, or all that its repeats allow,
+    without going further than by one document."""
+    mix, report = _mixed(spark, sf_dir)
+    longest = mix.groupBy("source").agg(F.max("tokens").alias("longest"))
+    rules = _table(spark, sf_dir, "mix_targets").select("source", "max_repeats")
+    joined = report.join(F.broadcast(rules), "source").join(longest, "source", "left")  # rules: a setting
+    most = F.least(F.col("wanted"), (F.col("max_repeats") * F.col("available")).cast("double"))
+    return joined.select("source", "available", F.round("wanted", 3).alias("wanted"), "short", (F.col("reached") >= most).alias("enough"), (F.col("reached") < most + F.coalesce("longest", F.lit(0)) + 1).alias("not_more"), (F.col("copies_most") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def _scored(spark: SparkSession, sf_dir: str, docs: DataFrame, *keep: str) -> DataFrame:
     model = fit_abuse_model(labelled_sample(docs, "doc_id", "text", _table(spark, sf_dir, "labels"), "toxic"))
     return score_abuse(docs, "doc_id", "text", model, keep=keep)
@@ -154,7 +186,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_method, p2_found, p2_terms, p2_scores, p3_found, p3_sample, p3_report, p4_found, p4_terms, p5_found, p5_sentences, p6_found, p6_classes, p8_method, p8_found, p8_leaks, p9_found, p9_mix, p9_report, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_pieces, p1_bounds, p2_method, p2_found, p2_terms, p2_scores, p3_found, p3_sample, p3_counts, p3_report, p4_found, p4_terms, p5_found, p5_sentences, p6_found, p6_classes, p8_method, p8_found, p8_leaks, p8_shares, p9_found, p9_mix, p9_report, p9_bounds, p10_found, p10_scores, p10_rates)
 }
 
 _CLEAN = "lower(nfc_normalize(replace(replace({}, chr(173), ''), chr(8203), '')))"
@@ -178,6 +210,7 @@ SQL: dict[str, str] = {
 SELECT article_id, limit_id, 'over' AS kind FROM a, split_limits WHERE length(t) > max_chars
 UNION ALL SELECT article_id, limit_id, 'unbroken' FROM a, split_limits
 WHERE list_max(list_transform(regexp_split_to_array(t, '[ \t\n\r\x{A0}\x{3000}.!?。！？।؟]'), lambda x: length(x))) > max_chars""",
+    "p1_bounds": "WITH a AS (SELECT article_id, any_value(text) t FROM articles GROUP BY 1) SELECT article_id, limit_id, true AS fits, true AS linked, length(t) AS chars FROM a, split_limits WHERE length(t) > max_chars",
     "p2_found": f"""WITH a AS (SELECT article_id, any_value(text) t FROM articles GROUP BY 1),
 w AS (SELECT article_id, unnest({_TERMS.replace("{}", "t", 1)}) term FROM a), c AS (SELECT article_id, term, count(*) tf FROM w GROUP BY 1, 2),
 d AS (SELECT term FROM c GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6) SELECT article_id, term FROM c JOIN d USING (term) WHERE tf >= 3""",
@@ -197,6 +230,10 @@ n AS (SELECT field, {_CATEGORY.format("c")} c, count(*) n FROM l GROUP BY 1, 2),
 s AS (SELECT *, {_CATEGORY.format("category")} c, (sample_permille * (SELECT count(*) FROM a)) // 1000 size FROM sample_targets),
 k AS (SELECT s.field, category, coalesce(n.n, 0) AS available, greatest(min_count, (target_permille * size + 999) // 1000)::BIGINT AS needed FROM s LEFT JOIN n ON n.field = s.field AND n.c = s.c)
 SELECT field, category, available, needed, least(available, needed) AS drawn, greatest(0, needed - available) AS lacking FROM k""",
+    "p3_counts": f"""WITH a AS (SELECT article_id, any_value(topic_group) t, any_value(region_group) r FROM articles GROUP BY 1),
+l AS (SELECT 'topic_group' field, t c FROM a UNION ALL SELECT 'region_group', r FROM a), n AS (SELECT field, {_CATEGORY.format("c")} c, count(*) n FROM l GROUP BY 1, 2),
+s AS (SELECT *, {_CATEGORY.format("category")} c, (sample_permille * (SELECT count(*) FROM a)) // 1000 size FROM sample_targets)
+SELECT s.field, category, least(n.n, greatest(min_count, (target_permille * size + 999) // 1000))::BIGINT AS drawn FROM s JOIN n ON n.field = s.field AND n.c = s.c WHERE greatest(min_count, (target_permille * size + 999) // 1000) > 0""",
     "p4_found": f"WITH {_TERM_COUNTS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p4_terms": f"WITH {_TERM_COUNTS} SELECT term, occurrences, records, mark FROM m",
     "p6_found": f"""WITH {_KEYS}, {_NEAR.format(id="article_id", of="a")} SELECT p article_id_a, q article_id_b FROM near""",
@@ -209,6 +246,14 @@ g AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') g FROM (SELECT ite
 h AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) i FROM d)),
 n AS (SELECT item_id, count(*) n FROM g GROUP BY 1), c AS (SELECT doc_id, item_id, count(*) k FROM g JOIN h USING (g) GROUP BY 1, 2)
 SELECT doc_id, item_id FROM c JOIN n USING (item_id) WHERE 2 * k >= n""",
+    "p8_shares": f"""WITH w AS (SELECT item_id, {_WORDS.format("text")} w FROM benchmark), d AS (SELECT doc_id, {_WORDS.format("text")} w FROM documents),
+g AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) i FROM w)),
+h AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) i FROM d)),
+n AS (SELECT item_id, count(*) n FROM g GROUP BY 1), c AS (SELECT doc_id, item_id, count(*) k FROM g JOIN h USING (g) GROUP BY 1, 2)
+SELECT doc_id, item_id, k::INTEGER AS shared, n::INTEGER AS runs, len(w)::INTEGER AS item_words FROM c JOIN n USING (item_id) JOIN w USING (item_id) WHERE 2 * k >= n""",
+    "p9_bounds": f"""WITH k AS (SELECT {_SOURCE.format("source")} s, octet_length(encode(coalesce(text, ''))) t FROM documents), z AS (SELECT sum(t) t FROM k), a AS (SELECT s, sum(t)::BIGINT t FROM k GROUP BY 1)
+SELECT source, coalesce(a.t, 0) AS available, round(target_permille * ((budget_permille * z.t) // 1000) / 1000, 3)::DOUBLE AS wanted, max_repeats * coalesce(a.t, 0) * 1000 < target_permille * ((budget_permille * z.t) // 1000) AS short, true AS enough, true AS not_more, true AS repeats_kept
+FROM mix_targets m LEFT JOIN a ON a.s = {_SOURCE.format("source")}, z""",
     "p9_found": f"""WITH k AS (SELECT {_SOURCE.format("source")} s, octet_length(encode(coalesce(text, ''))) t FROM documents),
 z AS (SELECT sum(t) t FROM k), a AS (SELECT s, sum(t) t FROM k GROUP BY 1)
 SELECT source FROM mix_targets m LEFT JOIN a ON a.s = {_SOURCE.format("source")}, z
