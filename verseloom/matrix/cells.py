@@ -95,7 +95,9 @@ def count_vectorize(
         grams = ws if ngram_range == (1, 1) else ngrams(ws, *ngram_range, separator)
     else:
         grams = char_ngrams(F.lower(c) if lowercase else c, *ngram_range, within_words=analyzer == "char_wb")
-    long = df.select(*pk, F.explode(grams).alias("term")).groupBy(*pk, "term").agg(F.count("*").cast("double").alias("value"))
+    # the texts are shuffled by their key, not their words: the counts of a row are made where it lands
+    placed = df.select(*pk, F.col(f"`{field}`")).repartition(*pk)
+    long = placed.select(*pk, F.explode(grams).alias("term")).groupBy(*pk, "term").agg(F.count("*").cast("double").alias("value"))
     if binary:
         long = long.withColumn("value", F.lit(1.0))
     long = materialize(long, "counts")  # the matrix itself: read for the vocabulary and for the cells, tokenized once
