@@ -24,6 +24,8 @@ from verseloom.runtime import Scratch, materialize
 NEAR_BLOCK = 2000
 #: Rows of a method that holds all distances: 800 MB of them on the driver.
 MOST_ROWS = 10_000
+#: Counted words that a task of word2vec trains on at least, if there are several: with few, the mean over tasks leaves rare words near their start.
+WORDS_A_TASK = 10_000_000
 
 
 def _vectors(df: DataFrame, array: str = "features") -> DataFrame:
@@ -277,11 +279,18 @@ def lda(m: Cells, k: int, seed: int = 0, max_iter: int = 20) -> tuple[DataFrame,
 
 
 def word2vec(df: DataFrame, words: str, size: int = 50, min_count: int = 5, seed: int = 0) -> DataFrame:
-    """``feature``, its vector and its ``count``."""
+    """``feature``, its vector and its ``count``. The words are made once and kept as a table. Every word that occurs
+    ``min_count`` times is trained on at every place: up to twice ``WORDS_A_TASK`` of them by one task, more by up to as
+    many tasks as the cluster has cores, each over its own rows; a word's vector is the mean of those that the tasks gave it."""
     from pyspark.ml.feature import Word2Vec
 
-    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, inputCol=words, outputCol="__o").fit(df.select(words))
-    counts = df.select(F.explode(words).alias("feature")).groupBy("feature").count()
+    scratch = Scratch()
+    texts = scratch(df.select(words), "words")
+    counts = materialize(texts.select(F.explode(words).alias("feature")).groupBy("feature").count().where(F.col("count") >= min_count), "word-counts")
+    places = counts.agg(F.sum("count").alias("n")).first().n or 0
+    tasks = max(1, min(places // WORDS_A_TASK, df.sparkSession.sparkContext.defaultParallelism))
+    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, numPartitions=tasks, inputCol=words, outputCol="__o").fit(texts)
+    scratch.release()
     return model.getVectors().select(F.col("word").alias("feature"), vector_to_array("vector").alias("features")).join(counts, "feature")
 
 
